@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.common import written
+
 # The weights that sources take in turn, the share of all sizes to be taken, the most times a source repeats.
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 MOST = 2.0
+#: Sources whose targets are broadcast: some 10 MB.
+MOST_BROADCAST = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -45,16 +49,20 @@ def source_targets(sizes: DataFrame, share: float = SHARE, most: float = MOST, w
 def with_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix", keep_text: bool = True, size: Column | None = None) -> DataFrame:
     """docs with __size, __source_size, __target and __copies: floor(rate) plus one if a hash of seed, id and text falls below the fraction.
 
-    A null source is a source of its own. The join is on the source's table of one row each; Spark broadcasts it when
-    its measured size is under the session's limit and otherwise splits the hot sources' partitions, as one side has one row a key.
+    A null source is a source of its own. The table of targets is written and counted first: up to MOST_BROADCAST sources it is
+    broadcast, so the documents are not shuffled; beyond that it is joined, where Spark can split a hot source's partition, as one
+    side has one row a key.
     """
     words = word_count(F.col(text_col)) if size is None else size
     sizes = docs.groupBy(F.col(source_col).alias("source")).agg(F.sum(words).cast("long").alias("source_size"))
-    targets = source_targets(sizes).select(F.col("source").alias("__source"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), F.col("rate").alias("__rate"))
+    made, _ = written(source_targets(sizes), "targets")
+    targets = made.select(F.col("source").alias("__source"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), F.col("rate").alias("__rate"))
     draw = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)), F.lit(1 << 52)).cast("double") / F.lit(float(1 << 52))
     rows = docs.withColumns({"__size": words, "__draw": draw})
     if not keep_text:
         rows = rows.select(id_col, source_col, "__size", "__draw")
+    if made.count() <= MOST_BROADCAST:
+        targets = F.broadcast(targets)
     joined = rows.join(targets, F.col(source_col).eqNullSafe(F.col("__source")), "inner")
     extra = (F.col("__draw") < F.col("__rate") - F.floor("__rate")).cast("int")
     return joined.withColumn("__copies", F.floor("__rate").cast("int") + extra).drop("__source", "__draw", "__rate")

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import mixing, packing, sharding, simhash
+from lodestone.llm import langid, licenses, mixing, packing, quality, sharding, simhash, topk, vector_dedup, warc
+from lodestone.llm.common import shared_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +31,38 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_hash_tree_sharding, op2_best_fit_packing, op4_simhash_near_dedup, op7_source_mixing)}
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.link_vectors(_table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
+def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_table(spark, sf_dir, "embeddings"), every=50, k=5, scale=256.0)
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_summary(_table(spark, sf_dir, "documents"))
+
+
+def op8_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "warc")
+    warc.write_warc(_table(spark, sf_dir, "pages"), path)
+    return warc.read_warc(spark, path, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify_languages(_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        op1_hash_tree_sharding, op2_best_fit_packing, op3_embedding_near_dedup, op4_simhash_near_dedup, op5_exact_top_k,
+        op6_license_scan, op7_source_mixing, op8_warc_round_trip, op9_quality_classifier, op10_language_id,
+    )
+}
 
 ORACLES: dict[str, str] = {}

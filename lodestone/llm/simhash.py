@@ -187,6 +187,13 @@ def fingerprint_links(prints: DataFrame, threshold: int, n: int, tile_rows: int
     return dealt.mapInArrow(links, "a long, b long").where("a <> b").distinct()
 
 
+def _named(prints: DataFrame, threshold: int) -> DataFrame:
+    """Rows (fingerprint_bits, component_id) from distinct fingerprints with the least id of each."""
+    parts = connected_components(fingerprint_links(prints, threshold, prints.count()))
+    classes = prints.join(parts.withColumnRenamed("node", "fingerprint_bits"), "fingerprint_bits", "left").select("fingerprint_bits", "least", F.coalesce("component", "fingerprint_bits").alias("root"))
+    return classes.join(classes.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fingerprint_bits", "component_id")
+
+
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, threshold: int = 2) -> DataFrame:
     """Rows (id, fingerprint_bits, component_id): one per row of docs.
 
@@ -197,10 +204,16 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     base = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__body"))
     rows, _ = written(with_fingerprint(base, "__body", ["__id"], shingle), "prints")
     prints, _ = written(rows.groupBy("fingerprint_bits").agg(F.min("__id").alias("least")), "classes")
-    parts = connected_components(fingerprint_links(prints, threshold, prints.count()))
-    classes = prints.join(parts.withColumnRenamed("node", "fingerprint_bits"), "fingerprint_bits", "left").select("fingerprint_bits", "least", F.coalesce("component", "fingerprint_bits").alias("root"))
-    named = classes.join(classes.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fingerprint_bits", "component_id")
-    return rows.join(named, "fingerprint_bits").select(F.col("__id").alias(id_col), "fingerprint_bits", "component_id")
+    return rows.join(_named(prints, threshold), "fingerprint_bits").select(F.col("__id").alias(id_col), "fingerprint_bits", "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: int = 3) -> DataFrame:
+    """docs with one row of each component: the one with the smallest id, of equal ids any one, null ids last. All columns stay as they are."""
+    spot = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"))
+    rows, _ = written(with_fingerprint(docs.withColumns({"__spot": spot, "__body": F.col(text_col)}), "__body", [*docs.columns, "__spot"], shingle), "rows")
+    prints, _ = written(rows.groupBy("fingerprint_bits").agg(F.min("__spot").alias("least")), "classes")
+    first = _named(prints, threshold).select(F.col("component_id.row").alias("__row")).distinct()
+    return rows.withColumn("__row", F.col("__spot.row")).join(first, "__row", "left_semi").select(*docs.columns)
 
 
 def hex_bits(column: str) -> F.Column:
