@@ -34,8 +34,9 @@ class Tree:
             lows.append(low)
             highs.append(high)
             self.spans.append((a, b))
-            axis = int(np.argmax(high - low))
-            if b - a > leaf and high[axis] > low[axis]:
+            wide = high - low
+            if b - a > leaf and wide.max(initial=0.0) > 0:
+                axis = int(np.argmax(wide))
                 mid = (b - a) // 2
                 place[a:b] = place[a:b][np.argpartition(mine[:, axis], mid)]
                 self.kids.append((a, a + mid, b))
