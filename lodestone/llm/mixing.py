@@ -57,7 +57,8 @@ def with_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sizes = docs.groupBy(F.col(source_col).alias("source")).agg(F.sum(words).cast("long").alias("source_size"))
     made, _ = written(source_targets(sizes), "targets")
     targets = made.select(F.col("source").alias("__source"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), F.col("rate").alias("__rate"))
-    draw = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)), F.lit(1 << 52)).cast("double") / F.lit(float(1 << 52))
+    digest = F.md5(F.concat_ws(":", F.lit(seed), F.col(id_col).cast("string"), F.col(text_col)).cast("binary"))
+    draw = F.conv(F.substring(digest, 1, 13), 16, 10).cast("long").cast("double") / F.lit(float(1 << 52))
     rows = docs.withColumns({"__size": words, "__draw": draw})
     if not keep_text:
         rows = rows.select(id_col, source_col, "__size", "__draw")

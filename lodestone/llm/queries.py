@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import langid, licenses, mixing, packing, quality, sharding, simhash, topk, vector_dedup, warc
+from lodestone.llm import langid, licenses, mixing, oracles, packing, quality, sharding, simhash, topk, vector_dedup, warc
 from lodestone.llm.common import shared_path
 
 
@@ -65,4 +65,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_hash_tree_sharding": oracles.sharding(16),
+    "op3_embedding_near_dedup": oracles.vector_links(0.98),
+    "op5_exact_top_k": oracles.top_k(50, 5, 256.0),
+    "op6_license_scan": oracles.license_scan(),
+    "op7_source_mixing": oracles.mixing(),
+    "op8_warc_round_trip": oracles.warc(),
+}

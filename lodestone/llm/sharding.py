@@ -82,7 +82,8 @@ def with_slot(df: DataFrame, order: list[str], shard_col: str = "shard", cells:
     counts of the cells before it. So no task holds a whole shard, and the window over counts has cells rows a shard.
     Rows alike in all order columns are interchangeable.
     """
-    work = df.withColumn("__cell", F.pmod(F.xxhash64(*order), F.lit(cells)).cast("int"))
+    digest = F.md5(F.concat_ws(":", F.lit("slot"), *[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in order]))
+    work = df.withColumn("__cell", F.pmod(F.conv(F.substring(digest, 1, 6), 16, 10).cast("int"), F.lit(cells)))
     counts = work.groupBy(shard_col, "__cell").agg(F.count("*").alias("__n"))
     starts = counts.selectExpr(shard_col, "__cell", f"sum(__n) over (partition by {shard_col} order by __cell) - __n as __start")
     number = F.expr(f"row_number() over (partition by {shard_col}, __cell order by {', '.join(order)})")
