@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import numbers, text
-from lodestone.operators import context, lexical, metrics, ranking, stats, truth
+from lodestone.operators import context, enrichment, lexical, metrics, ranking, stats, truth
 from lodestone.plans import oracle
 from lodestone.plans.oracle import BASE, CELLS, FULL, ITEMS, STATS, over
 from lodestone.plans.roles import Roles
+from lodestone.streaming import windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, tuple[Query, str]] = {}
@@ -458,6 +459,85 @@ def material_scope(r: Roles) -> DataFrame:
     return names.withColumn("place", F.row_number().over(Window.orderBy("name")))
 
 
+# enrichment and texts
+
+
+@registered(over(BASE, "SELECT query_id, text || ' ' || class || CASE WHEN size % 3 = 0 THEN '' ELSE ' ' || brand END || ' ' || size AS enriched FROM queries"))
+def enriched_query(r: Roles) -> DataFrame:
+    columns = {"class": F.col("class"), "description": F.when(F.col("size") % 3 == 0, "").otherwise(F.col("brand")), "density": F.col("size")}
+    return r.queries.select("query_id", enrichment.enriched_query(F.col("text"), ["density", "description", "class"], columns).alias("enriched"))
+
+
+@registered("SELECT p_partkey AS ordinal, p_name AS name, p_name || ' ' || p_type AS preview, true AS added FROM part WHERE p_partkey % 3 = 1 ORDER BY p_partkey LIMIT 1")
+def preview_entry(r: Roles) -> DataFrame:
+    entries = r.table("part").select(F.col("p_partkey").alias("ordinal"), F.col("p_name").alias("name"), "p_type", F.when(F.col("p_partkey") % 3 == 1, "match").otherwise("skipped").alias("label"))
+    return enrichment.preview(entries, ["class"], {"class": F.col("p_type")})
+
+
+@registered("SELECT p_partkey AS uuid, lower(p_name || ' ' || CASE p_type WHEN 'PROMO' THEN 'Werbung' WHEN 'SMALL' THEN 'Klein' ELSE p_type END || ' / ' || p_brand) AS search FROM part")
+def search_texts(r: Roles) -> DataFrame:
+    path = F.concat_ws(" / ", "p_type", "p_brand")
+    return r.table("part").select(F.col("p_partkey").alias("uuid"), enrichment.search_text(F.col("p_name"), path, {"PROMO": "Werbung", "SMALL": "Klein"}).alias("search"))
+
+
+@registered("""SELECT l_partkey AS material_id, string_agg(DISTINCT o_orderpriority, ', ' ORDER BY o_orderpriority) || coalesce(' (' || string_agg(DISTINCT nullif(s, ''), ', ' ORDER BY nullif(s, '')) || ')', '') AS hosts
+  FROM lineitem JOIN (SELECT *, CASE WHEN o_orderstatus = 'O' THEN '' ELSE o_orderstatus END AS s FROM orders) ON o_orderkey = l_orderkey WHERE l_partkey > 0 GROUP BY 1""")
+def host_strings(r: Roles) -> DataFrame:
+    lines, elements = _hosts(r)
+    return context.host_map(context.edges(lines), elements).select("material_id", enrichment.host_string(F.col("categories"), F.col("types")).alias("hosts"))
+
+
+@registered("SELECT uuid, coalesce(a, b) AS name FROM (SELECT p_partkey AS uuid, p_name AS a FROM part WHERE p_partkey % 2 = 0) FULL JOIN (SELECT p_partkey AS uuid, p_brand AS b FROM part WHERE p_partkey % 3 = 0) USING (uuid)")
+def merged_items(r: Roles) -> DataFrame:
+    part = r.table("part").withColumnRenamed("p_partkey", "uuid")
+    return enrichment.merged_items(part.where("uuid % 2 = 0").withColumnRenamed("p_name", "name"), part.where("uuid % 3 = 0").withColumnRenamed("p_brand", "name"))
+
+
+@registered("SELECT x AS cosine, round(least(0.97::DOUBLE, 1 / (1 + exp(-(8.0::DOUBLE * x - 2)))), 6) AS confidence FROM (SELECT unnest([0.4::DOUBLE, 0.5, 0.6, 0.7, 0.8]) AS x)")
+def cosine_table(r: Roles) -> DataFrame:
+    points = r.spark.range(1).select(F.explode(F.array(*[F.lit(x) for x in (0.4, 0.5, 0.6, 0.7, 0.8)])).alias("cosine"))
+    return points.select("cosine", ranking.calibrated(F.col("cosine"), "semantic").alias("confidence"))
+
+
+@registered(over(FULL, f"SELECT mode, mode || ' finds ' || CAST(round(100.0::DOUBLE * rall / greatest(denom, 1), 1) AS VARCHAR) || ' % anywhere and ' || CAST(round(100.0::DOUBLE * r1 / greatest(denom, 1), 1) AS VARCHAR) || ' % at rank 1' AS sentence FROM (SELECT mode, count(*) FILTER (label = 'match') AS denom, {CELLS}, count(*) FILTER (label = 'match' AND hit_rank IS NOT NULL) AS rall FROM pq GROUP BY mode)"))
+def executive_summary(r: Roles) -> DataFrame:
+    return enrichment.executive_summary(metrics.recall(r.evaluated()))
+
+
+@registered(over(FULL, "SELECT query_id, coalesce(uuid, -1) AS uuid, score, CAST(coalesce(rank, 0) AS INT) AS rank, label, CASE WHEN label <> 'match' THEN 'skipped: ' || label WHEN hit_rank IS NULL THEN 'miss' WHEN hit_rank <= 5 THEN 'hit at ' || hit_rank ELSE 'hit beyond 5' END AS status FROM (SELECT * FROM pq WHERE mode = 'hybrid') LEFT JOIN (SELECT query_id, uuid, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, uuid) AS rank FROM modes WHERE mode = 'hybrid' AND score >= 0.5) USING (query_id) WHERE coalesce(rank, 0) <= 5"))
+def result_grid(r: Roles) -> DataFrame:
+    """Candidates above the threshold, numbered anew, below each query's status; a query without any has one placeholder row."""
+    done = metrics.per_query(r.all_modes(("hybrid",)), r.truth, ["hybrid"])
+    status = done.select("query_id", "label", metrics.hit_status(F.col("label"), F.col("hit_rank"), 5).alias("status"))
+    rows = status.join(ranking.threshold_top(r.mode("hybrid"), 0.5, 5), "query_id", "left")
+    return rows.select("query_id", F.coalesce("uuid", F.lit(-1)).alias("uuid"), "score", F.coalesce("rank", F.lit(0)).alias("rank"), "label", "status")
+
+
+@registered("SELECT DISTINCT o_orderpriority AS category, CAST(dense_rank() OVER (ORDER BY o_orderpriority) AS INT) AS place FROM orders WHERE o_orderstatus <> 'P'")
+def category_list(r: Roles) -> DataFrame:
+    names = r.table("orders").where("o_orderstatus <> 'P'").select(F.col("o_orderpriority").alias("category")).distinct()
+    return names.withColumn("place", F.row_number().over(Window.orderBy("category")))
+
+
+@registered("SELECT p_partkey AS material_id, s_name AS structural_asset, n_name AS thermal_asset FROM part LEFT JOIN supplier ON s_suppkey = p_partkey % 200 LEFT JOIN nation ON n_nationkey = p_size")
+def asset_lookup(r: Roles) -> DataFrame:
+    part = r.table("part").withColumn("structural", F.col("p_partkey") % 200)
+    both = part.join(r.table("supplier"), F.col("s_suppkey") == F.col("structural"), "left").join(F.broadcast(r.table("nation")), F.col("n_nationkey") == F.col("p_size"), "left")
+    return both.select(F.col("p_partkey").alias("material_id"), F.col("s_name").alias("structural_asset"), F.col("n_name").alias("thermal_asset"))
+
+
+@registered(over(BASE, "SELECT query_id, uuid, CAST(row_number() OVER (PARTITION BY query_id, uuid ORDER BY contribution DESC, term, source) AS INT) AS place, term, contribution FROM (SELECT query_id, uuid, term, source, round(contribution, 6) AS contribution FROM lex_terms)"))
+def top_terms(r: Roles) -> DataFrame:
+    terms = lexical.bm25f_terms(r.queries, r.corpus).withColumn("contribution", F.round("contribution", 6))
+    w = Window.partitionBy("query_id", "uuid").orderBy(F.desc("contribution"), "term", "source")
+    return terms.select("query_id", "uuid", F.row_number().over(w).alias("place"), "term", "contribution")
+
+
+@registered("SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, event_type, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY 1, 2")
+def metric_over_time(r: Roles) -> DataFrame:
+    return windows.metric_over_time(r.table("events"), "ts", "value", "1 day", "1 hour", "event_type")
+
+
 def queries() -> dict[str, Query]:
     return {name: plan for name, (plan, _) in REGISTRY.items()}
 

@@ -7,17 +7,33 @@ from html import escape
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.operators import metrics, stats
+from lodestone.operators import enrichment, metrics, stats
+from lodestone.plans import registry
 from lodestone.plans.roles import Roles
+from lodestone.sources.readers import Settings
 
 MOST_ROWS = 500
 
 
-def sections(roles: Roles) -> dict[str, DataFrame]:
-    """One table for each section, in the order of the report; all but the cards have one row a mode, pair, bin or class."""
+#: What the numbers are, shown at the end of a report.
+METHOD = [
+    ("scope", "only queries labelled match count; others are listed"),
+    ("recall", "share of matches whose first acceptable row stands at the cut-off or before it"),
+    ("nDCG@10", "gain 3 for the correct row and 1 for another acceptable one"),
+    ("intervals", "Wilson for shares; percentile bootstrap with hashed draws for means"),
+    ("paired tests", "exact two-sided McNemar, joined on the query"),
+    ("confidence", "a sigmoid of each mode's raw score, at most 0.97"),
+]
+
+
+def sections(roles: Roles, settings: Settings | None = None) -> dict[str, DataFrame]:
+    """One table for each section, in the order of the report; all but the queries have one row a mode, pair, bin or class."""
     done = roles.evaluated().persist()
     summary = metrics.mean_reciprocal_rank(done).select("mode", "mrr")
+    chosen = [(k, str(v)) for k, v in vars(settings or Settings()).items()]
     return {
+        "Configuration": roles.spark.createDataFrame(chosen, "setting string, value string"),
+        "Summary": enrichment.executive_summary(metrics.recall(done)),
         "Recall": metrics.recall(done),
         "Exact recall": metrics.recall(done, "hit_rank_correct"),
         "Recall intervals": metrics.wilson_recall(done),
@@ -28,7 +44,11 @@ def sections(roles: Roles) -> dict[str, DataFrame]:
         "Rank distribution": metrics.rank_bins(done),
         "Classes": metrics.class_breakdown(done),
         "Field ladder": stats.ladder_steps(roles.ladder()),
+        "Context": registry.context_dual_pass(roles),
+        "Cost and quality": registry.latency_quality(roles),
+        "Expected answers": registry.expected_answer(roles),
         "Queries": metrics.hits_misses(done),
+        "Method": roles.spark.createDataFrame(METHOD, "term string, meaning string"),
     }
 
 

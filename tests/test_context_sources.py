@@ -3,10 +3,10 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import context
+from lodestone.operators import context, enrichment
 from lodestone.plans import report
 from lodestone.plans.roles import Roles
-from lodestone.sources import readers, writers
+from lodestone.sources import readers, services, writers
 from lodestone.streaming.windows import metric_over_time
 
 
@@ -106,3 +106,38 @@ def test_windows_in_batch_and_stream_agree(spark, tmp_path):
 def test_roles_hold_their_shape(spark):
     roles = Roles(spark, "/root/testdata/sf0.001")
     assert roles.truth.count() == roles.queries.count() and roles.corpus.where("uuid % 10 = 0").count() == 0
+
+
+def test_services_fall_back_on_failure(spark):
+    asked = spark.createDataFrame([(1, "a"), (2, "a"), (3, None)], "query_id long, text string")
+    got = {r["query_id"]: r["v"] for r in services.with_vectors(asked, lambda: lambda texts: [[float(len(t))] for t in texts]).collect()}
+    assert got == {1: [1.0], 2: [1.0], 3: None}
+
+    def broken():
+        raise OSError("no service")
+
+    assert not services.available(broken) and services.available(lambda: lambda texts: [[1.0]])
+    pairs = spark.createDataFrame([(1, "q", 1, "d"), (1, "q", 2, "dd"), (2, "q", 3, "d")], "query_id long, text string, uuid long, document string")
+    got = services.with_logits(pairs, lambda: lambda q, docs: [1.0, 2.0]).collect()
+    assert {r["uuid"]: r["logit"] for r in got if r["query_id"] == 1} == {1: 1.0, 2: 2.0}
+    assert [(r["logit"], r["error"]) for r in got if r["query_id"] == 2] == [(None, "2 logits for 1 rows")]
+
+
+def test_modes_say_what_they_lack():
+    got = services.usable_modes(10, stats=False, vectors=True, embedding=True, reranker=True)
+    assert got["semantic+rerank"] == "" and got["hybrid"] == "corpus statistics" and got["regex"] == ""
+    assert services.cost_minutes(54) == (1, 3) and services.cost_minutes(1) == (1, 2)
+
+
+def test_enrichment_keeps_the_registry_order(spark):
+    rows = spark.createDataFrame([(" Wall ", "Concrete", "", 2400.0)], "name string, a string, b string, d double")
+    columns = {"class": F.col("a"), "description": F.col("b"), "density": F.col("d")}
+    assert rows.select(enrichment.enriched_query(F.col("name"), ["density", "description", "class", "other"], columns)).first()[0] == "Wall Concrete 2400.0"
+    assert rows.select(enrichment.host_string(F.array(F.lit("Walls")), F.expr("cast(array() as array<string>)"))).first()[0] == "Walls"
+    entries = spark.createDataFrame([(0, "x", "skipped", "c"), (1, "y", "match", "")], "ordinal int, name string, label string, a string")
+    assert tuple(enrichment.preview(entries, ["class"], {"class": F.col("a")}).first()) == (1, "y", "y", False)
+
+
+def test_provenance_reads_file_times(spark, tmp_path):
+    spark.range(1).write.parquet(str(tmp_path / "c"))
+    assert enrichment.provenance(spark.read.parquet(str(tmp_path / "c"))).count() >= 1
