@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import tokens, trigrams
+from lodestone.operators.sizes import small
 
 
 @dataclass(frozen=True)
@@ -99,11 +100,11 @@ def trigram_overlap(pairs: DataFrame, a: str, b: str) -> DataFrame:
 def regex_search(queries: DataFrame, corpus: DataFrame, text_col: str = "text") -> DataFrame:
     """Rows (query_id, uuid) where the query's pattern is found in name and classification, whatever the case.
 
-    Patterns are arbitrary, so all rows are looked at; distinct texts are searched once and the queries are the broadcast side.
+    Patterns are arbitrary, so all rows are looked at; distinct texts are searched once, and the queries are broadcast while they are few.
     """
     texts = corpus.select(F.concat_ws(" ", "name", "classification").alias("hay")).distinct()
     asked = queries.select("query_id", F.concat(F.lit("(?i)"), F.col(text_col)).alias("pattern"))
-    found = texts.join(F.broadcast(asked), F.expr("regexp_like(hay, pattern)"))
+    found = texts.join(small(asked), F.expr("regexp_like(hay, pattern)"))
     return corpus.select("uuid", F.concat_ws(" ", "name", "classification").alias("hay")).join(found, "hay").select("query_id", "uuid")
 
 
@@ -116,6 +117,6 @@ def fuzzy_search(queries: DataFrame, corpus: DataFrame, text_col: str = "text")
     named = corpus.select("uuid", F.explode(F.array_distinct(tokens(F.col("name")))).alias("word"))
     allowed = F.when(F.length("t") >= 8, 2).when(F.length("t") >= 4, 1).otherwise(0)
     words, wanted = named.select("word").distinct(), asked.select(F.explode("ts").alias("t")).distinct()
-    near = words.join(F.broadcast(wanted), F.expr("contains(word, t)") | (F.levenshtein("word", "t") <= allowed))
+    near = words.join(small(wanted), F.expr("contains(word, t)") | (F.levenshtein("word", "t") <= allowed))
     hits = asked.select("query_id", F.size("ts").alias("need"), F.explode("ts").alias("t")).join(near, "t").join(named, "word")
     return hits.groupBy("query_id", "uuid", "need").agg(F.count_distinct("t").alias("got")).where("got = need").select("query_id", "uuid")

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.operators.sizes import MOST_ROWS
+
 # Rank constant of the fusion, rows re-ranked, highest confidence.
 RRF_K = 60
 HEAD = 20
@@ -92,14 +94,15 @@ def rerank(rows: DataFrame, logits: DataFrame, head: int = HEAD) -> DataFrame:
     return both.withColumnRenamed("rank", "rank_before").withColumnRenamed("new", "rank").withColumn("moved", F.col("rank_before") - F.col("rank"))
 
 
-def first_hits(scored: DataFrame, relevant: Column) -> DataFrame:
+def first_hits(scored: DataFrame, relevant: Column, n_queries: int) -> DataFrame:
     """Rows (query_id, hit_rank) from scored rows: the rank of the first relevant one, null where there is none.
 
     Two aggregations by query, both with partial sums: the best relevant row, then how many rows stand before it. The scored
-    rows themselves are neither sorted nor shuffled. The best rows are one a query.
+    rows themselves are neither sorted nor shuffled while the queries are few enough for their best rows to be broadcast.
     """
     best = scored.groupBy("query_id").agg(F.max(F.when(relevant, F.struct("score", (-F.col("uuid")).alias("turned")))).alias("best"))
-    before = scored.join(F.broadcast(best), "query_id").groupBy("query_id").agg(
+    side = F.broadcast(best) if n_queries <= MOST_ROWS else best
+    before = scored.join(side, "query_id").groupBy("query_id").agg(
         F.count_if(F.struct("score", (-F.col("uuid")).alias("turned")) > F.col("best")).alias("n"), F.first("best").isNull().alias("none")
     )
     return before.select("query_id", F.when(~F.col("none"), F.col("n") + 1).cast("int").alias("hit_rank"))

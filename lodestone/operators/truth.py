@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import contains_either, join_key
+from lodestone.operators.sizes import small
 
 
 def first_entries(entries: DataFrame, name_col: str = "name") -> DataFrame:
@@ -24,13 +25,33 @@ def scope_truth_join(scope: DataFrame, entries: DataFrame) -> DataFrame:
     names = scope.withColumn("key", join_key(F.col("name")))
     exact = names.join(first.select("key", "ordinal", "label"), "key", "left")
     left_over = exact.where("ordinal is null").select("key").distinct()
-    near = left_over.join(F.broadcast(first.select(F.col("key").alias("other"), F.col("ordinal").alias("o"), F.col("label").alias("l"))), contains_either(F.col("key"), F.col("other")))
+    near = left_over.join(small(first.select(F.col("key").alias("other"), F.col("ordinal").alias("o"), F.col("label").alias("l"))), contains_either(F.col("key"), F.col("other")))
     near = near.where("key <> ''").groupBy("key").agg(F.min(F.struct("o", "l")).alias("n"))
     out = exact.join(near, "key", "left")
     how = F.when(F.col("ordinal").isNotNull(), "exact").when(F.col("n").isNotNull(), "substring").otherwise("none")
     return out.select("name", F.coalesce("ordinal", "n.o").alias("ordinal"), F.coalesce("label", "n.l").alias("label"), how.alias("how"))
 
 
+def containment_join(texts: DataFrame, passages: DataFrame, most_broadcast: int = 1000, gram: int = 4) -> DataFrame:
+    """Rows (doc_id, item_id) where a text holds a passage: texts (doc_id, text), passages (item_id, passage).
+
+    Few passages are broadcast and searched for in each text. Beyond that a passage's inner words decide: between its first and last
+    word, which may be parts of longer ones, a run of `gram` words stands in any text that holds it. Texts' runs are joined to the
+    passages' on equality and the pairs verified; only passages with fewer words are still searched for in every text.
+    """
+    holds = F.col("text").contains(F.col("passage"))
+    if passages.limit(most_broadcast + 1).count() <= most_broadcast:
+        return texts.join(F.broadcast(passages), holds).select("doc_id", "item_id")
+    split = lambda c: F.split(c, r"\s+")
+    inner = passages.withColumn("w", F.slice(split(F.col("passage")), 2, gram)).withColumn("long", F.size(split(F.col("passage"))) >= gram + 2)
+    keyed = inner.where("long").select("item_id", "passage", F.xxhash64(F.concat_ws(" ", "w")).alias("key"))
+    words = texts.select("doc_id", "text", split(F.col("text")).alias("w")).withColumn("last", F.size("w") - gram)
+    runs = F.when(F.col("last") >= 0, F.transform(F.sequence(F.lit(0), F.col("last")), lambda i: F.xxhash64(F.concat_ws(" ", F.slice(F.col("w"), i + 1, F.lit(gram)))))).otherwise(F.expr("cast(array() as array<bigint>)"))
+    hits = words.select("doc_id", F.explode(F.array_distinct(runs)).alias("key")).join(keyed.select("key", "item_id"), "key").select("doc_id", "item_id").distinct()
+    sure = hits.join(texts, "doc_id").join(passages, "item_id").where(holds).select("doc_id", "item_id").distinct()
+    return sure.unionByName(texts.join(inner.where("not long").select("item_id", "passage"), holds).select("doc_id", "item_id"))
+
+
 def with_acceptable(entries: DataFrame) -> DataFrame:
     """acceptable united with the correct id where that is not empty."""
     filled = F.col("correct_uuid").isNotNull() & (F.col("correct_uuid").cast("string") != "")

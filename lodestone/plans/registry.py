@@ -40,7 +40,7 @@ def semantic_topk(r: Roles) -> DataFrame:
 
 @registered(over(f"{VECTORS}, {HITS}", "SELECT count(*) AS n, " + ", ".join(f"count(*) FILTER (hit_rank <= {k}) AS r{k}" for k in metrics.CUTS) + ", round(avg(coalesce(1 / hit_rank::DOUBLE, 0)), 6) AS mrr FROM vh"))
 def recall_at_k(r: Roles) -> DataFrame:
-    hits = ranking.first_hits(r.vector_scores(), F.col("cluster") == F.col("ql"))
+    hits = ranking.first_hits(r.vector_scores(), F.col("cluster") == F.col("ql"), r.vector_queries.count())
     return hits.agg(F.count("*").alias("n"), *[F.count_if(F.col("hit_rank") <= k).alias(f"r{k}") for k in metrics.CUTS], F.round(F.avg(F.coalesce(1.0 / F.col("hit_rank"), F.lit(0.0))), 6).alias("mrr"))
 
 
@@ -364,7 +364,7 @@ def scope_truth_join(r: Roles) -> DataFrame:
 @registered("SELECT d.doc_id, b.item_id FROM documents d, benchmark b WHERE contains(d.text, b.text)")
 def truth_substring_join(r: Roles) -> DataFrame:
     items = r.table("benchmark").select("item_id", F.col("text").alias("passage"))
-    return r.table("documents").join(F.broadcast(items), F.col("text").contains(F.col("passage"))).select("doc_id", "item_id")
+    return truth.containment_join(r.table("documents").select("doc_id", "text"), items)
 
 
 @registered(over(BASE, "SELECT query_id, len(list_distinct(CASE WHEN correct_uuid IS NULL THEN acceptable ELSE list_append(acceptable[2:], correct_uuid) END))::INT AS n, coalesce(list_contains(acceptable, correct_uuid), false) AS holds FROM truth"))
@@ -450,13 +450,12 @@ def property_counts(r: Roles) -> DataFrame:
     return r.table("part").groupBy(F.col("p_type").alias("category")).agg(F.count("*").alias("total"), F.count_if(F.col("p_size") > 25).alias("selected"))
 
 
-@registered("SELECT DISTINCT p_name AS name, min(p_partkey) OVER (PARTITION BY p_name) AS material_id, dense_rank() OVER (ORDER BY p_name)::INT AS place FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem)")
+@registered("SELECT p_name AS name, min(p_partkey) AS material_id FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem) GROUP BY p_name")
 def material_scope(r: Roles) -> DataFrame:
     from lodestone.sources.readers import material_scope as scope
 
     materials = r.table("part").select(F.col("p_partkey").alias("material_id"), F.col("p_name").alias("name"))
-    names = scope(materials, _hosts(r)[0])
-    return names.withColumn("place", F.row_number().over(Window.orderBy("name")))
+    return scope(materials, _hosts(r)[0])
 
 
 # enrichment and texts

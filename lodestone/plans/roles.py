@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.text import trigrams
 from lodestone.operators import lexical, metrics, ranking
+from lodestone.operators.sizes import small
 from lodestone.operators.stats import MODES
 
 #: Stand-in for a dense query vector that has seen the class: a bonus for rows of the same class.
@@ -65,20 +66,20 @@ class Roles:
         if not context:
             return scored
         classes = self.corpus.select("uuid", F.col("class").alias("c"))
-        asked = F.broadcast(self.queries.select("query_id", F.col("class").alias("qc")))
+        asked = small(self.queries.select("query_id", F.col("class").alias("qc")))
         bonus = F.when(F.col("c") == F.col("qc"), CONTEXT_BONUS).otherwise(0.0)
         return scored.join(classes, "uuid").join(asked, "query_id").select("query_id", "uuid", F.round(F.col("score") + bonus, 6).alias("score"))
 
     def logits(self, head: DataFrame) -> DataFrame:
         """Stand-in for a cross-encoder: trigram overlap of query and name. The service fails for some queries."""
-        named = head.select("query_id", "uuid").join(self.corpus.select("uuid", F.col("name").alias("item")), "uuid").join(F.broadcast(self.queries.select("query_id", "text")), "query_id")
+        named = head.select("query_id", "uuid").join(self.corpus.select("uuid", F.col("name").alias("item")), "uuid").join(small(self.queries.select("query_id", "text")), "query_id")
         x, y = trigrams(F.col("text")), trigrams(F.col("item"))
         logit = F.round(4.0 * F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y)) - 2.0, 6)
         return named.where("query_id % 130 <> 0").select("query_id", "uuid", logit.alias("logit"))
 
-    def filtered(self, hits: DataFrame) -> DataFrame:
-        """Filter survivors in the order of the bare name's scores."""
-        return ranking.ranked(hits.join(self.lexical(), ["query_id", "uuid"], "left").withColumn("score", F.coalesce("score", F.lit(0.0))))
+    def filtered(self, hits: DataFrame, rank_on: str = "text") -> DataFrame:
+        """Filter survivors in the order of the scores of rank_on: the bare name (text, as a run does) or the enriched text."""
+        return ranking.ranked(hits.join(self.lexical(rank_on), ["query_id", "uuid"], "left").withColumn("score", F.coalesce("score", F.lit(0.0))))
 
     @cache  # noqa: B019
     def fuzzy(self, context: bool = False) -> DataFrame:
@@ -124,7 +125,7 @@ class Roles:
 
     def vector_scores(self) -> DataFrame:
         scored = ranking.score_vectors(self.vector_queries, self.vector_corpus)
-        with_label = scored.join(F.broadcast(self.vector_queries.select("query_id", F.col("cluster").alias("ql"))), "query_id")
+        with_label = scored.join(small(self.vector_queries.select("query_id", F.col("cluster").alias("ql"))), "query_id")
         return with_label.join(self.vector_corpus.select("uuid", "cluster"), "uuid")
 
     def ladder(self) -> DataFrame:

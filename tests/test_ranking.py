@@ -64,7 +64,7 @@ def test_first_hits_agree_with_full_ranking(spark):
     data = [(q, u, float((q * 7 + u * 13) % 11)) for q in range(4) for u in range(20)]
     scored = rows(spark, data)
     relevant = F.col("uuid") % 5 == F.col("query_id")
-    fast = {r["query_id"]: r["hit_rank"] for r in ranking.first_hits(scored, relevant).collect()}
+    fast = {r["query_id"]: r["hit_rank"] for r in ranking.first_hits(scored, relevant, 4).collect()}
     full = {r["query_id"]: r["m"] for r in ranking.ranked(scored).groupBy("query_id").agg(F.min(F.when(relevant, F.col("rank"))).alias("m")).collect()}
     assert fast == full
 
