@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,12 +17,22 @@ BITS = 64
 SPREAD = U64(0x0101010101010101)
 
 
-def fingerprints(texts: list[bytes], shingle: int, seed: int = 42) -> np.ndarray:
-    """Fingerprint of each text: bit set where over half of its word-shingle hashes have it."""
+def _mixed(hashes: np.ndarray, word: int) -> np.ndarray:
+    """Further hash bits from the same hash: a bijective finalizer, another one for each word; word 0 is the hash itself."""
+    if not word:
+        return hashes
+    h = hashes + U64(word * 0x9E3779B97F4A7C15 % (1 << 64))
+    h = (h ^ (h >> U64(30))) * U64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> U64(27))) * U64(0x94D049BB133111EB)
+    return h ^ (h >> U64(31))
+
+
+def fingerprints(texts: list[bytes], shingle: int, seed: int = 42, count: int = 1) -> np.ndarray:
+    """`count` fingerprint words of each text, a column each: a bit is set where over half of its word-shingle hashes have it."""
     lists = [t.lower().split() for t in texts]  # bytes: only A-Z change, only ASCII white space parts words
     buffer = b"\n".join(b" ".join(x) for x in lists)
     words = np.fromiter(map(len, lists), np.int64, len(lists))
-    out = np.zeros(len(lists), U64)
+    out = np.zeros((len(lists), count), U64)
     if not words.sum():
         return out
     flat = np.fromiter((len(w) for x in lists for w in x), np.int64, int(words.sum()))
@@ -43,26 +53,28 @@ def fingerprints(texts: list[bytes], shingle: int, seed: int = 42) -> np.ndarray
     run_at = (np.cumsum(number) - number)[run_doc] + 255 * (np.arange(int(runs.sum())) - np.repeat(np.cumsum(runs) - runs, runs))
     full = np.flatnonzero(runs)
     at = (np.cumsum(runs) - runs)[full]
-    for k in range(8):
-        lanes = np.add.reduceat((hashes >> U64(k)) & SPREAD, run_at)
-        wide = np.add.reduceat(lanes.view(np.uint8).reshape(-1, 8).astype(np.int64), at, axis=0)
-        most = 2 * wide > number[full][:, None]
-        for byte in range(8):
-            out[full] |= most[:, byte].astype(U64) << U64(8 * byte + k)
+    for word in range(count):
+        mine = _mixed(hashes, word)
+        for k in range(8):
+            lanes = np.add.reduceat((mine >> U64(k)) & SPREAD, run_at)
+            wide = np.add.reduceat(lanes.view(np.uint8).reshape(-1, 8).astype(np.int64), at, axis=0)
+            most = 2 * wide > number[full][:, None]
+            for byte in range(8):
+                out[full, word] |= most[:, byte].astype(U64) << U64(8 * byte + k)
     return out
 
 
-def with_fingerprint(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None, shingle: int = 3) -> DataFrame:
-    """Rows of keep plus fingerprint_bits (signed long); a null or wordless text gets zero."""
+def with_fingerprint(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None, shingle: int = 3, words: tuple[str, ...] = ("fingerprint_bits",)) -> DataFrame:
+    """Rows of keep plus the fingerprint's words (signed longs); a null or wordless text gets zero."""
     names = list(keep or [])
     fields = [docs.schema[c] for c in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "__text"):
-            found = fingerprints(encoded(part.column("__text")), shingle).view(np.int64)
-            yield pa.RecordBatch.from_arrays([part.column(i) for i in range(len(names))] + [pa.array(found)], names=[*names, "fingerprint_bits"])
+            found = fingerprints(encoded(part.column("__text")), shingle, count=len(words)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([part.column(i) for i in range(len(names))] + [pa.array(np.ascontiguousarray(x)) for x in found.T], names=[*names, *words])
 
-    schema = T.StructType([*fields, T.StructField("fingerprint_bits", T.LongType())])
+    schema = T.StructType([*fields, *[T.StructField(w, T.LongType()) for w in words]])
     return docs.select(*names, F.col(text_col).alias("__text")).mapInArrow(run, schema)
 
 
@@ -106,62 +118,51 @@ def anchors(bits: np.ndarray, widths: list[int], threshold: int) -> tuple[np.nda
     return row, np.concatenate(codes), np.arange(len(row)) < len(bits)
 
 
-def _tile_links(bits: np.ndarray, home: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of a spanning forest over the pairs (home row, any row) at most threshold bits apart."""
-    here = np.flatnonzero(home)
-    firsts, seconds = [], []
-    step = max(1, (1 << 21) // max(1, len(bits)))
+def _tile_links(n: int, home: np.ndarray, near: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Links of a spanning forest over the pairs that near gives for blocks of home rows."""
+    here, root, every = np.flatnonzero(home), np.arange(n), np.arange(n)
+    step = max(1, (1 << 21) // max(1, n))
     for k in range(0, len(here), step):
-        rows = here[k : k + step]
-        x, y = np.nonzero(np.bitwise_count(bits[rows][:, None] ^ bits[None, :]) <= threshold)
-        if len(x):
-            # reduce at once, so that a dense group never keeps all its pairs
-            root = forest(len(bits), *(np.concatenate(z) for z in ([*firsts, rows[x]], [*seconds, y])))
-            moved = np.flatnonzero(root != np.arange(len(bits)))
-            firsts, seconds = [moved], [root[moved]]
-    if not firsts:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    return firsts[0], seconds[0]
-
-
-def fingerprint_links(prints: DataFrame, threshold: int, n: int, tile_rows: int = 4096) -> DataFrame:
-    """Links (a, b) that connect the same distinct fingerprints as all pairs within threshold bits do.
+        a, b = near(here[k : k + step])
+        if len(a):
+            # reduced at once, so that a dense group never keeps all its pairs
+            moved = np.flatnonzero(root != every)
+            root = forest(n, np.concatenate([moved, a]), np.concatenate([root[moved], b]))
+    moved = np.flatnonzero(root != every)
+    return moved, root[moved]
 
-    prints: fingerprint_bits, distinct. An anchor's homes and visitors are cut into tiles of about tile_rows by hash, so a hot
-    anchor becomes many tasks; each tile gives a spanning forest of its links, never its pairs.
-    """
-    widths = anchor_widths(n)
 
-    def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(0, batch.num_rows, 1 << 14):
-                bits = batch.column(0).slice(k, 1 << 14).to_numpy(zero_copy_only=False).view(U64)
-                row, code, home = anchors(bits, widths, threshold)
-                yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(home), pa.array(bits[row].view(np.int64))], names=["anchor", "home", "bits"])
+def _tiles(spread: DataFrame, salt: str, tile_rows: int) -> DataFrame:
+    """spread (anchor, home, ...) with the tile (h, v) of each row, dealt by anchor and tile.
 
-    spread = prints.select("fingerprint_bits").mapInArrow(replicate, "anchor long, home boolean, bits long")
+    An anchor with more than two tiles' rows is cut into a grid: its homes by one hash of salt, all its rows by another, and every
+    home meets every row in one cell. So a hot anchor becomes many tasks of bounded size.
+    """
     load = spread.groupBy("anchor").agg(F.count_if("home").alias("homes"), F.count("*").alias("rows"))
     hot = load.where((F.col("homes") > 0) & (F.col("rows") > 2 * tile_rows)).select(
         "anchor", F.ceil(F.col("homes") / tile_rows).cast("int").alias("hs"), F.ceil(F.col("rows") / tile_rows).cast("int").alias("vs")
     )
-    placed = spread.join(hot, "anchor", "left").select("anchor", "home", "bits", F.coalesce("hs", F.lit(1)).alias("hs"), F.coalesce("vs", F.lit(1)).alias("vs"))
-    spot = F.pmod(F.xxhash64("bits"), F.col("hs")).cast("int"), F.pmod(F.xxhash64("bits", F.lit(1)), F.col("vs")).cast("int")
-    zero, none = F.array(F.lit(0)), F.expr("cast(array() as array<int>)")
-    as_home = F.when(F.col("home"), F.when(F.col("vs") > 1, F.sequence(F.lit(0), F.col("vs") - 1)).otherwise(zero)).otherwise(none)
-    as_any = F.when(F.col("hs") > 1, F.sequence(F.lit(0), F.col("hs") - 1)).otherwise(zero)
+    rest = [c for c in spread.columns if c not in ("anchor", "home")]
+    placed = spread.join(hot, "anchor", "left").withColumns({"hs": F.coalesce("hs", F.lit(1)), "vs": F.coalesce("vs", F.lit(1))})
+    spot = F.pmod(F.xxhash64(salt), F.col("hs")).cast("int"), F.pmod(F.xxhash64(salt, F.lit(1)), F.col("vs")).cast("int")
+    none = F.expr("cast(array() as array<int>)")
+    as_home = F.when(F.col("home"), F.sequence(F.lit(0), F.col("vs") - 1)).otherwise(none)
     grid = F.concat(
         F.transform(as_home, lambda v: F.struct(spot[0].alias("h"), v.alias("v"), F.lit(True).alias("home"))),
-        F.transform(as_any, lambda h: F.struct(h.alias("h"), spot[1].alias("v"), F.lit(False).alias("home"))),
+        F.transform(F.sequence(F.lit(0), F.col("hs") - 1), lambda h: F.struct(h.alias("h"), spot[1].alias("v"), F.lit(False).alias("home"))),
     )
     single = F.array(F.struct(F.lit(0).alias("h"), F.lit(0).alias("v"), F.col("home").alias("home")))
-    tiles = placed.select("anchor", "bits", F.explode(F.when((F.col("hs") == 1) & (F.col("vs") == 1), single).otherwise(grid)).alias("t")).select("anchor", "t.h", "t.v", "t.home", "bits")
+    cut = placed.select("anchor", *rest, F.explode(F.when((F.col("hs") == 1) & (F.col("vs") == 1), single).otherwise(grid)).alias("t"))
+    return cut.select("anchor", "t.h", "t.v", "t.home", *rest).repartition("anchor", "h", "v").sortWithinPartitions("anchor", "h", "v")
+
 
-    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def close(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-            bits = np.concatenate([p.column(4).to_numpy(zero_copy_only=False) for p in parts])
-            home = np.concatenate([p.column(3).to_numpy(zero_copy_only=False) for p in parts])
-            a, b = _tile_links(bits.view(U64), home, threshold)
-            return pa.RecordBatch.from_arrays([pa.array(bits[a]), pa.array(bits[b])], names=["a", "b"])
+def _linked(tiles: DataFrame, close: Callable[[int, list[np.ndarray]], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """Rows (a, b) from the tiles as they stream by; close gets a tile's anchor and its columns from home on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(parts: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+            columns = [np.concatenate([p.column(i).to_numpy(zero_copy_only=False) for p in parts]) for i in range(3, parts[0].num_columns)]
+            return close(parts[0].column(0)[0].as_py(), columns)
 
         key, held = None, []
         for batch in batches:
@@ -169,22 +170,94 @@ def fingerprint_links(prints: DataFrame, threshold: int, n: int, tile_rows: int
                 continue
             keys = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)], axis=1)
             cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), batch.num_rows]
-            done_a, done_b = [], []
+            done = []
             for begin, end in zip(cuts, cuts[1:]):
-                if key is not None and tuple(keys[begin]) != key:
-                    made = close(held)
-                    done_a.append(made.column(0))
-                    done_b.append(made.column(1))
+                if held and tuple(keys[begin]) != key:
+                    done.append(made(held))
                     held = []
                 key = tuple(keys[begin])
                 held.append(batch.slice(begin, end - begin))
-            if done_a:
-                yield pa.RecordBatch.from_arrays([pa.concat_arrays(done_a), pa.concat_arrays(done_b)], names=["a", "b"])
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*done)], names=["a", "b"])
         if held:
-            yield close(held)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in made(held)], names=["a", "b"])
+
+    return tiles.mapInArrow(run, "a long, b long").where("a <> b").distinct()
+
+
+def fingerprint_links(prints: DataFrame, threshold: int, n: int, per_anchor: int = 32, tile_rows: int = 4096) -> DataFrame:
+    """Links (a, b) that connect the same distinct fingerprints as all pairs within threshold bits do.
+
+    prints: fingerprint_bits, distinct. Each anchor's homes meet its visitors in tiles; a tile gives a spanning forest of its links,
+    never its pairs. per_anchor weighs replicas (fewer when it is large) against comparisons; it does not change the result.
+    """
+    widths = anchor_widths(n, per_anchor)
+
+    def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 1 << 14):
+                bits = batch.column(0).slice(k, 1 << 14).to_numpy(zero_copy_only=False).view(U64)
+                row, code, home = anchors(bits, widths, threshold)
+                yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(home), pa.array(bits[row].view(np.int64))], names=["anchor", "home", "bits"])
+
+    def close(_: int, columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        home, bits = columns[0], columns[1].view(U64)
 
-    dealt = tiles.repartition("anchor", "h", "v").sortWithinPartitions("anchor", "h", "v")
-    return dealt.mapInArrow(links, "a long, b long").where("a <> b").distinct()
+        def near(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            x, y = np.nonzero(np.bitwise_count(bits[rows][:, None] ^ bits[None, :]) <= threshold)
+            return rows[x], y
+
+        a, b = _tile_links(len(bits), home, near)
+        return columns[1][a], columns[1][b]
+
+    spread = prints.select("fingerprint_bits").mapInArrow(replicate, "anchor long, home boolean, bits long")
+    return _linked(_tiles(spread, "bits", tile_rows), close)
+
+
+WORDS = ("word0", "word1", "word2")
+SEGMENT, SEGMENTS, SEGMENT_BITS = 16, 4, 1
+
+
+def most_bits(similarity: float, bits: int = BITS * len(WORDS)) -> int:
+    """Differing bits up to which two sets of equal size are estimated to have this Jaccard similarity or more."""
+    return int(bits * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def similar_links(prints: DataFrame, similarity: float, n: int, tile_rows: int = 16384) -> DataFrame:
+    """Links (a, b) that connect the same classes as all pairs do that agree in a segment and whose words agree enough.
+
+    prints: cid and WORDS, distinct. The first word has SEGMENTS segments of SEGMENT bits; a pair is compared if one of them differs in at most
+    SEGMENT_BITS bits, which any pair does whose first words differ in at most 7, and it links if all words together differ in
+    at most most_bits(similarity). Each segment has a covering code of its own as anchors; the width of the code's blocks follows
+    the number of fingerprints and does not change the result.
+    """
+    widths, most = ([2] * 8 if n <= 1 << 20 else [1] * 16), most_bits(similarity)
+
+    def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 1 << 14):
+                part = batch.slice(k, 1 << 14)
+                first = part.column(1).to_numpy(zero_copy_only=False).view(U64)
+                for segment in range(SEGMENTS):
+                    row, code, home = anchors((first >> U64(SEGMENT * segment)) & U64((1 << SEGMENT) - 1), widths, SEGMENT_BITS)
+                    yield pa.RecordBatch.from_arrays([pa.array(code + (segment << SEGMENT)), pa.array(home), *part.take(pa.array(row)).columns], names=["anchor", "home", "cid", *WORDS])
+
+    def close(anchor: int, columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        home, cid, *words = columns
+        words = [w.view(U64) for w in words]
+        piece = ((words[0] >> U64(SEGMENT * (anchor >> SEGMENT))) & U64((1 << SEGMENT) - 1)).astype(np.uint16)
+
+        def near(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            x, y = np.nonzero(np.bitwise_count(piece[rows][:, None] ^ piece[None, :]) <= SEGMENT_BITS)
+            x = rows[x]
+            hit = sum(np.bitwise_count(w[x] ^ w[y]).astype(np.int64) for w in words) <= most
+            return x[hit], y[hit]
+
+        a, b = _tile_links(len(cid), home, near)
+        return cid[a], cid[b]
+
+    spread = prints.select("cid", *WORDS).mapInArrow(replicate, f"anchor long, home boolean, cid long, {', '.join(w + ' long' for w in WORDS)}")
+    return _linked(_tiles(spread, "cid", tile_rows), close)
 
 
 def _named(prints: DataFrame, threshold: int) -> DataFrame:
@@ -207,12 +280,19 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return rows.join(_named(prints, threshold), "fingerprint_bits").select(F.col("__id").alias(id_col), "fingerprint_bits", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: int = 3) -> DataFrame:
-    """docs with one row of each component: the one with the smallest id, of equal ids any one, null ids last. All columns stay as they are."""
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs with one row of each component: the one with the smallest id, of equal ids any one, null ids last. All columns stay as they are.
+
+    Rows link when their fingerprints of three words say that their shingles' Jaccard similarity is `similarity` or more, see
+    similar_links. Null and wordless texts are one component.
+    """
     spot = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"))
-    rows, _ = written(with_fingerprint(docs.withColumns({"__spot": spot, "__body": F.col(text_col)}), "__body", [*docs.columns, "__spot"], shingle), "rows")
-    prints, _ = written(rows.groupBy("fingerprint_bits").agg(F.min("__spot").alias("least")), "classes")
-    first = _named(prints, threshold).select(F.col("component_id.row").alias("__row")).distinct()
+    rows, _ = written(with_fingerprint(docs.withColumns({"__spot": spot, "__body": F.col(text_col)}), "__body", [*docs.columns, "__spot"], shingle, tuple(f"__{w}" for w in WORDS)), "rows")
+    prints = rows.groupBy(*[F.col(f"__{w}").alias(w) for w in WORDS]).agg(F.min("__spot").alias("least"))
+    prints, _ = written(prints.withColumn("cid", F.monotonically_increasing_id()), "classes")
+    parts = connected_components(similar_links(prints, similarity, prints.count()))
+    classes = prints.select("cid", "least").join(parts.withColumnRenamed("node", "cid"), "cid", "left").select("least", F.coalesce("component", "cid").alias("root"))
+    first = classes.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.row").alias("__row"))
     return rows.withColumn("__row", F.col("__spot.row")).join(first, "__row", "left_semi").select(*docs.columns)
 
 
