@@ -137,6 +137,43 @@ def test_anchors_lose_no_link(spark, threshold, per_anchor, tile):
     assert (forest(len(prints), a, b) == classes(prints, threshold)).all()
 
 
+@pytest.mark.parametrize("told,tile", [(100, 16384), (1 << 21, 16384), (100, 40)])
+def test_segments_lose_no_link(spark, told, tile):
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 1 << 63, (60, 3), dtype=np.uint64)
+    near = base[rng.integers(0, 60, 400)]
+    for _ in range(24):
+        near = near ^ (np.uint64(1) << rng.integers(0, 64, (400, 3)).astype(np.uint64)) * (rng.random((400, 3)) < 0.35)
+    words = np.unique(np.concatenate([base, near, np.zeros((1, 3), np.uint64)]), axis=0)
+    first = words[:, 0]
+    share = np.zeros((len(words), len(words)), bool)
+    for segment in range(4):
+        piece = (first >> np.uint64(16 * segment)) & np.uint64(0xFFFF)
+        share |= np.bitwise_count(piece[:, None] ^ piece[None, :]) <= 1
+    apart = sum(np.bitwise_count(words[:, None, w] ^ words[None, :, w]).astype(int) for w in range(3))
+    from lodestone.llm.common import forest
+
+    want = forest(len(words), *np.nonzero(share & (apart <= simhash.most_bits(0.8))))
+    table = spark.createDataFrame([(i, *map(int, w)) for i, w in enumerate(words.view(np.int64))], "cid long, word0 long, word1 long, word2 long")
+    links = simhash.similar_links(table, 0.8, told, tile).collect()
+    got = forest(len(words), np.array([r["a"] for r in links]), np.array([r["b"] for r in links]))
+    assert (got == want).all() and 60 < len(set(want.tolist())) < len(words)
+
+
+def test_similarity_sets_the_bits():
+    assert simhash.most_bits(1.0) == 0 and simhash.most_bits(0.8) == 29
+    rng = np.random.default_rng(0)
+    near, far = 0, 0
+    for k in range(40):
+        w = [str(x).encode() for x in rng.integers(0, 10**6, 400)]
+        other = list(w)
+        other[100 + k] = b"changed"
+        a, b, c = simhash.fingerprints([b" ".join(w), b" ".join(other), b" ".join(w[::-1])], 5, count=3)
+        near += int(np.bitwise_count(a ^ b).sum()) <= 29
+        far += int(np.bitwise_count(a ^ c).sum()) <= 29
+    assert near == 40 and far == 0
+
+
 def test_keep_one(docs, empty):
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns and simhash.keep_one(empty).count() == 0
