@@ -315,7 +315,14 @@ once AS (SELECT DISTINCT text AS query_id, text FROM asked), {oracle.lexical('ll
 lr AS (SELECT 'lexical' AS mode, * FROM {oracle.order('SELECT * FROM ll')} UNION ALL SELECT 'fuzzy', * FROM {oracle.order('SELECT ll.* FROM ll JOIN lf USING (query_id, uuid)')}),
 lm AS (SELECT query_id, unnest(acceptable) AS uuid FROM truth WHERE label = 'match'),
 lh AS (SELECT m.mode, a.step, a.label, a.query_id, min(lr.rank) AS hit FROM asked a JOIN lm USING (query_id) CROSS JOIN (VALUES ('lexical'), ('fuzzy')) AS m(mode) LEFT JOIN lr ON lr.query_id = a.text AND lr.uuid = lm.uuid AND lr.mode = m.mode GROUP BY ALL),
-ladder AS (SELECT mode, step, label, round(avg(coalesce(1 / hit::DOUBLE, 0)), 6) AS mrr FROM lh GROUP BY mode, step, label)"""
+{oracle.semantic('lsa', False)}, {oracle.semantic('lsb', True)}, {oracle.fuse('lha', 'SELECT * FROM lex', 'SELECT * FROM lsa')}, {oracle.fuse('lhb', 'SELECT * FROM lex', 'SELECT * FROM lsb')},
+dr AS (SELECT 'semantic' AS mode, 0 AS state, query_id, uuid, rank FROM {oracle.order('SELECT * FROM lsa')} UNION ALL SELECT 'semantic', 1, query_id, uuid, rank FROM {oracle.order('SELECT * FROM lsb')}
+  UNION ALL SELECT 'hybrid', 0, query_id, uuid, rank FROM lha UNION ALL SELECT 'hybrid', 1, query_id, uuid, rank FROM lhb),
+dh AS (SELECT m.mode, m.state, lm.query_id, min(dr.rank) AS hit FROM lm CROSS JOIN (VALUES ('semantic', 0), ('semantic', 1), ('hybrid', 0), ('hybrid', 1)) AS m(mode, state)
+  LEFT JOIN dr ON dr.query_id = lm.query_id AND dr.uuid = lm.uuid AND dr.mode = m.mode AND dr.state = m.state GROUP BY ALL),
+dm AS (SELECT mode, state, round(avg(coalesce(1 / hit::DOUBLE, 0)), 6) AS mrr FROM dh GROUP BY mode, state),
+ladder AS (SELECT mode, step, label, round(avg(coalesce(1 / hit::DOUBLE, 0)), 6) AS mrr FROM lh GROUP BY mode, step, label
+  UNION ALL SELECT mode, step, label, mrr FROM dm JOIN (SELECT DISTINCT step, label, least(step, 1) AS state FROM asked) USING (state))"""
 
 
 @registered(over(LADDER, "SELECT mode, step, label, mrr, round(mrr - first_value(mrr) OVER (PARTITION BY mode ORDER BY step), 6) AS delta, round(mrr - lag(mrr) OVER (PARTITION BY mode ORDER BY step), 6) AS marginal FROM ladder"))
@@ -329,7 +336,7 @@ def ladder_best(r: Roles) -> DataFrame:
 
 
 @registered(over(LADDER + ", lg AS (SELECT *, round(mrr - lag(mrr) OVER (PARTITION BY mode ORDER BY step), 6) AS marginal FROM ladder WHERE mode <> 'fuzzy'), lv AS (SELECT step, label, round(avg(marginal), 6) AS mean_delta, count(*) FILTER (marginal > 0) AS positives FROM lg WHERE marginal IS NOT NULL GROUP BY step, label)",
-  "SELECT *, CASE WHEN label IN ('density', 'thermal_conductivity', 'host_types') THEN 'noise' WHEN mean_delta <= -0.015 THEN CASE WHEN label = 'categories' THEN 'hurts: too broad' ELSE 'hurts' END WHEN mean_delta >= 0.015 AND positives >= 1 THEN 'helps' ELSE 'neutral' END AS verdict FROM lv"))
+  "SELECT *, CASE WHEN label IN ('density', 'thermal_conductivity', 'host_types') THEN 'noise' WHEN mean_delta <= -0.015 THEN CASE WHEN label = 'categories' THEN 'hurts: too broad' ELSE 'hurts' END WHEN mean_delta >= 0.015 AND positives >= 2 THEN 'helps' ELSE 'neutral' END AS verdict FROM lv"))
 def step_verdict(r: Roles) -> DataFrame:
     return stats.step_verdicts(r.ladder(), noise=("density", "thermal_conductivity", "host_types"))
 

@@ -28,7 +28,7 @@ METHOD = [
 
 def sections(roles: Roles, settings: Settings | None = None) -> dict[str, DataFrame]:
     """One table for each section, in the order of the report; all but the queries have one row a mode, pair, bin or class."""
-    done = roles.evaluated().persist()
+    done = roles.evaluated()
     summary = metrics.mean_reciprocal_rank(done).select("mode", "mrr")
     chosen = [(k, str(v)) for k, v in vars(settings or Settings()).items()]
     return {

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import cache, reduce
+from functools import cache, cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,6 +45,11 @@ class Roles:
         text = F.when(F.col("uuid") % 20 == 0, typo).otherwise(F.col("name"))
         return self.items.where("uuid % 10 = 0").select(F.col("uuid").alias("query_id"), "name", "class", "brand", "size", "v", text.alias("text")).withColumn("enriched", F.concat_ws(" ", "text", "class"))
 
+    @cached_property
+    def asked(self) -> DataFrame:
+        """query_id, text, qc of all queries, counted once and marked for broadcast while they are few."""
+        return small(self.queries.select("query_id", "text", F.col("class").alias("qc")))
+
     @property
     def truth(self) -> DataFrame:
         """Corpus rows of the same name are acceptable, the first of them is correct; some queries are marked as skipped."""
@@ -66,13 +71,12 @@ class Roles:
         if not context:
             return scored
         classes = self.corpus.select("uuid", F.col("class").alias("c"))
-        asked = small(self.queries.select("query_id", F.col("class").alias("qc")))
         bonus = F.when(F.col("c") == F.col("qc"), CONTEXT_BONUS).otherwise(0.0)
-        return scored.join(classes, "uuid").join(asked, "query_id").select("query_id", "uuid", F.round(F.col("score") + bonus, 6).alias("score"))
+        return scored.join(classes, "uuid").join(self.asked, "query_id").select("query_id", "uuid", F.round(F.col("score") + bonus, 6).alias("score"))
 
     def logits(self, head: DataFrame) -> DataFrame:
         """Stand-in for a cross-encoder: trigram overlap of query and name. The service fails for some queries."""
-        named = head.select("query_id", "uuid").join(self.corpus.select("uuid", F.col("name").alias("item")), "uuid").join(small(self.queries.select("query_id", "text")), "query_id")
+        named = head.select("query_id", "uuid").join(self.corpus.select("uuid", F.col("name").alias("item")), "uuid").join(self.asked, "query_id")
         x, y = trigrams(F.col("text")), trigrams(F.col("item"))
         logit = F.round(4.0 * F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y)) - 2.0, 6)
         return named.where("query_id % 130 <> 0").select("query_id", "uuid", logit.alias("logit"))
@@ -110,8 +114,9 @@ class Roles:
     def all_modes(self, modes: tuple[str, ...] = MODES, context: bool = False) -> DataFrame:
         return reduce(DataFrame.unionByName, [self.mode(m, context).withColumn("mode", F.lit(m)) for m in modes])
 
+    @cache  # noqa: B019  one row a mode and query, from which every metric is read
     def evaluated(self, modes: tuple[str, ...] = MODES, context: bool = False) -> DataFrame:
-        return metrics.per_query(self.all_modes(modes, context), self.truth, list(modes))
+        return metrics.per_query(self.all_modes(modes, context), self.truth, list(modes)).persist()
 
     # vectors alone: the minimal slice
 
@@ -128,8 +133,13 @@ class Roles:
         with_label = scored.join(small(self.vector_queries.select("query_id", F.col("cluster").alias("ql"))), "query_id")
         return with_label.join(self.vector_corpus.select("uuid", "cluster"), "uuid")
 
+    @cache  # noqa: B019
     def ladder(self) -> DataFrame:
-        """mode, step, label, mrr of cumulative field sets. Each different enriched text is scored once and joined back."""
+        """mode, step, label, mrr of cumulative field sets, over match entries that have acceptable rows.
+
+        Each different enriched text is scored once and joined back. The dense legs have two states, without and with context, which
+        all steps after the first share; the fused mode takes the bare name's scores over the full corpus.
+        """
         steps = [("name", []), ("class", ["class"]), ("description", ["class", "brand"]), ("density", ["class", "brand", "size"])]
         texts = [self.queries.select("query_id", F.lit(i).alias("step"), F.lit(label).alias("label"), F.concat_ws(" ", "text", *[F.col(f).cast("string") for f in fields]).alias("text")) for i, (label, fields) in enumerate(steps)]
         asked = reduce(DataFrame.unionByName, texts)
@@ -142,4 +152,11 @@ class Roles:
         for mode, rows in by_mode.items():
             hits = wanted.join(rows.select(F.col("query_id").alias("text"), "uuid", "rank"), ["text", "uuid"], "left").groupBy("step", "label", "query_id").agg(F.min("rank").alias("hit"))
             out.append(hits.groupBy("step", "label").agg(F.round(F.avg(F.coalesce(1.0 / F.col("hit"), F.lit(0.0))), 6).alias("mrr")).withColumn("mode", F.lit(mode)))
-        return reduce(DataFrame.unionByName, out).select("mode", "step", "label", "mrr")
+        for mode in ("semantic", "hybrid"):
+            for state in (False, True):
+                rows = self.semantic_ranks(True) if mode == "semantic" and state else self.semantic_ranks() if mode == "semantic" else self.hybrid(state, symmetric=True)
+                hits = marks.join(rows.select("query_id", "uuid", "rank"), ["query_id", "uuid"], "left").groupBy("query_id").agg(F.min("rank").alias("hit"))
+                mean = hits.agg(F.round(F.avg(F.coalesce(1.0 / F.col("hit"), F.lit(0.0))), 6).alias("mrr")).withColumn("mode", F.lit(mode))
+                mine = [F.struct(F.lit(i).alias("step"), F.lit(label).alias("label")) for i, (label, _) in enumerate(steps) if (i > 0) == state]
+                out.append(mean.select("mode", "mrr", F.explode(F.array(*mine)).alias("s")).select("mode", "s.step", "s.label", "mrr"))
+        return reduce(DataFrame.unionByName, out).select("mode", "step", "label", "mrr").persist()
