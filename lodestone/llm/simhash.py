@@ -27,29 +27,36 @@ def _mixed(hashes: np.ndarray, word: int) -> np.ndarray:
     return h ^ (h >> U64(31))
 
 
-def fingerprints(texts: list[bytes], shingle: int, seed: int = 42, count: int = 1) -> np.ndarray:
-    """`count` fingerprint words of each text, a column each: a bit is set where over half of its word-shingle hashes have it."""
+def shingle_hashes(texts: list[bytes], shingle: int, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
+    """(XXH64 of all texts' word-shingles in order, repeats included; their number in each text)."""
     lists = [t.lower().split() for t in texts]  # bytes: only A-Z change, only ASCII white space parts words
     buffer = b"\n".join(b" ".join(x) for x in lists)
     words = np.fromiter(map(len, lists), np.int64, len(lists))
-    out = np.zeros((len(lists), count), U64)
+    number = np.maximum(words - shingle + 1, np.minimum(words, 1))
     if not words.sum():
-        return out
+        return np.zeros(0, U64), number
     flat = np.fromiter((len(w) for x in lists for w in x), np.int64, int(words.sum()))
     # a word takes its length and one separator; an empty text leaves a lone separator
     owner = np.repeat(np.arange(len(lists)), words)
     empties = np.cumsum(words == 0)
     starts = np.concatenate(([0], np.cumsum(flat + 1)[:-1])) + empties[owner]
     first = np.concatenate(([0], np.cumsum(words)[:-1]))
-    number = np.maximum(words - shingle + 1, np.minimum(words, 1))
     head = np.repeat(first, number) + (np.arange(int(number.sum())) - np.repeat(np.cumsum(number) - number, number))
     doc = np.repeat(np.arange(len(lists)), number)
     tail = head + np.minimum(shingle, words)[doc] - 1
     begin = starts[head]
-    hashes = xxh64_spans(buffer, begin, starts[tail] + flat[tail] - begin, seed)
+    return xxh64_spans(buffer, begin, starts[tail] + flat[tail] - begin, seed), number
+
+
+def fingerprints(texts: list[bytes], shingle: int, seed: int = 42, count: int = 1) -> np.ndarray:
+    """`count` fingerprint words of each text, a column each: a bit is set where over half of its word-shingle hashes have it."""
+    hashes, number = shingle_hashes(texts, shingle, seed)
+    out = np.zeros((len(texts), count), U64)
+    if not len(hashes):
+        return out
     # counts of set bits: eight byte lanes at a time, at most 255 rows before the lanes are widened
     runs = -(-number // 255)
-    run_doc = np.repeat(np.arange(len(lists)), runs)
+    run_doc = np.repeat(np.arange(len(texts)), runs)
     run_at = (np.cumsum(number) - number)[run_doc] + 255 * (np.arange(int(runs.sum())) - np.repeat(np.cumsum(runs) - runs, runs))
     full = np.flatnonzero(runs)
     at = (np.cumsum(runs) - runs)[full]
@@ -64,6 +71,18 @@ def fingerprints(texts: list[bytes], shingle: int, seed: int = 42, count: int =
     return out
 
 
+def jaccard(left: list[bytes], right: list[bytes], shingle: int) -> np.ndarray:
+    """Jaccard similarity of the shingle sets of each pair of whole texts; 1 for two wordless texts."""
+    hashes, number = shingle_hashes([*left, *right], shingle)
+    sets = [np.unique(x) for x in np.split(hashes, np.cumsum(number)[:-1])]
+    out = np.ones(len(left))
+    for i, (a, b) in enumerate(zip(sets, sets[len(left) :])):
+        if len(a) or len(b):
+            both = len(np.intersect1d(a, b, assume_unique=True))
+            out[i] = both / (len(a) + len(b) - both)
+    return out
+
+
 def with_fingerprint(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None, shingle: int = 3, words: tuple[str, ...] = ("fingerprint_bits",)) -> DataFrame:
     """Rows of keep plus the fingerprint's words (signed longs); a null or wordless text gets zero."""
     names = list(keep or [])
@@ -132,6 +151,37 @@ def _tile_links(n: int, home: np.ndarray, near: Callable[[np.ndarray], tuple[np.
     return moved, root[moved]
 
 
+def nearest_forest(n: int, a: np.ndarray, b: np.ndarray, distance: np.ndarray) -> np.ndarray:
+    """Positions of pairs that form a spanning forest with the least distances: every component takes its nearest way out, until none is left."""
+    order = np.argsort(distance, kind="stable")
+    x, y, root = a[order], b[order], np.arange(n)
+    live, taken = np.arange(len(x)), [np.zeros(0, np.int64)]
+    while True:
+        live = live[root[x[live]] != root[y[live]]]
+        if not len(live):
+            return order[np.concatenate(taken)]
+        best = np.full((2, n), len(x))
+        for side, end in zip(best, (x, y)):
+            side[root[end[live[::-1]]]] = live[::-1]  # the last one written is the nearest
+        pick = np.unique(best.min(axis=0))
+        pick = pick[pick < len(x)]
+        taken.append(pick)
+        root = forest(n, np.concatenate([np.arange(n), x[pick]]), np.concatenate([root, y[pick]]))
+
+
+def _tile_pairs(n: int, home: np.ndarray, near: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest spanning forest's own pairs, of the pairs (a, b, distance) that near gives for blocks of home rows."""
+    here, step = np.flatnonzero(home), max(1, (1 << 21) // max(1, n))
+    held = tuple(np.zeros(0, np.int64) for _ in range(3))
+    for k in range(0, len(here), step):
+        found = near(here[k : k + step])
+        if len(found[0]):
+            every = tuple(np.concatenate(x) for x in zip(held, found))
+            pick = nearest_forest(n, *every)
+            held = tuple(x[pick] for x in every)
+    return held[0], held[1]
+
+
 def _tiles(spread: DataFrame, salt: str, tile_rows: int) -> DataFrame:
     """spread (anchor, home, ...) with the tile (h, v) of each row, dealt by anchor and tile.
 
@@ -214,52 +264,70 @@ def fingerprint_links(prints: DataFrame, threshold: int, n: int, per_anchor: int
     return _linked(_tiles(spread, "bits", tile_rows), close)
 
 
-WORDS = ("word0", "word1", "word2")
-SEGMENT, SEGMENTS, SEGMENT_BITS = 16, 4, 1
+WORDS = ("word0", "word1")
+SEGMENT, SEGMENT_BITS = 16, 1
+PER_WORD = BITS // SEGMENT
 
 
 def most_bits(similarity: float, bits: int = BITS * len(WORDS)) -> int:
-    """Differing bits up to which two sets of equal size are estimated to have this Jaccard similarity or more."""
-    return int(bits * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    """Differing bits that two sets of equal size and this Jaccard similarity stay within: the expected number and three standard deviations."""
+    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(bits * p + 3 * np.sqrt(bits * p * (1 - p)))
 
 
 def similar_links(prints: DataFrame, similarity: float, n: int, tile_rows: int = 16384) -> DataFrame:
-    """Links (a, b) that connect the same classes as all pairs do that agree in a segment and whose words agree enough.
+    """Pairs (a, b), a < b, that may have this similarity; they connect the same rows as all pairs do that agree in a segment and whose words agree enough.
 
-    prints: cid and WORDS, distinct. The first word has SEGMENTS segments of SEGMENT bits; a pair is compared if one of them differs in at most
-    SEGMENT_BITS bits, which any pair does whose first words differ in at most 7, and it links if all words together differ in
-    at most most_bits(similarity). Each segment has a covering code of its own as anchors; the width of the code's blocks follows
-    the number of fingerprints and does not change the result.
+    prints: cid and WORDS. Every word has PER_WORD segments of SEGMENT bits; a pair is compared if one segment differs in at most
+    SEGMENT_BITS bits, which is sure if either word differs in at most 7, and it is given if all words together differ in at most
+    most_bits(similarity). Each segment has a covering code of its own as anchors; the width of the code's blocks follows
+    the number of fingerprints and does not change what is connected. A tile gives the pairs of its nearest spanning forest only.
     """
     widths, most = ([2] * 8 if n <= 1 << 20 else [1] * 16), most_bits(similarity)
 
+    def piece(words: list[np.ndarray], segment: int) -> np.ndarray:
+        return (words[segment // PER_WORD] >> U64(SEGMENT * (segment % PER_WORD))) & U64((1 << SEGMENT) - 1)
+
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 1 << 14):
                 part = batch.slice(k, 1 << 14)
-                first = part.column(1).to_numpy(zero_copy_only=False).view(U64)
-                for segment in range(SEGMENTS):
-                    row, code, home = anchors((first >> U64(SEGMENT * segment)) & U64((1 << SEGMENT) - 1), widths, SEGMENT_BITS)
-                    yield pa.RecordBatch.from_arrays([pa.array(code + (segment << SEGMENT)), pa.array(home), *part.take(pa.array(row)).columns], names=["anchor", "home", "cid", *WORDS])
+                words = [part.column(1 + i).to_numpy(zero_copy_only=False).view(U64) for i in range(len(WORDS))]
+                for segment in range(PER_WORD * len(WORDS)):
+                    row, code, home = anchors(piece(words, segment), widths, SEGMENT_BITS)
+                    yield pa.RecordBatch.from_arrays([pa.array((code + (segment << SEGMENT)).astype(np.int32)), pa.array(home), *part.take(pa.array(row)).columns], names=["anchor", "home", "cid", *WORDS])
 
     def close(anchor: int, columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         home, cid, *words = columns
         words = [w.view(U64) for w in words]
-        piece = ((words[0] >> U64(SEGMENT * (anchor >> SEGMENT))) & U64((1 << SEGMENT) - 1)).astype(np.uint16)
+        mine = piece(words, anchor >> SEGMENT).astype(np.uint16)
 
-        def near(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            x, y = np.nonzero(np.bitwise_count(piece[rows][:, None] ^ piece[None, :]) <= SEGMENT_BITS)
+        def near(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            x, y = np.nonzero(np.bitwise_count(mine[rows][:, None] ^ mine[None, :]) <= SEGMENT_BITS)
             x = rows[x]
-            hit = sum(np.bitwise_count(w[x] ^ w[y]).astype(np.int64) for w in words) <= most
-            return x[hit], y[hit]
+            apart = sum(np.bitwise_count(w[x] ^ w[y]).astype(np.int64) for w in words)
+            hit = apart <= most
+            return x[hit], y[hit], apart[hit]
 
-        a, b = _tile_links(len(cid), home, near)
-        return cid[a], cid[b]
+        a, b = _tile_pairs(len(cid), home, near)
+        return np.minimum(cid[a], cid[b]), np.maximum(cid[a], cid[b])
 
-    spread = prints.select("cid", *WORDS).mapInArrow(replicate, f"anchor long, home boolean, cid long, {', '.join(w + ' long' for w in WORDS)}")
+    spread = prints.select("cid", *WORDS).mapInArrow(replicate, f"anchor int, home boolean, cid long, {', '.join(w + ' long' for w in WORDS)}")
     return _linked(_tiles(spread, "cid", tile_rows), close)
 
 
+def verified(pairs: DataFrame, texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """Those of pairs (a, b) whose whole texts' shingle sets have this Jaccard similarity or more; texts: cid, text."""
+    both = pairs.join(texts.selectExpr("cid as a", "text as one"), "a").join(texts.selectExpr("cid as b", "text as other"), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "one", 2 << 20):
+            hit = pa.array(jaccard(encoded(part.column(2)), encoded(part.column(3)), shingle) >= similarity)
+            yield pa.RecordBatch.from_arrays([part.column(i).filter(hit) for i in range(2)], names=["a", "b"])
+
+    return both.select("a", "b", "one", "other").mapInArrow(run, "a long, b long")
+
+
 def _named(prints: DataFrame, threshold: int) -> DataFrame:
     """Rows (fingerprint_bits, component_id) from distinct fingerprints with the least id of each."""
     parts = connected_components(fingerprint_links(prints, threshold, prints.count()))
@@ -283,14 +351,19 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs with one row of each component: the one with the smallest id, of equal ids any one, null ids last. All columns stay as they are.
 
-    Rows link when their fingerprints of three words say that their shingles' Jaccard similarity is `similarity` or more, see
-    similar_links. Null and wordless texts are one component.
+    Rows link when their sets of word-shingles have a Jaccard similarity of `similarity` or more. Fingerprints of two words
+    propose the pairs, see similar_links, and each proposed pair is verified on both whole texts, so no row goes without a similar one.
+    Equal texts are compared once. Null and wordless texts are one component.
     """
     spot = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"))
-    rows, _ = written(with_fingerprint(docs.withColumns({"__spot": spot, "__body": F.col(text_col)}), "__body", [*docs.columns, "__spot"], shingle, tuple(f"__{w}" for w in WORDS)), "rows")
-    prints = rows.groupBy(*[F.col(f"__{w}").alias(w) for w in WORDS]).agg(F.min("__spot").alias("least"))
+    held = docs.withColumns({"__spot": spot, "__body": F.col(text_col), "__same": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
+    rows, _ = written(with_fingerprint(held, "__body", [*docs.columns, "__spot", "__same"], shingle, tuple(f"__{w}" for w in WORDS)), "rows")
+    prints = rows.groupBy("__same", *[F.col(f"__{w}").alias(w) for w in WORDS]).agg(F.min("__spot").alias("least")).drop("__same")
     prints, _ = written(prints.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    parts = connected_components(similar_links(prints, similarity, prints.count()))
+    pairs, _ = written(similar_links(prints, similarity, prints.count()), "pairs")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(prints.select("cid", F.col("least.row").alias("__row")), "cid")
+    texts, _ = written(rows.select(F.col("__spot.row").alias("__row"), F.col(text_col).alias("text")).join(ends, "__row").select("cid", "text"), "texts")
+    parts = connected_components(verified(pairs, texts, similarity, shingle))
     classes = prints.select("cid", "least").join(parts.withColumnRenamed("node", "cid"), "cid", "left").select("least", F.coalesce("component", "cid").alias("root"))
     first = classes.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.row").alias("__row"))
     return rows.withColumn("__row", F.col("__spot.row")).join(first, "__row", "left_semi").select(*docs.columns)

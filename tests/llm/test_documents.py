@@ -140,38 +140,71 @@ def test_anchors_lose_no_link(spark, threshold, per_anchor, tile):
 @pytest.mark.parametrize("told,tile", [(100, 16384), (1 << 21, 16384), (100, 40)])
 def test_segments_lose_no_link(spark, told, tile):
     rng = np.random.default_rng(9)
-    base = rng.integers(0, 1 << 63, (60, 3), dtype=np.uint64)
+    base = rng.integers(0, 1 << 63, (60, 2), dtype=np.uint64)
     near = base[rng.integers(0, 60, 400)]
     for _ in range(24):
-        near = near ^ (np.uint64(1) << rng.integers(0, 64, (400, 3)).astype(np.uint64)) * (rng.random((400, 3)) < 0.35)
-    words = np.unique(np.concatenate([base, near, np.zeros((1, 3), np.uint64)]), axis=0)
-    first = words[:, 0]
+        near = near ^ (np.uint64(1) << rng.integers(0, 64, (400, 2)).astype(np.uint64)) * (rng.random((400, 2)) < 0.35)
+    words = np.unique(np.concatenate([base, near, np.zeros((1, 2), np.uint64)]), axis=0)
     share = np.zeros((len(words), len(words)), bool)
-    for segment in range(4):
-        piece = (first >> np.uint64(16 * segment)) & np.uint64(0xFFFF)
-        share |= np.bitwise_count(piece[:, None] ^ piece[None, :]) <= 1
-    apart = sum(np.bitwise_count(words[:, None, w] ^ words[None, :, w]).astype(int) for w in range(3))
+    for word in range(2):
+        for segment in range(4):
+            piece = (words[:, word] >> np.uint64(16 * segment)) & np.uint64(0xFFFF)
+            share |= np.bitwise_count(piece[:, None] ^ piece[None, :]) <= 1
+    apart = sum(np.bitwise_count(words[:, None, w] ^ words[None, :, w]).astype(int) for w in range(2))
     from lodestone.llm.common import forest
 
-    want = forest(len(words), *np.nonzero(share & (apart <= simhash.most_bits(0.8))))
-    table = spark.createDataFrame([(i, *map(int, w)) for i, w in enumerate(words.view(np.int64))], "cid long, word0 long, word1 long, word2 long")
+    linked = share & (apart <= simhash.most_bits(0.8))
+    want = forest(len(words), *np.nonzero(linked))
+    table = spark.createDataFrame([(i, *map(int, w)) for i, w in enumerate(words.view(np.int64))], "cid long, word0 long, word1 long")
     links = simhash.similar_links(table, 0.8, told, tile).collect()
-    got = forest(len(words), np.array([r["a"] for r in links]), np.array([r["b"] for r in links]))
-    assert (got == want).all() and 60 < len(set(want.tolist())) < len(words)
+    a, b = np.array([r["a"] for r in links]), np.array([r["b"] for r in links])
+    assert (forest(len(words), a, b) == want).all() and 60 < len(set(want.tolist())) < len(words)
+    assert linked[a, b].all() and (a < b).all()
+
+
+def test_a_dense_tile_gives_a_forest_only():
+    every = np.arange(3000)
+    a, b = simhash._tile_pairs(3000, every >= 0, lambda rows: (np.repeat(rows, 3000), np.tile(every, len(rows)), np.full(3000 * len(rows), 4)))
+    assert len(a) == 2999
+
+
+def test_nearest_forest_takes_the_least_distances():
+    rng = np.random.default_rng(2)
+    a, b, d = rng.integers(0, 50, 400), rng.integers(0, 50, 400), rng.integers(0, 30, 400)
+    root, want = list(range(50)), []
+    for i in sorted(range(400), key=lambda i: d[i]):
+        x, y = root[a[i]], root[b[i]]
+        if x != y:
+            want.append(d[i])
+            root = [x if r == y else r for r in root]
+    got = simhash.nearest_forest(50, a, b, d)
+    assert sorted(d[got]) == want and len(got) == 49
+    assert not len(simhash.nearest_forest(5, a[:0], b[:0], d[:0]))
 
 
 def test_similarity_sets_the_bits():
-    assert simhash.most_bits(1.0) == 0 and simhash.most_bits(0.8) == 29
-    rng = np.random.default_rng(0)
-    near, far = 0, 0
-    for k in range(40):
-        w = [str(x).encode() for x in rng.integers(0, 10**6, 400)]
-        other = list(w)
-        other[100 + k] = b"changed"
-        a, b, c = simhash.fingerprints([b" ".join(w), b" ".join(other), b" ".join(w[::-1])], 5, count=3)
-        near += int(np.bitwise_count(a ^ b).sum()) <= 29
-        far += int(np.bitwise_count(a ^ c).sum()) <= 29
-    assert near == 40 and far == 0
+    assert simhash.most_bits(1.0) == 0 and simhash.most_bits(0.8) == 31
+    got = simhash.jaccard([b"a b c d e f", b"", b"A  b", b"x"], [b"a b c d e g", b" ", b"a b", b"y"], 5)
+    assert got.tolist() == [1 / 3, 1.0, 1.0, 0.0]
+
+
+def test_keep_one_against_all_pairs(spark):
+    """Copies with more and more changed words: just those with a true similarity of 0.8 or more go, whatever repeats dominate their fingerprints."""
+    rng = np.random.default_rng(4)
+    rows, told = [], 0
+    for k in range(60):
+        words = [f"w{x}" for x in rng.integers(0, 10**6, 300)]
+        other = list(words)
+        for at in range(5, 5 + 12 * (k % 10), 12):
+            other[at] = "changed"
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+    rows += [(1000 + k, "the same line again and again " * 200 + " ".join(f"v{x}" for x in rng.integers(0, 10**6, 40))) for k in range(5)]
+    kept = {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k in range(60):
+        true = simhash.jaccard([rows[2 * k][1].encode()], [rows[2 * k + 1][1].encode()], 5)[0]
+        assert 2 * k in kept and (true >= 0.8 or 2 * k + 1 in kept)
+        told += (true >= 0.8) != (2 * k + 1 not in kept)
+    assert told <= 2 and {1000 + k for k in range(5)} <= kept
 
 
 def test_keep_one(docs, empty):
