@@ -284,6 +284,7 @@ def similar_links(prints: DataFrame, similarity: float, n: int, tile_rows: int =
     the number of fingerprints and does not change what is connected. A tile gives the pairs of its nearest spanning forest only.
     """
     widths, most = ([2] * 8 if n <= 1 << 20 else [1] * 16), most_bits(similarity)
+    flips = np.array([m for m in range(1 << SEGMENT) if m.bit_count() <= SEGMENT_BITS])
 
     def piece(words: list[np.ndarray], segment: int) -> np.ndarray:
         return (words[segment // PER_WORD] >> U64(SEGMENT * (segment % PER_WORD))) & U64((1 << SEGMENT) - 1)
@@ -300,11 +301,17 @@ def similar_links(prints: DataFrame, similarity: float, n: int, tile_rows: int =
     def close(anchor: int, columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         home, cid, *words = columns
         words = [w.view(U64) for w in words]
-        mine = piece(words, anchor >> SEGMENT).astype(np.uint16)
+        mine = piece(words, anchor >> SEGMENT).astype(np.int64)
+        order = np.argsort(mine, kind="stable")
+        sorted_mine = mine[order]
 
         def near(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            x, y = np.nonzero(np.bitwise_count(mine[rows][:, None] ^ mine[None, :]) <= SEGMENT_BITS)
-            x = rows[x]
+            # the segments within reach of a row's are few, so their rows are looked up instead of met one by one
+            wanted = (mine[rows][:, None] ^ flips[None, :]).ravel()
+            begin = np.searchsorted(sorted_mine, wanted)
+            number = np.searchsorted(sorted_mine, wanted, side="right") - begin
+            x = np.repeat(np.repeat(rows, len(flips)), number)
+            y = order[np.repeat(begin, number) + np.arange(len(x)) - np.repeat(np.cumsum(number) - number, number)]
             apart = sum(np.bitwise_count(w[x] ^ w[y]).astype(np.int64) for w in words)
             hit = apart <= most
             return x[hit], y[hit], apart[hit]
