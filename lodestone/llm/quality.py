@@ -105,7 +105,7 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 
 
 def pooled(texts: list[bytes], vectors: np.ndarray) -> np.ndarray:
-    """Mean vector of each text's words, then the share of words that repeat the one before and the logarithm of their number; zeros for a wordless text."""
+    """Mean vector of each text's words, then the share of words that repeat one of the two before and the logarithm of their number; zeros for a wordless text."""
     bucket, doc = word_buckets(texts)
     wide = vectors.shape[1]
     out = np.zeros((len(texts), wide + EXTRA), np.float32)
@@ -114,7 +114,9 @@ def pooled(texts: list[bytes], vectors: np.ndarray) -> np.ndarray:
         some = doc[k : k + (1 << 15)]
         heads = np.flatnonzero(np.diff(some, prepend=-1))
         out[some[heads], :wide] += np.add.reduceat(vectors[bucket[k : k + (1 << 15)]], heads, axis=0)
-    again = np.flatnonzero((bucket[1:] == bucket[:-1]) & (doc[1:] == doc[:-1]))
+    again = np.zeros(len(bucket), bool)
+    for step in (1, 2):  # a sign may stand between a word and its repeat
+        again[step:] |= (bucket[step:] == bucket[:-step]) & (doc[step:] == doc[:-step])
     out[:, wide] = np.bincount(doc[again], minlength=len(texts))
     out[:, :-1] /= np.maximum(number, 1)[:, None]
     out[:, -1] = np.log1p(number) / 10
