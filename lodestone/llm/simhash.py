@@ -335,6 +335,54 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float, shingle: int
     return both.select("a", "b", "one", "other").mapInArrow(run, "a long, b long")
 
 
+TILE_TEXTS = 1024
+
+
+def across_links(pairs: DataFrame, roots: DataFrame, texts: DataFrame, similarity: float, shingle: int, tile_texts: int = TILE_TEXTS) -> DataFrame:
+    """Links (a, b) between roots: they connect all roots of a proposed group that have texts of this similarity.
+
+    pairs are the proposed (a, b), roots (cid, root) what the verified among them connect. Where proposed pairs lead from one root to another, a
+    pair left out of a forest may still hold, so all rows of such a group meet each other on their whole texts, in tiles of at
+    most two blocks of about tile_texts rows. A tile counts common shingles by looking them up, skips rows of one root, and gives a forest's links.
+    """
+    ends = pairs.join(roots.selectExpr("cid as a", "root as one"), "a").join(roots.selectExpr("cid as b", "root as other"), "b")
+    groups = connected_components(ends.where("one <> other").selectExpr("one as a", "other as b"))
+    rows, _ = written(roots.join(groups.selectExpr("node as root", "component as anchor"), "root"), "open")
+    blocks = rows.groupBy("anchor").agg(F.ceil(F.count("*") / tile_texts).cast("int").alias("blocks"))
+    placed = rows.join(blocks, "anchor").withColumn("spot", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")).join(texts, "cid")
+    met = placed.select("anchor", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("k"), "spot", "root", "text")
+    tiles = met.select("anchor", F.least("spot", "k").alias("h"), F.greatest("spot", "k").alias("v"), "spot", "root", "text")
+
+    def close(_: int, columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        spot, root, bodies = columns
+        hashes, number = shingle_hashes([(t or "").encode() for t in bodies], shingle)
+        sets = [np.unique(x) for x in np.split(hashes, np.cumsum(number)[:-1])]
+        sizes = np.array([len(x) for x in sets])
+        _, name = np.unique(np.concatenate(sets), return_inverse=True)
+        holder = np.repeat(np.arange(len(sets)), sizes)[np.argsort(name, kind="stable")]
+        many = np.bincount(name)
+        first, at = np.cumsum(many) - many, np.cumsum(sizes) - sizes
+        _, group = np.unique(root, return_inverse=True)
+        a, b = [], []
+        two = spot.min() != spot.max()
+        for i in np.flatnonzero(spot == spot[0]) if two else range(len(sets)):
+            open_ = (group != group[i]) & ((spot != spot[i]) | (not two))
+            if not open_.any():
+                continue
+            mine = name[at[i] : at[i] + sizes[i]]
+            n = many[mine]
+            both = np.bincount(holder[np.repeat(first[mine] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))], minlength=len(sets))
+            either = sizes[i] + sizes - both
+            hit = np.flatnonzero(open_ & (np.where(either > 0, both / np.maximum(either, 1), 1.0) >= similarity))
+            found, one = np.unique(group[hit], return_index=True)
+            a += [root[i]] * len(found)
+            b += root[hit[one]].tolist()
+            group[np.isin(group, found)] = group[i]
+        return np.array(a, np.int64), np.array(b, np.int64)
+
+    return _linked(tiles.repartition("anchor", "h", "v").sortWithinPartitions("anchor", "h", "v"), close)
+
+
 def _named(prints: DataFrame, threshold: int) -> DataFrame:
     """Rows (fingerprint_bits, component_id) from distinct fingerprints with the least id of each."""
     parts = connected_components(fingerprint_links(prints, threshold, prints.count()))
@@ -359,7 +407,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     """docs with one row of each component: the one with the smallest id, of equal ids any one, null ids last. All columns stay as they are.
 
     Rows link when their sets of word-shingles have a Jaccard similarity of `similarity` or more. Fingerprints of two words
-    propose the pairs, see similar_links, and each proposed pair is verified on both whole texts, so no row goes without a similar one.
+    propose the pairs, see similar_links, and each pair of their forests is verified on both whole texts, so no row goes without a similar one.
+    Where one fails, all rows of its proposed group meet, see across_links, so no proposed pair stays untested.
     Equal texts are compared once. Null and wordless texts are one component.
     """
     spot = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"))
@@ -371,7 +420,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     ends = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(prints.select("cid", F.col("least.row").alias("__row")), "cid")
     texts, _ = written(rows.select(F.col("__spot.row").alias("__row"), F.col(text_col).alias("text")).join(ends, "__row").select("cid", "text"), "texts")
     parts = connected_components(verified(pairs, texts, similarity, shingle))
-    classes = prints.select("cid", "least").join(parts.withColumnRenamed("node", "cid"), "cid", "left").select("least", F.coalesce("component", "cid").alias("root"))
+    roots, _ = written(texts.select("cid").join(parts.withColumnRenamed("node", "cid"), "cid", "left").select("cid", F.coalesce("component", "cid").alias("root")), "roots")
+    joint = connected_components(across_links(pairs, roots, texts, similarity, shingle)).withColumnRenamed("node", "root")
+    named = roots.join(joint, "root", "left").select("cid", F.coalesce("component", "root").alias("root"))
+    classes = prints.select("cid", "least").join(named, "cid", "left").select("least", F.coalesce("root", "cid").alias("root"))
     first = classes.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.row").alias("__row"))
     return rows.withColumn("__row", F.col("__spot.row")).join(first, "__row", "left_semi").select(*docs.columns)
 

@@ -207,6 +207,48 @@ def test_keep_one_against_all_pairs(spark):
     assert told <= 2 and {1000 + k for k in range(5)} <= kept
 
 
+def edits(rng, number, least, most):
+    """Texts of 400 words that differ from one text in least to most of them."""
+    base = [f"w{x}" for x in rng.integers(0, 10**6, 400)]
+    out = []
+    for _ in range(number):
+        words = list(base)
+        for at in rng.choice(400, rng.integers(least, most + 1), replace=False):
+            words[at] = f"e{rng.integers(0, 10**6)}"
+        out.append(" ".join(words))
+    return out
+
+
+def all_pairs(texts, similarity):
+    from lodestone.llm.common import forest
+
+    a, b = np.triu_indices(len(texts), 1)
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    hit = np.array([len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= similarity for i, j in zip(a, b)])
+    return forest(len(texts), a[hit], b[hit])
+
+
+def test_a_family_of_edits_keeps_one_of_each_true_component(spark):
+    """Pairs near 0.8, where fingerprint distances say little: the nearest pairs fail, those behind them must be tried."""
+    texts = edits(np.random.default_rng(5), 300, 4, 8)
+    want = all_pairs(texts, 0.8)
+    kept = {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    exact = len(set(want.tolist()))
+    assert exact <= len(kept) <= exact + 2 and {want[i] for i in kept} == set(want.tolist())
+
+
+@pytest.mark.parametrize("tile", [1024, 50])
+def test_rows_of_an_open_group_all_meet(spark, tile):
+    texts = [*edits(np.random.default_rng(6), 150, 4, 8), "", " "]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "cid long, text string")
+    pairs = spark.createDataFrame([(0, i) for i in range(1, len(texts))], "a long, b long")
+    got = simhash.across_links(pairs, rows.selectExpr("cid", "cid as root"), rows, 0.8, 5, tile).collect()
+    from lodestone.llm.common import forest
+
+    want = all_pairs(texts[:150], 0.8).tolist() + [150, 150]
+    assert forest(len(texts), np.array([r["a"] for r in got]), np.array([r["b"] for r in got])).tolist() == want
+
+
 def test_keep_one(docs, empty):
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns and simhash.keep_one(empty).count() == 0
