@@ -48,9 +48,19 @@ def shingle_hashes(texts: list[bytes], shingle: int, seed: int = 42) -> tuple[np
     return xxh64_spans(buffer, begin, starts[tail] + flat[tail] - begin, seed), number
 
 
-def fingerprints(texts: list[bytes], shingle: int, seed: int = 42, count: int = 1) -> np.ndarray:
-    """`count` fingerprint words of each text, a column each: a bit is set where over half of its word-shingle hashes have it."""
+def shingle_sets(texts: list[bytes], shingle: int, seed: int = 42) -> list[np.ndarray]:
+    """The distinct shingle hashes of each text, sorted."""
     hashes, number = shingle_hashes(texts, shingle, seed)
+    return [np.unique(x) for x in np.split(hashes, np.cumsum(number)[:-1])]
+
+
+def fingerprints(texts: list[bytes], shingle: int, seed: int = 42, count: int = 1, distinct: bool = False) -> np.ndarray:
+    """`count` fingerprint words of each text, a column each: a bit is set where over half of its word-shingle hashes have it, repeats included unless distinct."""
+    if distinct and texts:
+        sets = shingle_sets(texts, shingle, seed)
+        hashes, number = np.concatenate(sets), np.fromiter(map(len, sets), np.int64, len(sets))
+    else:
+        hashes, number = shingle_hashes(texts, shingle, seed)
     out = np.zeros((len(texts), count), U64)
     if not len(hashes):
         return out
@@ -73,8 +83,7 @@ def fingerprints(texts: list[bytes], shingle: int, seed: int = 42, count: int =
 
 def jaccard(left: list[bytes], right: list[bytes], shingle: int) -> np.ndarray:
     """Jaccard similarity of the shingle sets of each pair of whole texts; 1 for two wordless texts."""
-    hashes, number = shingle_hashes([*left, *right], shingle)
-    sets = [np.unique(x) for x in np.split(hashes, np.cumsum(number)[:-1])]
+    sets = shingle_sets([*left, *right], shingle)
     out = np.ones(len(left))
     for i, (a, b) in enumerate(zip(sets, sets[len(left) :])):
         if len(a) or len(b):
@@ -83,14 +92,14 @@ def jaccard(left: list[bytes], right: list[bytes], shingle: int) -> np.ndarray:
     return out
 
 
-def with_fingerprint(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None, shingle: int = 3, words: tuple[str, ...] = ("fingerprint_bits",)) -> DataFrame:
-    """Rows of keep plus the fingerprint's words (signed longs); a null or wordless text gets zero."""
+def with_fingerprint(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None, shingle: int = 3, words: tuple[str, ...] = ("fingerprint_bits",), distinct: bool = False) -> DataFrame:
+    """Rows of keep plus the fingerprint's words (signed longs), of distinct shingles if asked; a null or wordless text gets zero."""
     names = list(keep or [])
     fields = [docs.schema[c] for c in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "__text"):
-            found = fingerprints(encoded(part.column("__text")), shingle, count=len(words)).view(np.int64)
+            found = fingerprints(encoded(part.column("__text")), shingle, count=len(words), distinct=distinct).view(np.int64)
             yield pa.RecordBatch.from_arrays([part.column(i) for i in range(len(names))] + [pa.array(np.ascontiguousarray(x)) for x in found.T], names=[*names, *words])
 
     schema = T.StructType([*fields, *[T.StructField(w, T.LongType()) for w in words]])
@@ -355,8 +364,7 @@ def across_links(pairs: DataFrame, roots: DataFrame, texts: DataFrame, similarit
 
     def close(_: int, columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         spot, root, bodies = columns
-        hashes, number = shingle_hashes([(t or "").encode() for t in bodies], shingle)
-        sets = [np.unique(x) for x in np.split(hashes, np.cumsum(number)[:-1])]
+        sets = shingle_sets([(t or "").encode() for t in bodies], shingle)
         sizes = np.array([len(x) for x in sets])
         _, name = np.unique(np.concatenate(sets), return_inverse=True)
         holder = np.repeat(np.arange(len(sets)), sizes)[np.argsort(name, kind="stable")]
@@ -406,14 +414,14 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs with one row of each component: the one with the smallest id, of equal ids any one, null ids last. All columns stay as they are.
 
-    Rows link when their sets of word-shingles have a Jaccard similarity of `similarity` or more. Fingerprints of two words
-    propose the pairs, see similar_links, and each pair of their forests is verified on both whole texts, so no row goes without a similar one.
+    Rows link when their sets of word-shingles have a Jaccard similarity of `similarity` or more. Fingerprints of two words, taken of
+    distinct shingles as the similarity is, propose the pairs, see similar_links, and each pair of their forests is verified on both whole texts, so no row goes without a similar one.
     Where one fails, all rows of its proposed group meet, see across_links, so no proposed pair stays untested.
     Equal texts are compared once. Null and wordless texts are one component.
     """
     spot = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"))
     held = docs.withColumns({"__spot": spot, "__body": F.col(text_col), "__same": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
-    rows, _ = written(with_fingerprint(held, "__body", [*docs.columns, "__spot", "__same"], shingle, tuple(f"__{w}" for w in WORDS)), "rows")
+    rows, _ = written(with_fingerprint(held, "__body", [*docs.columns, "__spot", "__same"], shingle, tuple(f"__{w}" for w in WORDS), distinct=True), "rows")
     prints = rows.groupBy("__same", *[F.col(f"__{w}").alias(w) for w in WORDS]).agg(F.min("__spot").alias("least")).drop("__same")
     prints, _ = written(prints.withColumn("cid", F.monotonically_increasing_id()), "classes")
     pairs, _ = written(similar_links(prints, similarity, prints.count()), "pairs")

@@ -249,6 +249,17 @@ def test_rows_of_an_open_group_all_meet(spark, tile):
     assert forest(len(texts), np.array([r["a"] for r in got]), np.array([r["b"] for r in got])).tolist() == want
 
 
+def test_rows_that_differ_in_repetition_only_are_one(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for k in range(40):
+        body, line = (" ".join(f"w{x}" for x in rng.integers(0, 10**6, n)) for n in (300, 8))
+        rows += [(2 * k, " ".join([body, *[line] * 3])), (2 * k + 1, " ".join([body, *[line] * 60]))]
+    assert simhash.jaccard([rows[0][1].encode()], [rows[1][1].encode()], 5).tolist() == [1.0]
+    kept = {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == {2 * k for k in range(40)}
+
+
 def test_keep_one(docs, empty):
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns and simhash.keep_one(empty).count() == 0
