@@ -15,6 +15,9 @@ from lodestone.llm.common import U64, encoded, slices
 from lodestone.llm.quality import held_out
 
 BUCKETS, CENTROIDS = 4096, 3
+LOW, MARGIN = 0.005, 0.8
+#: 1- to 3-grams (some 70 letters) from which on the whole limit holds; a shorter text has too few for a high cosine, and its limit is in proportion.
+FULL = 200
 UNKNOWN = "und"
 _letters: list[np.ndarray] = []
 
@@ -87,12 +90,12 @@ class Centroids:
         return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 
     def predict(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(language number, cosine with its nearest centroid, whether that is nearer than the language's own limit)."""
+        """(language number, cosine with its nearest centroid, whether that reaches the language's own limit, which is less for texts of under FULL grams)."""
         cosine = self.weigh(counts) @ self.table.T
         best = cosine.argmax(axis=1)
         score = np.clip(cosine[np.arange(len(best)), best], 0, 1)
         lang = self.owner[best]
-        return lang, score, score >= self.least[lang]
+        return lang, score, score >= self.least[lang] * np.minimum(1, counts.sum(axis=1) / FULL)
 
 
 def cluster(x: np.ndarray, k: int, rounds: int = 12, seed: int = 3) -> np.ndarray:
@@ -114,7 +117,9 @@ def fit_languages(docs: DataFrame, sample: int = 4000, id_col: str = "doc_id", t
     """Centroids of every language with a row that is not held out. Document frequencies cover all documents; the centroids are
     fitted on about `sample` rows altogether, the same number from each language, chosen by a hash.
 
-    A language's limit is a quarter of the cosine that all but a thousandth of its sample rows reach, so clean text stays.
+    A fifth of those, chosen by a hash of the text, is kept apart from the centroids: a language's limit is MARGIN of the cosine that
+    all but LOW of these rows with FULL grams reach, or of all languages' such rows where that is less, so clean text stays and text of no
+    learned language goes. Where no row is apart, all rows count.
     """
     total, held = document_frequency(docs, text_col)
     idf = np.log((1 + total) / (1 + held)).astype(np.float32) + 1
@@ -128,7 +133,7 @@ def fit_languages(docs: DataFrame, sample: int = 4000, id_col: str = "doc_id", t
     model = Centroids(idf, sorted(sizes), np.zeros(0, np.int64), np.zeros((0, BUCKETS), np.float32), np.zeros(len(sizes)))
     if limit is None:
         return model
-    some = learn.where(F.pmod(F.xxhash64("__id", "__text", F.lit("lang")), F.lit(1 << 20)) < limit).select("__text", "__lang")
+    some = learn.where(F.pmod(F.xxhash64("__id", "__text", F.lit("lang")), F.lit(1 << 20)) < limit).select("__text", "__lang", (F.pmod(F.xxhash64("__text", F.lit("apart")), F.lit(5)) == 0).alias("__apart"))
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "__text", 1 << 20):
@@ -136,19 +141,24 @@ def fit_languages(docs: DataFrame, sample: int = 4000, id_col: str = "doc_id", t
                 cut = part.slice(k, 256)
                 found, has = gram_counts(encoded(cut.column(0)))
                 rows = np.flatnonzero(has)
-                yield pa.RecordBatch.from_arrays([cut.column(1).take(pa.array(rows)), pa.array([model.weigh(found[[r]])[0].astype(np.float16).tobytes() for r in rows], pa.binary())], names=["lang", "x"])
+                yield pa.RecordBatch.from_arrays([*[cut.column(i).take(pa.array(rows)) for i in (1, 2)], pa.array([model.weigh(found[[r]])[0].astype(np.float16).tobytes() for r in rows], pa.binary()), pa.array(found[rows].sum(axis=1) >= FULL)], names=["lang", "apart", "x", "whole"])
 
-    got = sorted((r["lang"], bytes(r["x"])) for r in some.mapInArrow(counts, "lang string, x binary").collect())
-    owner, tables = [], []
+    got = sorted((r["lang"], r["apart"], bytes(r["x"]), r["whole"]) for r in some.mapInArrow(counts, "lang string, apart boolean, x binary, whole boolean").collect())
+    owner, tables, reached = [], [], [np.zeros(0)] * len(model.names)
     for number, lang in enumerate(model.names):
-        x = np.array([np.frombuffer(v, np.float16) for name, v in got if name == lang], np.float32).reshape(-1, BUCKETS)
+        mine = [row[1:] for row in got if row[0] == lang]
+        apart, whole = (np.array([row[i] for row in mine], bool) for i in (0, 2))
+        x = np.array([np.frombuffer(row[1], np.float16) for row in mine], np.float32).reshape(-1, BUCKETS)
         if not len(x):
             continue
-        table = cluster(x, centroids)
+        table = cluster(x if apart.all() else x[~apart], centroids)
+        held_apart = next((m for m in (apart & whole, whole, apart) if m.any()), np.ones(len(x), bool))
         owner += [number] * len(table)
         tables.append(table)
-        model.least[number] = 0.25 * float(np.quantile((x @ table.T).max(axis=1), 0.001))
+        reached[number] = (x[held_apart] @ table.T).max(axis=1)
     if tables:
+        every = np.quantile(np.concatenate(reached), LOW)
+        model.least = np.array([MARGIN * min(np.quantile(c, LOW), every) if len(c) else 0.0 for c in reached])
         model.owner, model.table = np.array(owner), np.concatenate(tables).astype(np.float32)
     return model
 

@@ -368,3 +368,20 @@ def test_languages_on_awkward_rows(spark, docs, empty, rows):
     assert Counter((r["doc_id"], r["lang_pred"] != "und") for r in got) == letter
     assert all(0 <= r["score"] <= 1 for r in got) and {r["lang_pred"] for r in got} <= {"en", "de", "und"}
     assert langid.identify_languages(empty).count() == 0
+
+
+def test_texts_of_no_learned_language_are_rejected(spark, corpus):
+    rng = np.random.default_rng(3)
+    made = lambda signs, low, high: " ".join("".join(rng.choice(list(signs), rng.integers(low, high))) for _ in range(80))
+    texts = [
+        "La mattina presto il mercato si riempie di persone che cercano frutta fresca, pane caldo e formaggi delle colline vicine, mentre i bambini corrono tra le bancarelle",
+        "Wczesnym rankiem rynek zapełnia się ludźmi, którzy szukają świeżych owoców, ciepłego chleba i serów z pobliskich wzgórz, a dzieci biegają między straganami",
+        "Varhain aamulla tori täyttyy ihmisistä, jotka etsivät tuoreita hedelmiä, lämmintä leipää ja juustoja läheisiltä kukkuloilta, kun lapset juoksevat kojujen välissä",
+        "Рано утром городской рынок заполняется людьми, которые ищут свежие фрукты",
+        *[made("abcdefghijklmnopqrstuvwxyz", 2, 10) for _ in range(10)], *[made("0123456789abcdef", 16, 17) for _ in range(5)],
+    ]
+    model = langid.fit_languages(corpus)
+    got = langid.identify(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"), model).collect()
+    assert not [(r["doc_id"], r["score"]) for r in got if r["accepted"]]
+    known = langid.identify(corpus.select("doc_id", "text"), model).collect()
+    assert np.mean([r["accepted"] for r in known]) > 0.995
