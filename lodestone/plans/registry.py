@@ -448,8 +448,8 @@ def nested_properties(r: Roles) -> DataFrame:
 
 @registered("SELECT doc_id, replace(replace(replace(replace(substr(text, 1, 80), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') AS html, replace(replace(replace(substr(text, 1, 80), '|', '\\|'), chr(13), ' '), chr(10), ' ') AS cell FROM documents")
 def report_escapes(r: Roles) -> DataFrame:
-    cut = F.substring("text", 1, 80)
-    return r.table("documents").select("doc_id", text.html_escaped(cut).alias("html"), text.markdown_cell(cut).alias("cell"))
+    whole = F.col("text")
+    return r.table("documents").select("doc_id", text.html_escaped(whole).alias("html"), text.markdown_cell(whole).alias("cell"))
 
 
 @registered("SELECT count(*) AS total, count(*) FILTER (p_size > 25) AS selected, p_type AS category FROM part GROUP BY p_type")

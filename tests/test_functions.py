@@ -56,3 +56,16 @@ def test_percent_tiers_and_bands(spark):
     assert [one(spark, numbers.percent(F.col("a")), a=x) for x in (0.005, 1.7, -1.0)] == [1, 100, 0]
     assert [one(spark, numbers.tier(F.col("a")), a=x) for x in (14.9, 15.0, 45.0, 70.0)] == ["very low", "low", "high", "very high"]
     assert one(spark, numbers.cosine_band(F.col("a")), a=0.5) == "related"
+
+
+def test_reports_escape_whole_texts(spark):
+    from lodestone.plans import registry
+
+    data = "/root/testdata/sf0.001"
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    got = registry.queries()["report_escapes"](spark, data).collect()
+    assert len(got) == len(texts) and max(map(len, texts.values())) > 80
+    for r in got:
+        whole = texts[r["doc_id"]]
+        assert r["html"] == whole.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;").replace('"', "&quot;")
+        assert r["cell"] == whole.replace("|", "\\|").replace("\r", " ").replace("\n", " ")
