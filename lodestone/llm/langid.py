@@ -16,6 +16,8 @@ from lodestone.llm.quality import held_out
 
 BUCKETS, CENTROIDS = 4096, 3
 LOW, MARGIN = 0.005, 0.8
+#: A limit is at most this part of the median, as few rows tell little of a low quantile.
+MOST = 0.4
 #: 1- to 3-grams (some 70 letters) from which on the whole limit holds; a shorter text has too few for a high cosine, and its limit is in proportion.
 FULL = 200
 UNKNOWN = "und"
@@ -119,7 +121,7 @@ def fit_languages(docs: DataFrame, sample: int = 4000, id_col: str = "doc_id", t
 
     A fifth of those, chosen by a hash of the text, is kept apart from the centroids: a language's limit is MARGIN of the cosine that
     all but LOW of these rows with FULL grams reach, or of all languages' such rows where that is less, so clean text stays and text of no
-    learned language goes. Where no row is apart, all rows count.
+    learned language goes. It is at most MOST of their median. Where no row is apart, all rows count.
     """
     total, held = document_frequency(docs, text_col)
     idf = np.log((1 + total) / (1 + held)).astype(np.float32) + 1
@@ -158,7 +160,7 @@ def fit_languages(docs: DataFrame, sample: int = 4000, id_col: str = "doc_id", t
         reached[number] = (x[held_apart] @ table.T).max(axis=1)
     if tables:
         every = np.quantile(np.concatenate(reached), LOW)
-        model.least = np.array([MARGIN * min(np.quantile(c, LOW), every) if len(c) else 0.0 for c in reached])
+        model.least = np.array([min(MARGIN * np.quantile(c, LOW), MARGIN * every, MOST * np.median(c)) if len(c) else 0.0 for c in reached])
         model.owner, model.table = np.array(owner), np.concatenate(tables).astype(np.float32)
     return model
 
