@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,43 +16,24 @@ from lodestone.llm.common import encoded, slices
 
 SEQUENCE = 2048
 TOKENIZER = "byte_bpe_50k.json"
-RANKS = "byte_bpe_50k.tiktoken"
-# Ranges of characters whose classes (letter, digit, white space, other) have long been settled in Unicode.
-SETTLED = "\u0000-\u052f\u2010-\u2027\u2030-\u205e\u20a0-\u20bf\u2190-\u23ff\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3\U0001f300-\U0001f64f"
-_held: dict[tuple, tuple] = {}
+_held: dict[str, object] = {}
 
 
-def _encoders(name: str, ranks: str) -> tuple:
-    """The tokenizer, and a faster encoder of the same vocabulary for texts of settled characters; made once in a Python worker."""
-    if (name, ranks) not in _held:
-        import base64
-        import os
-        import re
-
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+def tokenizer_of(name: str = TOKENIZER) -> object:
+    """The tokenizer of a vocabulary file, a path or a name in public_tokenizers; made once in a Python worker."""
+    if name not in _held:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         import public_tokenizers
-        import tiktoken
         from tokenizers import Tokenizer
 
-        place = lambda x: x if "/" in x else public_tokenizers.path(x)
-        whole = Tokenizer.from_file(place(name))
-        whole.encode_special_tokens = True
-        with open(place(ranks), "rb") as lines:
-            merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        fast = tiktoken.Encoding(ranks, pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens={})
-        _held[name, ranks] = whole, fast, re.compile(f"[^{SETTLED}]")
-    return _held[name, ranks]
-
+        _held[name] = Tokenizer.from_file(name if "/" in name else public_tokenizers.path(name))
+        _held[name].encode_special_tokens = True
+    return _held[name]
 
-def token_bytes(text: str, name: str = TOKENIZER, ranks: str = RANKS) -> bytes:
-    """The tokenizer's ids of a whole text as little-endian unsigned 32-bit integers.
 
-    Both encoders hold the same merges and pattern, and can differ only where their Unicode tables do. So a text with any
-    character outside the settled ranges goes through the tokenizer itself, and all others through the faster encoder.
-    """
-    whole, fast, unsettled = _encoders(name, ranks)
-    found = whole.encode(text, add_special_tokens=False).ids if unsettled.search(text) else fast.encode_ordinary(text)
-    return np.array(found, "<u4").tobytes()
+def token_ids(texts: list[str], name: str = TOKENIZER) -> list[np.ndarray]:
+    """The tokenizer's ids of whole texts as little-endian unsigned 32-bit integers; the fast call leaves out only the places of tokens in the text."""
+    return [np.array(x.ids, "<u4") for x in tokenizer_of(name).encode_batch_fast(texts, add_special_tokens=False)]
 
 
 def tokenize_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER, length: int = SEQUENCE, end_id: int = 0) -> DataFrame:
@@ -60,15 +42,14 @@ def tokenize_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Every document is its text's ids and then end_id; a null text counts as empty, so it has the one id. Only documents
     longer than length are cut; all pieces but the first then have that length. Repeated rows repeat.
     """
-    end = np.array([end_id], "<u4").tobytes()
+    end = np.array([end_id], "<u4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "__text"):
             rows, piece, start, sizes, ids = [], [], [], [], []
-            texts = [x.decode("utf-8", "replace") for x in encoded(part.column(1))]
-            for row, text in enumerate(texts):
-                data = token_bytes(text, tokenizer) + end
-                n = len(data) // 4
+            for row, found in enumerate(token_ids([x.decode("utf-8", "replace") for x in encoded(part.column(1))], tokenizer)):
+                data = np.concatenate([found, end])
+                n = len(data)
                 at = n % length or length
                 bounds = [0, *range(min(at, n), n + 1, length)]
                 for k, (a, b) in enumerate(zip(bounds, bounds[1:])):
@@ -76,7 +57,7 @@ def tokenize_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     piece.append(k)
                     start.append(a)
                     sizes.append(b - a)
-                    ids.append(data[4 * a : 4 * b])
+                    ids.append(data[a:b].tobytes())
             yield pa.RecordBatch.from_arrays(
                 [part.column(0).take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary())],
                 names=[id_col, "piece", "start", "length", "ids"],

@@ -69,6 +69,26 @@ def test_packing(docs, empty, rows, with_ids):
     assert packing.pack_documents(empty).count() == 0
 
 
+@pytest.mark.parametrize("sign", [" ", "\n", "a", "1", "-", "\u3000", "\u00e9", "\u6f22", "a ", "a  b", "\0"])
+def test_runs_of_a_million_characters(sign):
+    run = sign * (1_000_000 // len(sign))
+    texts = [run, "word" + run, run + "word", "two words" + run + "two words"]
+    real = packing.tokenizer_of()
+    for text, got in zip(texts, packing.token_ids(texts)):
+        assert real.decode(got.tolist(), skip_special_tokens=False) == text
+        assert got.tolist() == real.encode(text, add_special_tokens=False).ids
+
+
+def test_ids_of_a_whole_table():
+    import pyarrow.parquet as pq
+
+    real = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    real.encode_special_tokens = True
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.01/documents.parquet")["text"].to_pylist()]
+    for k in range(0, len(texts), 500):
+        assert [x.tolist() for x in packing.token_ids(texts[k : k + 500])] == [x.ids for x in real.encode_batch(texts[k : k + 500], add_special_tokens=False)]
+
+
 def test_best_fit_against_brute_force():
     rng = np.random.default_rng(1)
     bins, open_bins, made = packing.OpenBins(64, 8), {}, 0
