@@ -446,7 +446,7 @@ def nested_properties(r: Roles) -> DataFrame:
     return r.table("events").select("event_type", F.from_json("props", "k int")["k"].alias("k")).groupBy("event_type", "k").agg(F.count("*").alias("n"))
 
 
-@registered("SELECT doc_id, replace(replace(replace(replace(substr(text, 1, 80), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') AS html, replace(replace(replace(substr(text, 1, 80), '|', '\\|'), chr(13), ' '), chr(10), ' ') AS cell FROM documents")
+@registered("SELECT doc_id, replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') AS html, replace(replace(replace(text, '|', '\\|'), chr(13), ' '), chr(10), ' ') AS cell FROM documents")
 def report_escapes(r: Roles) -> DataFrame:
     whole = F.col("text")
     return r.table("documents").select("doc_id", text.html_escaped(whole).alias("html"), text.markdown_cell(whole).alias("cell"))
