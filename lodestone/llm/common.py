@@ -8,7 +8,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 U64 = np.uint64
 # The five multipliers of the XXH64 specification.
@@ -17,16 +18,33 @@ P1, P2, P3, P4, P5 = (U64(p) for p in PRIMES)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for lineage cuts: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset a local master gets a temporary folder, and any other an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="lodestone-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def _at(spark: SparkSession, path: str) -> tuple:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def scratch(spark: SparkSession) -> str:
+    """This application's folder for intermediate tables in the shared folder; what is left of it goes when the driver's process ends."""
+    path = f"{shared_dir(spark)}/lodestone/{spark.sparkContext.applicationId}"
+    files, at = _at(spark, path)
+    if not files.exists(at):
+        files.mkdirs(at)
+        files.deleteOnExit(at)
+    return path
+
+
 def shared_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/lodestone/{tag}-{uuid.uuid4().hex}"
+    return f"{scratch(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
@@ -36,9 +54,38 @@ def written(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Delete tables that no plan reads any more."""
+    for path in paths:
+        files, at = _at(spark, path)
+        files.delete(at, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application; results that still read them must have been written before."""
+    remove(spark, scratch(spark))
+
+
+def spare(taken: list[str], *names: str) -> list[str]:
+    """names, each with underscores added until no column is called so."""
+    used = {x.lower() for x in taken}
+    out = []
+    for name in names:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
+def as_row(docs: DataFrame, *columns: Column) -> DataFrame:
+    """docs as one struct column `row`, beside which further columns can have any names; select("row.*") gives docs back."""
+    return docs.select(F.struct("*").alias("row"), *columns)
+
+
+def of(column: str) -> Column:
+    """A column by its whole name, dots included."""
+    return F.col("`" + column.replace("`", "``") + "`")
 
 
 def encoded(column: pa.Array) -> list[bytes]:
@@ -46,12 +93,17 @@ def encoded(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def child(batch: pa.RecordBatch, column: str | tuple[str, str]) -> pa.Array:
+    """A column, or the field of a struct column that is never null."""
+    return batch.column(column) if isinstance(column, str) else batch.column(column[0]).field(column[1])
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str | tuple[str, str], limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches so that the texts of one cut stay near limit bytes; a single longer text stands alone."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = np.fromiter((len(x) for x in encoded(batch.column(column))), np.int64, batch.num_rows)
+        sizes = np.fromiter((len(x) for x in encoded(child(batch, column))), np.int64, batch.num_rows)
         total, begin = np.cumsum(sizes), 0
         while begin < batch.num_rows:
             before = total[begin - 1] if begin else 0

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import U64, encoded, slices
+from lodestone.llm.common import U64, as_row, child, encoded, of, remove, slices, written
 from lodestone.llm.quality import held_out
 
 BUCKETS, CENTROIDS = 4096, 3
@@ -37,8 +38,9 @@ def gram_counts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     points = np.frombuffer("".join(joined).encode("utf-32-le", "surrogatepass"), "<u4")
     ends = np.cumsum([len(t) for t in joined])
     is_letter = letters()[points]
-    # runs of anything else become one space, so that a gram never reaches over two words
+    # runs of anything else become one space, so that a gram never reaches over two words; every text begins with one
     stay = is_letter | np.concatenate(([True], is_letter[:-1]))
+    stay[np.concatenate(([0], ends[:-1]))[: len(texts)]] = True
     doc = np.searchsorted(ends, np.flatnonzero(stay), side="right")
     code = np.where(is_letter, points, 32)[stay].astype(np.uint64)
     mine = is_letter[stay]
@@ -59,24 +61,47 @@ def gram_counts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return out.reshape(len(texts), BUCKETS).astype(np.float32), has
 
 
-def document_frequency(docs: DataFrame, text_col: str = "text") -> tuple[int, np.ndarray]:
-    """(documents with a letter, number of them that hold each bucket) over all documents; each task sends one row."""
+def learning_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    """Rows (text, lang, key) that may be learned from: not held out, with a text and a language; key is a hash of id and text."""
+    usable = ~held_out(of(id_col)) & of(lang_col).isNotNull() & of(text_col).isNotNull()
+    return docs.where(usable).select(of(text_col).alias("text"), of(lang_col).cast("string").alias("lang"), F.xxhash64(of(id_col), of(text_col), F.lit("lang")).alias("key"))
+
+
+def gram_statistics(learn: DataFrame, each: int) -> tuple[int, np.ndarray, dict[str, int]]:
+    """(rows with a letter, number of them that hold each bucket, per language the largest of its `each` least keys) over all learning rows.
+
+    One pass over the texts: a task sends one row of counts, and of each language the `each` least different keys of rows with a
+    letter. A language without such a row is not in the result.
+    """
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, held = 0, np.zeros(BUCKETS, np.int64)
-        for part in slices(batches, "__text", 1 << 20):
+        total, held, least = 0, np.zeros(BUCKETS, np.int64), {}
+        for part in slices(batches, "text", 1 << 20):
             for k in range(0, part.num_rows, 512):
-                counts, has = gram_counts(encoded(part.column(0).slice(k, 512)))
+                cut = part.slice(k, 512)
+                counts, has = gram_counts(encoded(cut.column(0)))
                 total += int(has.sum())
                 held += (counts > 0).sum(axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array([total]), pa.array([held.tolist()], pa.list_(pa.int64()))], names=["n", "held"])
-
-    rows = docs.select(F.col(text_col).alias("__text")).mapInArrow(partial, "n long, held array<long>")
-    parts = rows.select("n", F.posexplode("held").alias("bucket", "docs")).groupBy("bucket").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n")).collect()
+                langs, keys = np.array(cut.column(1).to_pylist(), object), cut.column(2).to_numpy()
+                for lang in set(langs[has]):
+                    least[lang] = np.unique(np.concatenate([least.get(lang, np.zeros(0, np.int64)), keys[has & (langs == lang)]]))[:each]
+        names = [lang for lang, keys in least.items() for _ in keys]
+        keys = [int(x) for found in least.values() for x in found]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([total] + [None] * len(keys), pa.int64()), pa.array([held.tolist()] + [None] * len(keys), pa.list_(pa.int64())), pa.array([None, *names], pa.string()), pa.array([None, *keys], pa.int64())], names=["n", "held", "lang", "key"]
+        )
+
+    spark = learn.sparkSession
+    parts, path = written(learn.mapInArrow(partial, "n long, held array<long>, lang string, key long"), "grams")
+    summed = parts.where("n is not null").select("n", F.posexplode("held").alias("bucket", "docs")).groupBy("bucket").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n")).collect()
     held = np.zeros(BUCKETS, np.int64)
-    for row in parts:
+    for row in summed:
         held[row["bucket"]] = row["docs"]
-    return (parts[0]["n"] if parts else 0), held
+    order = Window.partitionBy("lang").orderBy("key")
+    chosen = parts.where("lang is not null").select("lang", "key").distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= each)
+    limits = {r["lang"]: r["most"] for r in chosen.groupBy("lang").agg(F.max("key").alias("most")).collect()}
+    remove(spark, path)
+    return (summed[0]["n"] if summed else 0), held, limits
 
 
 @dataclass
@@ -116,29 +141,32 @@ def cluster(x: np.ndarray, k: int, rounds: int = 12, seed: int = 3) -> np.ndarra
 
 
 def fit_languages(docs: DataFrame, sample: int = 4000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", centroids: int = CENTROIDS) -> Centroids:
-    """Centroids of every language with a row that is not held out. Document frequencies cover all documents; the centroids are
-    fitted on about `sample` rows altogether, the same number from each language, chosen by a hash.
+    """Centroids of every language of the rows that are not held out and have a text and a language; no other row is read.
+
+    Document frequencies cover all of those rows. The centroids are fitted on `sample` rows altogether, or one a language where there are
+    more languages: of each the same number of rows, those of least hash, whatever the size of the table. Equal rows count once. A language
+    none of whose rows has a letter cannot be learned, which a warning says.
 
-    A fifth of those, chosen by a hash of the text, is kept apart from the centroids: a language's limit is MARGIN of the cosine that
+    A fifth of the sampled rows, chosen by a hash of the text, is kept apart from the centroids: a language's limit is MARGIN of the cosine that
     all but LOW of these rows with FULL grams reach, or of all languages' such rows where that is less, so clean text stays and text of no
     learned language goes. It is at most MOST of their median. Where no row is apart, all rows count.
     """
-    total, held = document_frequency(docs, text_col)
+    spark = docs.sparkSession
+    learn = learning_rows(docs, id_col, text_col, lang_col)
+    # one name a language: the model holds a centroid of BUCKETS numbers for each
+    names = sorted(r["lang"] for r in learn.select("lang").distinct().collect())
+    total, held, limits = gram_statistics(learn, max(1, sample // max(1, len(names))))
+    if lost := [x for x in names if x not in limits]:
+        warnings.warn(f"no text with a letter to learn {', '.join(lost)} from", stacklevel=2)
     idf = np.log((1 + total) / (1 + held)).astype(np.float32) + 1
-    learn = docs.where(~held_out(F.col(id_col)) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), F.col(lang_col).cast("string").alias("__lang"))
-    sizes = {r["__lang"]: r["n"] for r in learn.groupBy("__lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "__lang").limit(sample).collect()}
-    each = max(1, sample // max(1, len(sizes)))
-    limit = None
-    for lang, n in sizes.items():
-        part = F.lit(int(min(1.0, each / n) * (1 << 20)))
-        limit = F.when(F.col("__lang") == lang, part) if limit is None else limit.when(F.col("__lang") == lang, part)
-    model = Centroids(idf, sorted(sizes), np.zeros(0, np.int64), np.zeros((0, BUCKETS), np.float32), np.zeros(len(sizes)))
-    if limit is None:
+    model = Centroids(idf, sorted(limits), np.zeros(0, np.int64), np.zeros((0, BUCKETS), np.float32), np.zeros(len(limits)))
+    if not limits:
         return model
-    some = learn.where(F.pmod(F.xxhash64("__id", "__text", F.lit("lang")), F.lit(1 << 20)) < limit).select("__text", "__lang", (F.pmod(F.xxhash64("__text", F.lit("apart")), F.lit(5)) == 0).alias("__apart"))
+    most = F.broadcast(spark.createDataFrame(list(limits.items()), "lang string, most long"))
+    some = learn.join(most, "lang").where("key <= most").dropDuplicates(["lang", "key"]).select("text", "lang", (F.pmod(F.xxhash64("text", F.lit("apart")), F.lit(5)) == 0).alias("apart"))
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "__text", 1 << 20):
+        for part in slices(batches, "text", 1 << 20):
             for k in range(0, part.num_rows, 256):
                 cut = part.slice(k, 256)
                 found, has = gram_counts(encoded(cut.column(0)))
@@ -151,48 +179,47 @@ def fit_languages(docs: DataFrame, sample: int = 4000, id_col: str = "doc_id", t
         mine = [row[1:] for row in got if row[0] == lang]
         apart, whole = (np.array([row[i] for row in mine], bool) for i in (0, 2))
         x = np.array([np.frombuffer(row[1], np.float16) for row in mine], np.float32).reshape(-1, BUCKETS)
-        if not len(x):
-            continue
         table = cluster(x if apart.all() else x[~apart], centroids)
         held_apart = next((m for m in (apart & whole, whole, apart) if m.any()), np.ones(len(x), bool))
         owner += [number] * len(table)
         tables.append(table)
         reached[number] = (x[held_apart] @ table.T).max(axis=1)
-    if tables:
-        every = np.quantile(np.concatenate(reached), LOW)
-        model.least = np.array([min(MARGIN * np.quantile(c, LOW), MARGIN * every, MOST * np.median(c)) if len(c) else 0.0 for c in reached])
-        model.owner, model.table = np.array(owner), np.concatenate(tables).astype(np.float32)
+    every = np.quantile(np.concatenate(reached), LOW)
+    model.least = np.array([min(MARGIN * np.quantile(c, LOW), MARGIN * every, MOST * np.median(c)) for c in reached])
+    model.owner, model.table = np.array(owner), np.concatenate(tables).astype(np.float32)
     return model
 
 
-def identify(docs: DataFrame, model: Centroids, text_col: str = "text", names: tuple[str, str, str] = ("lang_pred", "score", "accepted")) -> DataFrame:
-    """docs with the language of the nearest centroid, its cosine, and whether that is above the language's limit.
+def identify(docs: DataFrame, model: Centroids, text_col: str = "text") -> DataFrame:
+    """Rows (row, lang_pred, score, accepted): row is the row of docs as it is, lang_pred the language of the nearest centroid, score its cosine, accepted
+    whether that reaches the language's limit.
 
     A null text or one without a letter is UNKNOWN with score 0 and not accepted, as is every text when nothing was learned.
     """
-    fields = docs.columns
-    schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType()), T.StructField(names[2], T.BooleanType())])
+    rows = as_row(docs)
+    schema = T.StructType([*rows.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("accepted", T.BooleanType())])
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = sent.value
-        for part in slices(batches, text_col, 1 << 20):
+        for part in slices(batches, ("row", text_col), 1 << 20):
             for k in range(0, part.num_rows, 512):
                 cut = part.slice(k, 512)
-                counts, has = gram_counts(encoded(cut.column(fields.index(text_col))))
+                counts, has = gram_counts(encoded(child(cut, ("row", text_col))))
                 if not len(fitted.table):
                     has = np.zeros(len(has), bool)
                     lang, score, near = np.zeros(len(has), int), np.zeros(len(has)), has
                 else:
                     lang, score, near = fitted.predict(counts)
                 said = [fitted.names[i] if h else UNKNOWN for i, h in zip(lang, has)]
-                yield pa.RecordBatch.from_arrays([*cut.columns, pa.array(said, pa.string()), pa.array(np.where(has, score, 0.0).astype(np.float64)), pa.array(near & has)], names=[*fields, *names])
+                yield pa.RecordBatch.from_arrays([cut.column(0), pa.array(said, pa.string()), pa.array(np.where(has, score, 0.0).astype(np.float64)), pa.array(near & has)], names=["row", "lang_pred", "score", "accepted"])
 
-    return docs.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """One row per row of docs: doc_id, held_out, lang_pred, score, accepted. Repeated rows repeat; an empty table gives none; other columns are not read."""
     model = fit_languages(docs, id_col=id_col, text_col=text_col, lang_col=lang_col)
-    found = identify(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), model)
-    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "accepted")
+    found = identify(docs.select(of(id_col).alias("doc_id"), of(text_col).alias("text")), model)
+    key = F.col("row.doc_id")
+    return found.select(key.alias("doc_id"), held_out(key).alias("held_out"), "lang_pred", "score", "accepted")
