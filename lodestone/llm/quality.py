@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import U64, encoded, slices
+from lodestone.llm.common import U64, as_row, child, encoded, of, slices
 
 BUCKETS, DIMS, NONZERO, WINDOW = 8192, 32, 2, 2
 KEEP_FROM = 0.7
@@ -184,38 +184,46 @@ def train(x: np.ndarray, y: np.ndarray, hidden: int = 32, epochs: int = 60, rate
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, sample: int = 20_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Network:
-    """The network, fitted on at most about `sample` labelled rows that are not held out, chosen by a hash of their id.
+    """The network, fitted on at most `sample` labels of rows that are not held out: those of least hash.
 
-    Rows with a null id, text or label teach nothing. A document with several labels counts once for each.
+    Rows with a null id, text or label teach nothing. Equal labels of an id count once, different ones once each; of several texts under one id the one of
+    least hash stands for it. So whatever repeats, the driver gets at most `sample` pooled vectors.
     """
-    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col))).select(F.col(id_col).alias("__id"), F.col(label_col).cast("double").alias("y"))
-    share = min(1.0, sample / max(1, known.count()))
-    some = known.where(F.pmod(F.xxhash64("__id", F.lit("quality")), F.lit(1 << 20)) < int(share * (1 << 20)))
+    usable = F.col(label_col).isNotNull() & of(id_col).isNotNull() & ~held_out(of(id_col))
+    known = labels.where(usable).select(of(id_col).alias("key"), F.col(label_col).cast("double").alias("y")).distinct()
+    # twice the share that is needed goes on, so that only some 2 * sample rows are put in order
+    share = min(1.0, 2 * sample / max(1, known.count()))
+    spotted = known.withColumn("spot", F.pmod(F.xxhash64("key", "y", F.lit("quality")), F.lit(1 << 40)))
+    some = spotted.where(F.col("spot") < int(share * (1 << 40))).orderBy("spot", "key", "y").limit(sample).select("key", "y")
 
     def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "__text", 2 << 20):
+        for part in slices(batches, "text", 2 << 20):
             x = pooled(encoded(part.column(0)), vectors)
             yield pa.RecordBatch.from_arrays([part.column(1), pa.array([r.tobytes() for r in x], pa.binary())], names=["y", "x"])
 
-    rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(some, "__id").select("__text", "y").mapInArrow(pool, "y double, x binary")
-    got = sorted((bytes(r["x"]), r["y"]) for r in rows.collect())
+    texts = docs.where(of(text_col).isNotNull()).select(of(id_col).alias("key"), of(text_col).alias("text"))
+    mine = texts.join(F.broadcast(some), "key").groupBy("key", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    got = sorted((bytes(r["x"]), r["y"]) for r in mine.select("text", "y").mapInArrow(pool, "y double, x binary").collect())
     x = np.array([np.frombuffer(a, np.float32) for a, _ in got], np.float64).reshape(len(got), vectors.shape[1] + EXTRA)
     return train(x, np.array([b for _, b in got]))
 
 
-def score_quality(docs: DataFrame, vectors: np.ndarray, net: Network, text_col: str = "text", name: str = "score") -> DataFrame:
-    """docs with name, the probability that a text is of quality 1. Only the text is an input; null and empty texts score as a text without words."""
-    fields = docs.columns
-    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
+def score_quality(docs: DataFrame, vectors: np.ndarray, net: Network, text_col: str = "text") -> DataFrame:
+    """Rows (row, score): row is the row of docs as it is, score the probability that its text is of quality 1.
+
+    Only the text is an input; null and empty texts score as a text without words.
+    """
+    rows = as_row(docs)
+    schema = T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())])
     sent = docs.sparkSession.sparkContext.broadcast((vectors, net))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, model = sent.value
-        for part in slices(batches, text_col, 2 << 20):
-            x = pooled(encoded(part.column(fields.index(text_col))), table)
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(model.scores(x.astype(np.float64)))], names=[*fields, name])
+        for part in slices(batches, ("row", text_col), 2 << 20):
+            x = pooled(encoded(child(part, ("row", text_col))), table)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(model.scores(x.astype(np.float64)))], names=["row", "score"])
 
-    return docs.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def classify_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -224,7 +232,8 @@ def classify_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     Word vectors come from all documents, the network from labelled rows that are not held out. Null texts and wordless ones score as such;
     without labels all score 0.5. Repeated rows repeat; an empty table gives none; other columns are not read.
     """
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    base = docs.select(of(id_col).alias("doc_id"), of(text_col).alias("text"))
     vectors = word_vectors(base)
     scored = score_quality(base, vectors, fit_quality(base, labels.withColumnRenamed(id_col, "doc_id"), vectors))
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= KEEP_FROM).cast("int").alias("predicted"))
+    key = F.col("row.doc_id")
+    return scored.select(key.alias("doc_id"), held_out(key).alias("held_out"), "score", (F.col("score") >= KEEP_FROM).cast("int").alias("predicted"))
