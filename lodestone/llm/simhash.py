@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import U64, encoded, forest, slices, written, xxh64_spans
+from lodestone.llm.common import U64, as_row, encoded, forest, of, remove, slices, written, xxh64_spans
 from lodestone.llm.components import connected_components
 
 BITS = 64
@@ -273,49 +274,92 @@ def fingerprint_links(prints: DataFrame, threshold: int, n: int, per_anchor: int
     return _linked(_tiles(spread, "bits", tile_rows), close)
 
 
-WORDS = ("word0", "word1")
-SEGMENT, SEGMENT_BITS = 16, 1
-PER_WORD = BITS // SEGMENT
+NARROWEST, WIDEST, FLIPPED = 16, 48, 1
 
 
-def most_bits(similarity: float, bits: int = BITS * len(WORDS)) -> int:
+@dataclass(frozen=True)
+class Segments:
+    """How fingerprints propose pairs: `number` segments of `width` bits, and the words that are compared as a whole."""
+
+    width: int
+    number: int
+    compared: int
+    blocks: int
+
+    @property
+    def words(self) -> int:
+        """64-bit words that hold the segments, `compared` at least."""
+        return max(self.compared, -(-self.width * self.number // BITS))
+
+    def piece(self, words: list[np.ndarray], segment: int) -> np.ndarray:
+        at, off = divmod(self.width * segment, BITS)
+        out = words[at] >> U64(off)
+        if off + self.width > BITS:
+            out = out | (words[at + 1] << U64(BITS - off))
+        return out & U64((1 << self.width) - 1)
+
+
+def bit_share(similarity: float) -> float:
+    """Expected share of differing bits between the fingerprints of two sets of equal size and this Jaccard similarity."""
+    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def segments_for(n: int, similarity: float, recall: float = 0.9, per_value: int = 4, tile_rows: int = 16384) -> Segments:
+    """Segments for n fingerprints: as wide as leaves about per_value of them to each value, and as many as propose a pair of exactly this
+    similarity with probability `recall` or more (a more similar pair with a higher one).
+
+    So a fingerprint meets about as many strangers whatever n is, and the number of segments, hence the work a row, grows
+    as n to the power of some 0.3 for a similarity of 0.8. More words are compared where segments are wide, so that strangers who
+    agree in one are still told apart.
+    """
+    width = int(min(WIDEST, max(NARROWEST, np.ceil(np.log2(max(1, n) / per_value)))))
+    p = bit_share(similarity)
+    met = (1 - p) ** width + width * p * (1 - p) ** (width - 1)
+    number = int(np.ceil(np.log(1 - recall) / np.log(1 - met))) if met < 1 else 1
+    blocks = int(min(width, max(8, np.ceil(np.log2(max(1, n) * 8 / tile_rows)))))
+    return Segments(width, number, 2 if width < 24 else 4, blocks)
+
+
+def most_bits(similarity: float, bits: int) -> int:
     """Differing bits that two sets of equal size and this Jaccard similarity stay within: the expected number and three standard deviations."""
-    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    p = bit_share(similarity)
     return int(bits * p + 3 * np.sqrt(bits * p * (1 - p)))
 
 
-def similar_links(prints: DataFrame, similarity: float, n: int, tile_rows: int = 16384) -> DataFrame:
+def word_names(number: int) -> tuple[str, ...]:
+    return tuple(f"word{i}" for i in range(number))
+
+
+def similar_links(prints: DataFrame, similarity: float, plan: Segments, tile_rows: int = 16384) -> DataFrame:
     """Pairs (a, b), a < b, that may have this similarity; they connect the same rows as all pairs do that agree in a segment and whose words agree enough.
 
-    prints: cid and WORDS. Every word has PER_WORD segments of SEGMENT bits; a pair is compared if one segment differs in at most
-    SEGMENT_BITS bits, which is sure if either word differs in at most 7, and it is given if all words together differ in at most
-    most_bits(similarity). Each segment has a covering code of its own as anchors; the width of the code's blocks follows
-    the number of fingerprints and does not change what is connected. A tile gives the pairs of its nearest spanning forest only.
+    prints: cid and the plan's words. A pair is compared if one segment differs in at most FLIPPED bits, and it is given if the compared words
+    together differ in at most most_bits. Each segment has a covering code of its own as anchors, and a tile looks up the values within reach of a row's
+    instead of meeting all its rows. A tile gives the pairs of its nearest spanning forest only.
     """
-    widths, most = ([2] * 8 if n <= 1 << 20 else [1] * 16), most_bits(similarity)
-    flips = np.array([m for m in range(1 << SEGMENT) if m.bit_count() <= SEGMENT_BITS])
-
-    def piece(words: list[np.ndarray], segment: int) -> np.ndarray:
-        return (words[segment // PER_WORD] >> U64(SEGMENT * (segment % PER_WORD))) & U64((1 << SEGMENT) - 1)
+    widths = [plan.width // plan.blocks + (i < plan.width % plan.blocks) for i in range(plan.blocks)]
+    most = most_bits(similarity, BITS * plan.compared)
+    flips = np.array([0] + [1 << i for i in range(plan.width)], np.int64)
+    shipped = word_names(plan.compared)
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 1 << 14):
                 part = batch.slice(k, 1 << 14)
-                words = [part.column(1 + i).to_numpy(zero_copy_only=False).view(U64) for i in range(len(WORDS))]
-                for segment in range(PER_WORD * len(WORDS)):
-                    row, code, home = anchors(piece(words, segment), widths, SEGMENT_BITS)
-                    yield pa.RecordBatch.from_arrays([pa.array((code + (segment << SEGMENT)).astype(np.int32)), pa.array(home), *part.take(pa.array(row)).columns], names=["anchor", "home", "cid", *WORDS])
+                words = [part.column(1 + i).to_numpy(zero_copy_only=False).view(U64) for i in range(plan.words)]
+                for segment in range(plan.number):
+                    mine = plan.piece(words, segment)
+                    row, code, home = anchors(mine, widths, FLIPPED)
+                    kept = part.select([0, *range(1, 1 + plan.compared)]).take(pa.array(row))
+                    yield pa.RecordBatch.from_arrays([pa.array(code + (segment << plan.blocks)), pa.array(home), pa.array(mine[row].view(np.int64)), *kept.columns], names=["anchor", "home", "piece", "cid", *shipped])
 
-    def close(anchor: int, columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        home, cid, *words = columns
+    def close(_: int, columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        home, mine, cid, *words = columns
         words = [w.view(U64) for w in words]
-        mine = piece(words, anchor >> SEGMENT).astype(np.int64)
         order = np.argsort(mine, kind="stable")
         sorted_mine = mine[order]
 
         def near(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            # the segments within reach of a row's are few, so their rows are looked up instead of met one by one
             wanted = (mine[rows][:, None] ^ flips[None, :]).ravel()
             begin = np.searchsorted(sorted_mine, wanted)
             number = np.searchsorted(sorted_mine, wanted, side="right") - begin
@@ -328,7 +372,7 @@ def similar_links(prints: DataFrame, similarity: float, n: int, tile_rows: int =
         a, b = _tile_pairs(len(cid), home, near)
         return np.minimum(cid[a], cid[b]), np.maximum(cid[a], cid[b])
 
-    spread = prints.select("cid", *WORDS).mapInArrow(replicate, f"anchor int, home boolean, cid long, {', '.join(w + ' long' for w in WORDS)}")
+    spread = prints.select("cid", *word_names(plan.words)).mapInArrow(replicate, f"anchor long, home boolean, piece long, cid long, {', '.join(w + ' long' for w in shipped)}")
     return _linked(_tiles(spread, "cid", tile_rows), close)
 
 
@@ -405,35 +449,38 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     wordless texts have fingerprint zero and link like any other. Null ids stay as rows and never become a component's
     id unless it has no other. Repeated rows stay. Other columns are not read, so their names cannot clash.
     """
-    base = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__body"))
-    rows, _ = written(with_fingerprint(base, "__body", ["__id"], shingle), "prints")
-    prints, _ = written(rows.groupBy("fingerprint_bits").agg(F.min("__id").alias("least")), "classes")
-    return rows.join(_named(prints, threshold), "fingerprint_bits").select(F.col("__id").alias(id_col), "fingerprint_bits", "component_id")
+    base = docs.select(of(id_col).alias("key"), of(text_col).alias("body"))
+    rows, _ = written(with_fingerprint(base, "body", ["key"], shingle), "prints")
+    prints, _ = written(rows.groupBy("fingerprint_bits").agg(F.min("key").alias("least")), "classes")
+    return rows.join(_named(prints, threshold), "fingerprint_bits").select(F.col("key").alias(id_col), "fingerprint_bits", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs with one row of each component: the one with the smallest id, of equal ids any one, null ids last. All columns stay as they are.
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, recall: float = 0.9) -> DataFrame:
+    """docs with one row of each component: the one with the smallest id, of equal ids any one, null ids last. Columns of any name come back as they are.
 
-    Rows link when their sets of word-shingles have a Jaccard similarity of `similarity` or more. Fingerprints of two words, taken of
-    distinct shingles as the similarity is, propose the pairs, see similar_links, and each pair of their forests is verified on both whole texts, so no row goes without a similar one.
+    Rows link when their sets of word-shingles have a Jaccard similarity of `similarity` or more. Fingerprints, taken of
+    distinct shingles as the similarity is, propose the pairs, see segments_for and similar_links, and each pair of their forests is verified on both whole texts, so no row goes without a similar one.
     Where one fails, all rows of its proposed group meet, see across_links, so no proposed pair stays untested.
     Equal texts are compared once. Null and wordless texts are one component.
     """
-    spot = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"))
-    held = docs.withColumns({"__spot": spot, "__body": F.col(text_col), "__same": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
-    rows, _ = written(with_fingerprint(held, "__body", [*docs.columns, "__spot", "__same"], shingle, tuple(f"__{w}" for w in WORDS), distinct=True), "rows")
-    prints = rows.groupBy("__same", *[F.col(f"__{w}").alias(w) for w in WORDS]).agg(F.min("__spot").alias("least")).drop("__same")
+    spark, plan = docs.sparkSession, segments_for(docs.count(), similarity, recall)
+    key, text, names = of(id_col), of(text_col), word_names(plan.words)
+    spot = F.struct(key.isNull().alias("none"), key.alias("id"), F.monotonically_increasing_id().alias("row"))
+    held = as_row(docs, text.alias("body"), spot.alias("spot"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("same"))
+    rows, _ = written(with_fingerprint(held, "body", ["row", "spot", "same"], shingle, names, distinct=True), "rows")
+    prints = rows.groupBy("same", *names).agg(F.min("spot").alias("least")).drop("same")
     prints, _ = written(prints.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    pairs, _ = written(similar_links(prints, similarity, prints.count()), "pairs")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(prints.select("cid", F.col("least.row").alias("__row")), "cid")
-    texts, _ = written(rows.select(F.col("__spot.row").alias("__row"), F.col(text_col).alias("text")).join(ends, "__row").select("cid", "text"), "texts")
+    pairs, at_pairs = written(similar_links(prints, similarity, plan), "pairs")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(prints.select("cid", F.col("least.row").alias("at")), "cid")
+    texts, at_texts = written(rows.select(F.col("spot.row").alias("at"), F.col("row")[text_col].alias("text")).join(ends, "at").select("cid", "text"), "texts")
     parts = connected_components(verified(pairs, texts, similarity, shingle))
     roots, _ = written(texts.select("cid").join(parts.withColumnRenamed("node", "cid"), "cid", "left").select("cid", F.coalesce("component", "cid").alias("root")), "roots")
     joint = connected_components(across_links(pairs, roots, texts, similarity, shingle)).withColumnRenamed("node", "root")
+    remove(spark, at_pairs, at_texts)
     named = roots.join(joint, "root", "left").select("cid", F.coalesce("component", "root").alias("root"))
     classes = prints.select("cid", "least").join(named, "cid", "left").select("least", F.coalesce("root", "cid").alias("root"))
-    first = classes.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.row").alias("__row"))
-    return rows.withColumn("__row", F.col("__spot.row")).join(first, "__row", "left_semi").select(*docs.columns)
+    first = classes.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.row").alias("at"))
+    return rows.withColumn("at", F.col("spot.row")).join(first, "at", "left_semi").select("row.*")
 
 
 def hex_bits(column: str) -> F.Column:
