@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import written
+from lodestone.llm.common import of, written
 
 # The weights that sources take in turn, the share of all sizes to be taken, the most times a source repeats.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -26,7 +26,8 @@ def source_targets(sizes: DataFrame, share: float = SHARE, most: float = MOST, w
     Sources are weighed in code point order, null last. A target is the source's weight's part of share times all sizes, at most
     most times its size; what is over goes to the others by weight until none is above. With sources in ascending order of
     cap / weight the capped ones come first, so running sums give each possible cut and the first one that holds
-    is the answer. The windows run over the sources' table, one row a source.
+    is the answer. The windows run in one task over the sources' table, one row a source: sources name origins, whose number a
+    task must hold, not documents.
     """
     ranked = sizes.selectExpr("source", "source_size", "row_number() over (order by source asc nulls last) as __n")
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.col("__n") - 1, F.lit(len(weights))) + 1).cast("int"))
@@ -46,40 +47,41 @@ def source_targets(sizes: DataFrame, share: float = SHARE, most: float = MOST, w
     return levels.withColumn("target", target.cast("double")).withColumn("rate", rate).select("source", "source_size", "target", "rate")
 
 
-def with_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix", keep_text: bool = True, size: Column | None = None) -> DataFrame:
-    """docs with __size, __source_size, __target and __copies: floor(rate) plus one if a hash of seed, id and text falls below the fraction.
+def with_copies(rows: DataFrame, draw: Column, text: Column, source: Column, keep: list[Column]) -> DataFrame:
+    """Rows (*keep, size, source_size, target, copies): copies is floor(rate) plus one if draw, uniform in [0, 1), falls below the fraction.
 
     A null source is a source of its own. The table of targets is written and counted first: up to MOST_BROADCAST sources it is
     broadcast, so the documents are not shuffled; beyond that it is joined, where Spark can split a hot source's partition, as one
     side has one row a key.
     """
-    words = word_count(F.col(text_col)) if size is None else size
-    sizes = docs.groupBy(F.col(source_col).alias("source")).agg(F.sum(words).cast("long").alias("source_size"))
-    made, _ = written(source_targets(sizes), "targets")
-    targets = made.select(F.col("source").alias("__source"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), F.col("rate").alias("__rate"))
-    digest = F.md5(F.concat_ws(":", F.lit(seed), F.col(id_col).cast("string"), F.col(text_col)).cast("binary"))
-    draw = F.conv(F.substring(digest, 1, 13), 16, 10).cast("long").cast("double") / F.lit(float(1 << 52))
-    rows = docs.withColumns({"__size": words, "__draw": draw})
-    if not keep_text:
-        rows = rows.select(id_col, source_col, "__size", "__draw")
-    if made.count() <= MOST_BROADCAST:
-        targets = F.broadcast(targets)
-    joined = rows.join(targets, F.col(source_col).eqNullSafe(F.col("__source")), "inner")
-    extra = (F.col("__draw") < F.col("__rate") - F.floor("__rate")).cast("int")
-    return joined.withColumn("__copies", F.floor("__rate").cast("int") + extra).drop("__source", "__draw", "__rate")
-
-
-def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    sizes = rows.groupBy(source.alias("source")).agg(F.sum(word_count(text)).cast("long").alias("source_size"))
+    targets, _ = written(source_targets(sizes), "targets")
+    drawn = rows.select(*keep, source.alias("from"), word_count(text).alias("size"), draw.alias("draw"))
+    few = targets.count() <= MOST_BROADCAST
+    joined = drawn.join(F.broadcast(targets) if few else targets, F.col("from").eqNullSafe(F.col("source")))
+    extra = (F.col("draw") < F.col("rate") - F.floor("rate")).cast("int")
+    return joined.withColumn("copies", F.floor("rate").cast("int") + extra).drop("source", "from", "draw", "rate")
+
+
+def hashed_draw(seed: str, key: Column, text: Column) -> Column:
+    """A number in [0, 1) from a hash of seed, id and text, so reruns agree and equal rows draw alike."""
+    digest = F.md5(F.concat_ws(":", F.lit(seed), key.cast("string"), text).cast("binary"))
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long").cast("double") / F.lit(float(1 << 52))
+
+
+def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix") -> DataFrame:
     """One row per row of docs: doc_id, size, source_size, target, taken.
 
     A null or wordless text has size 0 and takes nothing; a source without words has target 0. Equal rows draw alike, so
     reruns and repeated rows agree. An empty table gives no rows. Other columns are not read.
     """
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("__body"), F.col(source_col).alias("__from"))
-    mixed = with_copies(base, "doc_id", "__body", "__from", keep_text=False)
-    return mixed.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("__copies") * F.col("__size")).cast("long").alias("taken"))
+    key, text = of(id_col), of(text_col)
+    mixed = with_copies(docs, hashed_draw(seed, key, text), text, of(source_col), [key.alias("doc_id")])
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 
-def emit_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """docs with every row as often as the mix takes it, columns unchanged."""
-    return with_copies(docs, id_col, text_col, source_col).where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+def emit_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix") -> DataFrame:
+    """docs with every row as often as the mix takes it; columns of any name come back unchanged."""
+    text = of(text_col)
+    mixed = with_copies(docs, hashed_draw(seed, of(id_col), text), text, of(source_col), [F.struct("*").alias("row")])
+    return mixed.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.common import spare
+
 LAW = "key"
 
 
@@ -70,24 +72,26 @@ def with_shard(df: DataFrame, key_col: str, tree: list[Leaf], name: str = "shard
     regions: dict[int, float] = {}
     for x in tree:
         regions[x.region] = regions.get(x.region, 0.0) + x.weight
-    work = df.withColumn("__region", _winner(key, "region", regions))
-    work = work.withColumn("__rack", _descend(key, F.col("__region"), None, tree, "rack"))
-    return work.withColumn(name, _descend(key, F.col("__region"), F.col("__rack"), tree, "shard").cast("int")).drop("__region", "__rack")
+    region, rack = spare(df.columns, "region", "rack")
+    work = df.withColumn(region, _winner(key, "region", regions))
+    work = work.withColumn(rack, _descend(key, F.col(region), None, tree, "rack"))
+    return work.withColumn(name, _descend(key, F.col(region), F.col(rack), tree, "shard").cast("int")).drop(region, rack)
 
 
 def with_slot(df: DataFrame, order: list[str], shard_col: str = "shard", cells: int = 1024) -> DataFrame:
-    """df with slot: a gapless number from 0 within each shard.
+    """df with slot: a gapless number from 0 within each shard; a column that is already called slot is replaced.
 
     A shard is cut into cells by a hash of the order columns; rows are numbered within their cell and moved up by the
     counts of the cells before it. So no task holds a whole shard, and the window over counts has cells rows a shard.
     Rows alike in all order columns are interchangeable.
     """
+    cell, n, row, start = spare(df.columns, "cell", "n", "row", "start")
     digest = F.md5(F.concat_ws(":", F.lit("slot"), *[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in order]))
-    work = df.withColumn("__cell", F.pmod(F.conv(F.substring(digest, 1, 6), 16, 10).cast("int"), F.lit(cells)))
-    counts = work.groupBy(shard_col, "__cell").agg(F.count("*").alias("__n"))
-    starts = counts.selectExpr(shard_col, "__cell", f"sum(__n) over (partition by {shard_col} order by __cell) - __n as __start")
-    number = F.expr(f"row_number() over (partition by {shard_col}, __cell order by {', '.join(order)})")
-    return work.withColumn("__row", number).join(starts, [shard_col, "__cell"]).withColumn("slot", (F.col("__start") + F.col("__row") - 1).cast("long")).drop("__cell", "__row", "__start")
+    work = df.withColumn(cell, F.pmod(F.conv(F.substring(digest, 1, 6), 16, 10).cast("int"), F.lit(cells)))
+    counts = work.groupBy(shard_col, cell).agg(F.count("*").alias(n))
+    starts = counts.selectExpr(shard_col, cell, f"sum({n}) over (partition by {shard_col} order by {cell}) - {n} as {start}")
+    number = F.expr(f"row_number() over (partition by {shard_col}, {cell} order by {', '.join(order)})")
+    return work.withColumn(row, number).join(starts, [shard_col, cell]).withColumn("slot", (F.col(start) + F.col(row) - 1).cast("long")).drop(cell, row, start)
 
 
 def shard_documents(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,7 +1,12 @@
 """The pipeline's stages: columns, decisions and what they keep."""
 
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from lodestone.llm import queries
+from lodestone.llm import queries, sharding
 
 
 def test_stages_in_order_and_their_effect(spark):
@@ -23,5 +28,45 @@ def test_stages_in_order_and_their_effect(spark):
     assert len([1 for r in packed if r["piece"] == 0]) == len(mixed)
 
 
+NAMES = "row score size from source_size target copies draw rate spot same body word0 word1 at cid anchor home lang_pred accepted key y col n start cell region rack shard_ __size __spot __body __same __score __lang a.b piece length".split()
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    """Columns that are called as the operators' own ones come back with their values from every stage but the last, which does not read them."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("*", *[F.concat(F.lit(n), F.col("doc_id")).alias(n) for n in NAMES])
+    own = {r["doc_id"]: r for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, docs, "/root/testdata/sf0.001")
+        assert after.columns == docs.columns, name
+        rows = after.collect()
+        assert len(rows) > 100 and all(r == own[r["doc_id"]] for r in rows), name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() >= 200
+    tree = sharding.topology(4)
+    placed = sharding.with_slot(sharding.with_shard(docs, "doc_id", tree), ["doc_id"])
+    assert [tuple(r)[: len(docs.columns)] for r in placed.orderBy("doc_id").select(*[F.col(f"`{c}`") for c in docs.columns]).collect()] == [tuple(own[i]) for i in sorted(own)]
+
+
+def test_tables_of_a_run_go(spark):
+    from lodestone.llm.common import release, scratch, shared_path
+
+    spark.range(3).write.parquet(shared_path(spark, "left"))
+    here = scratch(spark).removeprefix("file:").replace("//", "/")
+    assert os.listdir(here)
+    release(spark)
+    assert not os.path.exists(here)
+    assert os.path.isdir(scratch(spark).removeprefix("file:").replace("//", "/"))
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from lodestone.llm.common import shared_dir
+
+    class Session:
+        conf = type("C", (), {"get": staticmethod(lambda k, d: d)})
+        sparkContext = type("S", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(Session)
+
+
 def test_every_operator_is_registered_once():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
