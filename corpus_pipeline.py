@@ -10,21 +10,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import langid, mixing, packing, quality, simhash
-from lodestone.llm.common import written
+from lodestone.llm.common import remove, written
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text the quality classifier does not reject."""
     vectors = quality.word_vectors(docs)
     net = quality.fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), vectors)
-    scored = quality.score_quality(docs, vectors, net, name="__score")
-    return scored.where(F.col("__score") >= quality.KEEP_FROM).select(*docs.columns)
+    return quality.score_quality(docs, vectors, net).where(F.col("score") >= quality.KEEP_FROM).select("row.*")
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that lie near enough to a learned language; texts without a letter go."""
-    found = langid.identify(docs, langid.fit_languages(docs), names=("__lang", "__score", "__accepted"))
-    return found.where("__accepted").select(*docs.columns)
+    return langid.identify(docs, langid.fit_languages(docs)).where("accepted").select("row.*")
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,10 +53,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STAGES applied to documents, each result but the last written to the shared folder and reread."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """STAGES applied to documents, each result but the last written to the shared folder and reread; a stage's result goes once the next one's is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs, _ = written(docs, f"stage{k}")
+            docs, path = written(docs, f"stage{k}")
+            if before:
+                remove(spark, before)
+            before = path
     return docs
