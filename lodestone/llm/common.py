@@ -61,6 +61,19 @@ def remove(spark: SparkSession, *paths: str) -> None:
         files.delete(at, True)
 
 
+def rename_files(spark: SparkSession, source: str, target: str, ending: str, other: str) -> None:
+    """Move the files of a committed folder that end in ending to target, with another ending; target's _SUCCESS comes last."""
+    files, at = _at(spark, source)
+    _, to = _at(spark, target)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files.mkdirs(to)
+    for status in files.listStatus(at):
+        name = status.getPath().getName()
+        if name.endswith(ending):
+            files.rename(status.getPath(), path(to, name.removesuffix(ending) + other))
+    files.create(path(to, "_SUCCESS")).close()
+
+
 def release(spark: SparkSession) -> None:
     """Delete all intermediate tables of this application; results that still read them must have been written before."""
     remove(spark, scratch(spark))

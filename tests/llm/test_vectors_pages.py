@@ -3,6 +3,8 @@
 import base64
 import hashlib
 import math
+import os
+import zlib
 
 import numpy as np
 import pytest
@@ -99,10 +101,17 @@ def test_best_first_search_skips_leaves():
 PAGES = [(1, "u1", "<html>é\r\n\r\n</html>"), (2, "u\r\n2", ""), (3, None, None), (4, "u4", "ab" * 30_000), (5, "u5", "ab" * 30_000), (6, "u6", "\r\n\r\nWARC/1.1\r\n"), (7, "u7", "x\r\n"), (7, "u7", "x\r\n"), (None, "u", "null id"), (None, "u", "x\r\n"), (9, "u9", "WARC/1.1\r\n\r\n" * 4000)]
 
 
-def test_warc_round_trip(spark):
-    pages = spark.createDataFrame([(*p, "clash", 1) for p in PAGES], "page_id long, url string, html string, payload string, row int").repartition(3)
-    path = shared_path(spark, "warc-test")
-    warc.write_warc(pages, path)
+def archive(spark, tag, pages, **more):
+    path = shared_path(spark, tag)
+    warc.write_warc(pages, path, **more)
+    return path, [f.path for f in os.scandir(path.removeprefix("file:").replace("//", "/")) if f.name.endswith(".warc.gz")]
+
+
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_warc_round_trip(spark, monkeypatch, most):
+    monkeypatch.setattr(warc, "MOST_BROADCAST", most)
+    pages = spark.createDataFrame([(*p, "clash", 1, "k") for p in PAGES], "page_id long, url string, html string, payload string, row int, kind string").repartition(3)
+    path, files = archive(spark, "warc-test", pages)
     got = warc.read_warc(spark, path).collect()
     body = lambda h: (h or "").encode()
     latest = {}
@@ -113,23 +122,56 @@ def test_warc_round_trip(spark):
     for i, _, h in PAGES:
         first = latest.get(body(h))
         again = first is not None and i != first
-        want.append((i, len(body(h)), base64.b32encode(hashlib.sha1(body(h)).digest()).decode(), "revisit" if again else "response", first if again else None, True, None if again else body(h)))
-    assert sorted(((*r[:6], None if r[6] is None else bytes(r[6])) for r in got), key=repr) == sorted(want, key=repr)
-    assert {r["kind"] for r in warc.scan_warc(spark, path).select("kind").distinct().collect()} == {"response", "revisit", "continuation"}
+        want.append((i, len(body(h)), base64.b32encode(hashlib.sha1(body(h)).digest()).decode(), "revisit" if again else "response", first if again else None, None if again else body(h)))
+    assert sorted(((*r[:5], None if r[5] is None else bytes(r[5])) for r in got), key=repr) == sorted(want, key=repr)
+    # the archives by themselves: one gzip member a record, names that differ, and revisits of responses that are there
+    records = []
+    for file in files:
+        data = open(file, "rb").read()
+        while data:
+            one = zlib.decompressobj(31)
+            whole = one.decompress(data) + one.flush()
+            records += list(warc.records_of([(file, whole.removesuffix(warc.END))]))
+            data = one.unused_data
+    names = [r["record_id"] for r in records]
+    assert len(set(names)) == len(names) and {r["kind"] for r in records} == {"response", "revisit", "continuation"}
+    responses = {r["record_id"]: r["sha"] for r in records if r["kind"] == "response"}
+    assert all(responses[r["refers"]] == r["sha"] for r in records if r["kind"] == "revisit")
 
 
 def test_empty_archives(spark):
-    path = shared_path(spark, "warc-empty")
-    warc.write_warc(spark.createDataFrame([], "page_id long, url string, html string"), path)
+    path, _ = archive(spark, "warc-empty", spark.createDataFrame([], "page_id long, url string, html string"))
     assert warc.read_warc(spark, path).count() == 0
 
 
 def test_small_pages_need_no_revisits(spark):
-    path = shared_path(spark, "warc-small")
-    warc.write_warc(spark.createDataFrame([(1, "a", "x"), (2, "a", "x")], "page_id long, url string, html string"), path, least_revisit=2)
+    pages = spark.createDataFrame([(1, "a", "x"), (2, "a", "x")], "page_id long, url string, html string")
+    path, _ = archive(spark, "warc-small", pages, least_revisit=2)
     assert [r["record_type"] for r in warc.read_warc(spark, path).collect()] == ["response"] * 2
 
 
+@pytest.mark.parametrize("broken", ["digest", "response", "segment"])
+def test_broken_archives_raise(spark, broken):
+    pages = spark.createDataFrame([(1, "a", "x"), (2, "a", "x"), (3, "b", "long " * 9000)], "page_id long, url string, html string").coalesce(1)
+    path, (file,) = archive(spark, "warc-broken", pages)
+    data, records = open(file, "rb").read(), []
+    while data:
+        one = zlib.decompressobj(31)
+        records.append(one.decompress(data) + one.flush())
+        data = one.unused_data
+    if broken == "digest":
+        records = [r.replace(b"\r\nx\r\n0", b"\r\ny\r\n0") for r in records]
+    elif broken == "response":
+        records = [r for r in records if b"page:2:" not in r.split(b"WARC-Date")[0]]
+    else:
+        records = [r for r in records if b"Segment-Number: 2" not in r]
+    with open(file, "wb") as out:
+        out.write(b"".join(warc.member(r.removesuffix(warc.END)) + warc.LAST for r in records))
+    (crc := os.path.join(os.path.dirname(file), f".{os.path.basename(file)}.crc")) and os.path.exists(crc) and os.remove(crc)
+    with pytest.raises(Exception, match="digest is|not there|segments"):
+        warc.read_warc(spark, path).collect()
+
+
 @pytest.mark.parametrize("size", [0, 1, 4095, 4096, 4097, 10_000])
 def test_chunks(size):
     data = bytes(i % 251 for i in range(size))
@@ -140,7 +182,7 @@ def test_chunks(size):
 
 
 def test_records_that_end_early_raise():
-    record = warc.page_records(1, 0, "u", b"abc", None, False)[0]
+    record = warc.page_records(1, "0", "u", b"abc", None, "response")[0]
     assert len(list(warc.records_of([("f", record)]))) == 1
     with pytest.raises(ValueError):
         list(warc.records_of([("f", record[:-4])]))
