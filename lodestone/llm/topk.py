@@ -49,37 +49,37 @@ class Tree:
         self.points, self.ids = self.points[place], self.ids[place]
         self.low, self.high = np.array(lows), np.array(highs)
 
-    def search(self, query: np.ndarray, own: int | None, k: int, floor: float) -> list[tuple[float, int]]:
-        """The k best (score, id), ties to the smaller id, among points whose score reaches floor and whose id is not own."""
+    def search(self, query: np.ndarray, own: int | None, k: int, floor: float) -> list[tuple[int, int]]:
+        """The k best (score, id), ties to the smaller id, among points whose score reaches floor and whose id is not own. Scores are whole numbers of any size."""
         exact = self.reach * float(np.abs(query).max(initial=0.0)) * len(query) < EXACT
-        # a box cannot give more than its better corner on every axis; the margin covers sums beyond 2^53
-        bound = np.maximum(query, 0) @ self.high.T + np.minimum(query, 0) @ self.low.T
-        margin = 0.0 if exact else float(np.abs(bound).max()) * 1e-9
+        # a box cannot give more than its better corner on every axis; the margin covers sums beyond 2^53, and a bound beyond all doubles spares nothing
+        with np.errstate(over="ignore", invalid="ignore"):
+            bound = np.nan_to_num(np.maximum(query, 0) @ self.high.T + np.minimum(query, 0) @ self.low.T, nan=np.inf, neginf=-np.inf, posinf=np.inf)
+            margin = 0.0 if exact else float(np.abs(bound).max()) * 1e-9
+        mine = None if exact else [int(x) for x in query]
         heap, best = [(-bound[0], 0)], []
         while heap:
             top, node = heapq.heappop(heap)
             least = best[0][0] if len(best) == k else floor
-            if -top + margin < least:
+            if margin < np.inf and -top + margin < least:
                 break
             if kids := self.kids[node]:
                 for child in kids:
-                    if bound[child] + margin >= least:
+                    if margin == np.inf or bound[child] + margin >= least:
                         heapq.heappush(heap, (-bound[child], child))
                 continue
             a, b = self.spans[node]
             if exact:
                 scores = self.points[a:b] @ query
+                near = np.flatnonzero(scores >= least).tolist()
             else:
-                mine = [int(x) for x in query]
                 scores = [sum(p * q for p, q in zip(map(int, row), mine)) for row in self.points[a:b]]
+                near = [i for i, score in enumerate(scores) if score >= least]
             ids = self.ids[a:b]
-            near = np.flatnonzero(np.asarray(scores, np.float64) + margin >= least)
-            for i in near.tolist():
+            for i in near:
                 if own is not None and ids[i] == own:
                     continue
                 found = (scores[i], -int(ids[i]))
-                if found[0] < floor:
-                    continue
                 if len(best) < k:
                     heapq.heappush(best, found)
                 elif found > best[0]:
@@ -87,8 +87,18 @@ class Tree:
         return [(int(s), -i) for s, i in sorted(best, reverse=True)]
 
 
+MOST = (1 << 63) - 1
+#: Bytes that hold any score of doubles, moved up so that it is not negative.
+WIDE = 288
+
+
 def _long(score: int) -> int:
-    return max(-(1 << 63), min((1 << 63) - 1, score))
+    return max(~MOST, min(MOST, score))
+
+
+def _beyond(score: int) -> bytes | None:
+    """For a score beyond 64 bits a text of bytes that sorts as the score does, else nothing."""
+    return None if ~MOST < score < MOST else (score + (1 << (8 * WIDE - 1))).to_bytes(WIDE, "big")
 
 
 def _search(rows: DataFrame, k: int, leaf: int) -> DataFrame:
@@ -112,20 +122,20 @@ def _search(rows: DataFrame, k: int, leaf: int) -> DataFrame:
                     points, ids = [], []
                 if tree is not None:
                     for score, other in tree.search(np.frombuffer(vector, np.float64), name, k, -np.inf if floor is None else float(floor)):
-                        out.append((name, vector, other, _long(score)))
-            cols = list(zip(*out)) or [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.int64(), pa.int64()))], names=["id", "vector", "other", "score"])
+                        out.append((name, vector, other, _long(score), _beyond(score)))
+            cols = list(zip(*out)) or [[], [], [], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary()))], names=["id", "vector", "other", "score", "beyond"])
 
     parts = rows.repartition("shard").sortWithinPartitions("shard", "kind")
-    return parts.select("shard", "kind", "id", "vector", "floor").mapInArrow(run, "id long, vector binary, other long, score long")
+    return parts.select("shard", "kind", "id", "vector", "floor").mapInArrow(run, "id long, vector binary, other long, score long, beyond binary")
 
 
 def top_k(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 50, k: int = 5, scale: float = 256.0, shard_rows: int = 4096, leaf: int = 128) -> DataFrame:
     """Rows (query_id, rank, vec_id, score): for each row whose id is divisible by `every` its k best rows by integer inner product.
 
-    Components become floor(scale * x) with x as double. Null vectors and those with null or non-finite components take no part, nor do
+    Components become floor(scale * x) with x as double. Null vectors and those with null or non-finite components (also such as scale makes non-finite) take no part, nor do
     rows with a null id; vectors of another dimension than a query's are no candidates. A query's own rows are those with its id; repeated candidate rows each count; a
-    repeated query row is one query. Empty vectors score 0. Scores beyond 64 bits are held to their range. Other columns are not read.
+    repeated query row is one query. Empty vectors score 0. Scores beyond 64 bits are ranked as they are and then shown as the nearest 64-bit number. Other columns are not read.
 
     Shards hold about shard_rows rows by hash, so a tree fits a task. Each query first searches its home shard; its kth score there
     goes with it to all others, which return only rows that reach it. Queries stream past the trees in batches.
@@ -139,7 +149,7 @@ def top_k(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
             ends = np.cumsum([0, *(len(x) for x in lists)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([values[a:b].tobytes() for a, b in zip(ends, ends[1:])], pa.binary()), pa.array(np.diff(ends).astype(np.int32))], names=["id", "vector", "dim"])
 
-    ok = F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & finite(F.col(vector_col))
+    ok = F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & finite(F.transform(vector_col, lambda x: x.cast("double") * F.lit(float(scale))))
     rows = df.where(ok).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector")).mapInArrow(floors, "id long, vector binary, dim int")
     shards = max(1, -(-df.count() // shard_rows))
     place = F.struct("dim", F.pmod(F.xxhash64("id", "vector"), F.lit(shards)).cast("int").alias("part"))
@@ -147,9 +157,9 @@ def top_k(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
     queries = rows.where(F.pmod("id", F.lit(every)) == 0).distinct()
     asked = queries.select(place.alias("shard"), F.lit(1).alias("kind"), "id", "vector", F.lit(None).cast("long").alias("floor"))
     home = _search(points.unionByName(asked), k, leaf)
-    kth = home.groupBy("id", "vector").agg(F.when(F.count("*") >= k, F.min("score")).alias("floor"))
+    kth = home.groupBy("id", "vector").agg(F.when((F.count("*") >= k) & (F.min("score") > ~MOST), F.min("score")).alias("floor"))
     sent = queries.join(kth, ["id", "vector"], "left").withColumn("own", place["part"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).where("part <> own")
     sent = sent.select(F.struct("dim", "part").alias("shard"), F.lit(1).alias("kind"), "id", "vector", "floor")
     away = _search(points.unionByName(sent), k, leaf)
-    order = "row_number() over (partition by id, vector order by score desc, other) as rank"
+    order = "row_number() over (partition by id, vector order by score desc, beyond desc nulls first, other) as rank"
     return home.unionByName(away).selectExpr("id as query_id", order, "other as vec_id", "score").where(F.col("rank") <= k)

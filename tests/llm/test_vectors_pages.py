@@ -79,12 +79,26 @@ def test_top_k(spark, shard):
     cells = [(i, [math.floor(256 * x) for x in v]) for i, v, _ in rows if i is not None and usable(v)]
     want = set()
     for q, v in {(i, tuple(v)) for i, v in cells if i % 50 == 0}:
-        held = sorted(((max(-(1 << 63), min((1 << 63) - 1, sum(a * b for a, b in zip(v, w)))), i) for i, w in cells if i != q and len(w) == len(v)), key=lambda x: (-x[0], x[1]))[:5]
-        want |= {(q, k, i, s) for k, (s, i) in enumerate(held, 1)}
+        held = sorted(((sum(a * b for a, b in zip(v, w)), i) for i, w in cells if i != q and len(w) == len(v)), key=lambda x: (-x[0], x[1]))[:5]
+        want |= {(q, k, i, max(-(1 << 63), min((1 << 63) - 1, s))) for k, (s, i) in enumerate(held, 1)}
     assert {tuple(r) for r in got} == want
     assert topk.top_k(table(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("shard", [2, 4096])
+def test_scores_beyond_64_bits_rank_as_they_are(spark, shard):
+    sizes = [1e150, -1e150, 3e200, -3e200, 1e10, 2e10, 1.0, 0.0, -1e307, 1e307, 5e9]
+    rows = [(i, [x, 2 * x], 0) for i, x in enumerate(sizes)] + [(50, [1e200, 1e200], 0), (100, [-1e200, 7.0], 0)]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), shard_rows=shard, leaf=2).collect()
+    cells = [(i, [math.floor(256 * x) for x in v]) for i, v, _ in rows if all(math.isfinite(256 * x) for x in v)]
+    want = set()
+    for q, v in cells:
+        if q % 50 == 0:
+            held = sorted(((sum(a * b for a, b in zip(v, w)), i) for i, w in cells if i != q), key=lambda x: (-x[0], x[1]))[:5]
+            want |= {(q, k, i, max(-(1 << 63), min((1 << 63) - 1, s))) for k, (s, i) in enumerate(held, 1)}
+    assert {tuple(r) for r in got} == want and len(cells) == len(rows) - 2
+
+
 def test_best_first_search_skips_leaves():
     rng = np.random.default_rng(4)
     points = np.floor(256 * rng.normal(size=(4000, 3)))
