@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import forest, written
 from lodestone.llm.components import connected_components
 
+BLOCK_BYTES = 4 << 20
 SLACK = 1e-9  # more than the rounding of any double sum here
 
 
@@ -69,7 +70,7 @@ def vector_classes(rows: DataFrame) -> DataFrame:
     return classes.withColumn("dim", F.size("vector")).withColumn("cid", F.monotonically_increasing_id())
 
 
-def link_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.98, tile_rows: int = 2048) -> DataFrame:
+def link_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.98, tile_rows: int | None = None) -> DataFrame:
     """Rows (id, n_links, component_id, kept), one for each row of df.
 
     Vectors of equal non-null label and equal dimension link at cosine >= threshold in double precision. Null, empty and zero vectors and those with
@@ -78,13 +79,15 @@ def link_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     component that has another id. Repeated rows are links of each other. Other columns are not read.
 
     A label is cut into blocks of about tile_rows classes by hash, and every pair of blocks is one tile: a task's memory is
-    bounded whatever a label's share. A tile gives one row a linked class (partial link count, tile root), never its pairs.
+    bounded whatever a label's share. Unless given, tile_rows is what makes a block BLOCK_BYTES of doubles: a class is sent once to each of its label's blocks, so
+    large blocks save bytes. A tile gives one row a linked class (partial link count, tile root), never its pairs.
     """
     base = df.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector"), F.col(label_col).alias("label"))
     ok = F.col("label").isNotNull() & finite(F.col("vector")) & F.coalesce(F.exists("vector", lambda x: x != 0), F.lit(False))
     keyed = base.withColumn("key", F.when(ok, F.md5(F.col("vector").cast("string").cast("binary"))))
     classes, _ = written(vector_classes(keyed.where("key is not null")), "vectors")
-    blocks = classes.groupBy("label", "dim").agg(F.ceil(F.count("*") / tile_rows).cast("int").alias("blocks"))
+    most = F.lit(tile_rows) if tile_rows else F.greatest(F.lit(1024), F.floor(F.lit(BLOCK_BYTES) / (8 * F.col("dim"))))
+    blocks = classes.groupBy("label", "dim").agg(F.count("*").alias("classes")).select("label", "dim", F.ceil(F.col("classes") / most).cast("int").alias("blocks"))
     sided = classes.select("cid", "label", "dim", "vector", "n").join(blocks, ["label", "dim"]).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     dealt = sided.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "label", "dim", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "cid", "n", "vector"

@@ -38,7 +38,7 @@ def usable(v):
     return v is not None and all(x is not None and math.isfinite(x) for x in v)
 
 
-@pytest.mark.parametrize("tile", [40, 2048])
+@pytest.mark.parametrize("tile", [40, 2048, None])
 def test_links(spark, tile):
     rows = vectors()
     rows = [(i, None if v is None else [None if x is None else float(np.float32(x)) for x in v], l) for i, v, l in rows]
