@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import tokens, trigrams
@@ -53,41 +53,86 @@ def query_terms(queries: DataFrame, text_col: str = "text") -> DataFrame:
     return queries.select("query_id", F.explode(F.array_distinct(tokens(F.col(text_col)))).alias("term"))
 
 
+def _deleted(term: Column, times: int) -> Column:
+    """term and all texts that are left of it after up to `times` letters are taken out."""
+    out = step = F.array(term)
+    for _ in range(times):
+        step = F.array_distinct(F.flatten(F.transform(step, lambda t: F.when(F.length(t) > 0, F.transform(F.sequence(F.lit(1), F.length(t)), lambda i: F.concat(F.substr(t, F.lit(1), i - 1), F.substr(t, i + 1)))).otherwise(F.expr("cast(array() as array<string>)")))))
+        out = F.concat(out, step)
+    return F.array_distinct(out)
+
+
+#: Letters up to which a term's deletions are listed; there are as many as the square of its length.
+LISTED = 64
+
+
+def _pieces(text: str, size: Column, shift: Column, edits: int) -> Column:
+    """What stands, moved by shift, where a text of length size has its edits + 1 equal pieces."""
+    at = lambda i: F.floor(i * size / (edits + 1)).cast("int")
+    return F.transform(F.sequence(F.lit(0), F.lit(edits)), lambda i: F.struct(size.alias("size"), i.alias("i"), F.substr(F.col(text), at(i) + shift + 1, at(i + 1) - at(i)).alias("piece")))
+
+
+def edit_pairs(terms: DataFrame, vocabulary: DataFrame, max_distance: int) -> DataFrame:
+    """Rows (term, known, distance) of all terms and vocabulary words (known) within max_distance edits.
+
+    Two texts so near have a text in common that each becomes when up to max_distance letters are taken out. So both sides are
+    joined on equality of those, and only the pairs that meet are measured. A term of over LISTED letters is cut into max_distance + 1 pieces instead, one of which
+    no edit touches, so it stands in the word, moved by max_distance at most.
+    """
+    d = max_distance
+    asked = terms.where(F.length("term") <= LISTED).select("term", F.explode(_deleted(F.col("term"), d)).alias("rest"))
+    held = vocabulary.where(F.length("known") <= LISTED + d).select("known", F.explode(_deleted(F.col("known"), d)).alias("rest"))
+    cut = terms.where(F.length("term") > LISTED).select("term", F.explode(_pieces("term", F.length("term"), F.lit(0), d)).alias("rest"))
+    moved = F.flatten(F.transform(F.sequence(F.length("known") - d, F.length("known") + d), lambda size: F.flatten(F.transform(F.sequence(F.lit(-d), F.lit(d)), lambda shift: _pieces("known", size, shift, d)))))
+    long = vocabulary.where(F.length("known") > LISTED - d).select("known", F.explode(F.array_distinct(moved)).alias("rest"))
+    pairs = asked.join(held, "rest").select("term", "known").unionByName(cut.join(long, "rest").select("term", "known")).distinct()
+    return pairs.withColumn("distance", F.levenshtein("term", "known")).where(F.col("distance") <= d)
+
+
+def substring_pairs(hays: DataFrame, needles: DataFrame, hay: str = "hay", needle: str = "needle") -> DataFrame:
+    """Distinct rows (hay, needle) where the one holds the other; an empty needle is held by none.
+
+    Needles meet the hays that have their first three letters (or all, if they are shorter) somewhere, on equality; these pairs are then searched.
+    """
+    spots = lambda n: F.when(F.length(hay) >= n, F.transform(F.sequence(F.lit(1), F.length(hay) - n + 1), lambda i: F.substr(F.col(hay), i, F.lit(n)))).otherwise(F.expr("cast(array() as array<string>)"))
+    parts = hays.select(hay).distinct().select(hay, F.explode(F.array_distinct(F.concat(*[spots(n) for n in (1, 2, 3)]))).alias("gram"))
+    keyed = needles.select(needle).distinct().where(F.length(needle) > 0).withColumn("gram", F.substring(needle, 1, 3))
+    return parts.join(keyed, "gram").where(F.contains(hay, needle)).select(hay, needle)
+
+
 def typo_expansion(terms: DataFrame, vocabulary: DataFrame, max_distance: int = 2) -> DataFrame:
     """Rows (query_id, source, term, distance, weight): a known term stands for itself, any other for vocabulary terms
-    within max_distance edits, of weight 1 / (1 + distance).
-
-    Only different unknown terms are compared, each with vocabulary terms of a length that allows the distance.
+    within max_distance edits, of weight 1 / (1 + distance). Only different unknown terms are compared, see edit_pairs.
     """
     vocab = vocabulary.select(F.col("term").alias("known"))
     marked = terms.join(vocab, F.col("term") == F.col("known"), "left")
     kept = marked.where("known is not null").select("query_id", F.col("term").alias("source"), "term", F.lit(0).alias("distance"))
-    unknown = marked.where("known is null").select("term").distinct()
-    reach = F.explode(F.sequence(F.length("term") - max_distance, F.length("term") + max_distance))
-    near = unknown.select("term", reach.alias("size")).join(vocab.withColumn("size", F.length("known")), "size")
-    near = near.select("term", "known", F.levenshtein("term", "known").alias("distance")).where(F.col("distance") <= max_distance)
-    moved = marked.where("known is null").select("query_id", "term").join(near, "term").select("query_id", F.col("term").alias("source"), F.col("known").alias("term"), "distance")
+    unknown = marked.where("known is null")
+    near = edit_pairs(unknown.select("term").distinct(), vocab, max_distance)
+    moved = unknown.select("query_id", "term").join(near, "term").select("query_id", F.col("term").alias("source"), F.col("known").alias("term"), "distance")
     return kept.unionByName(moved).withColumn("weight", F.lit(1.0) / (F.col("distance") + 1))
 
 
-def bm25f_terms(queries: DataFrame, corpus: DataFrame, text_col: str = "text", params: Bm25f = Bm25f()) -> DataFrame:
-    """The explanation of every score: query_id, uuid, source, term, distance, weight, idf, tf, contribution."""
+def bm25f_terms(queries: DataFrame, corpus: DataFrame, text_col: str = "text", params: Bm25f = Bm25f(), pairs: DataFrame | None = None) -> DataFrame:
+    """The explanation of every score: query_id, uuid, source, term, distance, weight, idf, tf, contribution; with pairs (query_id, uuid) of those only, and
+    statistics are of the whole corpus all the same."""
     posted = postings(corpus)
     frequency = document_frequency(posted)
-    wanted = typo_expansion(query_terms(queries, text_col), frequency, params.max_distance)
+    wanted = typo_expansion(query_terms(queries, text_col), frequency, params.max_distance).join(frequency, "term")
     lengths = F.broadcast(field_lengths(corpus))
     tf_name = params.w_name * F.col("tf_name") / (1 - params.b_name + params.b_name * F.col("len_name") / F.col("avg_name"))
     tf_class = params.w_class * F.col("tf_class") / (1 - params.b_class + params.b_class * F.col("len_class") / F.col("avg_class"))
-    hits = wanted.join(frequency, "term").join(posted, "term").crossJoin(lengths)
+    hits = wanted.join(posted, "term") if pairs is None else wanted.join(pairs.select("query_id", "uuid"), "query_id").join(posted, ["uuid", "term"])
+    hits = hits.crossJoin(lengths)
     hits = hits.withColumn("idf", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))).withColumn("tf", tf_name + tf_class)
     return hits.withColumn("contribution", F.col("weight") * F.col("idf") * F.col("tf") / (params.k1 + F.col("tf"))).select(
         "query_id", "uuid", "source", "term", "distance", "weight", "idf", "tf", "contribution"
     )
 
 
-def bm25f_scores(queries: DataFrame, corpus: DataFrame, text_col: str = "text", params: Bm25f = Bm25f()) -> DataFrame:
-    """Rows (query_id, uuid, score) for every corpus row that shares a term; scores are rounded before anything is ranked by them."""
-    return bm25f_terms(queries, corpus, text_col, params).groupBy("query_id", "uuid").agg(F.round(F.sum("contribution"), 6).alias("score"))
+def bm25f_scores(queries: DataFrame, corpus: DataFrame, text_col: str = "text", params: Bm25f = Bm25f(), pairs: DataFrame | None = None) -> DataFrame:
+    """Rows (query_id, uuid, score) for every corpus row (or pair) that shares a term; scores are rounded before anything is ranked by them."""
+    return bm25f_terms(queries, corpus, text_col, params, pairs).groupBy("query_id", "uuid").agg(F.round(F.sum("contribution"), 6).alias("score"))
 
 
 def trigram_overlap(pairs: DataFrame, a: str, b: str) -> DataFrame:
@@ -100,23 +145,27 @@ def trigram_overlap(pairs: DataFrame, a: str, b: str) -> DataFrame:
 def regex_search(queries: DataFrame, corpus: DataFrame, text_col: str = "text") -> DataFrame:
     """Rows (query_id, uuid) where the query's pattern is found in name and classification, whatever the case.
 
-    Patterns are arbitrary, so all rows are looked at; distinct texts are searched once, and the queries are broadcast while they are few.
+    Patterns are arbitrary, so all texts are looked at; distinct texts are searched once for each distinct pattern, and the patterns are broadcast while they are few.
     """
-    texts = corpus.select(F.concat_ws(" ", "name", "classification").alias("hay")).distinct()
+    hay = F.concat_ws(" ", "name", "classification")
     asked = queries.select("query_id", F.concat(F.lit("(?i)"), F.col(text_col)).alias("pattern"))
-    found = texts.join(small(asked), F.expr("regexp_like(hay, pattern)"))
-    return corpus.select("uuid", F.concat_ws(" ", "name", "classification").alias("hay")).join(found, "hay").select("query_id", "uuid")
+    found = corpus.select(hay.alias("hay")).distinct().join(small(asked.select("pattern").distinct()), F.expr("regexp_like(hay, pattern)"))
+    return corpus.select("uuid", hay.alias("hay")).join(found, "hay").join(asked, "pattern").select("query_id", "uuid")
 
 
 def fuzzy_search(queries: DataFrame, corpus: DataFrame, text_col: str = "text") -> DataFrame:
     """Rows (query_id, uuid) where every query token is part of a name token or within 1 (4 to 7 letters) or 2 (8 and more) edits of one.
 
-    Tokens are matched with the vocabulary of names once; what follows are joins on equality and a count.
+    Distinct tokens are matched with the vocabulary of names, by substring_pairs and edit_pairs; what follows are joins on equality and a count. Queries of
+    one set of tokens are searched once.
     """
-    asked = queries.select("query_id", F.array_distinct(tokens(F.col(text_col))).alias("ts")).where(F.size("ts") > 0)
+    asked = queries.select("query_id", F.array_sort(F.array_distinct(tokens(F.col(text_col)))).alias("ts")).where(F.size("ts") > 0)
     named = corpus.select("uuid", F.explode(F.array_distinct(tokens(F.col("name")))).alias("word"))
-    allowed = F.when(F.length("t") >= 8, 2).when(F.length("t") >= 4, 1).otherwise(0)
-    words, wanted = named.select("word").distinct(), asked.select(F.explode("ts").alias("t")).distinct()
-    near = words.join(small(wanted), F.expr("contains(word, t)") | (F.levenshtein("word", "t") <= allowed))
-    hits = asked.select("query_id", F.size("ts").alias("need"), F.explode("ts").alias("t")).join(near, "t").join(named, "word")
-    return hits.groupBy("query_id", "uuid", "need").agg(F.count_distinct("t").alias("got")).where("got = need").select("query_id", "uuid")
+    words, sets = named.select(F.col("word").alias("known")).distinct(), asked.select("ts").distinct()
+    wanted = sets.select(F.explode("ts").alias("term")).distinct()
+    near = substring_pairs(words, wanted, "known", "term").select("term", "known")
+    for low, high, edits in ((4, 7, 1), (8, 1 << 30, 2)):
+        near = near.unionByName(edit_pairs(wanted.where(F.length("term").between(low, high)), words, edits).select("term", "known"))
+    hits = sets.select("ts", F.size("ts").alias("need"), F.explode("ts").alias("term")).join(near.distinct(), "term").join(named, F.col("known") == F.col("word"))
+    found = hits.groupBy("ts", "uuid", "need").agg(F.count_distinct("term").alias("got")).where("got = need")
+    return asked.join(found, "ts").select("query_id", "uuid")

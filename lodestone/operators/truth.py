@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import contains_either, join_key
-from lodestone.operators.sizes import small
+from lodestone.functions.text import join_key
+from lodestone.operators.lexical import substring_pairs
 
 
 def first_entries(entries: DataFrame, name_col: str = "name") -> DataFrame:
@@ -19,14 +19,17 @@ def scope_truth_join(scope: DataFrame, entries: DataFrame) -> DataFrame:
     """scope (name) with the ordinal and label of its entry and how it was found: exact, substring or none.
 
     Names are matched on their trimmed lower case first. Only names left over are compared by substring, either way round, with
-    distinct entry names; the entry of lowest ordinal wins.
+    distinct entry names, see substring_pairs; the entry of lowest ordinal wins.
     """
-    first = first_entries(entries)
+    first = first_entries(entries).select("key", "ordinal", "label")
     names = scope.withColumn("key", join_key(F.col("name")))
-    exact = names.join(first.select("key", "ordinal", "label"), "key", "left")
-    left_over = exact.where("ordinal is null").select("key").distinct()
-    near = left_over.join(small(first.select(F.col("key").alias("other"), F.col("ordinal").alias("o"), F.col("label").alias("l"))), contains_either(F.col("key"), F.col("other")))
-    near = near.where("key <> ''").groupBy("key").agg(F.min(F.struct("o", "l")).alias("n"))
+    exact = names.join(first, "key", "left")
+    left_over = exact.where("ordinal is null and key <> ''").select("key").distinct()
+    known = first.where("key <> ''").select(F.col("key").alias("other"))
+    inside = substring_pairs(left_over, known, "key", "other").unionByName(substring_pairs(known, left_over, "other", "key"))
+    empty = first.where("key = ''").select(F.struct(F.col("ordinal").alias("o"), F.col("label").alias("l")).alias("e"))
+    near = inside.join(first.withColumnRenamed("key", "other"), "other").select("key", F.struct(F.col("ordinal").alias("o"), F.col("label").alias("l")).alias("e"))
+    near = near.unionByName(left_over.join(F.broadcast(empty), F.lit(True))).groupBy("key").agg(F.min("e").alias("n"))
     out = exact.join(near, "key", "left")
     how = F.when(F.col("ordinal").isNotNull(), "exact").when(F.col("n").isNotNull(), "substring").otherwise("none")
     return out.select("name", F.coalesce("ordinal", "n.o").alias("ordinal"), F.coalesce("label", "n.l").alias("label"), how.alias("how"))
@@ -58,6 +61,7 @@ def with_acceptable(entries: DataFrame) -> DataFrame:
     return entries.withColumn("acceptable", F.when(filled, F.array_union("acceptable", F.array("correct_uuid"))).otherwise(F.array_distinct("acceptable")))
 
 
-def preview_entry(entries: DataFrame) -> DataFrame:
-    """The entry to preview: the first match, else the first."""
-    return entries.orderBy((F.col("label") == "match").desc(), "ordinal").limit(1)
+def acceptable_rows(marks: DataFrame, correct: DataFrame, key: str) -> DataFrame:
+    """The same union with truth as rows: distinct (key, uuid) of marks and of correct, where an empty id is none."""
+    filled = correct.where(F.col("uuid").isNotNull() & (F.col("uuid").cast("string") != ""))
+    return marks.select(key, "uuid").unionByName(filled.select(key, "uuid")).distinct()
