@@ -109,3 +109,8 @@ def filter_catalog(catalog: DataFrame, text: str, regex: bool = False) -> DataFr
 
     name = F.col("display_name")
     return catalog.where(regex_match(name, text) if regex else fuzzy_match(name, F.lit(text)))
+
+
+def select_visible(catalog: DataFrame, selected: DataFrame, text: str, regex: bool = False) -> DataFrame:
+    """The keys of a selection after "select all" on what a filter shows: those selected before and those visible."""
+    return selected.select("key").unionByName(filter_catalog(catalog, text, regex).select("key")).distinct()

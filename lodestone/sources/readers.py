@@ -9,6 +9,10 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.operators.lexical import Bm25f
+from lodestone.operators.ranking import CURVES, Fusion
+
+# Field names, stocks, languages and file names of the files that are read.
 CORPUS = "results array<struct<uuid: string, name: string, classification: string>>"
 ENTRY = (
     "struct<name: string, label: string, class: string, description: string, correct_uuid: string, acceptable_uuids: array<string>, host_categories: array<string>, host_types: array<string>, "
@@ -37,10 +41,12 @@ def read_corpus(spark: SparkSession, root: str, stock: str, lang: str) -> DataFr
     return rows.select("r.uuid", "r.name", "r.classification", F.col("ordinal").cast("long").alias("ordinal"))
 
 
-def read_truth(spark: SparkSession, path: str, fallback: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(entries with ordinal, header). The fallback is read where path is missing."""
-    if not exists(spark, path) and fallback:
-        path = fallback
+def read_truth(spark: SparkSession, path: str, fallback: str | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """(entries with ordinal, header). The fallback is read where path is missing; where both are, there are no entries and no header."""
+    path = next((x for x in (path, fallback) if x and exists(spark, x)), None)
+    if path is None:
+        entries = spark.createDataFrame([], f"ordinal int, e {ENTRY}")
+        return entries.select("ordinal", "e.*").withColumnRenamed("acceptable_uuids", "acceptable"), None
     whole = spark.read.schema(TRUTH).json(path, multiLine=True)
     entries = whole.select(F.posexplode("entries").alias("ordinal", "e")).select("ordinal", "e.*").withColumnRenamed("acceptable_uuids", "acceptable")
     return entries, whole.drop("entries")
@@ -63,6 +69,55 @@ def read_parameters(path: str, default: dict) -> tuple[dict, str]:
         return dict(default), f"default: {error}"
 
 
+CALIBRATED = ("bm25f", "semantic", "hybrid", "reranker")
+
+
+@dataclass(frozen=True)
+class Parameters:
+    """What the modes are tuned with: lexical and fusion parameters, confidence curves by mode (see ranking.calibrated), and where each came from."""
+
+    bm25: Bm25f = Bm25f()
+    fusion: Fusion = Fusion()
+    curves: dict = field(default_factory=lambda: dict(CURVES))
+    notes: dict = field(default_factory=dict)
+
+
+def _curve(found: dict) -> tuple | list:
+    """A curve from a fitted file: breakpoints x and y (steps), or slope a and offset b of a sigmoid."""
+    if "x" in found:
+        return sorted(zip(map(float, found["x"]), map(float, found["y"]), strict=True))
+    return float(found["a"]), float(found["b"])
+
+
+def load_parameters(root: str, stock: str, lang: str) -> Parameters:
+    """The parameters of a stock and language from bm25_params_v1.json, hybrid_params_*, confidence_{mode}_* and, for the lexical mode, calibration_* below root.
+
+    A missing file leaves the default; a broken one does too, and notes say so. Unknown names in a file are left out.
+    """
+    notes: dict[str, str] = {}
+
+    def tuned(name: str, default: object) -> object:
+        known = vars(default)
+        found, notes[name] = read_parameters(f"{root}/{name}", known)
+        try:
+            return type(default)(**{k: type(known[k])(v) for k, v in found.items() if k in known})
+        except (TypeError, ValueError) as error:
+            notes[name] = f"default: {error}"
+            return default
+
+    curves = dict(CURVES)
+    names = [("bm25f", f"calibration_{stock}_{lang}.json")] + [(mode, f"confidence_{mode}_{stock}_{lang}.json") for mode in CALIBRATED]
+    for mode, name in names:
+        try:
+            curves[mode] = _curve(json.loads(Path(f"{root}/{name}").read_text()))
+            notes[name] = ""
+        except FileNotFoundError:
+            notes[name] = "default"
+        except (ValueError, KeyError, TypeError) as error:
+            notes[name] = f"default: {error}"
+    return Parameters(tuned("bm25_params_v1.json", Bm25f()), tuned(f"hybrid_params_{stock}_{lang}.json", Fusion()), curves, notes)
+
+
 def read_ladder(spark: SparkSession, path: str, lang: str) -> DataFrame:
     """Rows (mode, step, label, mrr) of the record of lang; nothing when there is none."""
     rows = spark.read.schema(LADDER).json(path, multiLine=True).where(F.col("lang") == lang)

@@ -7,6 +7,8 @@ leaves nulls and its message for its rows, so that the ranking can fall back.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import TimeoutError as FutureTimeout
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -18,23 +20,37 @@ Embed = Callable[[Sequence[str]], Sequence[Sequence[float]]]
 Rerank = Callable[[str, Sequence[str]], Sequence[float]]
 
 
-def with_vectors(queries: DataFrame, make: Callable[[], Embed], text_col: str = "text") -> DataFrame:
-    """queries (query_id, text) with v and error. Each different text is sent once and joined back."""
+def limited(call: Callable[[], object], milliseconds: int) -> object:
+    """The result of call, or TimeoutError after so many milliseconds; a call that hangs is left behind in its thread."""
+    pool = ThreadPoolExecutor(1)
+    try:
+        return pool.submit(call).result(milliseconds / 1000)
+    except FutureTimeout:
+        raise TimeoutError(f"no answer within {milliseconds} ms") from None
+    finally:
+        pool.shutdown(wait=False)
+
+
+def with_vectors(queries: DataFrame, make: Callable[[], Embed], text_col: str = "text", milliseconds: int = EMBEDDING_MS, at_once: int = 32) -> DataFrame:
+    """queries (query_id, text) with v and error. Each different text is sent once, at_once texts a call, and joined back; each call has the time limit."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         embed = make()
-        for batch in batches:
-            try:
-                yield batch.assign(v=[list(map(float, x)) for x in embed(batch["text"].tolist())], error=None)
-            except Exception as error:  # noqa: BLE001  the service's failure is data here
-                yield batch.assign(v=None, error=str(error))
+        for whole in batches:
+            for at in range(0, len(whole), at_once):
+                batch = whole.iloc[at : at + at_once]
+                texts = batch["text"].tolist()
+                try:
+                    yield batch.assign(v=[list(map(float, x)) for x in limited(lambda texts=texts: embed(texts), milliseconds)], error=None)
+                except Exception as error:  # noqa: BLE001  the service's failure is data here
+                    yield batch.assign(v=None, error=str(error))
 
     texts = queries.select(F.col(text_col).alias("text")).where("text is not null").distinct().mapInPandas(run, "text string, v array<double>, error string")
     return queries.join(texts.withColumnRenamed("text", text_col), text_col, "left")
 
 
-def with_logits(pairs: DataFrame, make: Callable[[], Rerank]) -> DataFrame:
-    """Rows (query_id, uuid, logit, error) for pairs (query_id, text, uuid, document), one call a query.
+def with_logits(pairs: DataFrame, make: Callable[[], Rerank], milliseconds: int = RERANK_MS) -> DataFrame:
+    """Rows (query_id, uuid, logit, error) for pairs (query_id, text, uuid, document), one call a query within the time limit.
 
     pairs are heads of ranked lists, so a query's rows are few. A wrong number of logits counts as a failure.
     """
@@ -42,7 +58,7 @@ def with_logits(pairs: DataFrame, make: Callable[[], Rerank]) -> DataFrame:
     def run(group: pd.DataFrame) -> pd.DataFrame:
         out = group[["query_id", "uuid"]].assign(logit=None, error=None)
         try:
-            found = make()(group["text"].iloc[0], group["document"].tolist())
+            found = limited(lambda: make()(group["text"].iloc[0], group["document"].tolist()), milliseconds)
             if len(found) != len(group):
                 raise ValueError(f"{len(found)} logits for {len(group)} rows")
             return out.assign(logit=[float(x) for x in found])
@@ -55,7 +71,7 @@ def with_logits(pairs: DataFrame, make: Callable[[], Rerank]) -> DataFrame:
 def available(make: Callable[[], Embed]) -> bool:
     """Whether the service answers one short text."""
     try:
-        return len(make()(["probe"])) == 1
+        return len(limited(lambda: make()(["probe"]), EMBEDDING_MS)) == 1
     except Exception:  # noqa: BLE001
         return False
 

@@ -2,21 +2,46 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def swapped(spark: SparkSession, path: str, write: Callable[[str], None]) -> None:
+    """Let write fill a folder beside path, then put it in path's place.
+
+    A write that fails leaves what path held. Between the two renames path is missing for a moment, and the old folder then still stands beside
+    it, so nothing is lost when the driver ends there.
+    """
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    tag = uuid.uuid4().hex
+    new, old, here = at(f"{path}.new-{tag}"), at(f"{path}.old-{tag}"), at(path)
+    files = here.getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        write(str(new.toString()))
+    except BaseException:
+        files.delete(new, True)
+        raise
+    if files.exists(here) and not files.rename(here, old):
+        raise OSError(f"cannot move {path} away")
+    if not files.rename(new, here):
+        raise OSError(f"cannot move the new records to {path}")
+    files.delete(old, True)
+
+
 def write_records(records: DataFrame, path: str) -> None:
-    """One JSON record a line; Spark's commit replaces the folder as a whole or not at all."""
-    records.select(F.col("record").alias("value")).write.mode("overwrite").text(path)
+    """One JSON record a line, see swapped."""
+    swapped(records.sparkSession, path, lambda to: records.select(F.col("record").alias("value")).write.text(to))
 
 
 def write_back(records: DataFrame, targets: DataFrame, path: str) -> None:
-    """(revit_id, parameter) of every record whose target is not read-only."""
+    """(revit_id, parameter) of every record whose target is not read-only, see swapped."""
     open_targets = targets.where(~F.coalesce("read_only", F.lit(False))).select("revit_id")
-    records.join(open_targets, "revit_id", "left_semi").select("revit_id", F.col("record").alias("parameter")).write.mode("overwrite").parquet(path)
+    kept = records.join(open_targets, "revit_id", "left_semi").select("revit_id", F.col("record").alias("parameter"))
+    swapped(records.sparkSession, path, kept.write.parquet)
 
 
 def write_report(path: str, html: str, markdown: str) -> str:
