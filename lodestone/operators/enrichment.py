@@ -7,12 +7,22 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.text import blank_to, translated_path
 
-# The fields in the order in which they are added, the best set, and those that are noise.
+# The fields in the order in which they are added, the order in which a ladder adds them, the best set, and those that are noise.
 FIELDS = ("class", "description", "concrete_grade", "structural_class", "host_categories", "density", "thermal_conductivity", "host_types")
+LADDER_ORDER = ("class", "description", "concrete_grade", "structural_class", "host_categories", "density", "thermal_conductivity", "host_types")
 BEST = ("class", "description", "concrete_grade", "structural_class")
 NOISE = ("density", "thermal_conductivity", "host_types")
 
 
+def ladder(fields: tuple[str, ...] | list[str]) -> list[tuple[str, list[str], bool]]:
+    """(label, fields, whether the last one is noise) of cumulative field sets: the name alone, then each chosen field more, in LADDER_ORDER."""
+    out, held = [("name", [], False)], []
+    for field in (f for f in LADDER_ORDER if f in fields):
+        held = [*held, field]
+        out.append((field, held, field in NOISE))
+    return out
+
+
 def enriched_query(name: Column, fields: list[str], columns: dict[str, Column]) -> Column:
     """The name and the filled fields after it, in the order of FIELDS whatever order they are given in; unknown fields are left out."""
     chosen = [f for f in FIELDS if f in fields and f in columns]
@@ -35,11 +45,12 @@ def host_string(categories: Column, types: Column) -> Column:
     return F.when((cats != "") & (kinds != ""), F.concat(cats, F.lit(" ("), kinds, F.lit(")"))).otherwise(F.concat(cats, kinds))
 
 
-def preview(entries: DataFrame, fields: list[str], columns: dict[str, Column]) -> DataFrame:
-    """The enriched text of the first match (else the first entry), and whether any field was added."""
+def preview(entries: DataFrame, fields: list[str], columns: dict[str, Column], applied: list[str] | None = None) -> DataFrame:
+    """The enriched text of the first match (else the first entry), whether any field was added, and whether it is stale: the last run, if any, applied other fields."""
     first = entries.orderBy((F.col("label") == "match").desc(), "ordinal").limit(1)
     text = enriched_query(F.col("name"), fields, columns)
-    return first.select("ordinal", "name", text.alias("preview"), (text != F.trim("name")).alias("added"))
+    stale = applied is not None and set(applied) != set(fields)
+    return first.select("ordinal", "name", text.alias("preview"), (text != F.trim("name")).alias("added"), F.lit(stale).alias("stale"))
 
 
 def merged_items(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -13,25 +13,39 @@ BINS = ("1", "2-3", "4-5", "6-10", ">10", "miss")
 Z = 1.959963984540054
 
 
+def graded(rows: DataFrame, truth: DataFrame) -> DataFrame:
+    """The relevant ones of rows (query_id, uuid, rank, ...) with grade: 2 for the correct row, 1 for other acceptable ones. truth: query_id, correct_uuid, acceptable (an array)."""
+    marks = truth.select("query_id", F.explode("acceptable").alias("uuid"), "correct_uuid").distinct()
+    grade = F.when(F.col("uuid") == F.col("correct_uuid"), 2).otherwise(1)
+    return rows.join(marks, ["query_id", "uuid"]).withColumn("grade", grade).drop("correct_uuid")
+
+
 def per_query(rows: DataFrame, truth: DataFrame, modes: list[str], cut: int = 10) -> DataFrame:
-    """One row per (mode of modes, query of truth) with the ranks of its hits.
+    """One row per (mode of modes, query of truth) with the ranks of its hits; truth holds its acceptable rows as arrays, see graded."""
+    holds = F.coalesce(F.array_contains("acceptable", F.col("correct_uuid")), F.lit(False))
+    counted = truth.withColumn("n_acceptable", F.size(F.array_distinct("acceptable"))).withColumn("holds_correct", holds)
+    asked = counted.withColumn("mode", F.explode(F.array(*[F.lit(m) for m in modes])))
+    return from_hits(graded(rows, truth), asked, ["mode"], cut)
+
 
-    rows: mode, query_id, uuid, rank. truth: query_id, label, class, correct_uuid, acceptable. A query without
-    candidates or hits has null ranks. The gain of grade g is 2^g - 1, with grade 2 for the correct row and 1 for other acceptable ones.
+def from_hits(hits: DataFrame, asked: DataFrame, keys: list[str], cut: int = 10) -> DataFrame:
+    """One row per row of asked (*keys, query_id, label, class, n_acceptable, holds_correct) with hit_rank, hit_rank_correct and ndcg.
+
+    hits: *keys, query_id, rank, grade of relevant rows only. A query without candidates or hits has null ranks. The gain of grade g is 2^g - 1, and
+    the ideal order has the correct row first. Truth as rows needs no array of a query's acceptable rows anywhere.
     """
-    marks = truth.select("query_id", F.explode("acceptable").alias("uuid"), "correct_uuid")
-    hits = rows.join(marks, ["query_id", "uuid"]).groupBy("mode", "query_id").agg(
+    best = hits.groupBy(*keys, "query_id").agg(
         F.min("rank").alias("hit_rank"),
-        F.min(F.when(F.col("uuid") == F.col("correct_uuid"), F.col("rank"))).alias("hit_rank_correct"),
-        F.sum(F.when(F.col("rank") <= cut, F.when(F.col("uuid") == F.col("correct_uuid"), 3.0).otherwise(1.0) / F.log2(F.col("rank") + 1.0))).alias("dcg"),
+        F.min(F.when(F.col("grade") == 2, F.col("rank"))).alias("hit_rank_correct"),
+        F.sum(F.when(F.col("rank") <= cut, F.when(F.col("grade") == 2, 3.0).otherwise(1.0) / F.log2(F.col("rank") + 1.0))).alias("dcg"),
     )
-    graded = truth.withColumn("others", F.size("acceptable") - F.when(F.col("correct_uuid").isNotNull() & F.array_contains("acceptable", F.col("correct_uuid")), 1).otherwise(0))
-    first = F.when(F.size("acceptable") > F.col("others"), 1).otherwise(0)
-    spots = F.when(F.col("others") > 0, F.sequence(F.lit(1), F.least(F.col("others"), F.lit(cut) - first))).otherwise(F.expr("cast(array() as array<int>)"))
+    first = F.when(F.col("holds_correct"), 1).otherwise(0)
+    others = F.col("n_acceptable") - first
+    spots = F.when(others > 0, F.sequence(F.lit(1), F.least(others, F.lit(cut) - first).cast("int"))).otherwise(F.expr("cast(array() as array<int>)"))
     ideal = first * 3.0 + F.aggregate(F.transform(spots, lambda i: 1.0 / F.log2(i + first + 1.0)), F.lit(0.0), lambda s, x: s + x)
-    base = graded.withColumn("ideal", ideal).withColumn("mode", F.explode(F.array(*[F.lit(m) for m in modes]))).join(hits, ["mode", "query_id"], "left")
+    base = asked.withColumn("ideal", ideal).join(best, [*keys, "query_id"], "left")
     ndcg = F.when(F.col("ideal") > 0, F.round(F.coalesce("dcg", F.lit(0.0)) / F.col("ideal"), 6)).otherwise(0.0)
-    return base.select("mode", "query_id", "label", "class", "hit_rank", "hit_rank_correct", ndcg.alias("ndcg"))
+    return base.select(*keys, "query_id", "label", "class", "hit_rank", "hit_rank_correct", ndcg.alias("ndcg"))
 
 
 def matched(rows: DataFrame) -> DataFrame:
@@ -64,12 +78,15 @@ def wilson(hits: Column, n: Column) -> tuple[Column, Column, Column]:
 
 
 def wilson_recall(rows: DataFrame) -> DataFrame:
-    """Per mode and cut-off: hits, denom, share, low, high."""
-    wide = recall(rows)
-    cells = ", ".join(f"{k}, r{k}" for k in CUTS)
-    long = wide.selectExpr("mode", "denom", f"stack({len(CUTS)}, {cells}) as (k, hits)")
+    """Per mode, kind (acceptable, exact) and cell (r1 to r20, rall): hits, denom, share, low, high."""
+    names = [f"r{k}" for k in CUTS] + ["rall"]
+    cells = ", ".join(f"'{c}', {c}" for c in names)
+    long = None
+    for kind, column in (("acceptable", "hit_rank"), ("exact", "hit_rank_correct")):
+        mine = recall(rows, column).selectExpr("mode", f"'{kind}' as kind", "denom", f"stack({len(names)}, {cells}) as (cell, hits)")
+        long = mine if long is None else long.unionByName(mine)
     share, low, high = wilson(F.col("hits"), F.col("denom"))
-    return long.select("mode", "k", "hits", "denom", share.alias("share"), low.alias("low"), high.alias("high"))
+    return long.select("mode", "kind", "cell", "hits", "denom", share.alias("share"), low.alias("low"), high.alias("high"))
 
 
 def rank_bin(rank: Column) -> Column:
@@ -107,7 +124,11 @@ def hits_misses(rows: DataFrame, k: int = 5) -> DataFrame:
     return out.select("mode", "query_id", "hit_rank", "part", F.row_number().over(w).alias("place"))
 
 
+def hit_mark(correct: Column, acceptable: Column) -> Column:
+    """Two marks for the correct row, one for another acceptable row, else nothing; null counts as false."""
+    return F.when(F.coalesce(correct, F.lit(False)), "**").when(F.coalesce(acceptable, F.lit(False)), "*").otherwise("")
+
+
 def hit_marker(uuid: Column, correct: Column, acceptable: Column) -> Column:
-    """Two marks for the correct row, one for another acceptable row; an empty id never matches."""
-    filled = uuid.isNotNull() & correct.isNotNull()
-    return F.when(filled & (uuid == correct), "**").when(F.coalesce(F.array_contains(acceptable, uuid), F.lit(False)), "*").otherwise("")
+    """hit_mark of a row against a correct id and an array of acceptable ones; an empty id never matches."""
+    return hit_mark(uuid == correct, F.array_contains(acceptable, uuid))

@@ -5,8 +5,14 @@ A DataFrame has no order, so rank is a column. Scores are rounded before they ar
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestone.operators.sizes import MOST_ROWS
 
@@ -18,26 +24,68 @@ MOST_CONFIDENT = 0.97
 CURVES = {"bm25f": (0.6, -1.5), "semantic": (8.0, -2.0), "hybrid": (6.0, -3.0), "reranker": (1.0, 0.0)}
 
 
+@dataclass(frozen=True)
+class Fusion:
+    """Parameters of the fused modes; pool is asymmetric (only fuzzy survivors have a lexical rank) or symmetric (the whole corpus has)."""
+
+    k: int = RRF_K
+    w_bm25: float = 1.0
+    w_sem: float = 1.0
+    pool: str = "asymmetric"
+
+
 def dot(a: str | Column, b: str | Column) -> Column:
     """Inner product in double precision; of unit vectors the cosine."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def score_vectors(queries: DataFrame, corpus: DataFrame, most_broadcast: int = 200_000) -> DataFrame:
-    """Rows (query_id, uuid, score) of every query with every corpus row: queries (query_id, v), corpus (uuid, v).
+def score_vectors(queries: DataFrame, corpus: DataFrame, k: int | None = None, most_broadcast: int = 20_000) -> DataFrame:
+    """Rows (query_id, uuid, score) of every query with every corpus row that has as many components: queries (query_id, v), corpus (uuid, v); with k only rows that can be
+    among a query's k best. Rows without a vector are left out.
 
-    Comparing a stated query set with all rows is the operator itself. The query side is counted: a small one is
-    broadcast to a scan of the corpus, a larger one is cut into blocks that meet each corpus partition in turn.
+    Comparing a stated query set with all rows is the operator itself. The query side is counted: up to most_broadcast queries
+    are sent to the tasks as a matrix, and each batch of the corpus gives one matrix product; with k a batch gives no more than k rows a query. A larger query side is cut into blocks that meet each
+    corpus partition in turn.
     """
-    asked, rows = queries.select("query_id", F.col("v").alias("__q")), corpus.select("uuid", F.col("v").alias("__c"))
+    spark = queries.sparkSession
+    asked, rows = queries.select("query_id", "v").where("v is not null"), corpus.select("uuid", "v").where("v is not null")
     n = asked.count()
-    blocks = -(-n // most_broadcast)
-    if blocks <= 1:
-        pairs = rows.crossJoin(F.broadcast(asked))
-    else:
-        asked = asked.withColumn("__b", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-        pairs = rows.withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>"))).join(asked, "__b")
-    return pairs.select("query_id", "uuid", F.round(dot("__q", "__c"), 6).alias("score"))
+    if n > most_broadcast:
+        blocks = -(-n // most_broadcast)
+        asked = asked.select("query_id", F.col("v").alias("q"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("b"))
+        pairs = rows.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>"))).join(asked, "b").where(F.size("q") == F.size("v"))
+        return pairs.select("query_id", "uuid", F.round(dot("q", "v"), 6).alias("score"))
+    by_size: dict[int, tuple[list, list]] = {}
+    for row in asked.collect():
+        ids, vectors = by_size.setdefault(len(row["v"]), ([], []))
+        ids.append(row["query_id"])
+        vectors.append(row["v"])
+    kind, own = asked.schema["query_id"].dataType, rows.schema["uuid"].dataType
+    sent = spark.sparkContext.broadcast({d: (np.array(ids), np.array(vectors, np.float64)) for d, (ids, vectors) in by_size.items()})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            sizes = np.diff(lists.offsets.to_numpy())
+            flat, ends = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64), np.cumsum([0, *sizes])
+            for size, (ids, matrix) in sent.value.items():
+                mine = np.flatnonzero(sizes == size)
+                if not len(mine):
+                    continue
+                x = flat[(ends[mine][:, None] + np.arange(size)).ravel()].reshape(len(mine), size)
+                names = batch.column(0).take(pa.array(mine))
+                step = max(1, (1 << 20) // len(mine))
+                for at in range(0, len(ids), step):
+                    scores = np.round(matrix[at : at + step] @ x.T, 6) + 0.0
+                    if k is None or k >= len(mine):
+                        q, c = np.divmod(np.arange(scores.size), len(mine))
+                    else:  # ties with the kth stay, as ids decide among them later
+                        least = np.partition(scores, len(mine) - k, axis=1)[:, len(mine) - k]
+                        q, c = np.nonzero(scores >= least[:, None])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + step][q]), names.take(pa.array(c)), pa.array(scores[q, c])], names=["query_id", "uuid", "score"])
+
+    schema = T.StructType([T.StructField("query_id", kind), T.StructField("uuid", own), T.StructField("score", T.DoubleType())])
+    return rows.mapInArrow(run, schema)
 
 
 def ranked(scored: DataFrame, *keys: str, k: int | None = None) -> DataFrame:
@@ -64,28 +112,29 @@ def rrf(left: DataFrame, right: DataFrame, k: int = RRF_K, w_left: float = 1.0,
     return fused.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("raw"), "uuid")))
 
 
-def calibrated(score: Column, mode: str, curves: dict[str, tuple[float, float]] = CURVES) -> Column:
-    """The mode's sigmoid of a raw score, at most MOST_CONFIDENT."""
-    a, b = curves[mode]
-    return F.round(F.least(F.lit(MOST_CONFIDENT), 1 / (1 + F.exp(-(F.lit(a) * score + F.lit(b))))), 6)
+def calibrated(score: Column, mode: str, curves: dict[str, tuple | list] = CURVES) -> Column:
+    """The mode's confidence of a raw score, at most MOST_CONFIDENT: a sigmoid from (slope, offset), or fitted steps from a list of (from, value)."""
+    fitted = curves[mode]
+    value = stepped(score, fitted) if isinstance(fitted, list) else 1 / (1 + F.exp(-(F.lit(fitted[0]) * score + F.lit(fitted[1]))))
+    return F.round(F.least(F.lit(MOST_CONFIDENT), value), 6)
 
 
 def stepped(score: Column, points: list[tuple[float, float]]) -> Column:
-    """Piecewise constant calibration: the value of the last breakpoint that score reaches."""
-    out = F.lit(points[0][1])
+    """Piecewise constant calibration: the value of the last breakpoint that score reaches, the first one's below all."""
+    out = F.lit(float(min(points)[1]))
     for at, value in sorted(points):
-        out = F.when(score >= at, value).otherwise(out)
+        out = F.when(score >= at, float(value)).otherwise(out)
     return out
 
 
-def rerank(rows: DataFrame, logits: DataFrame, head: int = HEAD) -> DataFrame:
-    """rows (query_id, uuid, score, rank) with the first `head` of each query put in order of logit.
+def rerank(rows: DataFrame, logits: DataFrame, head: int = HEAD, keys: tuple[str, ...] = ("query_id",)) -> DataFrame:
+    """rows (*keys, uuid, score, rank) with the first `head` of each query put in order of logit.
 
-    logits: query_id, uuid, logit. A query whose head is not wholly scored keeps its first order (fallback true). The tail keeps
+    logits: *keys, uuid, logit. A query whose head is not wholly scored keeps its first order (fallback true). The tail keeps
     its place. Adds logit, rank_before, moved; rank is the new one.
     """
-    top = rows.where(F.col("rank") <= head).join(logits, ["query_id", "uuid"], "left")
-    own = Window.partitionBy("query_id")
+    top = rows.where(F.col("rank") <= head).join(logits.select(*keys, "uuid", "logit"), [*keys, "uuid"], "left")
+    own = Window.partitionBy(*keys)
     top = top.withColumn("fallback", F.count("logit").over(own) < F.count("*").over(own))
     by = F.when(F.col("fallback"), 0.0).otherwise(F.col("logit"))
     top = top.withColumn("new", F.row_number().over(own.orderBy(by.desc(), "rank")))

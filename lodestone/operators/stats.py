@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.operators.sizes import small
+
 # Resamples and seed of the bootstrap, thresholds of the verdicts.
 RESAMPLES, SEED = 1000, 42
 HELPS, HURTS, FLAT = 0.015, -0.015, 0.002
@@ -32,23 +34,43 @@ def mcnemar_matrix(rows: DataFrame, k: int = 1) -> DataFrame:
     hits = rows.where("label = 'match'").select("query_id", "mode", F.coalesce(F.col("hit_rank") <= k, F.lit(False)).alias("hit"))
     a, z = hits.selectExpr("query_id", "mode as mode_a", "hit as hit_a"), hits.selectExpr("query_id", "mode as mode_b", "hit as hit_b")
     pairs = a.join(z, "query_id").where("mode_a < mode_b").groupBy("mode_a", "mode_b").agg(F.count_if(F.col("hit_a") & ~F.col("hit_b")).alias("b"), F.count_if(F.col("hit_b") & ~F.col("hit_a")).alias("c"))
-    return pairs.withColumn("p", mcnemar(F.col("b"), F.col("c"))).withColumn("significant", F.col("p") < 0.05)
+    return pairs.withColumn("p", mcnemar(F.col("b"), F.col("c"))).withColumn("significant", F.col("p") < 0.05).withColumn("shown", shown_p(F.col("p")))
 
 
-def bootstrap_mean(rows: DataFrame, value: Column, resamples: int = RESAMPLES, seed: int = SEED) -> DataFrame:
-    """Per mode: point, low, high of a 95 % percentile interval of the mean of value.
+def bootstrap_means(rows: DataFrame, values: dict[str, Column], resamples: int = RESAMPLES, seed: int = SEED) -> DataFrame:
+    """Per mode and measure: point, low, high of a 95 % percentile interval of the mean of each of values.
 
-    Draw j of resample i is the query in place hash(seed, i, j) modulo n, so reruns and other engines draw alike. The draws are joined to
-    the queries by place and averaged by resample: resamples x queries rows, of which partial sums are shuffled.
+    Draw j of resample i is the query in place hash(seed, i, j) modulo n, so reruns and other engines draw alike. Modes with equally many queries share their
+    draws, which are counted by place, resamples x queries rows once for all modes and measures; the queries' values, few as a rule, are then broadcast
+    to the counts behind a check of their number, and sums by resample are partial.
     """
-    numbered = rows.select("mode", "query_id", value.cast("double").alias("x")).withColumn("place", F.row_number().over(Window.partitionBy("mode").orderBy("query_id")) - 1)
-    sizes = numbered.groupBy("mode").agg(F.count("*").alias("n"), F.avg("x").alias("point"))
+    names = list(values)
+    wide = rows.select("mode", "query_id", *[v.cast("double").alias(m) for m, v in values.items()])
+    sizes = wide.groupBy("mode").agg(F.count("*").alias("n"), *[F.avg(m).alias(f"point_{m}") for m in names])
+    numbered = wide.withColumn("place", F.row_number().over(Window.partitionBy("mode").orderBy("query_id")) - 1).join(sizes.select("mode", "n"), "mode")
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("i").cast("string"), F.col("j").cast("string")))
-    draws = sizes.select("mode", "n", F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("i")).select("mode", "n", "i", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("j"))
-    draws = draws.select("mode", "i", F.pmod(F.conv(F.substring(digest, 1, 12), 16, 10).cast("long"), F.col("n")).cast("int").alias("place"))
-    means = draws.join(numbered.select("mode", "place", "x"), ["mode", "place"]).groupBy("mode", "i").agg(F.avg("x").alias("m"))
-    bounds = means.groupBy("mode").agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
-    return sizes.join(bounds, "mode").select("mode", F.round("point", 6).alias("point"), F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
+    draws = sizes.select("n").distinct().select("n", F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("i")).repartition("n", "i").select("n", "i", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("j"))
+    draws = draws.select("n", "i", F.pmod(F.conv(F.substring(digest, 1, 12), 16, 10).cast("long"), F.col("n")).cast("int").alias("place")).groupBy("n", "i", "place").agg(F.count("*").alias("times"))
+    drawn = draws.join(small(numbered.drop("query_id")), ["n", "place"])
+    means = drawn.groupBy("mode", "i").agg(*[(F.sum(F.col("times") * F.col(m)) / F.sum("times")).alias(m) for m in names])
+    bounds = means.groupBy("mode").agg(*[F.percentile(m, F.lit(q)).alias(f"{side}_{m}") for m in names for side, q in (("low", 0.025), ("high", 0.975))])
+    cells = ", ".join(f"'{m}', round(point_{m}, 6), round(low_{m}, 6), round(high_{m}, 6)" for m in names)
+    return sizes.join(bounds, "mode").selectExpr("mode", f"stack({len(names)}, {cells}) as (measure, point, low, high)")
+
+
+def bootstrap_mean(rows: DataFrame, value: Column, resamples: int = RESAMPLES, seed: int = SEED) -> DataFrame:
+    """Per mode: point, low, high of one value's interval, see bootstrap_means."""
+    return bootstrap_means(rows, {"value": value}, resamples, seed).drop("measure")
+
+
+#: What the intervals of ranking quality are of.
+QUALITY = {"mrr": "hit_rank", "mrr_correct": "hit_rank_correct"}
+
+
+def ranking_intervals(rows: DataFrame, resamples: int = RESAMPLES) -> DataFrame:
+    """Bootstrap intervals of both reciprocal ranks and nDCG@10 per mode."""
+    values = {m: F.coalesce(1.0 / F.col(c), F.lit(0.0)) for m, c in QUALITY.items()} | {"ndcg10": F.col("ndcg")}
+    return bootstrap_means(rows, values, resamples)
 
 
 def mode_order(mode: Column) -> Column:
@@ -62,7 +84,7 @@ def mode_delta(summary: DataFrame, column: str) -> DataFrame:
 
 
 def ladder_steps(steps: DataFrame) -> DataFrame:
-    """steps (mode, step, label, mrr) with delta from step 0, marginal change and best (the first maximum)."""
+    """steps (mode, step, label, mrr, ...) with delta from step 0, marginal change and best (the first maximum)."""
     w = Window.partitionBy("mode").orderBy("step")
     out = steps.withColumn("delta", F.round(F.col("mrr") - F.first("mrr").over(w), 6)).withColumn("marginal", F.round(F.col("mrr") - F.lag("mrr").over(w), 6))
     return out.withColumn("best", F.row_number().over(Window.partitionBy("mode").orderBy(F.desc("mrr"), "step")) == 1)
@@ -89,4 +111,5 @@ def moved(delta: Column) -> Column:
 
 
 def shown_p(p: Column) -> Column:
-    return F.when(p < 0.001, "<.001").otherwise(F.format_string("%.3f", p))
+    """A p-value as a report shows it: three places, halves to even, and `<.001` below that."""
+    return F.when(p < 0.001, "<.001").otherwise(F.format_string("%.3f", F.bround(p, 3)))

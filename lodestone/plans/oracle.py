@@ -7,13 +7,15 @@ from lodestone.operators.stats import MODES
 
 WORDS = "'[a-z0-9]+'"
 
-ITEMS = """items AS (SELECT p_partkey AS uuid, p_name AS name, p_type || ' ' || p_brand AS classification, p_type AS class, p_brand AS brand, p_size AS size,
-  CAST(embedding AS DOUBLE[]) AS v, label AS cluster FROM part JOIN embeddings ON p_partkey = vec_id),
+ITEMS = """items AS (SELECT p_partkey AS uuid, p_name AS name, p_type || ' ' || p_brand AS classification, p_type AS class, p_brand AS brand, p_size AS size FROM part),
 corpus AS (SELECT * FROM items WHERE uuid % 10 <> 0),
 queries0 AS (SELECT *, uuid AS query_id, CAST(uuid % length(name) AS INT) AS spot FROM items WHERE uuid % 10 = 0),
 queries1 AS (SELECT *, CASE WHEN uuid % 20 = 0 THEN substr(name, 1, spot) || substr(name, spot + 2) ELSE name END AS text FROM queries0),
 queries AS (SELECT *, text || ' ' || class AS enriched FROM queries1)"""
 
+VECTORS = """held AS (SELECT vec_id AS uuid, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+qv AS (SELECT query_id, class, v FROM queries JOIN held USING (uuid)), cv AS (SELECT uuid, class, v FROM corpus JOIN held USING (uuid))"""
+
 TRUTH = """groups AS (SELECT name, list(uuid ORDER BY uuid) AS acceptable FROM corpus GROUP BY name),
 truth AS (SELECT query_id, CASE WHEN query_id % 70 = 0 THEN 'skipped' WHEN acceptable IS NOT NULL THEN 'match' ELSE 'no_match' END AS label, class,
   acceptable[1] AS correct_uuid, coalesce(acceptable, CAST([] AS BIGINT[])) AS acceptable FROM queries LEFT JOIN groups USING (name))"""
@@ -57,7 +59,7 @@ REGEX = "regex AS (SELECT q.query_id, c.uuid FROM queries q, corpus c WHERE rege
 def semantic(name: str, context: bool) -> str:
     score = "list_inner_product(q.v, c.v)"
     score = f"round(round({score}, 6) + CASE WHEN q.class = c.class THEN 0.05::DOUBLE ELSE 0 END, 6)" if context else f"round({score}, 6)"
-    return f"{name} AS (SELECT query_id, c.uuid, {score} AS score FROM queries q, corpus c)"
+    return f"{name} AS (SELECT query_id, c.uuid, {score} AS score FROM qv q, cv c)"
 
 
 def fuse(name: str, left: str, right: str) -> str:
@@ -67,16 +69,17 @@ def fuse(name: str, left: str, right: str) -> str:
 {name} AS (SELECT *, least(1.0::DOUBLE, round(raw / (2 / 61::DOUBLE), 6)) AS normalised, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, uuid) AS rank FROM {name}_b)"""
 
 
-def rerank(name: str, first: str) -> str:
-    """CTE {name} (query_id, uuid, score, rank, logit, rank_before, fallback, moved) from {first} (query_id, uuid, score, rank)."""
+def rerank(name: str, first: str, keys: str = "query_id", text: str = "q.text") -> str:
+    """CTE {name} ({keys}, uuid, score, rank, logit, rank_before, fallback, moved) from {first} ({keys}, uuid, score, rank)."""
     grams = "list_distinct(list_transform(range(1, length({0}) - 1), lambda i: substr(lower({0}), i, 3)))"
-    a, b = grams.format("q.text"), grams.format("c.name")
-    return f"""{name}_h AS (SELECT f.query_id, f.uuid, f.score, f.rank AS rank_before, CASE WHEN f.query_id % 130 <> 0 AND f.rank <= 20 THEN
+    a, b = grams.format(text), grams.format("c.name")
+    own = ", ".join(f"f.{k.strip()}" for k in keys.split(","))
+    return f"""{name}_h AS (SELECT {own}, f.uuid, f.score, f.rank AS rank_before, CASE WHEN f.query_id % 130 <> 0 AND f.rank <= 20 THEN
   round(4.0::DOUBLE * len(list_intersect({a}, {b})) / len(list_distinct(list_concat({a}, {b}))) - 2, 6) END AS logit
   FROM {first} f JOIN queries q USING (query_id) JOIN corpus c ON c.uuid = f.uuid),
-{name}_f AS (SELECT *, rank_before <= 20 AND count(logit) OVER (PARTITION BY query_id) < least(20, count(*) OVER (PARTITION BY query_id)) AS fallback FROM {name}_h),
+{name}_f AS (SELECT *, rank_before <= 20 AND count(logit) OVER (PARTITION BY {keys}) < least(20, count(*) OVER (PARTITION BY {keys})) AS fallback FROM {name}_h),
 {name} AS (SELECT *, rank_before - rank AS moved FROM (SELECT *, CASE WHEN rank_before > 20 THEN rank_before ELSE
-  row_number() OVER (PARTITION BY query_id, rank_before <= 20 ORDER BY CASE WHEN fallback THEN 0 ELSE logit END DESC, rank_before) END AS rank FROM {name}_f))"""
+  row_number() OVER (PARTITION BY {keys}, rank_before <= 20 ORDER BY CASE WHEN fallback THEN 0 ELSE logit END DESC, rank_before) END AS rank FROM {name}_f))"""
 
 
 def modes(context: bool = False, tag: str = "") -> str:
@@ -85,7 +88,7 @@ def modes(context: bool = False, tag: str = "") -> str:
     text = f"asked{t} AS (SELECT query_id, {'enriched' if context else 'text'} AS text FROM queries)"
     hits = lambda x: order(f"SELECT f.query_id, f.uuid, coalesce(l.score, 0) AS score FROM {x} f LEFT JOIN lex l USING (query_id, uuid)")
     pool = "SELECT l.* FROM lex l JOIN fuz0 USING (query_id, uuid)"
-    parts = [text, fuzzy(f"fuz{t}", f"asked{t}"), semantic(f"sem{t}", context), fuse(f"hyb{t}", pool, f"SELECT * FROM sem{t}")]
+    parts = [text, *([] if t else [VECTORS]), fuzzy(f"fuz{t}", f"asked{t}"), semantic(f"sem{t}", context), fuse(f"hyb{t}", pool, f"SELECT * FROM sem{t}")]
     parts += [f"hybm{t} AS (SELECT query_id, uuid, normalised AS score, rank FROM hyb{t})", f"semm{t} AS {order(f'SELECT * FROM sem{t}')}", rerank(f"hybr{t}", f"hybm{t}"), rerank(f"semr{t}", f"semm{t}")]
     pick = lambda m, src: f"SELECT '{m}' AS mode, query_id, uuid, score, rank FROM {src}"
     union = [pick("fuzzy", hits(f"fuz{t}")), pick("semantic", f"semm{t}"), pick("hybrid", f"hybm{t}"), pick("hybrid+rerank", f"hybr{t}"), pick("semantic+rerank", f"semr{t}")]

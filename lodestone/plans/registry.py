@@ -139,28 +139,25 @@ def rrf_normalised(r: Roles) -> DataFrame:
 
 @registered(over(BASE, "SELECT query_id, uuid, round(least(0.97::DOUBLE, 1 / (1 + exp(-(0.6::DOUBLE * score - 1.5)))), 6) AS confidence FROM lex"))
 def calibrated_score(r: Roles) -> DataFrame:
-    return r.lexical().select("query_id", "uuid", ranking.calibrated(F.col("score"), "bm25f").alias("confidence"))
+    return r.lexical().select("query_id", "uuid", ranking.calibrated(F.col("score"), "bm25f", r.parameters.curves).alias("confidence"))
 
 
-@registered(over(FULL, "SELECT query_id, uuid, CAST(rank_before AS INT) AS rank_before, CAST(rank AS INT) AS rank, logit, CAST(moved AS INT) AS moved FROM semr WHERE rank <= 25 AND query_id % 130 <> 0"))
+@registered(over(FULL, "SELECT query_id, uuid, CAST(rank_before AS INT) AS rank_before, CAST(rank AS INT) AS rank, logit, CAST(moved AS INT) AS moved FROM semr WHERE rank <= 25"))
 def rerank_head(r: Roles) -> DataFrame:
-    first = r.mode("semantic")
-    out = ranking.rerank(first, r.logits(first.where(F.col("rank") <= ranking.HEAD)))
-    return out.where("rank <= 25 and query_id % 130 <> 0").select("query_id", "uuid", "rank_before", "rank", "logit", "moved")
+    """The first 25 rows; the heads of queries whose logits fail stay in their order, without logits. Only those rows are ranked."""
+    first = ranking.ranked(r.semantic(k=25), k=25)
+    return r.reranked(first).select("query_id", "uuid", "rank_before", "rank", "logit", "moved")
 
 
 @registered(over(FULL, "SELECT query_id, bool_or(fallback) AS fallback, count(*) FILTER (moved <> 0) AS moved FROM hybr GROUP BY query_id"))
 def rerank_fallback(r: Roles) -> DataFrame:
-    first = r.mode("hybrid")
-    out = ranking.rerank(first, r.logits(first.where(F.col("rank") <= ranking.HEAD)))
+    out = r.reranked(r.mode("hybrid"))
     return out.groupBy("query_id").agg(F.bool_or("fallback").alias("fallback"), F.count_if(F.col("moved") != 0).alias("moved"))
 
 
 @registered(over(FULL, "SELECT count(*) AS failures, min(query_id) AS first_query, 'no logits for query ' || min(query_id) AS first_error FROM (SELECT query_id FROM semr GROUP BY query_id HAVING bool_or(fallback))"))
 def first_error(r: Roles) -> DataFrame:
-    first = r.mode("semantic")
-    out = ranking.rerank(first, r.logits(first.where(F.col("rank") <= ranking.HEAD)))
-    failed = out.where("fallback").select("query_id").distinct()
+    failed = r.reranked(ranking.ranked(r.semantic(k=ranking.HEAD), k=ranking.HEAD)).where("fallback").select("query_id").distinct()
     error = F.min_by(F.concat(F.lit("no logits for query "), F.col("query_id")), "query_id")
     return failed.agg(F.count("*").alias("failures"), F.min("query_id").alias("first_query"), error.alias("first_error"))
 
@@ -169,9 +166,9 @@ def first_error(r: Roles) -> DataFrame:
   CASE WHEN uuid = correct_uuid THEN '**' WHEN list_contains(acceptable, uuid) THEN '*' ELSE '' END AS mark, CAST(rank AS INT) AS rank
   FROM modes JOIN corpus USING (uuid) JOIN truth USING (query_id) WHERE rank <= 5 AND mode IN ('semantic', 'hybrid')"""))
 def candidate_cards(r: Roles) -> DataFrame:
-    rows = r.all_modes(("semantic", "hybrid")).where("rank <= 5").join(r.corpus.select("uuid", "name"), "uuid").join(r.truth, "query_id")
+    rows = r.graded(r.all_modes(("semantic", "hybrid")).where("rank <= 5"), only_hits=False).join(r.corpus.select("uuid", "name"), "uuid")
     shown = F.concat(numbers.percent(F.col("score")).cast("string"), F.lit("%"))
-    mark = metrics.hit_marker(F.col("uuid"), F.col("correct_uuid"), F.col("acceptable"))
+    mark = metrics.hit_mark(F.col("grade") == 2, F.col("grade") == 1)
     return rows.select("mode", "query_id", "uuid", text.truncated(F.col("name"), 8, "...").alias("title"), shown.alias("shown"), mark.alias("mark"), "rank")
 
 
@@ -212,7 +209,11 @@ def ndcg10(r: Roles) -> DataFrame:
     return metrics.matched(r.evaluated()).groupBy("mode").agg(F.round(F.avg("ndcg"), 6).alias("ndcg10"))
 
 
-@registered(over(FULL + f", w0 AS (SELECT mode, count(*) FILTER (label = 'match') AS denom, {CELLS} FROM pq GROUP BY mode), w1 AS (UNPIVOT w0 ON r1, r3, r5, r10, r20 INTO NAME cell VALUE hits), w2 AS (SELECT mode, CAST(substr(cell, 2) AS INT) AS k, hits, denom, hits / denom::DOUBLE AS p, 1.959963984540054::DOUBLE AS z FROM w1)", """SELECT mode, k, hits, denom, round(p, 6) AS share,
+def _cells(column: str) -> str:
+    return f"{CELLS.replace('hit_rank', column)}, count(*) FILTER (label = 'match' AND {column} IS NOT NULL) AS rall"
+
+
+@registered(over(FULL + f", w0 AS (SELECT mode, 'acceptable' AS kind, count(*) FILTER (label = 'match') AS denom, {_cells('hit_rank')} FROM pq GROUP BY mode UNION ALL SELECT mode, 'exact', count(*) FILTER (label = 'match'), {_cells('hit_rank_correct')} FROM pq GROUP BY mode), w1 AS (UNPIVOT w0 ON r1, r3, r5, r10, r20, rall INTO NAME cell VALUE hits), w2 AS (SELECT mode, kind, cell, hits, denom, hits / denom::DOUBLE AS p, 1.959963984540054::DOUBLE AS z FROM w1)", """SELECT mode, kind, cell, hits, denom, round(p, 6) AS share,
   round(greatest(0, (p + z*z/(2*denom) - z*sqrt(p*(1-p)/denom + z*z/(4.0::DOUBLE*denom*denom))) / (1 + z*z/denom)), 6) AS low, round(least(1, (p + z*z/(2*denom) + z*sqrt(p*(1-p)/denom + z*z/(4.0::DOUBLE*denom*denom))) / (1 + z*z/denom)), 6) AS high FROM w2"""))
 def wilson_recall(r: Roles) -> DataFrame:
     return metrics.wilson_recall(r.evaluated())
@@ -245,14 +246,14 @@ def hit_status(r: Roles) -> DataFrame:
 
 @registered(over(FULL, "SELECT query_id, uuid, CASE WHEN uuid = correct_uuid THEN '**' WHEN list_contains(acceptable, uuid) THEN '*' ELSE '' END AS mark FROM modes JOIN truth USING (query_id) WHERE mode = 'fuzzy' AND rank <= 20"))
 def hit_marker(r: Roles) -> DataFrame:
-    rows = r.mode("fuzzy").where("rank <= 20").join(r.truth, "query_id")
-    return rows.select("query_id", "uuid", metrics.hit_marker(F.col("uuid"), F.col("correct_uuid"), F.col("acceptable")).alias("mark"))
+    rows = r.graded(r.mode("fuzzy").where("rank <= 20"), only_hits=False)
+    return rows.select("query_id", "uuid", metrics.hit_mark(F.col("grade") == 2, F.col("grade") == 1).alias("mark"))
 
 
 @registered(over(FULL, "SELECT mode, query_id, acceptable[1] AS expected FROM pq JOIN (SELECT query_id, acceptable FROM truth) USING (query_id) WHERE label = 'match' AND (hit_rank IS NULL OR hit_rank > 5)"))
 def expected_answer(r: Roles) -> DataFrame:
     missed = r.evaluated().where("label = 'match' and (hit_rank is null or hit_rank > 5)")
-    return missed.join(r.truth.select("query_id", "acceptable"), "query_id").select("mode", "query_id", F.try_element_at("acceptable", F.lit(1)).alias("expected"))
+    return missed.join(r.truth.select("query_id", "correct_uuid"), "query_id").select("mode", "query_id", F.col("correct_uuid").alias("expected"))
 
 
 @registered(over(FULL + f", s AS ({MRR})", "SELECT mode, mrr, place, round(mrr - lag(mrr) OVER (ORDER BY place), 6) AS delta FROM (SELECT mode, mrr, CAST(list_position(['regex', 'fuzzy', 'semantic', 'hybrid', 'hybrid+rerank', 'semantic+rerank'], mode) AS INT) AS place FROM s)"))
@@ -268,7 +269,7 @@ def p_value(b: str, c: str) -> str:
 HIT1 = "h1 AS (SELECT mode, query_id, coalesce(hit_rank <= 1, false) AS hit FROM pq WHERE label = 'match')"
 
 
-@registered(over(f"{FULL}, {HIT1}, mc AS (SELECT a.mode AS mode_a, z.mode AS mode_b, count(*) FILTER (a.hit AND NOT z.hit) AS b, count(*) FILTER (z.hit AND NOT a.hit) AS c FROM h1 a JOIN h1 z USING (query_id) WHERE a.mode < z.mode GROUP BY 1, 2)", f"SELECT *, p < 0.05 AS significant FROM (SELECT *, {p_value('b', 'c')} AS p FROM mc)"))
+@registered(over(f"{FULL}, {HIT1}, mc AS (SELECT a.mode AS mode_a, z.mode AS mode_b, count(*) FILTER (a.hit AND NOT z.hit) AS b, count(*) FILTER (z.hit AND NOT a.hit) AS c FROM h1 a JOIN h1 z USING (query_id) WHERE a.mode < z.mode GROUP BY 1, 2)", f"SELECT *, p < 0.05 AS significant, CASE WHEN p < 0.001 THEN '<.001' ELSE printf('%.3f', round_even(p, 3)) END AS shown FROM (SELECT *, {p_value('b', 'c')} AS p FROM mc)"))
 def mcnemar_matrix(r: Roles) -> DataFrame:
     return stats.mcnemar_matrix(r.evaluated(), 1)
 
@@ -276,11 +277,12 @@ def mcnemar_matrix(r: Roles) -> DataFrame:
 DRAW = "CAST('0x' || substr(md5('42:' || i || ':' || j), 1, 12) AS BIGINT) % n"
 
 
-@registered(over(f"""{FULL}, bn AS (SELECT mode, coalesce(1 / hit_rank::DOUBLE, 0) AS x, row_number() OVER (PARTITION BY mode ORDER BY query_id) - 1 AS place FROM pq WHERE label = 'match'),
-bs AS (SELECT mode, count(*) AS n, avg(x) AS point FROM bn GROUP BY mode), bd AS (SELECT mode, i, {DRAW} AS place FROM (SELECT mode, n, i, unnest(range(1, n + 1)) AS j FROM (SELECT mode, n, unnest(range(1, 1001)) AS i FROM bs))),
-bm AS (SELECT mode, i, avg(x) AS m FROM bd JOIN bn USING (mode, place) GROUP BY mode, i)""", "SELECT mode, round(any_value(point), 6) AS point, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM bm JOIN bs USING (mode) GROUP BY mode"))
-def bootstrap_mrr(r: Roles) -> DataFrame:
-    return stats.bootstrap_mean(metrics.matched(r.evaluated()), F.coalesce(1.0 / F.col("hit_rank"), F.lit(0.0)))
+@registered(over(f"""{FULL}, bx AS (SELECT mode, query_id, coalesce(1 / hit_rank::DOUBLE, 0) AS mrr, coalesce(1 / hit_rank_correct::DOUBLE, 0) AS mrr_correct, ndcg AS ndcg10, row_number() OVER (PARTITION BY mode ORDER BY query_id) - 1 AS place FROM pq WHERE label = 'match'),
+bn AS (UNPIVOT bx ON mrr, mrr_correct, ndcg10 INTO NAME measure VALUE x),
+bs AS (SELECT mode, measure, count(*) AS n, avg(x) AS point FROM bn GROUP BY mode, measure), bd AS (SELECT n, i, {DRAW} AS place FROM (SELECT n, i, unnest(range(1, n + 1)) AS j FROM (SELECT n, unnest(range(1, 1001)) AS i FROM (SELECT DISTINCT n FROM bs)))),
+bm AS (SELECT mode, measure, i, avg(x) AS m FROM bs JOIN bd USING (n) JOIN bn USING (mode, measure, place) GROUP BY mode, measure, i)""", "SELECT mode, measure, round(any_value(point), 6) AS point, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM bm JOIN bs USING (mode, measure) GROUP BY mode, measure"))
+def bootstrap_quality(r: Roles) -> DataFrame:
+    return stats.ranking_intervals(metrics.matched(r.evaluated()))
 
 
 @registered(over(FULL, """SELECT mode, scored, r10, mrr FROM (SELECT mode, count(*) AS scored FROM modes GROUP BY mode) JOIN (SELECT mode, count(*) FILTER (label = 'match' AND hit_rank <= 10) AS r10,
@@ -288,19 +290,19 @@ def bootstrap_mrr(r: Roles) -> DataFrame:
 def latency_quality(r: Roles) -> DataFrame:
     """Rows scored stand for seconds, which no oracle could repeat."""
     rows = r.all_modes()
-    done = metrics.per_query(rows, r.truth, list(stats.MODES))
+    done = r.evaluated()
     quality = metrics.recall(done).select("mode", "r10").join(metrics.mean_reciprocal_rank(done).select("mode", "mrr"), "mode")
     return rows.groupBy("mode").agg(F.count("*").alias("scored")).join(quality, "mode")
 
 
-DENSE = ("fuzzy", "semantic", "hybrid")
+DUAL = ("fuzzy", "semantic", "hybrid", "hybrid+rerank", "semantic+rerank")
 
 
-@registered(over(f"{FULL}, {oracle.modes(True, 'x')}, {oracle.evaluated('x', DENSE)}, dp AS (SELECT mode, count(*) AS n, avg(coalesce(1 / a.hit_rank::DOUBLE, 0)) AS before, avg(coalesce(1 / z.hit_rank::DOUBLE, 0)) AS after, count(*) FILTER (coalesce(z.hit_rank <= 1, false) AND NOT coalesce(a.hit_rank <= 1, false)) AS gained, count(*) FILTER (coalesce(a.hit_rank <= 1, false) AND NOT coalesce(z.hit_rank <= 1, false)) AS lost FROM pq a JOIN pqx z USING (mode, query_id) WHERE a.label = 'match' GROUP BY mode)",
+@registered(over(f"{FULL}, {oracle.modes(True, 'x')}, {oracle.evaluated('x', DUAL)}, dp AS (SELECT mode, count(*) AS n, avg(coalesce(1 / a.hit_rank::DOUBLE, 0)) AS before, avg(coalesce(1 / z.hit_rank::DOUBLE, 0)) AS after, count(*) FILTER (coalesce(z.hit_rank <= 1, false) AND NOT coalesce(a.hit_rank <= 1, false)) AS gained, count(*) FILTER (coalesce(a.hit_rank <= 1, false) AND NOT coalesce(z.hit_rank <= 1, false)) AS lost FROM pq a JOIN pqx z USING (mode, query_id) WHERE a.label = 'match' GROUP BY mode)",
   f"SELECT mode, n, round(before, 6) AS mrr_name_only, round(after, 6) AS mrr_context, gained, lost, {p_value('lost', 'gained')} AS p, CASE WHEN round(after, 6) - round(before, 6) > 0.002 THEN 'lifted' WHEN abs(round(after, 6) - round(before, 6)) <= 0.002 THEN 'flat' ELSE 'lowered' END AS verb FROM dp"))
 def context_dual_pass(r: Roles) -> DataFrame:
     rank = lambda df, c: metrics.matched(df).select("mode", "query_id", F.col("hit_rank").alias(c))
-    both = rank(r.evaluated(DENSE), "a").join(rank(r.evaluated(DENSE, context=True), "z"), ["mode", "query_id"])
+    both = rank(r.evaluated(DUAL), "a").join(rank(r.evaluated(DUAL, context=True), "z"), ["mode", "query_id"])
     top = lambda c: F.coalesce(F.col(c) <= 1, F.lit(False))
     mean = lambda c: F.round(F.avg(F.coalesce(1.0 / F.col(c), F.lit(0.0))), 6)
     out = both.groupBy("mode").agg(F.count("*").alias("n"), mean("a").alias("mrr_name_only"), mean("z").alias("mrr_context"), F.count_if(top("z") & ~top("a")).alias("gained"), F.count_if(top("a") & ~top("z")).alias("lost"))
@@ -309,23 +311,40 @@ def context_dual_pass(r: Roles) -> DataFrame:
 
 # ladder
 
-LADDER = f"""{BASE}, asked AS (SELECT query_id, 0 AS step, 'name' AS label, text FROM queries UNION ALL SELECT query_id, 1, 'class', text || ' ' || class FROM queries
-  UNION ALL SELECT query_id, 2, 'description', text || ' ' || class || ' ' || brand FROM queries UNION ALL SELECT query_id, 3, 'density', text || ' ' || class || ' ' || brand || ' ' || size FROM queries),
-once AS (SELECT DISTINCT text AS query_id, text FROM asked), {oracle.lexical('ll', 'once')}, {oracle.fuzzy('lf', 'once')},
-lr AS (SELECT 'lexical' AS mode, * FROM {oracle.order('SELECT * FROM ll')} UNION ALL SELECT 'fuzzy', * FROM {oracle.order('SELECT ll.* FROM ll JOIN lf USING (query_id, uuid)')}),
-lm AS (SELECT query_id, unnest(acceptable) AS uuid FROM truth WHERE label = 'match'),
-lh AS (SELECT m.mode, a.step, a.label, a.query_id, min(lr.rank) AS hit FROM asked a JOIN lm USING (query_id) CROSS JOIN (VALUES ('lexical'), ('fuzzy')) AS m(mode) LEFT JOIN lr ON lr.query_id = a.text AND lr.uuid = lm.uuid AND lr.mode = m.mode GROUP BY ALL),
-{oracle.semantic('lsa', False)}, {oracle.semantic('lsb', True)}, {oracle.fuse('lha', 'SELECT * FROM lex', 'SELECT * FROM lsa')}, {oracle.fuse('lhb', 'SELECT * FROM lex', 'SELECT * FROM lsb')},
-dr AS (SELECT 'semantic' AS mode, 0 AS state, query_id, uuid, rank FROM {oracle.order('SELECT * FROM lsa')} UNION ALL SELECT 'semantic', 1, query_id, uuid, rank FROM {oracle.order('SELECT * FROM lsb')}
-  UNION ALL SELECT 'hybrid', 0, query_id, uuid, rank FROM lha UNION ALL SELECT 'hybrid', 1, query_id, uuid, rank FROM lhb),
-dh AS (SELECT m.mode, m.state, lm.query_id, min(dr.rank) AS hit FROM lm CROSS JOIN (VALUES ('semantic', 0), ('semantic', 1), ('hybrid', 0), ('hybrid', 1)) AS m(mode, state)
-  LEFT JOIN dr ON dr.query_id = lm.query_id AND dr.uuid = lm.uuid AND dr.mode = m.mode AND dr.state = m.state GROUP BY ALL),
-dm AS (SELECT mode, state, round(avg(coalesce(1 / hit::DOUBLE, 0)), 6) AS mrr FROM dh GROUP BY mode, state),
-ladder AS (SELECT mode, step, label, round(avg(coalesce(1 / hit::DOUBLE, 0)), 6) AS mrr FROM lh GROUP BY mode, step, label
-  UNION ALL SELECT mode, step, label, mrr FROM dm JOIN (SELECT DISTINCT step, label, least(step, 1) AS state FROM asked) USING (state))"""
+FIELD_SQL = [
+    ("name", None), ("class", "class"), ("description", "brand"), ("concrete_grade", "'C' || size"),
+    ("structural_class", "CASE WHEN class IN ('LARGE', 'PROMO') THEN 'Concrete' WHEN class = 'SMALL' THEN 'Metal' ELSE 'Generic' END"),
+    ("host_categories", "CASE size % 3 WHEN 0 THEN 'Walls' WHEN 1 THEN 'Floors' ELSE 'Roofs, Walls' END"),
+    ("density", "(size * 100)"), ("thermal_conductivity", "'0.' || size"), ("host_types", "'Type ' || (query_id % 7)"),
+]
 
 
-@registered(over(LADDER, "SELECT mode, step, label, mrr, round(mrr - first_value(mrr) OVER (PARTITION BY mode ORDER BY step), 6) AS delta, round(mrr - lag(mrr) OVER (PARTITION BY mode ORDER BY step), 6) AS marginal FROM ladder"))
+def _asked() -> str:
+    """Every query's text at each step: the chosen fields in the order in which a text holds them, not that of the ladder."""
+    rows = []
+    for i, (label, _) in enumerate(FIELD_SQL):
+        held = {f: x for f, x in FIELD_SQL[1 : i + 1]}
+        rows.append(f"SELECT query_id, {i} AS step, '{label}' AS label, " + " || ' ' || ".join(["trim(text)", *[f"({held[f]})" for f in enrichment.FIELDS if f in held]]) + " AS text FROM queries")
+    return "asked AS (" + " UNION ALL ".join(rows) + ")"
+
+
+LADDER = f"""{BASE}, {oracle.VECTORS}, {_asked()}, once AS (SELECT DISTINCT text AS query_id, text FROM asked), {oracle.lexical('ll', 'once')}, {oracle.fuzzy('lf', 'once')},
+{oracle.semantic('lsa', False)}, {oracle.semantic('lsb', True)}, {oracle.fuse('lha', 'SELECT * FROM lex', 'SELECT * FROM lsa')}, {oracle.fuse('lhb', 'SELECT * FROM lex', 'SELECT * FROM lsb')},
+lsr AS (SELECT 0 AS state, query_id, uuid, rank FROM {oracle.order('SELECT * FROM lsa')} UNION ALL SELECT 1, query_id, uuid, rank FROM {oracle.order('SELECT * FROM lsb')}),
+lhr AS (SELECT 0 AS state, query_id, uuid, rank FROM lha UNION ALL SELECT 1, query_id, uuid, rank FROM lhb),
+lhs AS (SELECT a.query_id, a.step, a.text, lhr.uuid, lhr.rank, 0 AS score FROM asked a JOIN lhr ON lhr.query_id = a.query_id AND lhr.state = least(a.step, 1)),
+{oracle.rerank('lrr', '(SELECT * FROM lhs WHERE rank <= 20)', 'query_id, step', 'f.text')},
+lrk AS (SELECT 'fuzzy' AS mode, a.step, a.query_id, f.uuid, f.rank FROM asked a JOIN {oracle.order('SELECT ll.* FROM ll JOIN lf USING (query_id, uuid)')} f ON f.query_id = a.text
+  UNION ALL SELECT 'semantic', a.step, a.query_id, s.uuid, s.rank FROM asked a JOIN lsr s ON s.query_id = a.query_id AND s.state = least(a.step, 1)
+  UNION ALL SELECT 'hybrid', step, query_id, uuid, rank FROM lhs UNION ALL SELECT 'reranker', step, query_id, uuid, rank FROM lhs WHERE rank > 20 UNION ALL SELECT 'reranker', step, query_id, uuid, rank FROM lrr),
+lt AS (SELECT query_id, acceptable, correct_uuid, len(acceptable) AS n FROM truth WHERE label = 'match'), lm AS (SELECT query_id, correct_uuid, unnest(acceptable) AS uuid FROM lt),
+lb AS (SELECT k.mode, k.step, k.query_id, min(k.rank) AS hit, sum(CASE WHEN k.uuid = lm.correct_uuid THEN 3.0::DOUBLE ELSE 1.0::DOUBLE END / log2(k.rank + 1)) FILTER (k.rank <= 10) AS dcg FROM lrk k JOIN lm USING (query_id, uuid) GROUP BY ALL),
+lq AS (SELECT m.mode, a.step, a.label, hit, round(coalesce(dcg, 0) / (3 + coalesce(list_sum(list_transform(range(1, least(n - 1, 9) + 1), lambda i: 1 / log2(i + 2))), 0)), 6) AS ndcg
+  FROM asked a JOIN lt USING (query_id) CROSS JOIN (VALUES ('fuzzy'), ('semantic'), ('hybrid'), ('reranker')) AS m(mode) LEFT JOIN lb ON lb.query_id = a.query_id AND lb.step = a.step AND lb.mode = m.mode),
+ladder AS (SELECT mode, step, label, round(avg(coalesce(1 / hit::DOUBLE, 0)), 6) AS mrr, round(avg(coalesce(hit <= 1, false)::INT), 6) AS r1, round(avg(coalesce(hit <= 5, false)::INT), 6) AS r5, round(avg(coalesce(hit <= 10, false)::INT), 6) AS r10, round(avg(ndcg), 4) AS ndcg FROM lq GROUP BY mode, step, label)"""
+
+
+@registered(over(LADDER, "SELECT mode, step, label, mrr, r1, r5, r10, ndcg, round(mrr - first_value(mrr) OVER (PARTITION BY mode ORDER BY step), 6) AS delta, round(mrr - lag(mrr) OVER (PARTITION BY mode ORDER BY step), 6) AS marginal FROM ladder"))
 def field_ladder(r: Roles) -> DataFrame:
     return stats.ladder_steps(r.ladder()).drop("best")
 
@@ -338,14 +357,12 @@ def ladder_best(r: Roles) -> DataFrame:
 @registered(over(LADDER + ", lg AS (SELECT *, round(mrr - lag(mrr) OVER (PARTITION BY mode ORDER BY step), 6) AS marginal FROM ladder WHERE mode <> 'fuzzy'), lv AS (SELECT step, label, round(avg(marginal), 6) AS mean_delta, count(*) FILTER (marginal > 0) AS positives FROM lg WHERE marginal IS NOT NULL GROUP BY step, label)",
   "SELECT *, CASE WHEN label IN ('density', 'thermal_conductivity', 'host_types') THEN 'noise' WHEN mean_delta <= -0.015 THEN CASE WHEN label = 'categories' THEN 'hurts: too broad' ELSE 'hurts' END WHEN mean_delta >= 0.015 AND positives >= 2 THEN 'helps' ELSE 'neutral' END AS verdict FROM lv"))
 def step_verdict(r: Roles) -> DataFrame:
-    return stats.step_verdicts(r.ladder(), noise=("density", "thermal_conductivity", "host_types"))
+    return stats.step_verdicts(r.ladder(), noise=enrichment.NOISE)
 
 
-@registered(over(LADDER, "SELECT step, count(DISTINCT text) AS n_distinct, count(*) AS n FROM asked GROUP BY step"))
+@registered(over(f"{ITEMS}, {_asked()}", "SELECT step, count(DISTINCT text) AS n_distinct, count(*) AS n FROM asked GROUP BY step"))
 def distinct_enriched(r: Roles) -> DataFrame:
-    fields = [[], ["class"], ["class", "brand"], ["class", "brand", "size"]]
-    steps = F.array(*[F.struct(F.lit(i).alias("step"), F.concat_ws(" ", "text", *[F.col(f).cast("string") for f in fs]).alias("t")) for i, fs in enumerate(fields)])
-    return r.queries.select(F.explode(steps).alias("s")).groupBy("s.step").agg(F.count_distinct("s.t").alias("n_distinct"), F.count("*").alias("n"))
+    return r.ladder_texts().groupBy("step").agg(F.count_distinct("text").alias("n_distinct"), F.count("*").alias("n"))
 
 
 # truth
@@ -374,10 +391,14 @@ def truth_substring_join(r: Roles) -> DataFrame:
     return truth.containment_join(r.table("documents").select("doc_id", "text"), items)
 
 
-@registered(over(BASE, "SELECT query_id, len(list_distinct(CASE WHEN correct_uuid IS NULL THEN acceptable ELSE list_append(acceptable[2:], correct_uuid) END))::INT AS n, coalesce(list_contains(acceptable, correct_uuid), false) AS holds FROM truth"))
+@registered(over(ITEMS, """SELECT name, CAST(count(DISTINCT uuid) AS BIGINT) AS n, bool_or(uuid = correct) AS holds FROM (SELECT name, uuid, min(uuid) OVER (PARTITION BY name) AS correct FROM corpus WHERE name IN (SELECT name FROM queries)) GROUP BY name"""))
 def acceptable_union(r: Roles) -> DataFrame:
-    rows = r.truth.withColumn("acceptable", F.slice("acceptable", 2, 1 << 30))
-    return truth.with_acceptable(rows).select("query_id", F.size("acceptable").alias("n"), F.coalesce(F.array_contains("acceptable", F.col("correct_uuid")), F.lit(False)).alias("holds"))
+    """The entries' acceptable rows, without the correct ones, united with these."""
+    named = r.corpus.join(r.queries.select("name").distinct(), "name", "left_semi")
+    correct = r.groups.select("name", F.col("correct_uuid").alias("uuid")).join(r.queries.select("name").distinct(), "name", "left_semi")
+    marks = named.select("name", "uuid").join(correct, ["name", "uuid"], "left_anti")
+    united = truth.acceptable_rows(marks, correct, "name").join(correct.withColumnRenamed("uuid", "correct"), "name")
+    return united.groupBy("name").agg(F.count("*").alias("n"), F.bool_or(F.col("uuid") == F.col("correct")).alias("holds"))
 
 
 # context
@@ -474,10 +495,10 @@ def enriched_query(r: Roles) -> DataFrame:
     return r.queries.select("query_id", enrichment.enriched_query(F.col("text"), ["density", "description", "class"], columns).alias("enriched"))
 
 
-@registered("SELECT p_partkey AS ordinal, p_name AS name, p_name || ' ' || p_type AS preview, true AS added FROM part WHERE p_partkey % 3 = 1 ORDER BY p_partkey LIMIT 1")
+@registered("SELECT p_partkey AS ordinal, p_name AS name, p_name || ' ' || p_type AS preview, true AS added, true AS stale FROM part WHERE p_partkey % 3 = 1 ORDER BY p_partkey LIMIT 1")
 def preview_entry(r: Roles) -> DataFrame:
     entries = r.table("part").select(F.col("p_partkey").alias("ordinal"), F.col("p_name").alias("name"), "p_type", F.when(F.col("p_partkey") % 3 == 1, "match").otherwise("skipped").alias("label"))
-    return enrichment.preview(entries, ["class"], {"class": F.col("p_type")})
+    return enrichment.preview(entries, ["class"], {"class": F.col("p_type")}, applied=["class", "density"])
 
 
 @registered("SELECT p_partkey AS uuid, lower(p_name || ' ' || CASE p_type WHEN 'PROMO' THEN 'Werbung' WHEN 'SMALL' THEN 'Klein' ELSE p_type END || ' / ' || p_brand) AS search FROM part")
@@ -486,6 +507,26 @@ def search_texts(r: Roles) -> DataFrame:
     return r.table("part").select(F.col("p_partkey").alias("uuid"), enrichment.search_text(F.col("p_name"), path, {"PROMO": "Werbung", "SMALL": "Klein"}).alias("search"))
 
 
+@registered("SELECT p_partkey AS uuid, coalesce(nullif(trim(CASE WHEN p_size % 3 = 0 THEN '  ' ELSE p_type || ' ' || p_brand END), ''), p_name) AS doc FROM part")
+def semantic_texts(r: Roles) -> DataFrame:
+    given = F.when(F.col("p_size") % 3 == 0, "  ").otherwise(F.concat_ws(" ", "p_type", "p_brand"))
+    return r.table("part").select(F.col("p_partkey").alias("uuid"), enrichment.semantic_text(given, F.col("p_name")).alias("doc"))
+
+
+@registered("""SELECT o_orderkey AS element_id, coalesce(nullif(n_name, ''), nullif(CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus ELSE '' END, ''), nullif(o_orderpriority, ''), '') AS type_name FROM orders LEFT JOIN nation ON n_nationkey = o_custkey % 50""")
+def element_type_names(r: Roles) -> DataFrame:
+    own = F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderstatus")).otherwise("")
+    elements = r.table("orders").select(F.col("o_orderkey").alias("element_id"), (F.col("o_custkey") % 50).alias("type_id"), own.alias("own_name"), F.col("o_orderpriority").alias("family"))
+    types = r.table("nation").select(F.col("n_nationkey").cast("long").alias("type_id"), F.col("n_name").alias("name"))
+    return context.type_names(elements, types).select("element_id", "type_name")
+
+
+@registered("SELECT p_partkey AS key FROM part WHERE p_size = 7 UNION SELECT p_partkey FROM part WHERE contains(lower(p_type || ' ' || p_name), 'ring')")
+def visible_selection(r: Roles) -> DataFrame:
+    part = r.table("part").withColumnRenamed("p_partkey", "key")
+    return context.select_visible(part.withColumn("display_name", F.concat_ws(" ", "p_type", "p_name")), part.where("p_size = 7"), "RING")
+
+
 @registered("""SELECT l_partkey AS material_id, string_agg(DISTINCT o_orderpriority, ', ' ORDER BY o_orderpriority) || coalesce(' (' || string_agg(DISTINCT nullif(s, ''), ', ' ORDER BY nullif(s, '')) || ')', '') AS hosts
   FROM lineitem JOIN (SELECT *, CASE WHEN o_orderstatus = 'O' THEN '' ELSE o_orderstatus END AS s FROM orders) ON o_orderkey = l_orderkey WHERE l_partkey > 0 GROUP BY 1""")
 def host_strings(r: Roles) -> DataFrame:
@@ -502,7 +543,7 @@ def merged_items(r: Roles) -> DataFrame:
 @registered("SELECT x AS cosine, round(least(0.97::DOUBLE, 1 / (1 + exp(-(8.0::DOUBLE * x - 2)))), 6) AS confidence FROM (SELECT unnest([0.4::DOUBLE, 0.5, 0.6, 0.7, 0.8]) AS x)")
 def cosine_table(r: Roles) -> DataFrame:
     points = r.spark.range(1).select(F.explode(F.array(*[F.lit(x) for x in (0.4, 0.5, 0.6, 0.7, 0.8)])).alias("cosine"))
-    return points.select("cosine", ranking.calibrated(F.col("cosine"), "semantic").alias("confidence"))
+    return points.select("cosine", ranking.calibrated(F.col("cosine"), "semantic", r.parameters.curves).alias("confidence"))
 
 
 @registered(over(FULL, f"SELECT mode, mode || ' finds ' || CAST(round(100.0::DOUBLE * rall / greatest(denom, 1), 1) AS VARCHAR) || ' % anywhere and ' || CAST(round(100.0::DOUBLE * r1 / greatest(denom, 1), 1) AS VARCHAR) || ' % at rank 1' AS sentence FROM (SELECT mode, count(*) FILTER (label = 'match') AS denom, {CELLS}, count(*) FILTER (label = 'match' AND hit_rank IS NOT NULL) AS rall FROM pq GROUP BY mode)"))
@@ -513,7 +554,7 @@ def executive_summary(r: Roles) -> DataFrame:
 @registered(over(FULL, "SELECT query_id, coalesce(uuid, -1) AS uuid, score, CAST(coalesce(rank, 0) AS INT) AS rank, label, CASE WHEN label <> 'match' THEN 'skipped: ' || label WHEN hit_rank IS NULL THEN 'miss' WHEN hit_rank <= 5 THEN 'hit at ' || hit_rank ELSE 'hit beyond 5' END AS status FROM (SELECT * FROM pq WHERE mode = 'hybrid') LEFT JOIN (SELECT query_id, uuid, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, uuid) AS rank FROM modes WHERE mode = 'hybrid' AND score >= 0.5) USING (query_id) WHERE coalesce(rank, 0) <= 5"))
 def result_grid(r: Roles) -> DataFrame:
     """Candidates above the threshold, numbered anew, below each query's status; a query without any has one placeholder row."""
-    done = metrics.per_query(r.all_modes(("hybrid",)), r.truth, ["hybrid"])
+    done = r.evaluated(("hybrid",))
     status = done.select("query_id", "label", metrics.hit_status(F.col("label"), F.col("hit_rank"), 5).alias("status"))
     rows = status.join(ranking.threshold_top(r.mode("hybrid"), 0.5, 5), "query_id", "left")
     return rows.select("query_id", F.coalesce("uuid", F.lit(-1)).alias("uuid"), "score", F.coalesce("rank", F.lit(0)).alias("rank"), "label", "status")

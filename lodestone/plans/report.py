@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import time
 from html import escape
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from lodestone.operators import enrichment, metrics, stats
 from lodestone.plans import registry
@@ -26,6 +26,19 @@ METHOD = [
 ]
 
 
+def mode_seconds(roles: Roles, settings: Settings) -> DataFrame:
+    """mode, seconds: the time that each mode takes to rank all queries, the first one's start-up included in none of them."""
+    roles.queries.count()
+    took = []
+    for mode in stats.MODES:
+        alone = Roles(roles.spark, roles.sf_dir, roles.parameters)
+        start = time.monotonic()
+        alone.mode(mode, settings.context and mode != "regex").write.format("noop").mode("overwrite").save()
+        took.append((mode, round(time.monotonic() - start, 3)))
+        alone.close()
+    return roles.spark.createDataFrame(took, "mode string, seconds double")
+
+
 def sections(roles: Roles, settings: Settings | None = None) -> dict[str, DataFrame]:
     """One table for each section, in the order of the report; all but the queries have one row a mode, pair, bin or class."""
     done = roles.evaluated()
@@ -37,7 +50,7 @@ def sections(roles: Roles, settings: Settings | None = None) -> dict[str, DataFr
         "Recall": metrics.recall(done),
         "Exact recall": metrics.recall(done, "hit_rank_correct"),
         "Recall intervals": metrics.wilson_recall(done),
-        "Ranking quality": stats.bootstrap_mean(metrics.matched(done), F.coalesce(1.0 / F.col("hit_rank"), F.lit(0.0))),
+        "Ranking quality": stats.ranking_intervals(metrics.matched(done)),
         "Change between modes": stats.mode_delta(summary, "mrr"),
         "Paired tests at 1": stats.mcnemar_matrix(done, 1),
         "Paired tests at 10": stats.mcnemar_matrix(done, 10),
@@ -45,7 +58,7 @@ def sections(roles: Roles, settings: Settings | None = None) -> dict[str, DataFr
         "Classes": metrics.class_breakdown(done),
         "Field ladder": stats.ladder_steps(roles.ladder()),
         "Context": registry.context_dual_pass(roles),
-        "Cost and quality": registry.latency_quality(roles),
+        "Cost and quality": registry.latency_quality(roles).join(mode_seconds(roles, settings or Settings()), "mode", "left"),
         "Expected answers": registry.expected_answer(roles),
         "Queries": metrics.hits_misses(done),
         "Method": roles.spark.createDataFrame(METHOD, "term string, meaning string"),

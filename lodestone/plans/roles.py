@@ -8,31 +8,58 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import trigrams
-from lodestone.operators import lexical, metrics, ranking
+from lodestone.operators import enrichment, lexical, metrics, ranking
 from lodestone.operators.sizes import small
 from lodestone.operators.stats import MODES
+from lodestone.sources.readers import Parameters
 
 #: Stand-in for a dense query vector that has seen the class: a bonus for rows of the same class.
 CONTEXT_BONUS = 0.05
+DENSE = ("semantic", "hybrid", "reranker")
+
+
+def context_fields() -> dict[str, F.Column]:
+    """The enrichment fields as the parts table can play them, by field name."""
+    size = F.col("size").cast("string")
+    return {
+        "class": F.col("class"), "description": F.col("brand"), "concrete_grade": F.concat(F.lit("C"), size),
+        "structural_class": F.when(F.col("class").isin("LARGE", "PROMO"), "Concrete").when(F.col("class") == "SMALL", "Metal").otherwise("Generic"),
+        "host_categories": F.when(F.col("size") % 3 == 0, "Walls").when(F.col("size") % 3 == 1, "Floors").otherwise("Roofs, Walls"),
+        "density": (F.col("size") * 100).cast("string"), "thermal_conductivity": F.concat(F.lit("0."), size), "host_types": F.concat(F.lit("Type "), (F.col("query_id") % 7).cast("string")),
+    }
 
 
 class Roles:
-    """Items are parts with a vector: uuid, name, classification, class, v, cluster. Every tenth is a query, the rest the corpus."""
+    """Items are parts: uuid, name, classification, class, brand, size. Every tenth is a query, the rest the corpus; embeddings are the vectors of some of them.
+
+    What several modes share is persisted once a run; close() lets it go.
+    """
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+    def __init__(self, spark: SparkSession, sf_dir: str, parameters: Parameters | None = None):
+        self.spark, self.sf_dir, self.parameters, self.kept = spark, sf_dir, parameters or Parameters(), []
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.kept.append(df.persist())
+        return self.kept[-1]
+
+    def close(self) -> None:
+        while self.kept:
+            self.kept.pop().unpersist()
+
     @property
     def items(self) -> DataFrame:
-        both = self.table("part").join(self.table("embeddings"), F.col("p_partkey") == F.col("vec_id"))
-        return both.select(
+        return self.table("part").select(
             F.col("p_partkey").alias("uuid"), F.col("p_name").alias("name"), F.concat_ws(" ", "p_type", "p_brand").alias("classification"), F.col("p_type").alias("class"),
-            F.col("p_brand").alias("brand"), F.col("p_size").alias("size"), F.col("embedding").alias("v"), F.col("label").alias("cluster"),
+            F.col("p_brand").alias("brand"), F.col("p_size").alias("size"),
         )
 
+    @property
+    def vectors(self) -> DataFrame:
+        return self.table("embeddings").select(F.col("vec_id").alias("uuid"), F.col("embedding").alias("v"))
+
     @property
     def corpus(self) -> DataFrame:
         return self.items.where("uuid % 10 <> 0")
@@ -43,43 +70,63 @@ class Roles:
         spot = (F.col("uuid") % F.length("name")).cast("int")
         typo = F.concat(F.substr("name", F.lit(1), spot), F.substr("name", spot + 2))
         text = F.when(F.col("uuid") % 20 == 0, typo).otherwise(F.col("name"))
-        return self.items.where("uuid % 10 = 0").select(F.col("uuid").alias("query_id"), "name", "class", "brand", "size", "v", text.alias("text")).withColumn("enriched", F.concat_ws(" ", "text", "class"))
+        return self.items.where("uuid % 10 = 0").select(F.col("uuid").alias("query_id"), "name", "class", "brand", "size", text.alias("text")).withColumn("enriched", F.concat_ws(" ", "text", "class"))
 
     @cached_property
     def asked(self) -> DataFrame:
-        """query_id, text, qc of all queries, counted once and marked for broadcast while they are few."""
-        return small(self.queries.select("query_id", "text", F.col("class").alias("qc")))
+        """query_id, text, qc, qn (class and true name) of all queries, counted once and marked for broadcast while they are few."""
+        return small(self.queries.select("query_id", "text", F.col("class").alias("qc"), F.col("name").alias("qn")))
+
+    @property
+    def groups(self) -> DataFrame:
+        """One row a name: the corpus rows of that name are its acceptable ones, the first of them is the correct one."""
+        return self.corpus.groupBy("name").agg(F.min("uuid").alias("correct_uuid"), F.count("*").alias("n_acceptable"))
 
     @property
     def truth(self) -> DataFrame:
-        """Corpus rows of the same name are acceptable, the first of them is correct; some queries are marked as skipped."""
-        groups = self.corpus.groupBy("name").agg(F.sort_array(F.collect_list("uuid")).alias("acceptable"))
-        label = F.when(F.col("query_id") % 70 == 0, "skipped").when(F.col("acceptable").isNotNull(), "match").otherwise("no_match")
-        joined = self.queries.select("query_id", "name", "class").join(groups, "name", "left")
-        return joined.select("query_id", label.alias("label"), "class", F.try_element_at("acceptable", F.lit(1)).alias("correct_uuid"), F.coalesce("acceptable", F.expr("cast(array() as array<bigint>)")).alias("acceptable"))
+        """One row a query: query_id, label, class, name, correct_uuid, n_acceptable, holds_correct; some are marked as skipped. Which rows are
+        acceptable is told by their names, see graded, so no array of them is ever built."""
+        label = F.when(F.col("query_id") % 70 == 0, "skipped").when(F.col("correct_uuid").isNotNull(), "match").otherwise("no_match")
+        joined = self.queries.select("query_id", "name", "class").join(self.groups, "name", "left")
+        return joined.select("query_id", label.alias("label"), "class", "name", "correct_uuid", F.coalesce("n_acceptable", F.lit(0)).alias("n_acceptable"), F.col("correct_uuid").isNotNull().alias("holds_correct"))
+
+    def graded(self, rows: DataFrame, only_hits: bool = True) -> DataFrame:
+        """rows (query_id, uuid, ...) with grade: 2 for the correct row, 1 for another acceptable one, else none (left out if only_hits)."""
+        truth = small(self.truth.select("query_id", F.col("name").alias("qn"), "correct_uuid"))
+        both = rows.join(self.corpus.select("uuid", F.col("name").alias("item")), "uuid").join(truth, "query_id")
+        grade = F.when(F.col("uuid") == F.col("correct_uuid"), 2).when(F.col("item") == F.col("qn"), 1).otherwise(0)
+        out = both.withColumn("grade", grade).drop("item", "qn", "correct_uuid")
+        return out.where("grade > 0") if only_hits else out
 
     @cache  # noqa: B019  one set of memos for each run, as several modes rank the same scores
     def lexical(self, text_col: str = "text") -> DataFrame:
-        return lexical.bm25f_scores(self.queries, self.corpus, text_col).persist()
+        return self.keep(lexical.bm25f_scores(self.queries, self.corpus, text_col, self.parameters.bm25))
 
     @cache  # noqa: B019
     def semantic_ranks(self, context: bool = False) -> DataFrame:
-        return ranking.ranked(self.semantic(context)).persist()
+        return self.keep(ranking.ranked(self.semantic(context)))
 
-    def semantic(self, context: bool = False) -> DataFrame:
-        scored = ranking.score_vectors(self.queries, self.corpus)
+    def semantic(self, context: bool = False, k: int | None = None) -> DataFrame:
+        """Scores of the queries and corpus rows that have a vector; without context at most those that can be among a query's k best."""
+        asked = self.queries.select("query_id").join(self.vectors.select(F.col("uuid").alias("query_id"), "v"), "query_id")
+        scored = ranking.score_vectors(asked, self.corpus.select("uuid").join(self.vectors, "uuid"), None if context else k)
         if not context:
             return scored
         classes = self.corpus.select("uuid", F.col("class").alias("c"))
         bonus = F.when(F.col("c") == F.col("qc"), CONTEXT_BONUS).otherwise(0.0)
         return scored.join(classes, "uuid").join(self.asked, "query_id").select("query_id", "uuid", F.round(F.col("score") + bonus, 6).alias("score"))
 
-    def logits(self, head: DataFrame) -> DataFrame:
-        """Stand-in for a cross-encoder: trigram overlap of query and name. The service fails for some queries."""
-        named = head.select("query_id", "uuid").join(self.corpus.select("uuid", F.col("name").alias("item")), "uuid").join(self.asked, "query_id")
-        x, y = trigrams(F.col("text")), trigrams(F.col("item"))
+    def logits(self, head: DataFrame, text: F.Column | None = None) -> DataFrame:
+        """Stand-in for a cross-encoder: trigram overlap of query (or text, a column of head) and item. The service fails for some queries."""
+        item = self.corpus.select("uuid", enrichment.semantic_text(F.lit(None).cast("string"), F.col("name")).alias("item"))
+        keys = [c for c in head.columns if c not in ("score", "rank", "uuid")]
+        named = head.select(*keys, "uuid").join(item, "uuid").join(self.asked.select("query_id", "text"), "query_id")
+        x, y = trigrams(F.col("text") if text is None else text), trigrams(F.col("item"))
         logit = F.round(4.0 * F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y)) - 2.0, 6)
-        return named.where("query_id % 130 <> 0").select("query_id", "uuid", logit.alias("logit"))
+        return named.where("query_id % 130 <> 0").select(*keys, "uuid", logit.alias("logit"))
+
+    def reranked(self, first: DataFrame) -> DataFrame:
+        return ranking.rerank(first, self.logits(first.where(F.col("rank") <= ranking.HEAD)))
 
     def filtered(self, hits: DataFrame, rank_on: str = "text") -> DataFrame:
         """Filter survivors in the order of the scores of rank_on: the bare name (text, as a run does) or the enriched text."""
@@ -87,14 +134,15 @@ class Roles:
 
     @cache  # noqa: B019
     def fuzzy(self, context: bool = False) -> DataFrame:
-        return lexical.fuzzy_search(self.queries, self.corpus, "enriched" if context else "text").persist()
+        return self.keep(lexical.fuzzy_search(self.queries, self.corpus, "enriched" if context else "text"))
 
     @cache  # noqa: B019
-    def hybrid(self, context: bool = False, symmetric: bool = False) -> DataFrame:
+    def hybrid(self, context: bool = False, symmetric: bool | None = None) -> DataFrame:
         """Fusion of the lexical order of the bare name (over fuzzy survivors unless symmetric) and the dense order."""
-        scored = self.lexical()
-        pool = scored if symmetric else scored.join(self.fuzzy(), ["query_id", "uuid"], "left_semi")
-        return ranking.rrf(ranking.ranked(pool), self.semantic_ranks(context)).persist()
+        fusion, scored = self.parameters.fusion, self.lexical()
+        whole = fusion.pool == "symmetric" if symmetric is None else symmetric
+        pool = scored if whole else scored.join(self.fuzzy(), ["query_id", "uuid"], "left_semi")
+        return self.keep(ranking.rrf(ranking.ranked(pool), self.semantic_ranks(context), fusion.k, fusion.w_bm25, fusion.w_sem))
 
     def mode(self, name: str, context: bool = False) -> DataFrame:
         """query_id, uuid, score, rank of one mode."""
@@ -107,8 +155,7 @@ class Roles:
         elif name == "hybrid":
             out = self.hybrid(context).withColumnRenamed("normalised", "score")
         else:
-            first = self.mode(name.split("+")[0], context)
-            out = ranking.rerank(first, self.logits(first.where(F.col("rank") <= ranking.HEAD)))
+            out = self.reranked(self.mode(name.split("+")[0], context))
         return out.select("query_id", "uuid", "score", "rank")
 
     def all_modes(self, modes: tuple[str, ...] = MODES, context: bool = False) -> DataFrame:
@@ -116,7 +163,8 @@ class Roles:
 
     @cache  # noqa: B019  one row a mode and query, from which every metric is read
     def evaluated(self, modes: tuple[str, ...] = MODES, context: bool = False) -> DataFrame:
-        return metrics.per_query(self.all_modes(modes, context), self.truth, list(modes)).persist()
+        asked = self.truth.withColumn("mode", F.explode(F.array(*[F.lit(m) for m in modes])))
+        return self.keep(metrics.from_hits(self.graded(self.all_modes(modes, context)), asked, ["mode"]))
 
     # vectors alone: the minimal slice
 
@@ -133,30 +181,40 @@ class Roles:
         with_label = scored.join(small(self.vector_queries.select("query_id", F.col("cluster").alias("ql"))), "query_id")
         return with_label.join(self.vector_corpus.select("uuid", "cluster"), "uuid")
 
+    def ladder_texts(self) -> DataFrame:
+        """query_id, step, label, text: the name, then one more field at each step, in the registry's order."""
+        steps = enrichment.ladder(enrichment.FIELDS)
+        columns = context_fields()
+        each = F.array(*[F.struct(F.lit(i).alias("step"), F.lit(label).alias("label"), enrichment.enriched_query(F.col("text"), fields, columns).alias("text")) for i, (label, fields, _) in enumerate(steps)])
+        return self.queries.select("query_id", F.explode(each).alias("s")).select("query_id", "s.step", "s.label", "s.text")
+
     @cache  # noqa: B019
     def ladder(self) -> DataFrame:
-        """mode, step, label, mrr of cumulative field sets, over match entries that have acceptable rows.
+        """mode, step, label, mrr, r1, r5, r10, ndcg of cumulative field sets, over match entries that have acceptable rows; shares and means.
 
-        Each different enriched text is scored once and joined back. The dense legs have two states, without and with context, which
-        all steps after the first share; the fused mode takes the bare name's scores over the full corpus.
+        Each different enriched text is searched once. The dense legs have two states, without and with context, which
+        all steps after the first share; the fused mode takes the bare name's scores over the full corpus, and the re-ranked one puts its head in the order of
+        the step's own text.
         """
-        steps = [("name", []), ("class", ["class"]), ("description", ["class", "brand"]), ("density", ["class", "brand", "size"])]
-        texts = [self.queries.select("query_id", F.lit(i).alias("step"), F.lit(label).alias("label"), F.concat_ws(" ", "text", *[F.col(f).cast("string") for f in fields]).alias("text")) for i, (label, fields) in enumerate(steps)]
-        asked = reduce(DataFrame.unionByName, texts)
+        asked = self.keep(self.ladder_texts())
         once = asked.select(F.col("text").alias("query_id"), "text").distinct()
-        scores = lexical.bm25f_scores(once, self.corpus)
-        by_mode = {"lexical": ranking.ranked(scores), "fuzzy": ranking.ranked(lexical.fuzzy_search(once, self.corpus).join(scores, ["query_id", "uuid"]))}
-        marks = self.truth.where("label = 'match' and size(acceptable) > 0").select("query_id", F.explode("acceptable").alias("uuid"))
-        wanted = asked.join(marks, "query_id")
-        out = []
-        for mode, rows in by_mode.items():
-            hits = wanted.join(rows.select(F.col("query_id").alias("text"), "uuid", "rank"), ["text", "uuid"], "left").groupBy("step", "label", "query_id").agg(F.min("rank").alias("hit"))
-            out.append(hits.groupBy("step", "label").agg(F.round(F.avg(F.coalesce(1.0 / F.col("hit"), F.lit(0.0))), 6).alias("mrr")).withColumn("mode", F.lit(mode)))
+        found = lexical.fuzzy_search(once, self.corpus)
+        fuzzy = ranking.ranked(lexical.bm25f_scores(once, self.corpus, params=self.parameters.bm25, pairs=found)).select(F.col("query_id").alias("text"), "uuid", "rank")
+        out = [asked.join(fuzzy, "text").withColumn("mode", F.lit("fuzzy"))]
+        state = asked.withColumn("context", F.col("step") > 0)
+        dense = lambda mode: reduce(DataFrame.unionByName, [(self.semantic_ranks(c) if mode == "semantic" else self.hybrid(c, symmetric=True)).select("query_id", "uuid", "rank", F.lit(c).alias("context")) for c in (False, True)])
         for mode in ("semantic", "hybrid"):
-            for state in (False, True):
-                rows = self.semantic_ranks(True) if mode == "semantic" and state else self.semantic_ranks() if mode == "semantic" else self.hybrid(state, symmetric=True)
-                hits = marks.join(rows.select("query_id", "uuid", "rank"), ["query_id", "uuid"], "left").groupBy("query_id").agg(F.min("rank").alias("hit"))
-                mean = hits.agg(F.round(F.avg(F.coalesce(1.0 / F.col("hit"), F.lit(0.0))), 6).alias("mrr")).withColumn("mode", F.lit(mode))
-                mine = [F.struct(F.lit(i).alias("step"), F.lit(label).alias("label")) for i, (label, _) in enumerate(steps) if (i > 0) == state]
-                out.append(mean.select("mode", "mrr", F.explode(F.array(*mine)).alias("s")).select("mode", "s.step", "s.label", "mrr"))
-        return reduce(DataFrame.unionByName, out).select("mode", "step", "label", "mrr").persist()
+            out.append(state.join(dense(mode), ["query_id", "context"]).withColumn("mode", F.lit(mode)))
+        first = out[-1].where(F.col("rank") <= ranking.HEAD).withColumn("score", F.lit(0.0)).select("query_id", "step", "label", F.col("text").alias("own"), "uuid", "score", "rank")
+        again = ranking.rerank(first, self.logits(first, F.col("own")), keys=("query_id", "step"))
+        tail = out[-1].where(F.col("rank") > ranking.HEAD)
+        out.append(tail.select("query_id", "step", "uuid", "rank").unionByName(again.select("query_id", "step", "uuid", "rank")).withColumn("mode", F.lit("reranker")))
+        rows = reduce(DataFrame.unionByName, [x.select("mode", "step", "query_id", "uuid", "rank") for x in out])
+        modes = F.explode(F.array(*[F.lit(m) for m in ("fuzzy", *DENSE)]))
+        wanted = asked.select("query_id", "step", "label").withColumnRenamed("label", "field").join(self.truth.where("label = 'match' and n_acceptable > 0"), "query_id").withColumn("mode", modes)
+        labels = [(i, label) for i, (label, _, _) in enumerate(enrichment.ladder(enrichment.FIELDS))]
+        done = metrics.from_hits(self.graded(rows), wanted, ["mode", "step"])
+        within = lambda k: F.round(F.avg(F.when(F.col("hit_rank") <= k, 1.0).otherwise(0.0)), 6).alias(f"r{k}")
+        means = done.groupBy("mode", "step").agg(F.round(F.avg(F.coalesce(1.0 / F.col("hit_rank"), F.lit(0.0))), 6).alias("mrr"), within(1), within(5), within(10), F.round(F.avg("ndcg"), 4).alias("ndcg"))
+        label = F.element_at(F.array(*[F.lit(x) for _, x in labels]), F.col("step") + 1)
+        return self.keep(means.select("mode", "step", label.alias("label"), "mrr", "r1", "r5", "r10", "ndcg"))

@@ -135,9 +135,74 @@ def test_enrichment_keeps_the_registry_order(spark):
     assert rows.select(enrichment.enriched_query(F.col("name"), ["density", "description", "class", "other"], columns)).first()[0] == "Wall Concrete 2400.0"
     assert rows.select(enrichment.host_string(F.array(F.lit("Walls")), F.expr("cast(array() as array<string>)"))).first()[0] == "Walls"
     entries = spark.createDataFrame([(0, "x", "skipped", "c"), (1, "y", "match", "")], "ordinal int, name string, label string, a string")
-    assert tuple(enrichment.preview(entries, ["class"], {"class": F.col("a")}).first()) == (1, "y", "y", False)
+    show = lambda applied: tuple(enrichment.preview(entries, ["class"], {"class": F.col("a")}, applied).first())
+    assert show(None) == show(["class"]) == (1, "y", "y", False, False) and show(["density"]) == (1, "y", "y", False, True)
 
 
 def test_provenance_reads_file_times(spark, tmp_path):
     spark.range(1).write.parquet(str(tmp_path / "c"))
     assert enrichment.provenance(spark.read.parquet(str(tmp_path / "c"))).count() >= 1
+
+
+def test_missing_truth_has_no_entries(spark, tmp_path):
+    entries, header = readers.read_truth(spark, str(tmp_path / "no.json"), str(tmp_path / "none.json"))
+    assert entries.count() == 0 and header is None and {"ordinal", "name", "acceptable"} <= set(entries.columns)
+
+
+def test_parameters_reach_the_modes(spark, tmp_path):
+    (tmp_path / "bm25_params_v1.json").write_text(json.dumps({"params": {"k1": 0.5, "other": 1}}))
+    (tmp_path / "hybrid_params_a2_sphera_en.json").write_text(json.dumps({"params": {"pool": "symmetric", "k": 10, "w_sem": 2}}))
+    (tmp_path / "confidence_hybrid_a2_sphera_en.json").write_text(json.dumps({"a": 2, "b": -1}))
+    (tmp_path / "calibration_a2_sphera_en.json").write_text(json.dumps({"x": [0, 5], "y": [0.1, 0.8]}))
+    (tmp_path / "confidence_reranker_a2_sphera_en.json").write_text("{")
+    got = readers.load_parameters(str(tmp_path), "a2_sphera", "en")
+    assert got.bm25.k1 == 0.5 and (got.fusion.pool, got.fusion.k, got.fusion.w_sem, got.fusion.w_bm25) == ("symmetric", 10, 2.0, 1.0)
+    assert got.curves["hybrid"] == (2.0, -1.0) and got.curves["bm25f"] == [(0.0, 0.1), (5.0, 0.8)] and got.curves["semantic"] == (8.0, -2.0)
+    assert got.notes["confidence_semantic_a2_sphera_en.json"] == "default" and got.notes["confidence_reranker_a2_sphera_en.json"].startswith("default:")
+    assert readers.load_parameters(str(tmp_path), "a1_sphera", "de").fusion == readers.Fusion()
+    tuned, plain = (Roles(spark, "/root/testdata/sf0.001", p) for p in (got, None))
+    best = lambda r: r.hybrid().agg(F.max("raw")).first()[0]
+    assert 2 / 11 < best(tuned) <= 3 / 11 + 1e-6 and best(plain) < 2 / 60
+    assert tuned.lexical().agg(F.sum("score")).first()[0] > plain.lexical().agg(F.sum("score")).first()[0]
+    tuned.close(), plain.close()
+    assert not tuned.kept
+
+
+def test_services_have_a_time_limit(spark):
+    import time
+
+    start = time.monotonic()
+    asked = spark.createDataFrame([(1, "a")], "query_id long, text string")
+    slow = lambda: lambda texts: time.sleep(20)
+    assert "no answer within 300 ms" in services.with_vectors(asked, slow, milliseconds=300).first()["error"]
+    pairs = spark.createDataFrame([(1, "q", 1, "d")], "query_id long, text string, uuid long, document string")
+    assert "no answer" in services.with_logits(pairs, lambda: lambda q, docs: time.sleep(20), milliseconds=300).first()["error"]
+    assert time.monotonic() - start < 19
+
+
+def test_a_failed_write_leaves_the_old_records(spark, tmp_path):
+    rows = spark.createDataFrame([(1, '{"a":1}')], "revit_id long, record string")
+    path = str(tmp_path / "r")
+    writers.write_records(rows, path)
+    with pytest.raises(Exception, match="broken"):
+        writers.write_records(rows.withColumn("record", F.raise_error(F.lit("broken")).cast("string")), path)
+    assert [r["value"] for r in spark.read.text(path).collect()] == ['{"a":1}']
+    writers.write_records(rows.withColumn("record", F.lit("{}")), path)
+    assert [r["value"] for r in spark.read.text(path).collect()] == ["{}"] and [p.name for p in tmp_path.iterdir()] == ["r"]
+
+
+def test_ladders_follow_the_registry_order():
+    steps = enrichment.ladder(["density", "class", "unknown", "description"])
+    assert steps == [("name", [], False), ("class", ["class"], False), ("description", ["class", "description"], False), ("density", ["class", "description", "density"], True)]
+
+
+def test_selection_of_all_that_is_visible(spark):
+    catalog = spark.createDataFrame([(1, "Red ring"), (2, "Anvil"), (3, "ring")], "key long, display_name string")
+    chosen = spark.createDataFrame([(2,), (3,)], "key long")
+    assert {r["key"] for r in context.select_visible(catalog, chosen, "RING").collect()} == {1, 2, 3}
+    assert {r["key"] for r in context.select_visible(catalog, chosen, "(", regex=True).collect()} == {2, 3}
+
+
+def test_report_shows_seconds_by_mode(spark):
+    got = report.mode_seconds(Roles(spark, "/root/testdata/sf0.001"), readers.Settings()).collect()
+    assert {r["mode"] for r in got} == set(report.stats.MODES) and all(r["seconds"] > 0 for r in got)

@@ -111,3 +111,22 @@ def test_acceptable_takes_only_filled_ids(spark):
 def test_marker_needs_filled_ids(spark):
     rows = spark.createDataFrame([(None, None, []), (1, 1, [1]), (2, 1, [1, 2]), (3, 1, [1])], "u long, c long, a array<long>")
     assert [r[0] for r in rows.select(metrics.hit_marker(F.col("u"), F.col("c"), F.col("a"))).collect()] == ["", "**", "*", ""]
+
+
+def test_truth_as_rows_is_the_union(spark):
+    marks = spark.createDataFrame([("a", "1"), ("a", "1"), ("b", "2")], "name string, uuid string")
+    correct = spark.createDataFrame([("a", "3"), ("b", "2"), ("c", ""), ("d", None)], "name string, uuid string")
+    assert sorted(map(tuple, truth.acceptable_rows(marks, correct, "name").collect())) == [("a", "1"), ("a", "3"), ("b", "2")]
+
+
+@pytest.mark.parametrize("p,said", [(0.0009, "<.001"), (0.001, "0.001"), (0.0625, "0.062"), (1.0, "1.000")])
+def test_p_values_as_shown(spark, p, said):
+    assert spark.range(1).select(stats.shown_p(F.lit(p))).first()[0] == said
+
+
+def test_intervals_of_all_measures(spark):
+    rows = pq(spark, [1, 2, None]).withColumn("ndcg", F.lit(0.5))
+    got = {r["measure"]: r for r in stats.ranking_intervals(rows, resamples=100).collect()}
+    assert set(got) == {"mrr", "mrr_correct", "ndcg10"} and (got["ndcg10"]["low"], got["ndcg10"]["high"]) == (0.5, 0.5) and got["mrr"]["point"] == 0.5
+    cells = {(r["kind"], r["cell"]): r["hits"] for r in metrics.wilson_recall(rows).collect()}
+    assert cells["exact", "rall"] == cells["acceptable", "r3"] == 2 and len(cells) == 12

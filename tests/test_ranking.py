@@ -98,3 +98,51 @@ def test_typo_expansion_weights(spark):
     vocab = spark.createDataFrame([("anvil",), ("ring",), ("rings",)], "term string")
     got = {(r["source"], r["term"]): (r["distance"], r["weight"]) for r in lexical.typo_expansion(terms, vocab).collect()}
     assert got == {("anvl", "anvil"): (1, 0.5), ("ring", "ring"): (0, 1.0)}
+
+
+def test_edit_pairs_against_all_pairs(spark):
+    import random
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    rng = random.Random(1)
+    words = ["", "a", "ab", *("".join(rng.choice("ab") for _ in range(rng.randint(2, 6))) for _ in range(30))]
+    long = ["".join(rng.choice("abc") for _ in range(rng.choice([63, 64, 65, 66, 200]))) for _ in range(6)]
+    for w in long[:]:
+        for _ in range(3):
+            at = rng.randrange(len(w))
+            long += [w[:at] + w[at + 1 :], w[:at] + "z" + w[at:], w[:at] + "zz" + w[at + 2 :]]
+    words = sorted({*words, *long, "x" * 20_000})
+    table = lambda c: spark.createDataFrame([(w,) for w in words], f"{c} string")
+    for most in (1, 2):
+        got = {(r["term"], r["known"]): r["distance"] for r in lexical.edit_pairs(table("term"), table("known"), most).collect()}
+        near = [(a, b) for a in words for b in words if abs(len(a) - len(b)) <= most]
+        want = {(a, b): d for a, b in near if (d := 0 if a == b else distance(a, b)) <= most}
+        assert got == want and len(want) > len(words)
+
+
+def test_substring_pairs_against_all_pairs(spark):
+    hays, needles = ["", "a", "ab", "abcab", "xyz abc", "K\u00e4se"], ["", "a", "bc", "cab", "abcab", "yz ab", "\u00e4s", "zzz"]
+    got = {tuple(r) for r in lexical.substring_pairs(spark.createDataFrame([(h,) for h in hays * 2], "hay string"), spark.createDataFrame([(n,) for n in needles], "needle string")).collect()}
+    assert got == {(h, n) for h in hays for n in needles if n and n in h}
+
+
+def test_best_scores_hold_the_first_k(spark):
+    v = spark.createDataFrame([(i, [float(i % 4), 1.0]) for i in range(40)] + [(99, None), (98, [1.0])], "uuid long, v array<float>")
+    q = v.where("uuid < 5 or uuid > 90").select(F.col("uuid").alias("query_id"), "v")
+    every = ranking.ranked(ranking.score_vectors(q, v), k=3)
+    few = ranking.score_vectors(q, v, k=3)
+    assert sorted(ranking.ranked(few, k=3).collect()) == sorted(every.collect())
+    assert few.count() < ranking.score_vectors(q, v).count() and {r["uuid"] for r in every.where("query_id = 98").collect()} == {98}
+
+
+def test_fitted_steps_replace_a_sigmoid(spark):
+    curves = ranking.CURVES | {"hybrid": [(0.5, 0.4), (0.0, 0.1)]}
+    got = spark.range(1).select(*[ranking.calibrated(F.lit(x), "hybrid", curves) for x in (-1.0, 0.2, 0.5, 9.0)]).first()
+    assert tuple(got) == (0.1, 0.1, 0.4, 0.4)
