@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -116,8 +117,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str | tuple[str, str], lim
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = np.fromiter((len(x) for x in encoded(child(batch, column))), np.int64, batch.num_rows)
-        total, begin = np.cumsum(sizes), 0
+        sizes = pc.fill_null(pc.binary_length(child(batch, column)), 0).to_numpy(zero_copy_only=False)
+        total, begin = np.cumsum(sizes, dtype=np.int64), 0
         while begin < batch.num_rows:
             before = total[begin - 1] if begin else 0
             end = max(begin + 1, int(np.searchsorted(total, before + limit, side="right")))

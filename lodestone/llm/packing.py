@@ -3,68 +3,121 @@
 from __future__ import annotations
 
 import os
+import re
+import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import encoded, slices
+from lodestone.llm.common import encoded, of, slices
 
 SEQUENCE = 2048
 TOKENIZER = "byte_bpe_50k.json"
-_held: dict[str, object] = {}
+#: A space between two characters that no version of Unicode counts as white space.
+_SEEN = "[^\\s\\u180e\\u200b\\u2060\\ufeff]"
+CUT = re.compile(f" (?<={_SEEN} )(?={_SEEN})")
+#: Parts of texts whose ids a Python worker keeps, some 100 MB, and the longest of them.
+HELD, LONGEST = 1 << 19, 64
 
 
-def tokenizer_of(name: str = TOKENIZER) -> object:
-    """The tokenizer of a vocabulary file, a path or a name in public_tokenizers; made once in a Python worker."""
-    if name not in _held:
+class Encoder:
+    """The tokenizer of a vocabulary file, which reads each different part of the texts once.
+
+    The tokenizer splits a text by its pattern and merges bytes within the pieces only. A lone space between two characters that are not white
+    space always starts a piece: words, digits and signs take one space at their head and none inside. So a text's ids are those of its parts between
+    such spaces, each with the space before it, one after the other, and parts met before need not be read again. Parts that are new are read
+    together as one text, whose ids are told apart by their numbers of bytes: a byte-level token stands for as many bytes as its name has signs.
+    """
+
+    def __init__(self, path: str, most: int = HELD):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        import public_tokenizers
         from tokenizers import Tokenizer
 
-        _held[name] = Tokenizer.from_file(name if "/" in name else public_tokenizers.path(name))
-        _held[name].encode_special_tokens = True
-    return _held[name]
+        self.whole, self.most, self.held = Tokenizer.from_file(path), most, {}
+        self.whole.encode_special_tokens = True
+        names = self.whole.get_vocab()
+        self.bytes = np.zeros(max(names.values()) + 1, np.int64)
+        for name, i in names.items():
+            self.bytes[i] = len(name)
+
+    def _read(self, parts: list[str]) -> list[bytes]:
+        """The ids of parts, each with a space before it."""
+        if not parts:
+            return []
+        ids = np.array(self.whole.encode_batch_fast([" " + " ".join(parts)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.cumsum([len(x.encode()) + 1 for x in parts])
+        at = (4 * (np.searchsorted(np.cumsum(self.bytes[ids]), ends) + 1)).tolist()
+        data = ids.tobytes()
+        return [data[a:b] for a, b in zip([0, *at], at)]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of whole texts as little-endian unsigned 32-bit integers."""
+        cut = [CUT.split(t) for t in texts]
+        heads = self.whole.encode_batch_fast([p.pop(0) for p in cut], add_special_tokens=False)
+        every = set(chain.from_iterable(cut))
+        new = list(every.difference(self.held))
+        if len(self.held) + len(new) > self.most:
+            self.held, new = {}, list(every)
+        held = self.held
+        held.update(zip(new, self._read(new)))
+        out = [np.array(h.ids, "<u4").tobytes() + b"".join(map(held.__getitem__, p)) for h, p in zip(heads, cut)]
+        if len(held) > self.most:
+            self.held = {}
+        else:
+            for x in new:
+                if len(x) > LONGEST:
+                    del held[x]
+        return out
 
 
-def token_ids(texts: list[str], name: str = TOKENIZER) -> list[np.ndarray]:
-    """The tokenizer's ids of whole texts as little-endian unsigned 32-bit integers; the fast call leaves out only the places of tokens in the text."""
-    return [np.array(x.ids, "<u4") for x in tokenizer_of(name).encode_batch_fast(texts, add_special_tokens=False)]
+_made: dict[str, Encoder] = {}
+
+
+def token_bytes(texts: list[str], name: str = TOKENIZER) -> list[bytes]:
+    """The tokenizer's ids of whole texts; name is a file of public_tokenizers or a path. Its encoder is made once in a Python worker."""
+    if name not in _made:
+        import public_tokenizers
+
+        _made[name] = Encoder(name if "/" in name else public_tokenizers.path(name))
+    return _made[name].encode(texts)
 
 
-def tokenize_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER, length: int = SEQUENCE, end_id: int = 0) -> DataFrame:
-    """Rows (id, piece, start, length, ids) with ids as little-endian unsigned 32-bit bytes.
+def tokenize_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER, length: int = SEQUENCE, end_id: int = 0, with_ids: bool = True) -> DataFrame:
+    """Rows (id, piece, start, length, ids_crc32) and ids, if asked, as little-endian unsigned 32-bit bytes.
 
     Every document is its text's ids and then end_id; a null text counts as empty, so it has the one id. Only documents
     longer than length are cut; all pieces but the first then have that length. Repeated rows repeat.
     """
-    end = np.array([end_id], "<u4")
+    end = np.array([end_id], "<u4").tobytes()
+    fields = [docs.schema[id_col], T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType())]
+    schema = T.StructType([*fields, *([T.StructField("ids", T.BinaryType())] if with_ids else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "__text"):
-            rows, piece, start, sizes, ids = [], [], [], [], []
-            for row, found in enumerate(token_ids([x.decode("utf-8", "replace") for x in encoded(part.column(1))], tokenizer)):
-                data = np.concatenate([found, end])
-                n = len(data)
+        for part in slices(batches, "text"):
+            rows, piece, start, sizes, crc, ids = [], [], [], [], [], []
+            texts = [x.decode("utf-8", "replace") for x in encoded(part.column(1))]
+            for row, found in enumerate(token_bytes(texts, tokenizer)):
+                data = found + end
+                n = len(data) // 4
                 at = n % length or length
                 bounds = [0, *range(min(at, n), n + 1, length)]
                 for k, (a, b) in enumerate(zip(bounds, bounds[1:])):
+                    mine = data[4 * a : 4 * b]
                     rows.append(row)
                     piece.append(k)
                     start.append(a)
                     sizes.append(b - a)
-                    ids.append(data[a:b].tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0).take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary())],
-                names=[id_col, "piece", "start", "length", "ids"],
-            )
+                    crc.append(zlib.crc32(mine))
+                    ids.append(mine)
+            columns = [part.column(0).take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(sizes, pa.int64()), pa.array(crc, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns + ([pa.array(ids, pa.binary())] if with_ids else []), names=schema.names)
 
-    schema = T.StructType([docs.schema[id_col], T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids", T.BinaryType())])
-    return docs.select(id_col, F.col(text_col).alias("__text")).mapInArrow(run, schema)
+    return docs.select(of(id_col), of(text_col).alias("text")).mapInArrow(run, schema)
 
 
 class OpenBins:
@@ -124,5 +177,5 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     an empty table gives no rows. Columns other than the id and the text are not read.
     """
     tasks = max(1, -(-docs.count() // rows_per_task))
-    pieces = tokenize_pieces(docs, id_col, text_col, tokenizer, length).withColumn("ids_crc32", F.crc32("ids").cast("long"))
-    return pack_pieces(pieces if with_ids else pieces.drop("ids"), tasks, length, open_bins)
+    pieces = tokenize_pieces(docs, id_col, text_col, tokenizer, length, with_ids=with_ids)
+    return pack_pieces(pieces, tasks, length, open_bins)

@@ -69,24 +69,40 @@ def test_packing(docs, empty, rows, with_ids):
     assert packing.pack_documents(empty).count() == 0
 
 
+@pytest.fixture(scope="module")
+def real():
+    made = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    made.encode_special_tokens = True
+    return lambda texts: [np.array(x.ids, "<u4").tobytes() for x in made.encode_batch(texts, add_special_tokens=False)]
+
+
 @pytest.mark.parametrize("sign", [" ", "\n", "a", "1", "-", "\u3000", "\u00e9", "\u6f22", "a ", "a  b", "\0"])
-def test_runs_of_a_million_characters(sign):
+def test_runs_of_a_million_characters(real, sign):
     run = sign * (1_000_000 // len(sign))
     texts = [run, "word" + run, run + "word", "two words" + run + "two words"]
-    real = packing.tokenizer_of()
-    for text, got in zip(texts, packing.token_ids(texts)):
-        assert real.decode(got.tolist(), skip_special_tokens=False) == text
-        assert got.tolist() == real.encode(text, add_special_tokens=False).ids
+    for text in texts:
+        assert packing.token_bytes([text]) == real([text])
 
 
-def test_ids_of_a_whole_table():
+def test_ids_of_a_whole_table(real):
     import pyarrow.parquet as pq
 
-    real = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    real.encode_special_tokens = True
-    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.01/documents.parquet")["text"].to_pylist()]
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.1/documents.parquet")["text"].to_pylist()]
     for k in range(0, len(texts), 500):
-        assert [x.tolist() for x in packing.token_ids(texts[k : k + 500])] == [x.ids for x in real.encode_batch(texts[k : k + 500], add_special_tokens=False)]
+        assert packing.token_bytes(texts[k : k + 500]) == real(texts[k : k + 500])
+
+
+@pytest.mark.parametrize("most", [packing.HELD, 40])
+def test_ids_of_any_signs(real, most):
+    """Cuts at spaces change no id, whatever stands beside them, and whether parts are kept or not."""
+    import random
+
+    rng = random.Random(1)
+    signs = [" ", " ", " ", "  ", "\n", "\t", "\r\n", "\xa0", "\u2003", "\u3000", "\x85", "\x1c", "\u200b", "\u2028", "\ufeff", "\u180e", "'s", "'re", "'", "a", "Word", "\xdf", "\u6f22", "\u0661", "\xb2", "\xbd", "\xe9", "\U0001f600", "-", "...", "12", "\0", "\x7f", "\u0301", "<|endoftext|>", "x" * 70]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 30))) for _ in range(20_000)]
+    encoder = packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"), most)
+    got = [x for k in range(0, len(texts), 100) for x in encoder.encode(texts[k : k + 100])]
+    assert got == real(texts) and all(len(p) <= packing.LONGEST for p in encoder.held) and len(encoder.held) <= most
 
 
 def test_best_fit_against_brute_force():
