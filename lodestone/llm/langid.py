@@ -98,7 +98,8 @@ def gram_statistics(learn: DataFrame, each: int) -> tuple[int, np.ndarray, dict[
     for row in summed:
         held[row["bucket"]] = row["docs"]
     order = Window.partitionBy("lang").orderBy("key")
-    chosen = parts.where("lang is not null").select("lang", "key").distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= each)
+    # equal keys have one rank, so Spark prunes each partition to `each` keys a language before the shuffle
+    chosen = parts.where("lang is not null").select("lang", "key").withColumn("n", F.dense_rank().over(order)).where(F.col("n") <= each)
     limits = {r["lang"]: r["most"] for r in chosen.groupBy("lang").agg(F.max("key").alias("most")).collect()}
     remove(spark, path)
     return (summed[0]["n"] if summed else 0), held, limits
