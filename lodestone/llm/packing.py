@@ -21,8 +21,8 @@ TOKENIZER = "byte_bpe_50k.json"
 #: A space between two characters that no version of Unicode counts as white space.
 _SEEN = "[^\\s\\u180e\\u200b\\u2060\\ufeff]"
 CUT = re.compile(f" (?<={_SEEN} )(?={_SEEN})")
-#: Parts of texts whose ids a Python worker keeps, some 100 MB, and the longest of them.
-HELD, LONGEST = 1 << 19, 64
+#: Parts of texts whose ids a Python worker keeps in each of two generations, some 50 MB, and the longest of them.
+HELD, LONGEST = 1 << 18, 64
 
 
 class Encoder:
@@ -30,7 +30,8 @@ class Encoder:
 
     The tokenizer splits a text by its pattern and merges bytes within the pieces only. A lone space between two characters that are not white
     space always starts a piece: words, digits and signs take one space at their head and none inside. So a text's ids are those of its parts between
-    such spaces, each with the space before it, one after the other, and parts met before need not be read again. Parts that are new are read
+    such spaces, each with the space before it, one after the other, and parts met before need not be read again. When a generation of parts is
+    full it becomes the one before, and those it is asked for again live on. Parts that are new are read
     together as one text, whose ids are told apart by their numbers of bytes: a byte-level token stands for as many bytes as its name has signs.
     """
 
@@ -38,7 +39,7 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        self.whole, self.most, self.held = Tokenizer.from_file(path), most, {}
+        self.whole, self.most, self.held, self.old = Tokenizer.from_file(path), most, {}, {}
         self.whole.encode_special_tokens = True
         names = self.whole.get_vocab()
         self.bytes = np.zeros(max(names.values()) + 1, np.int64)
@@ -59,19 +60,19 @@ class Encoder:
         """The ids of whole texts as little-endian unsigned 32-bit integers."""
         cut = [CUT.split(t) for t in texts]
         heads = self.whole.encode_batch_fast([p.pop(0) for p in cut], add_special_tokens=False)
-        every = set(chain.from_iterable(cut))
-        new = list(every.difference(self.held))
-        if len(self.held) + len(new) > self.most:
-            self.held, new = {}, list(every)
         held = self.held
+        absent = set(chain.from_iterable(cut)).difference(held)
+        # what the generation before still holds need not be read again
+        known = absent.intersection(self.old)
+        held.update((x, self.old[x]) for x in known)
+        new = list(absent - known)
         held.update(zip(new, self._read(new)))
         out = [np.array(h.ids, "<u4").tobytes() + b"".join(map(held.__getitem__, p)) for h, p in zip(heads, cut)]
+        for x in new:
+            if len(x) > LONGEST:
+                del held[x]
         if len(held) > self.most:
-            self.held = {}
-        else:
-            for x in new:
-                if len(x) > LONGEST:
-                    del held[x]
+            self.old, self.held = held, {}
         return out
 
 

@@ -102,7 +102,7 @@ def test_ids_of_any_signs(real, most):
     texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 30))) for _ in range(20_000)]
     encoder = packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"), most)
     got = [x for k in range(0, len(texts), 100) for x in encoder.encode(texts[k : k + 100])]
-    assert got == real(texts) and all(len(p) <= packing.LONGEST for p in encoder.held) and len(encoder.held) <= most
+    assert got == real(texts) and all(len(p) <= packing.LONGEST for p in encoder.held) and len(encoder.held) <= most and bool(encoder.old) == (most == 40)
 
 
 def test_best_fit_against_brute_force():
