@@ -18,15 +18,19 @@ PRIMES = (11400714785074694791, 14029467366897019727, 1609587929392839161, 96500
 P1, P2, P3, P4, P5 = (U64(p) for p in PRIMES)
 
 
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset a local master gets a temporary folder, and any other an error."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="lodestone-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    if found := spark.conf.get("spark.checkpoint.dir", None):
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _own:  # the setting itself cannot be changed in a session
+        _own[app] = "file://" + tempfile.mkdtemp(prefix="lodestone-")
+    return _own[app]
 
 
 def _at(spark: SparkSession, path: str) -> tuple:

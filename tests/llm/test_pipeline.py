@@ -60,12 +60,14 @@ def test_tables_of_a_run_go(spark):
 def test_a_cluster_needs_a_shared_folder():
     from lodestone.llm.common import shared_dir
 
-    class Session:
-        conf = type("C", (), {"get": staticmethod(lambda k, d: d)})
-        sparkContext = type("S", (), {"master": "spark://host:7077"})
+    def session(master, folder=None):
+        conf = type("C", (), {"get": staticmethod(lambda k, d: folder)})
+        return type("Session", (), {"conf": conf, "sparkContext": type("S", (), {"master": master, "applicationId": "app"})})
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
-        shared_dir(Session)
+        shared_dir(session("spark://host:7077"))
+    assert shared_dir(session("spark://host:7077", "hdfs://x/y/")) == "hdfs://x/y"
+    assert shared_dir(session("local[2]")) == shared_dir(session("local[2]")) != ""
 
 
 def test_every_operator_is_registered_once():
