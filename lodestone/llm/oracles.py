@@ -75,7 +75,7 @@ def license_scan() -> str:
 c AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents), d AS (SELECT *, len(w) AS n FROM c),
 h AS (SELECT g.r, t.*, g.pos, g.pos - t.spot AS diagonal FROM ({grams}) g JOIN t USING (gram, base)),
 v AS (SELECT r, label, base, need, size, diagonal, count(*) AS votes, min(pos) AS f, max(pos) AS z FROM h GROUP BY ALL),
-m AS (SELECT *, CASE WHEN NOT base AND diagonal - lag(diagonal) OVER (PARTITION BY r, label, base, need, size ORDER BY diagonal) <= {licenses.NEAR} THEN 0 ELSE 1 END AS fresh FROM v),
+m AS (SELECT *, CASE WHEN NOT base AND diagonal - lag(diagonal) OVER (PARTITION BY r, label, base, need, size ORDER BY diagonal) <= {licenses.NEAR} AND votes < need AND lag(votes) OVER (PARTITION BY r, label, base, need, size ORDER BY diagonal) < need THEN 0 ELSE 1 END AS fresh FROM v),
 p AS (SELECT *, sum(fresh) OVER (PARTITION BY r, label, base, need, size ORDER BY diagonal ROWS UNBOUNDED PRECEDING) AS span FROM m),
 s AS (SELECT r, label, base, need, size, span, sum(votes) AS votes, min(f) AS f, max(z) AS z, least(1.0::DOUBLE, sum(votes) / need::DOUBLE) AS coverage FROM p GROUP BY r, label, base, need, size, span),
 k AS (SELECT * FROM s WHERE CASE WHEN base THEN votes = need ELSE coverage >= {licenses.LEAST} AND z - f <= 2 * size + {licenses.NEAR} END)

@@ -352,6 +352,14 @@ def test_a_changed_notice_is_found_by_merged_diagonals(spark):
     assert [(r["doc_id"], r["first"]) for r in got] == [(1, 3)] and 0.8 < got[0]["coverage"] < 1
 
 
+def test_repeats_of_a_short_notice_keep_their_label(spark):
+    texts = ["Released under the MIT License. " * 5, "Licensed under the Apache License, Version 2.0; " * 4, "\u0130 K \u212a MIT License"]
+    got = licenses.license_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).where("label is not null").collect()
+    spans = lambda label: sorted(r["first"] for r in got if r["label"] == label)
+    assert spans("mit-line") == [0, 5, 10, 15, 20] and spans("apache-2.0") == [0, 8, 16, 24]
+    assert [(r["doc_id"], r["n_words"]) for r in got if r["label"] == "mit" and r["doc_id"] == 2] == [(2, 5)]
+
+
 def test_mixing(docs, empty, rows):
     got = mixing.mix_documents(docs).collect()
     size = lambda t: len(utf8(t).split())
