@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -18,11 +17,37 @@ from lodestone.llm.common import encoded, of, slices
 
 SEQUENCE = 2048
 TOKENIZER = "byte_bpe_50k.json"
-#: A space between two characters that no version of Unicode counts as white space.
-_SEEN = "[^\\s\\u180e\\u200b\\u2060\\ufeff]"
-CUT = re.compile(f" (?<={_SEEN} )(?={_SEEN})")
-#: Parts of texts whose ids a Python worker keeps in each of two generations, some 50 MB, and the longest of them.
+#: Parts of texts whose ids a Python worker keeps in each of two generations, some 50 MB, and the longest of them in bytes.
 HELD, LONGEST = 1 << 18, 64
+#: First and last code points of the signs beyond ASCII that some version of Unicode counts as white space, and of their invisible neighbours.
+BLANK = ((0x80, 0xA0), (0x1680, 0x1680), (0x180E, 0x180E), (0x2000, 0x200F), (0x2028, 0x202F), (0x205F, 0x206F), (0x3000, 0x3000), (0xFEFF, 0xFEFF))
+
+
+def _seen(data: np.ndarray, at: np.ndarray, step: int) -> np.ndarray:
+    """Whether the character that starts (step 1) or ends (step -1) at each place of UTF-8 bytes is not white space."""
+    near = data[at]
+    out = (near > 0x20) & (near < 0x80)
+    far = np.flatnonzero(near >= 0x80)
+    if not len(far):
+        return out
+    first = at[far]
+    if step < 0:
+        for _ in range(3):
+            first = first - ((data[first] & 0xC0) == 0x80)
+    lead, second, third = (data[np.minimum(first + k, len(data) - 1)].astype(np.int32) for k in range(3))
+    two, three = (lead & 31) << 6 | second & 63, (lead & 15) << 12 | (second & 63) << 6 | third & 63
+    code = np.where(lead < 0xE0, two, np.where(lead < 0xF0, three, 0x10000))
+    out[far] = ~np.logical_or.reduce([(code >= a) & (code <= b) for a, b in BLANK])
+    return out
+
+
+def lone_spaces(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Places of spaces between two characters of one text that are not white space; ends are the texts' ends in the UTF-8 bytes."""
+    at = np.flatnonzero(data == 0x20)
+    edge = np.zeros(len(data) + 1, bool)
+    edge[0] = edge[ends] = True
+    at = at[~(edge[at] | edge[at + 1])]
+    return at[_seen(data, at - 1, -1) & _seen(data, at + 1, 1)]
 
 
 class Encoder:
@@ -46,34 +71,55 @@ class Encoder:
         for name, i in names.items():
             self.bytes[i] = len(name)
 
-    def _read(self, parts: list[str]) -> list[bytes]:
-        """The ids of parts, each with a space before it."""
-        if not parts:
-            return []
-        ids = np.array(self.whole.encode_batch_fast([" " + " ".join(parts)], add_special_tokens=False)[0].ids, "<u4")
-        ends = np.cumsum([len(x.encode()) + 1 for x in parts])
+    def _read(self, parts: list[bytes], heads: list[bytes]) -> list[bytes]:
+        """The ids of parts, which start with a lone space, and of heads of texts."""
+        texts = [b"".join(parts), *heads]
+        together, *apart = self.whole.encode_batch_fast([x.decode() for x in texts], add_special_tokens=False)
+        ids = np.array(together.ids, "<u4")
+        ends = np.cumsum([len(x) for x in parts])
         at = (4 * (np.searchsorted(np.cumsum(self.bytes[ids]), ends) + 1)).tolist()
         data = ids.tobytes()
-        return [data[a:b] for a, b in zip([0, *at], at)]
+        return [data[a:b] for a, b in zip([0, *at], at)] + [np.array(x.ids, "<u4").tobytes() for x in apart]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of whole texts as little-endian unsigned 32-bit integers."""
-        cut = [CUT.split(t) for t in texts]
-        heads = self.whole.encode_batch_fast([p.pop(0) for p in cut], add_special_tokens=False)
-        held = self.held
-        absent = set(chain.from_iterable(cut)).difference(held)
-        # what the generation before still holds need not be read again
-        known = absent.intersection(self.old)
-        held.update((x, self.old[x]) for x in known)
-        new = list(absent - known)
-        held.update(zip(new, self._read(new)))
-        out = [np.array(h.ids, "<u4").tobytes() + b"".join(map(held.__getitem__, p)) for h, p in zip(heads, cut)]
-        for x in new:
+        raw = [x.encode() for x in texts]
+        data, ends = b"".join(raw), np.cumsum([len(x) for x in raw], dtype=np.int64)
+        if not data:
+            return [b""] * len(raw)
+        cuts = lone_spaces(np.frombuffer(data, np.uint8), ends)
+        heads = np.unique(np.concatenate([[0], ends[:-1]]))
+        heads = heads[heads < len(data)]
+        bounds = np.sort(np.concatenate([heads, cuts, [len(data)]]))
+        spans = pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(data)]).dictionary_encode()
+        which, each = spans.indices.to_numpy(), spans.dictionary
+        signs, places = each.buffers()[2].to_pybytes(), np.frombuffer(each.buffers()[1], np.int64, len(each) + 1).tolist()
+        keys = [signs[a:b] for a, b in zip(places, places[1:])]
+
+        inner = np.zeros(len(keys), bool)
+        inner[which[np.searchsorted(bounds, cuts)]] = True
+        held, old, new, first = self.held, self.old, [], []
+        for key, part in zip(keys, inner.tolist()):
+            if key not in held:
+                if key in old:  # need not be read again
+                    held[key] = old[key]
+                else:
+                    (new if part else first).append(key)
+        held.update(zip(new + first, self._read(new, first)))
+        ids = [held[key] for key in keys]
+
+        sizes = np.array([len(x) for x in ids], np.int64) // 4
+        lengths = sizes[which]
+        after = np.cumsum(lengths)
+        shift = (np.cumsum(sizes) - sizes)[which] - (after - lengths)
+        out = np.frombuffer(b"".join(ids), "<u4")[np.arange(after[-1]) + np.repeat(shift, lengths)].tobytes()
+        at = (4 * np.concatenate([[0], after])[np.searchsorted(bounds, ends)]).tolist()
+        for x in chain(new, first):
             if len(x) > LONGEST:
                 del held[x]
         if len(held) > self.most:
             self.old, self.held = held, {}
-        return out
+        return [out[a:b] for a, b in zip([0, *at], at)]
 
 
 _made: dict[str, Encoder] = {}
