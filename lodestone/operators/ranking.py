@@ -44,23 +44,37 @@ def score_vectors(queries: DataFrame, corpus: DataFrame, k: int | None = None, m
     among a query's k best. Rows without a vector are left out.
 
     Comparing a stated query set with all rows is the operator itself. The query side is counted: up to most_broadcast queries
-    are sent to the tasks as a matrix, and each batch of the corpus gives one matrix product; with k a batch gives no more than k rows a query. A larger query side is cut into blocks that meet each
-    corpus partition in turn.
+    are sent to the tasks as a matrix, and each batch of the corpus gives one matrix product; with k a batch gives no more than k rows a query, ties with the kth aside. A larger query
+    side is cut into blocks of that many. With k they meet blocks of the corpus as matrices, which give as few rows; without, each block meets each corpus partition in turn.
     """
     spark = queries.sparkSession
     asked, rows = queries.select("query_id", "v").where("v is not null"), corpus.select("uuid", "v").where("v is not null")
+    schema = T.StructType([T.StructField("query_id", asked.schema["query_id"].dataType), T.StructField("uuid", rows.schema["uuid"].dataType), T.StructField("score", T.DoubleType())])
     n = asked.count()
     if n > most_broadcast:
         blocks = -(-n // most_broadcast)
-        asked = asked.select("query_id", F.col("v").alias("q"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("b"))
-        pairs = rows.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>"))).join(asked, "b").where(F.size("q") == F.size("v"))
-        return pairs.select("query_id", "uuid", F.round(dot("q", "v"), 6).alias("score"))
+        asked = asked.select("query_id", F.col("v").alias("q"), F.pmod(F.xxhash64("query_id", "v"), F.lit(blocks)).alias("b"))
+        rows = rows.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")))
+        if k is None:
+            pairs = rows.join(asked, "b").where(F.size("q") == F.size("v"))
+            return pairs.select("query_id", "uuid", F.round(dot("q", "v"), 6).alias("score"))
+        cuts = -(-corpus.count() // most_broadcast) or 1
+        rows = rows.withColumns({"c": F.pmod(F.xxhash64("uuid", "v"), F.lit(cuts)), "d": F.size("v")})
+        asked = asked.withColumns({"c": F.explode(F.sequence(F.lit(0), F.lit(cuts - 1)).cast("array<long>")), "d": F.size("q")})
+
+        def tile(left: pa.Table, right: pa.Table) -> pa.Table:
+            none = pa.table({f.name: pa.array([], t) for f, t in zip(schema.fields, (left["query_id"].type, right["uuid"].type, pa.float64()))})
+            if not (len(left) and len(right)):
+                return none
+            names = right["uuid"].combine_chunks()
+            return pa.Table.from_batches(list(best_pairs(left["query_id"].to_numpy(), matrix(left["q"]), names, matrix(right["v"]), k)))
+
+        return asked.groupBy("b", "c", "d").cogroup(rows.groupBy("b", "c", "d")).applyInArrow(tile, schema)
     by_size: dict[int, tuple[list, list]] = {}
     for row in asked.collect():
         ids, vectors = by_size.setdefault(len(row["v"]), ([], []))
         ids.append(row["query_id"])
         vectors.append(row["v"])
-    kind, own = asked.schema["query_id"].dataType, rows.schema["uuid"].dataType
     sent = spark.sparkContext.broadcast({d: (np.array(ids), np.array(vectors, np.float64)) for d, (ids, vectors) in by_size.items()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,26 +82,35 @@ def score_vectors(queries: DataFrame, corpus: DataFrame, k: int | None = None, m
             lists = batch.column(1)
             sizes = np.diff(lists.offsets.to_numpy())
             flat, ends = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64), np.cumsum([0, *sizes])
-            for size, (ids, matrix) in sent.value.items():
+            for size, (ids, asked_rows) in sent.value.items():
                 mine = np.flatnonzero(sizes == size)
                 if not len(mine):
                     continue
                 x = flat[(ends[mine][:, None] + np.arange(size)).ravel()].reshape(len(mine), size)
-                names = batch.column(0).take(pa.array(mine))
-                step = max(1, (1 << 20) // len(mine))
-                for at in range(0, len(ids), step):
-                    scores = np.round(matrix[at : at + step] @ x.T, 6) + 0.0
-                    if k is None or k >= len(mine):
-                        q, c = np.divmod(np.arange(scores.size), len(mine))
-                    else:  # ties with the kth stay, as ids decide among them later
-                        least = np.partition(scores, len(mine) - k, axis=1)[:, len(mine) - k]
-                        q, c = np.nonzero(scores >= least[:, None])
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + step][q]), names.take(pa.array(c)), pa.array(scores[q, c])], names=["query_id", "uuid", "score"])
-
-    schema = T.StructType([T.StructField("query_id", kind), T.StructField("uuid", own), T.StructField("score", T.DoubleType())])
+                yield from best_pairs(ids, asked_rows, batch.column(0).take(pa.array(mine)), x, k)
+
     return rows.mapInArrow(run, schema)
 
 
+def matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """A list column of one length as a matrix of doubles."""
+    rows = column.combine_chunks()
+    return rows.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), -1)
+
+
+def best_pairs(ids: np.ndarray, asked: np.ndarray, names: pa.Array, rows: np.ndarray, k: int | None) -> Iterator[pa.RecordBatch]:
+    """query_id, uuid, score of the products of two matrices, a million at a time; with k only those that reach a query's kth score."""
+    step = max(1, (1 << 20) // len(rows))
+    for at in range(0, len(ids), step):
+        scores = np.round(asked[at : at + step] @ rows.T, 6) + 0.0
+        if k is None or k >= len(rows):
+            q, c = np.divmod(np.arange(scores.size), len(rows))
+        else:  # ties with the kth stay, as ids decide among them later
+            least = np.partition(scores, len(rows) - k, axis=1)[:, len(rows) - k]
+            q, c = np.nonzero(scores >= least[:, None])
+        yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + step][q]), names.take(pa.array(c)), pa.array(scores[q, c])], names=["query_id", "uuid", "score"])
+
+
 def ranked(scored: DataFrame, *keys: str, k: int | None = None) -> DataFrame:
     """scored with rank from 1 within each query; with k only the first k, which Spark prunes before the shuffle."""
     w = Window.partitionBy("query_id", *keys).orderBy(F.desc("score"), "uuid")

@@ -35,7 +35,7 @@ def registered(sql: str) -> Callable[[Callable[[Roles], DataFrame]], Callable[[R
 
 @registered(over(VECTORS, "SELECT query_id, uuid, score, CAST(rank AS INT) AS rank FROM vr WHERE rank <= 10"))
 def semantic_topk(r: Roles) -> DataFrame:
-    return ranking.ranked(ranking.score_vectors(r.vector_queries, r.vector_corpus), k=10)
+    return ranking.ranked(ranking.score_vectors(r.vector_queries, r.vector_corpus, 10), k=10)
 
 
 @registered(over(f"{VECTORS}, {HITS}", "SELECT count(*) AS n, " + ", ".join(f"count(*) FILTER (hit_rank <= {k}) AS r{k}" for k in metrics.CUTS) + ", round(avg(coalesce(1 / hit_rank::DOUBLE, 0)), 6) AS mrr FROM vh"))
@@ -46,13 +46,13 @@ def recall_at_k(r: Roles) -> DataFrame:
 
 @registered(over(VECTORS, "SELECT query_id, uuid, score, CAST(rank AS INT) AS rank FROM (SELECT query_id, uuid, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, uuid) AS rank FROM vs WHERE score >= 0.2) WHERE rank <= 5"))
 def threshold_topk(r: Roles) -> DataFrame:
-    return ranking.threshold_top(ranking.score_vectors(r.vector_queries, r.vector_corpus), 0.2, 5)
+    return ranking.threshold_top(ranking.score_vectors(r.vector_queries, r.vector_corpus, 5), 0.2, 5)
 
 
 @registered(over(VECTORS, """SELECT query_id, coalesce(uuid, -1) AS uuid, score, CAST(coalesce(rank, 0) AS INT) AS rank, uuid IS NULL AS placeholder
   FROM (SELECT vec_id AS query_id FROM embeddings WHERE vec_id % 10 = 0) LEFT JOIN (SELECT query_id, uuid, score, rank FROM vr WHERE score >= 0.4 AND rank <= 5) USING (query_id)"""))
 def empty_group_placeholder(r: Roles) -> DataFrame:
-    top = ranking.threshold_top(ranking.score_vectors(r.vector_queries, r.vector_corpus), 0.4, 5)
+    top = ranking.threshold_top(ranking.score_vectors(r.vector_queries, r.vector_corpus, 5), 0.4, 5)
     return r.vector_queries.select("query_id").join(top, "query_id", "left").select("query_id", F.coalesce("uuid", F.lit(-1)).alias("uuid"), "score", F.coalesce("rank", F.lit(0)).alias("rank"), F.col("uuid").isNull().alias("placeholder"))
 
 

@@ -133,11 +133,12 @@ def test_substring_pairs_against_all_pairs(spark):
     assert got == {(h, n) for h in hays for n in needles if n and n in h}
 
 
-def test_best_scores_hold_the_first_k(spark):
+@pytest.mark.parametrize("most", [20_000, 3])
+def test_best_scores_hold_the_first_k(spark, most):
     v = spark.createDataFrame([(i, [float(i % 4), 1.0]) for i in range(40)] + [(99, None), (98, [1.0])], "uuid long, v array<float>")
     q = v.where("uuid < 5 or uuid > 90").select(F.col("uuid").alias("query_id"), "v")
     every = ranking.ranked(ranking.score_vectors(q, v), k=3)
-    few = ranking.score_vectors(q, v, k=3)
+    few = ranking.score_vectors(q, v, k=3, most_broadcast=most)
     assert sorted(ranking.ranked(few, k=3).collect()) == sorted(every.collect())
     assert few.count() < ranking.score_vectors(q, v).count() and {r["uuid"] for r in every.where("query_id = 98").collect()} == {98}
 
