@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from lodestone.llm.vector_dedup import finite
 
 EXACT = float(1 << 53)
+#: Least rows of a shard, bytes of its components at most, and the number of shards up to which smaller ones are preferred, so that all cores search.
+LEAST_ROWS, SHARD_BYTES, SPREAD = 4096, 32 << 20, 256
 
 
 class Tree:
@@ -130,15 +132,22 @@ def _search(rows: DataFrame, k: int, leaf: int) -> DataFrame:
     return parts.select("shard", "kind", "id", "vector", "floor").mapInArrow(run, "id long, vector binary, other long, score long, beyond binary")
 
 
-def top_k(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 50, k: int = 5, scale: float = 256.0, shard_rows: int = 4096, leaf: int = 128) -> DataFrame:
+def rows_of_a_shard(n: int, dim: int) -> int:
+    """Rows a shard takes of a table of n: as few as make SPREAD shards, but no fewer than LEAST_ROWS, and no more than SHARD_BYTES hold."""
+    most = max(1, SHARD_BYTES // (8 * max(1, dim)))
+    return min(most, max(LEAST_ROWS, -(-n // SPREAD)))
+
+
+def top_k(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 50, k: int = 5, scale: float = 256.0, shard_rows: int | None = None, leaf: int = 128) -> DataFrame:
     """Rows (query_id, rank, vec_id, score): for each row whose id is divisible by `every` its k best rows by integer inner product.
 
     Components become floor(scale * x) with x as double. Null vectors and those with null or non-finite components (also such as scale makes non-finite) take no part, nor do
     rows with a null id; vectors of another dimension than a query's are no candidates. A query's own rows are those with its id; repeated candidate rows each count; a
     repeated query row is one query. Empty vectors score 0. Scores beyond 64 bits are ranked as they are and then shown as the nearest 64-bit number. Other columns are not read.
 
-    Shards hold about shard_rows rows by hash, so a tree fits a task. Each query first searches its home shard; its kth score there
-    goes with it to all others, which return only rows that reach it. Queries stream past the trees in batches.
+    Shards hold about shard_rows rows by hash, so a tree fits a task; unless given, shards grow with the table up to SHARD_BYTES, as a query is sent once to
+    each of them. Each query first searches its home shard; its kth score there goes with it to all others, which return only rows that reach it.
+    Queries stream past the trees in batches.
     """
     spark = df.sparkSession
 
@@ -151,7 +160,11 @@ def top_k(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
 
     ok = F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & finite(F.transform(vector_col, lambda x: x.cast("double") * F.lit(float(scale))))
     rows = df.where(ok).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector")).mapInArrow(floors, "id long, vector binary, dim int")
-    shards = max(1, -(-df.count() // shard_rows))
+    n = df.count()
+    if shard_rows is None:  # the widest of a few rows sets the size alone; no result depends on it
+        widest = df.select(F.size(vector_col).alias("dim")).limit(1000).agg(F.max("dim")).first()[0]
+        shard_rows = rows_of_a_shard(n, widest or 1)
+    shards = max(1, -(-n // shard_rows))
     place = F.struct("dim", F.pmod(F.xxhash64("id", "vector"), F.lit(shards)).cast("int").alias("part"))
     points = rows.select(place.alias("shard"), F.lit(0).alias("kind"), "id", "vector", F.lit(None).cast("long").alias("floor"))
     queries = rows.where(F.pmod("id", F.lit(every)) == 0).distinct()

@@ -70,7 +70,12 @@ def test_bounds_hold_and_spare_most_pairs():
     assert (np.abs(unit @ unit.T - about) <= error[:, None] + length[:, None] * error[None, :] + 1e-12).all()
 
 
-@pytest.mark.parametrize("shard", [64, 4096])
+def test_shards_grow_up_to_their_bytes():
+    assert [topk.rows_of_a_shard(n, 64) for n in (0, 51_282, 2**21, 10**7, 10**11)] == [4096, 4096, 8192, 39063, 65536]
+    assert topk.rows_of_a_shard(10**9, 4096) == 1024 and topk.rows_of_a_shard(10**9, 10**9) == 1
+
+
+@pytest.mark.parametrize("shard", [64, 4096, None])
 def test_top_k(spark, shard):
     rows = vectors(d=8)
     rows = [(i, None if v is None else [None if x is None else float(np.float32(x)) for x in v], l) for i, v, l in rows if i != 1400]
