@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from lodestone.llm import licenses, mixing as mix, sharding as shards
+from lodestone.llm import compaction as compact, licenses, mixing as mix, sharding as shards
 
 CRC32 = """crc_table AS (SELECT list(c ORDER BY n) AS t FROM (SELECT n, list_reduce(list_concat([n], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS c FROM (SELECT unnest(range(256)) AS n)))"""
 
@@ -101,3 +101,34 @@ def warc() -> str:
     return f"""WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), q AS (SELECT page_id, strlen(h) AS payload_bytes, list_aggregate(list_transform(list_transform(range(8), lambda g: CAST('0x' || substr(sha1(h), 5 * g + 1, 5) AS BIGINT)), lambda x: {four}), 'string_agg', '') AS payload_digest FROM p),
 r AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS latest FROM q)
 SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest, CASE WHEN latest IS NOT NULL AND page_id IS DISTINCT FROM latest THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN latest IS NOT NULL AND page_id IS DISTINCT FROM latest THEN latest END AS refers_to FROM r"""
+
+
+def ball_kmeans(dim: int, k: int, rounds: int, scale: float, seed: str) -> str:
+    apart = "list_inner_product(v.e, v.e) - 2 * list_inner_product(v.e, x.e) + list_inner_product(x.e, x.e)"
+    near = lambda t: f"SELECT r, min({{'d': {apart}, 'c': c}}) AS b FROM v, c{t} x GROUP BY r"
+    turns = "".join(
+        f""", a{t} AS ({near(t)}), s{t} AS (SELECT c, i, sum(CAST(e[i] AS HUGEINT)) AS s, count(*) AS n FROM (SELECT b.c AS c, e, unnest(range(1, {dim + 1})) AS i FROM v JOIN a{t} USING (r)) GROUP BY c, i),
+m{t} AS (SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS DOUBLE) ORDER BY i) AS e FROM s{t} GROUP BY c), c{t + 1} AS (SELECT c{t}.c, coalesce(m{t}.e, c{t}.e) AS e FROM c{t} LEFT JOIN m{t} USING (c))"""
+        for t in range(rounds)
+    )
+    return f"""WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: floor({scale}::DOUBLE * x)) AS e FROM embeddings WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS (SELECT CAST(row_number() OVER (ORDER BY h) - 1 AS INT) AS c, e FROM (SELECT sha256('{seed}:' || coalesce(CAST(vec_id AS VARCHAR), 'null')) AS h, e FROM v ORDER BY h LIMIT {k})){turns}, z AS ({near(rounds)})
+SELECT vec_id, b.c AS cluster, CAST(b.d AS BIGINT) AS distance, CAST(sum(b.d) OVER (PARTITION BY b.c) AS BIGINT) AS cluster_inertia, CAST(sum(b.d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(list_transform(c{rounds}.e, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ',')) AS centroid_sha256 FROM z JOIN v USING (r) JOIN c{rounds} ON c{rounds}.c = z.b.c"""
+
+
+def compaction(r: compact.Rules) -> str:
+    """Next-fit as a recursion along each source: a file's group is the one before unless that would overflow."""
+    return f"""WITH RECURSIVE {CRC32}, d AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(text, '') AS text, CASE WHEN doc_id IS NULL THEN 0 ELSE {crc32('CAST(doc_id AS VARCHAR)')} END AS h, (doc_id - ((doc_id % {r.block_ids}) + {r.block_ids}) % {r.block_ids}) // {r.block_ids} AS block FROM documents, crc_table),
+e AS (SELECT *, least(h % {r.slots}, (h // {r.slots}) % {r.slots}) AS slot FROM d), x AS (SELECT *, (h // {r.slots**2}) % 100 >= {r.kill} * ((((slot + coalesce(block, 0)) % {r.slots}) + {r.slots}) % {r.slots}) AS live FROM e),
+f AS (SELECT source, block, slot, count(*) AS n, count(*) FILTER (live) AS live_rows, sum(strlen(text)) AS bytes, coalesce(sum(strlen(text)) FILTER (live), 0) AS live_bytes FROM x GROUP BY ALL),
+c AS (SELECT *, 100 * (n - live_rows) >= {r.dirty} * n AS dirty, row_number() OVER (PARTITION BY source ORDER BY block NULLS FIRST, slot) AS i FROM f WHERE 100 * (n - live_rows) >= {r.dirty} * n OR bytes < {r.small} * {r.target}),
+w AS (SELECT source, i, live_bytes AS held, i AS start FROM c WHERE i = 1 UNION ALL SELECT c.source, c.i, CASE WHEN w.held + c.live_bytes > {r.target} THEN c.live_bytes ELSE w.held + c.live_bytes END, CASE WHEN w.held + c.live_bytes > {r.target} THEN c.i ELSE w.start END FROM w JOIN c ON c.source = w.source AND c.i = w.i + 1),
+g AS (SELECT source, start, arg_min({{'b': block, 's': slot}}, i) AS o, count(*) AS n_files, sum(live_rows) AS live_rows, sum(bytes) AS bytes, sum(live_bytes) AS live_bytes, bool_or(dirty) AS dirty FROM c JOIN w USING (source, i) GROUP BY source, start),
+q AS (SELECT *, sum(bytes) OVER () AS whole, sum(bytes) OVER b AS upto, row_number() OVER b - 1 AS place FROM g WHERE n_files >= 2 OR dirty WINDOW b AS (ORDER BY n_files DESC, bytes, source, o.b NULLS FIRST, o.s ROWS UNBOUNDED PRECEDING)),
+k AS (SELECT * FROM q WHERE 100 * upto <= {r.share} * whole), m AS (SELECT c.source, c.block, c.slot, k.o, k.n_files, k.bytes, k.live_bytes, k.place, k.live_rows FROM c JOIN w USING (source, i) JOIN k USING (source, start)),
+p AS (SELECT f.source, f.block, f.slot, m.place IS NOT NULL AS moved, CASE WHEN m.place IS NULL THEN f.block ELSE m.o.b END AS ob, CASE WHEN m.place IS NULL THEN f.slot ELSE m.o.s END AS os, coalesce(m.n_files, 1) AS n_files, coalesce(m.live_rows, f.live_rows) AS live_rows, CASE WHEN m.place IS NULL THEN f.bytes ELSE m.bytes END AS bytes, m.live_bytes, m.place
+  FROM f LEFT JOIN m ON f.source = m.source AND f.block IS NOT DISTINCT FROM m.block AND f.slot = m.slot)
+SELECT p.source, ob AS block, os AS slot, CAST(any_value(n_files) AS BIGINT) AS n_files, CAST(any_value(p.live_rows) AS BIGINT) AS live_rows, CAST(any_value(bytes) AS BIGINT) AS bytes, CAST(any_value(CASE WHEN moved THEN bytes + live_bytes + {r.file_cost} * n_files END) AS BIGINT) AS cost, CAST(any_value(place // {r.wave}) AS BIGINT) AS wave,
+  sha256(coalesce(string_agg(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || text || chr(10), '' ORDER BY doc_id NULLS FIRST, text) FILTER (live), '')) AS live_sha256
+FROM p JOIN x ON p.source = x.source AND p.block IS NOT DISTINCT FROM x.block AND p.slot = x.slot GROUP BY p.source, ob, os"""

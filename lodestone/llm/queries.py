@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import langid, licenses, mixing, oracles, packing, quality, sharding, simhash, topk, vector_dedup, warc
+from lodestone.llm import clustering, compaction, langid, licenses, mixing, oracles, packing, quality, sharding, simhash, topk, vector_dedup, warc
 from lodestone.llm.common import shared_path
 
 
@@ -57,11 +57,20 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_languages(_table(spark, sf_dir, "documents"))
 
 
+def op12_compaction_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compaction.compaction_plan(_table(spark, sf_dir, "documents"))
+
+
+def op13_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.ball_kmeans(_table(spark, sf_dir, "embeddings"), dim=64, k=16, rounds=3, scale=64.0, seed="1")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_hash_tree_sharding, op2_best_fit_packing, op3_embedding_near_dedup, op4_simhash_near_dedup, op5_exact_top_k,
         op6_license_scan, op7_source_mixing, op8_warc_round_trip, op9_quality_classifier, op10_language_id,
+        op12_compaction_plan, op13_ball_kmeans,
     )
 }
 
@@ -72,4 +81,6 @@ ORACLES: dict[str, str] = {
     "op6_license_scan": oracles.license_scan(),
     "op7_source_mixing": oracles.mixing(),
     "op8_warc_round_trip": oracles.warc(),
+    "op12_compaction_plan": oracles.compaction(compaction.Rules()),
+    "op13_ball_kmeans": oracles.ball_kmeans(64, 16, 3, 64.0, "1"),
 }
