@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import clustering, compaction, langid, licenses, mixing, oracles, packing, quality, sharding, simhash, topk, vector_dedup, warc
+from lodestone.llm import clustering, compaction, langid, licenses, mixing, oracles, packing, quality, repeats, sharding, simhash, topk, vector_dedup, warc
 from lodestone.llm.common import shared_path
 
 
@@ -57,6 +57,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_languages(_table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_free_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.remove_repeats(_table(spark, sf_dir, "documents"), window=400)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op12_compaction_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compaction.compaction_plan(_table(spark, sf_dir, "documents"))
 
@@ -70,7 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_hash_tree_sharding, op2_best_fit_packing, op3_embedding_near_dedup, op4_simhash_near_dedup, op5_exact_top_k,
         op6_license_scan, op7_source_mixing, op8_warc_round_trip, op9_quality_classifier, op10_language_id,
-        op12_compaction_plan, op13_ball_kmeans,
+        op11_prefix_free_repeats, op12_compaction_plan, op13_ball_kmeans,
     )
 }
 
