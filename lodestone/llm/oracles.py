@@ -74,11 +74,12 @@ def license_scan() -> str:
     return f"""WITH t(gram, label, spot, need, size, base) AS (VALUES {', '.join(rows)}),
 c AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents), d AS (SELECT *, len(w) AS n FROM c),
 h AS (SELECT g.r, t.*, g.pos, g.pos - t.spot AS diagonal FROM ({grams}) g JOIN t USING (gram, base)),
-v AS (SELECT r, label, base, need, size, diagonal, count(*) AS votes, min(pos) AS f, max(pos) AS z FROM h GROUP BY ALL),
-m AS (SELECT *, CASE WHEN NOT base AND diagonal - lag(diagonal) OVER (PARTITION BY r, label, base, need, size ORDER BY diagonal) <= {licenses.NEAR} AND votes < need AND lag(votes) OVER (PARTITION BY r, label, base, need, size ORDER BY diagonal) < need THEN 0 ELSE 1 END AS fresh FROM v),
+v AS (SELECT r, label, base, need, size, diagonal, count(*) AS votes, list(spot) AS spots, min(spot) AS lo, max(spot) AS hi, min(pos) AS f, max(pos) AS z FROM h GROUP BY ALL),
+u AS (SELECT *, lag({{'d': diagonal, 'lo': lo, 'hi': hi, 'f': f, 'z': z}}) OVER (PARTITION BY r, label, base, need, size ORDER BY diagonal) AS w FROM v),
+m AS (SELECT *, CASE WHEN NOT base AND diagonal - w.d <= {licenses.NEAR} AND (lo - w.hi >= {licenses.LONG} AND f - w.z >= {licenses.LONG} OR w.lo - hi >= {licenses.LONG} AND w.f - z >= {licenses.LONG}) THEN 0 ELSE 1 END AS fresh FROM u),
 p AS (SELECT *, sum(fresh) OVER (PARTITION BY r, label, base, need, size ORDER BY diagonal ROWS UNBOUNDED PRECEDING) AS span FROM m),
-s AS (SELECT r, label, base, need, size, span, sum(votes) AS votes, min(f) AS f, max(z) AS z, least(1.0::DOUBLE, sum(votes) / need::DOUBLE) AS coverage FROM p GROUP BY r, label, base, need, size, span),
-k AS (SELECT * FROM s WHERE CASE WHEN base THEN votes = need ELSE coverage >= {licenses.LEAST} AND z - f <= 2 * size + {licenses.NEAR} END)
+s AS (SELECT r, label, base, need, size, span, sum(votes) AS votes, min(f) AS f, max(z) AS z, len(list_distinct(flatten(list(spots)))) / need::DOUBLE AS coverage FROM p GROUP BY r, label, base, need, size, span),
+k AS (SELECT * FROM s WHERE CASE WHEN base THEN votes = need ELSE coverage >= {licenses.LEAST} END)
 SELECT doc_id, CAST(any_value(n) AS BIGINT) AS n_words, count(*) FILTER (base) AS n_base, CAST(min(f) FILTER (base) AS BIGINT) AS first_word, CAST(max(f) FILTER (base) AS BIGINT) AS last_word,
   coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base), '') AS base_labels, coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS labels, coalesce(max(coverage), 0) AS score FROM d LEFT JOIN k USING (r) GROUP BY r, doc_id"""
 
