@@ -58,6 +58,7 @@ class Encoder:
     such spaces, each with the space before it, one after the other, and parts met before need not be read again. When a generation of parts is
     full it becomes the one before, and those it is asked for again live on. Parts that are new are read
     together as one text, whose ids are told apart by their numbers of bytes: a byte-level token stands for as many bytes as its name has signs.
+    A text that holds one of the vocabulary's added tokens, such as <|endoftext|>, goes through the tokenizer as a whole and by itself.
     """
 
     def __init__(self, path: str, most: int = HELD):
@@ -65,7 +66,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.whole, self.most, self.held, self.old = Tokenizer.from_file(path), most, {}, {}
-        self.whole.encode_special_tokens = True
+        self.added = [token.content.encode() for token in self.whole.get_added_tokens_decoder().values()]
         names = self.whole.get_vocab()
         self.bytes = np.zeros(max(names.values()) + 1, np.int64)
         for name, i in names.items():
@@ -84,6 +85,16 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of whole texts as little-endian unsigned 32-bit integers."""
         raw = [x.encode() for x in texts]
+        alone = [i for i, x in enumerate(raw) if any(token in x for token in self.added)]
+        for i in alone:
+            raw[i] = b""
+        out = self._plain(raw)
+        for i in alone:
+            out[i] = np.array(self.whole.encode(texts[i], add_special_tokens=False).ids, "<u4").tobytes()
+        return out
+
+    def _plain(self, raw: list[bytes]) -> list[bytes]:
+        """The ids of texts without added tokens."""
         data, ends = b"".join(raw), np.cumsum([len(x) for x in raw], dtype=np.int64)
         if not data:
             return [b""] * len(raw)
