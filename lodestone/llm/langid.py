@@ -19,8 +19,10 @@ BUCKETS, CENTROIDS = 4096, 3
 LOW, MARGIN = 0.005, 0.8
 #: A limit is at most this part of the median, as few rows tell little of a low quantile.
 MOST = 0.4
-#: 1- to 3-grams (some 70 letters) from which on the whole limit holds; a shorter text has too few for a high cosine, and its limit is in proportion.
-FULL = 200
+#: Characters that kept rows are cut to, to learn how high a cosine texts so short can reach, and the 1- to 3-grams from which on a text counts as whole.
+CUTS, FULL = (8, 24, 72, 216), 1000
+#: Languages at most: each is CENTROIDS rows of BUCKETS numbers, 48 KB, of a model that is broadcast.
+MOST_LANGUAGES = 1000
 UNKNOWN = "und"
 _letters: list[np.ndarray] = []
 
@@ -107,23 +109,29 @@ def gram_statistics(learn: DataFrame, each: int) -> tuple[int, np.ndarray, dict[
 
 @dataclass
 class Centroids:
+    """least: a row for each language, the limits at these numbers of grams; in between they are interpolated."""
+
     idf: np.ndarray
     names: list[str]
     owner: np.ndarray
     table: np.ndarray
     least: np.ndarray
+    grams: np.ndarray
 
     def weigh(self, counts: np.ndarray) -> np.ndarray:
         x = np.log1p(counts) * self.idf
         return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 
     def predict(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(language number, cosine with its nearest centroid, whether that reaches the language's own limit, which is less for texts of under FULL grams)."""
+        """(language number, cosine with its nearest centroid, whether that reaches the language's own limit for texts of so many grams)."""
         cosine = self.weigh(counts) @ self.table.T
         best = cosine.argmax(axis=1)
         score = np.clip(cosine[np.arange(len(best)), best], 0, 1)
         lang = self.owner[best]
-        return lang, score, score >= self.least[lang] * np.minimum(1, counts.sum(axis=1) / FULL)
+        n, limit = counts.sum(axis=1), np.zeros(len(best))
+        for i in np.unique(lang):
+            limit[lang == i] = np.interp(n[lang == i], self.grams, self.least[i])
+        return lang, score, score >= limit
 
 
 def cluster(x: np.ndarray, k: int, rounds: int = 12, seed: int = 3) -> np.ndarray:
@@ -148,19 +156,22 @@ def fit_languages(docs: DataFrame, sample: int = 4000, id_col: str = "doc_id", t
     more languages: of each the same number of rows, those of least hash, whatever the size of the table. Equal rows count once. A language
     none of whose rows has a letter cannot be learned, which a warning says.
 
-    A fifth of the sampled rows, chosen by a hash of the text, is kept apart from the centroids: a language's limit is MARGIN of the cosine that
-    all but LOW of these rows with FULL grams reach, or of all languages' such rows where that is less, so clean text stays and text of no
-    learned language goes. It is at most MOST of their median. Where no row is apart, all rows count.
+    A fifth of the sampled rows, chosen by a hash of the text, is kept apart from the centroids. These rows are also cut to CUTS characters, as a short text has
+    too few grams for a high cosine. At each length a language's limit is MARGIN of the cosine that all but LOW of its rows reach, or of all languages' rows where
+    that is less, so clean text of that length stays; it is at most MOST of their median. Between the lengths' mean numbers of grams limits are interpolated. Where
+    no row is apart, all rows count. More than MOST_LANGUAGES languages raise an error: the model would have no bound.
     """
     spark = docs.sparkSession
     learn = learning_rows(docs, id_col, text_col, lang_col)
     # one name a language: the model holds a centroid of BUCKETS numbers for each
-    names = sorted(r["lang"] for r in learn.select("lang").distinct().collect())
+    names = sorted(r["lang"] for r in learn.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect())
+    if len(names) > MOST_LANGUAGES:
+        raise ValueError(f"{len(names)} different values in {lang_col}: languages are learned for up to {MOST_LANGUAGES}")
     total, held, limits = gram_statistics(learn, max(1, sample // max(1, len(names))))
     if lost := [x for x in names if x not in limits]:
         warnings.warn(f"no text with a letter to learn {', '.join(lost)} from", stacklevel=2)
     idf = np.log((1 + total) / (1 + held)).astype(np.float32) + 1
-    model = Centroids(idf, sorted(limits), np.zeros(0, np.int64), np.zeros((0, BUCKETS), np.float32), np.zeros(len(limits)))
+    model = Centroids(idf, sorted(limits), np.zeros(0, np.int64), np.zeros((0, BUCKETS), np.float32), np.zeros((len(limits), 1)), np.array([FULL]))
     if not limits:
         return model
     most = F.broadcast(spark.createDataFrame(list(limits.items()), "lang string, most long"))
@@ -170,23 +181,40 @@ def fit_languages(docs: DataFrame, sample: int = 4000, id_col: str = "doc_id", t
         for part in slices(batches, "text", 1 << 20):
             for k in range(0, part.num_rows, 256):
                 cut = part.slice(k, 256)
-                found, has = gram_counts(encoded(cut.column(0)))
-                rows = np.flatnonzero(has)
-                yield pa.RecordBatch.from_arrays([*[cut.column(i).take(pa.array(rows)) for i in (1, 2)], pa.array([model.weigh(found[[r]])[0].astype(np.float16).tobytes() for r in rows], pa.binary()), pa.array(found[rows].sum(axis=1) >= FULL)], names=["lang", "apart", "x", "whole"])
-
-    got = sorted((r["lang"], r["apart"], bytes(r["x"]), r["whole"]) for r in some.mapInArrow(counts, "lang string, apart boolean, x binary, whole boolean").collect())
-    owner, tables, reached = [], [], [np.zeros(0)] * len(model.names)
+                texts, apart = encoded(cut.column(0)), cut.column(2).to_numpy(zero_copy_only=False)
+                for length in (0, *CUTS):
+                    some = np.flatnonzero(apart) if length else np.arange(len(texts))
+                    if not len(some):
+                        continue
+                    found, has = gram_counts([texts[i].decode("utf-8", "replace")[: length or None].encode() for i in some])
+                    rows = some[has]
+                    grams = pa.array(found[has].sum(axis=1).astype(np.int64))
+                    x = pa.array([model.weigh(v[None])[0].astype(np.float16).tobytes() for v in found[has]], pa.binary())
+                    yield pa.RecordBatch.from_arrays([*[cut.column(i).take(pa.array(rows)) for i in (1, 2)], x, grams, pa.array(np.full(len(rows), length, np.int32))], names=["lang", "apart", "x", "grams", "length"])
+
+    got = sorted((r["length"], r["lang"], r["apart"], bytes(r["x"]), r["grams"]) for r in some.mapInArrow(counts, "lang string, apart boolean, x binary, grams long, length int").collect())
+    as_rows = lambda rows: np.array([np.frombuffer(row[3], np.float16) for row in rows], np.float32).reshape(-1, BUCKETS)
+    owner, tables, reached, sizes = [], [], [], []
     for number, lang in enumerate(model.names):
-        mine = [row[1:] for row in got if row[0] == lang]
-        apart, whole = (np.array([row[i] for row in mine], bool) for i in (0, 2))
-        x = np.array([np.frombuffer(row[1], np.float16) for row in mine], np.float32).reshape(-1, BUCKETS)
+        mine = [row for row in got if row[1] == lang and not row[0]]
+        apart, whole = np.array([row[2] for row in mine], bool), np.array([row[4] for row in mine]) >= FULL
+        x = as_rows(mine)
         table = cluster(x if apart.all() else x[~apart], centroids)
-        held_apart = next((m for m in (apart & whole, whole, apart) if m.any()), np.ones(len(x), bool))
         owner += [number] * len(table)
         tables.append(table)
-        reached[number] = (x[held_apart] @ table.T).max(axis=1)
-    every = np.quantile(np.concatenate(reached), LOW)
-    model.least = np.array([min(MARGIN * np.quantile(c, LOW), MARGIN * every, MOST * np.median(c)) for c in reached])
+        held_apart = next((m for m in (apart & whole, whole, apart) if m.any()), np.ones(len(x), bool))
+        best = lambda rows: (rows @ table.T).max(axis=1)
+        short = [[row for row in got if row[1] == lang and row[0] == length] for length in CUTS]
+        reached.append([best(as_rows(rows)) for rows in short] + [best(x[held_apart])])
+        sizes.append([[row[4] for row in rows] for rows in short] + [[FULL]])
+    model.grams = np.maximum.accumulate([np.mean(sum((s[k] for s in sizes), []) or [FULL]) for k in range(len(CUTS) + 1)])
+    model.least = np.zeros((len(model.names), len(model.grams)))
+    for k in range(len(model.grams)):
+        every = np.concatenate([c[k] for c in reached])
+        for number, c in enumerate(reached):
+            mine = c[k] if len(c[k]) else every
+            if len(every):
+                model.least[number, k] = min(MARGIN * np.quantile(mine, LOW), MARGIN * np.quantile(every, LOW), MOST * np.median(mine))
     model.owner, model.table = np.array(owner), np.concatenate(tables).astype(np.float32)
     return model
 
