@@ -8,24 +8,42 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import remove, written
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+#: Edges of a node from which on it is a hub, and hubs whose minima are broadcast, some 10 MB.
+HUB, MOST_HUBS = 100_000, 200_000
+
+
+def _with_least(edges: DataFrame, node: str, other: str, hub: int = HUB) -> tuple[DataFrame, str]:
+    """(edges with `m`, the least `other` of each node; the path of the table of minima, to be removed once the result is written).
+
+    Minima and degrees are partial sums. Joining them back would bring all edges of a hub to one task, so edges of hubs, a counted list of at most MOST_HUBS, stay
+    where they are and get their minimum from a broadcast; only the others are dealt by node. Beyond that number hubs are dealt as well; the minima are a
+    table by then, so Spark can split a hub's partition.
+    """
+    low, path = written(edges.groupBy(node).agg(F.min(other).alias("m"), F.count("*").alias("n")), "least")
+    hubs = low.where(F.col("n") > hub).select(node, F.col("m").alias("of_hub"))
+    if not 0 < hubs.count() <= MOST_HUBS:
+        return edges.join(low.drop("n"), node), path
+    marked = edges.join(F.broadcast(hubs), node, "left")
+    rest = marked.where("of_hub is null").drop("of_hub").join(low.where(F.col("n") <= hub).drop("n"), node)
+    return rest.unionByName(marked.where("of_hub is not null").withColumnRenamed("of_hub", "m")), path
+
+
+def _large_star(edges: DataFrame, hub: int) -> tuple[DataFrame, str]:
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(low, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+    named, path = _with_least(both, "u", "v", hub)
+    return named.where("v > u").select(F.col("v").alias("a"), F.least("u", "m").alias("b")).distinct(), path
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    low = edges.groupBy("a").agg(F.min("b").alias("m"))
-    moved = edges.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.unionByName(low.select("a", F.col("m").alias("b"))).distinct()
+def _small_star(edges: DataFrame, hub: int) -> tuple[DataFrame, str]:
+    named, path = _with_least(edges, "a", "b", hub)
+    return named.select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).distinct(), path
 
 
-def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, most_rounds: int = 60, hub: int = HUB) -> DataFrame:
     """Rows (node, component) for every node of edges (a, b longs); component is the smallest node reachable.
 
-    Alternating large-star and small-star rounds (Kiveris et al. 2014). Each round only groups by node with
-    partial minima and joins them back, so a hub's neighbours never meet in one task, and the round's table
-    is written to the shared folder. Self links are dropped; an empty table gives an empty result.
+    Alternating large-star and small-star rounds (Kiveris et al. 2014), each written to the shared folder. A node with more than `hub` edges
+    is not dealt by node, see _with_least, so its neighbours meet in no task. Self links are dropped; an empty table gives an empty result.
     """
     spark = edges.sparkSession
     start = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
@@ -36,9 +54,11 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if seen == mark or not seen[0]:
             break
         mark = seen
-        after, at = written(_small_star(_large_star(now)), "components")
-        remove(spark, path)
-        now, path = after, at
+        for star in (_large_star, _small_star):
+            made, least = star(now, hub)
+            after, at = written(made, "components")
+            remove(spark, path, least)
+            now, path = after, at
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
