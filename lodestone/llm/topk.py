@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.common import of, written
 from lodestone.llm.vector_dedup import finite
 
 EXACT = float(1 << 53)
@@ -158,18 +159,17 @@ def top_k(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
             ends = np.cumsum([0, *(len(x) for x in lists)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([values[a:b].tobytes() for a, b in zip(ends, ends[1:])], pa.binary()), pa.array(np.diff(ends).astype(np.int32))], names=["id", "vector", "dim"])
 
-    ok = F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & finite(F.transform(vector_col, lambda x: x.cast("double") * F.lit(float(scale))))
-    rows = df.where(ok).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector")).mapInArrow(floors, "id long, vector binary, dim int")
-    n = df.count()
-    if shard_rows is None:  # the widest of a few rows sets the size alone; no result depends on it
-        widest = df.select(F.size(vector_col).alias("dim")).limit(1000).agg(F.max("dim")).first()[0]
+    ok = of(id_col).isNotNull() & of(vector_col).isNotNull() & finite(F.transform(of(vector_col), lambda x: x.cast("double") * F.lit(float(scale))))
+    rows = df.where(ok).select(of(id_col).cast("long").alias("id"), of(vector_col).alias("vector")).mapInArrow(floors, "id long, vector binary, dim int")
+    n, widest = df.agg(F.count("*"), F.max(F.size(of(vector_col)))).first()
+    if shard_rows is None:
         shard_rows = rows_of_a_shard(n, widest or 1)
     shards = max(1, -(-n // shard_rows))
     place = F.struct("dim", F.pmod(F.xxhash64("id", "vector"), F.lit(shards)).cast("int").alias("part"))
     points = rows.select(place.alias("shard"), F.lit(0).alias("kind"), "id", "vector", F.lit(None).cast("long").alias("floor"))
     queries = rows.where(F.pmod("id", F.lit(every)) == 0).distinct()
     asked = queries.select(place.alias("shard"), F.lit(1).alias("kind"), "id", "vector", F.lit(None).cast("long").alias("floor"))
-    home = _search(points.unionByName(asked), k, leaf)
+    home, _ = written(_search(points.unionByName(asked), k, leaf), "home")  # read twice below
     kth = home.groupBy("id", "vector").agg(F.when((F.count("*") >= k) & (F.min("score") > ~MOST), F.min("score")).alias("floor"))
     sent = queries.join(kth, ["id", "vector"], "left").withColumn("own", place["part"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).where("part <> own")
     sent = sent.select(F.struct("dim", "part").alias("shard"), F.lit(1).alias("kind"), "id", "vector", "floor")

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import forest, written
+from lodestone.llm.common import forest, of, written
 from lodestone.llm.components import connected_components
 
 BLOCK_BYTES = 4 << 20
@@ -82,7 +82,7 @@ def link_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     bounded whatever a label's share. Unless given, tile_rows is what makes a block BLOCK_BYTES of doubles: a class is sent once to each of its label's blocks, so
     large blocks save bytes. A tile gives one row a linked class (partial link count, tile root), never its pairs.
     """
-    base = df.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector"), F.col(label_col).alias("label"))
+    base = df.select(of(id_col).alias("id"), of(vector_col).alias("vector"), of(label_col).alias("label"))
     ok = F.col("label").isNotNull() & finite(F.col("vector")) & F.coalesce(F.exists("vector", lambda x: x != 0), F.lit(False))
     keyed = base.withColumn("key", F.when(ok, F.md5(F.col("vector").cast("string").cast("binary"))))
     classes, _ = written(vector_classes(keyed.where("key is not null")), "vectors")
