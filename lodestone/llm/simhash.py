@@ -455,15 +455,17 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return rows.join(_named(prints, threshold), "fingerprint_bits").select(F.col("key").alias(id_col), "fingerprint_bits", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, recall: float = 0.9) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, recall: float = 0.9, plan: Segments | None = None) -> DataFrame:
     """docs with one row of each component: the one with the smallest id, of equal ids any one, null ids last. Columns of any name come back as they are.
 
     Rows link when their sets of word-shingles have a Jaccard similarity of `similarity` or more. Fingerprints, taken of
     distinct shingles as the similarity is, propose the pairs, see segments_for and similar_links, and each pair of their forests is verified on both whole texts, so no row goes without a similar one.
     Where one fails, all rows of its proposed group meet, see across_links, so no proposed pair stays untested.
+    Which pairs are proposed follows from `plan` alone. Where it is not given it is derived from the number of rows; give one to a run over a part of a table, so that the part's
+    pairs are those of the whole. Every plan proposes a pair of the asked similarity with probability `recall` or more.
     Equal texts are compared once. Null and wordless texts are one component.
     """
-    spark, plan = docs.sparkSession, segments_for(docs.count(), similarity, recall)
+    spark, plan = docs.sparkSession, plan or segments_for(docs.count(), similarity, recall)
     key, text, names = of(id_col), of(text_col), word_names(plan.words)
     spot = F.struct(key.isNull().alias("none"), key.alias("id"), F.monotonically_increasing_id().alias("row"))
     held = as_row(docs, text.alias("body"), spot.alias("spot"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("same"))
