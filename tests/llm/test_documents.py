@@ -1,5 +1,6 @@
 """Sharding, packing, SimHash, licenses, mixing and the classifiers on awkward documents, against brute force."""
 
+import random
 import re
 import zlib
 from collections import Counter
@@ -8,6 +9,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lodestone.llm import langid, licenses, mixing, packing, quality, sharding, simhash
@@ -51,7 +53,6 @@ def test_draws_follow_weights_and_move_only_into_changed_subtrees(spark):
 @pytest.mark.parametrize("with_ids", [True, False])
 def test_packing(docs, empty, rows, with_ids):
     real = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    real.encode_special_tokens = True
     ids = [real.encode(t or "", add_special_tokens=False).ids + [0] for _, t, _, _ in rows]
     got = packing.pack_documents(docs, with_ids=with_ids).collect()
     want = Counter()
@@ -72,7 +73,6 @@ def test_packing(docs, empty, rows, with_ids):
 @pytest.fixture(scope="module")
 def real():
     made = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    made.encode_special_tokens = True
     return lambda texts: [np.array(x.ids, "<u4").tobytes() for x in made.encode_batch(texts, add_special_tokens=False)]
 
 
@@ -92,6 +92,15 @@ def test_ids_of_a_whole_table(real):
         assert packing.token_bytes(texts[k : k + 500]) == real(texts[k : k + 500])
 
 
+def test_added_tokens_are_read_as_the_plain_call_reads_them(real):
+    added = [t.content for t in Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).get_added_tokens_decoder().values()]
+    texts = ["a<|endoftext|>b", "<|endo ftext|>", "words before <|endof", "text|> words after"]
+    for token in added:
+        texts += [token, token * 3, f"a{token}b", f"some words {token} more words", f" {token}\n{token} ", f"{token[:-1]} {token}", token[:-1], token[1:]]
+    assert added and packing.token_bytes(["a<|endoftext|>b"])[0] == np.array([64, 50256, 65], "<u4").tobytes()
+    assert packing.token_bytes(texts) == real(texts) and packing.token_bytes(texts[::-1]) == real(texts[::-1])
+
+
 @pytest.mark.parametrize("most", [packing.HELD, 40])
 def test_ids_of_any_signs(real, most):
     """Cuts at spaces change no id, whatever stands beside them, and whether parts are kept or not."""
@@ -236,6 +245,33 @@ def test_similarity_sets_the_bits():
     assert got.tolist() == [1 / 3, 1.0, 1.0, 0.0]
 
 
+@pytest.mark.parametrize("told", [10_000, 10**7])
+def test_plans_propose_pairs_of_just_the_asked_similarity(told):
+    """Edited, cut and lengthened copies of a similarity from 0.80 to 0.83, at least 1,000 pairs: nine of ten or more are proposed."""
+    rng, pairs = np.random.default_rng(told), []
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 5000, n)]
+    while len(pairs) < 1050:
+        a = word(int(rng.choice([60, 300, 900])))
+        b, n = list(a), len(a)
+        if (kind := len(pairs) % 3) == 0:
+            for i in rng.choice(n, max(1, int(n * rng.uniform(0.01, 0.035))), replace=False):
+                b[i] = "edited"
+        elif kind == 1:
+            b = a[: int(n * rng.uniform(0.78, 0.86))]
+        else:
+            b = a + word(int(n * rng.uniform(0.17, 0.28)))
+        one, other = " ".join(a).encode(), " ".join(b).encode()
+        if 0.8 <= simhash.jaccard([one], [other], 5)[0] < 0.83:
+            pairs.append((one, other))
+    plan = simhash.segments_for(told, 0.8)
+    x, y = (simhash.fingerprints(list(side), 5, count=plan.words, distinct=True) for side in zip(*pairs))
+    met = np.zeros(len(pairs), bool)
+    for segment in range(plan.number):
+        met |= np.bitwise_count(plan.piece(list(x.T), segment) ^ plan.piece(list(y.T), segment)) <= simhash.FLIPPED
+    met &= np.bitwise_count(x[:, : plan.compared] ^ y[:, : plan.compared]).sum(axis=1) <= simhash.most_bits(0.8, 64 * plan.compared)
+    assert met.mean() >= 0.9
+
+
 def proposed(texts):
     """The pairs that the segments of a small table propose, by their definition."""
     plan = simhash.segments_for(len(texts), 0.8)
@@ -510,14 +546,40 @@ def test_grams_weights_and_cosine_by_hand():
     idf = np.random.default_rng(1).random(langid.BUCKETS).astype(np.float32) + 1
     table = np.random.default_rng(2).random((3, langid.BUCKETS)).astype(np.float32)
     table /= np.linalg.norm(table, axis=1, keepdims=True)
-    model = langid.Centroids(idf, ["a", "b"], np.array([0, 0, 1]), table, np.array([0.1, 0.2]))
+    model = langid.Centroids(idf, ["a", "b"], np.array([0, 0, 1]), table, np.array([[0.05, 0.1], [0.1, 0.2]]), np.array([8, 40]))
     lang, score, near = model.predict(counts)
     for i in (0, 3, 4):
         x = [np.log(1 + c) * w for c, w in zip(want[i], idf)]
         cosine = [sum(a * b for a, b in zip(x, row)) / np.sqrt(sum(a * a for a in x)) for row in table]
         best = int(np.argmax(cosine))
         assert lang[i] == [0, 0, 1][best] and score[i] == pytest.approx(cosine[best], abs=1e-5)
-        assert near[i] == (score[i] >= [0.1, 0.1, 0.2][best] * min(1, want[i].sum() / langid.FULL))
+        part = min(max((want[i].sum() - 8) / 32, 0), 1)
+        assert near[i] == (score[i] >= [0.1, 0.1, 0.2][best] * (1 + part) / 2)
+
+
+def test_short_texts_are_judged_by_their_length(spark):
+    """Held-out texts cut short stay; letters of no language and other scripts go, at any length."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    model = langid.fit_languages(docs)
+    assert (np.diff(model.grams) > 0).all() and (np.diff(model.least, axis=1) > 0).mean() > 0.7
+    rng = np.random.default_rng(4)
+    texts = [r["text"] for r in docs.where(quality.held_out(F.col("doc_id"))).orderBy("doc_id").limit(600).collect()]
+    junk = lambda n: " ".join("".join(chr(97 + x) for x in rng.integers(0, 26, rng.integers(3, 9))) for _ in range(n))
+    for letters in (8, 16, 40, 100):
+        cut = [t[:letters].encode() for t in texts]
+        counts, has = langid.gram_counts(cut)
+        _, _, stays = model.predict(counts)
+        assert stays[has].mean() > 0.99
+        other, _ = langid.gram_counts([junk(max(1, letters // 6)).encode() for _ in range(400)])
+        assert model.predict(other)[2].mean() < {8: 0.2, 16: 0.15, 40: 0.1, 100: 0.07}[letters]
+    odd, _ = langid.gram_counts([t.encode() for t in ("zzzz", "qzx vkj wqp", "\u043f\u0440\u0438\u0432\u0435\u0442", "\u4f60\u597d\u4e16\u754c")])
+    assert not model.predict(odd)[2].any()
+
+
+def test_languages_without_a_bound_are_refused(spark):
+    table = spark.createDataFrame([(i, f"text {i}", f"x{i}") for i in range(2 * langid.MOST_LANGUAGES)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="languages"):
+        langid.fit_languages(table)
 
 
 def test_contexts_pooling_and_the_network_by_hand():
@@ -556,3 +618,57 @@ def test_labels_to_the_driver_are_bounded(spark, monkeypatch):
     quality.fit_quality(docs, labels, vectors, sample=1000)
     ids = [r["doc_id"] for r in labels.select("doc_id").distinct().where(~quality.held_out(labels.doc_id)).collect()]
     assert seen == [10, len(ids) + (7 in ids)]
+
+
+def spans_by_hand(text):
+    """Verified notice spans (label, first, coverage) of one text, from their definition."""
+    w, out = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower()), []
+    k = licenses.LONG
+    for label, notice in licenses.NOTICES.items():
+        n = re.findall(r"[0-9a-z]+", notice.lower())
+        lines = {}
+        for p in range(len(w) - k + 1):
+            for q in range(len(n) - k + 1):
+                if w[p : p + k] == n[q : q + k]:
+                    lines.setdefault(p - q, []).append((p, q))
+        chains = []
+        for d in sorted(lines):
+            here = lines[d]
+            if chains:
+                was, before = chains[-1][-1]
+                ahead = all(p - x >= k and q - y >= k for p, q in here for x, y in before)
+                behind = all(x - p >= k and y - q >= k for p, q in here for x, y in before)
+                if d - was <= licenses.NEAR and (ahead or behind):
+                    chains[-1].append((d, here))
+                    continue
+            chains.append([(d, here)])
+        for chain in chains:
+            hits = [x for _, line in chain for x in line]
+            coverage = len({q for _, q in hits}) / (len(n) - k + 1)
+            if coverage >= licenses.LEAST:
+                out.append((label, min(p for p, _ in hits), coverage))
+    return sorted(out)
+
+
+def test_repeated_notices_keep_label_and_score(spark):
+    near, texts = "Released under the MIT Licence. ", []
+    for n in range(1, 11):
+        texts += [near * n, "Released under the MIT License. " * n, near * n + "Released under the MIT License. " * n, "Licensed under the Apache License, version three; " * n]
+    rng = random.Random(2)
+    for notice in licenses.NOTICES.values():
+        for _ in range(6):
+            w = notice.split() * rng.randint(1, 3)
+            for _ in range(rng.randint(0, 6)):
+                i = rng.randrange(len(w))
+                w[i : i + rng.randint(0, 3)] = ["other"] * rng.randint(0, 4)
+            texts.append(" ".join(["intro"] * rng.randint(0, 3) + w))
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {}
+    for r in licenses.license_spans(rows).where("label is not null and not base").collect():
+        got.setdefault(r["doc_id"], []).append((r["label"], r["first"], r["coverage"]))
+    for i, text in enumerate(texts):
+        assert sorted(got.get(i, [])) == spans_by_hand(text), text
+    score = {r["doc_id"]: (r["score"], r["labels"]) for r in licenses.license_summary(rows).collect()}
+    for n in range(10):
+        assert score[4 * n] == (0.5, "mit-line") and len(got[4 * n]) == n + 1
+        assert score[4 * n + 1] == (1.0, "mit,mit-line") and len(got[4 * n + 1]) == n + 1

@@ -219,3 +219,56 @@ def test_components(spark):
     linked = {x for e in edges if e[0] != e[1] for x in e}
     assert got == {x: nodes[root[at[x]]] for x in linked}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def busiest(spark, action):
+    """Most rows that one task read from a shuffle during action."""
+    seen = set(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    out = action()
+    store = spark._jsc.sc().statusStore()
+    most = 0
+    for job in set(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) - seen:
+        for stage in spark.sparkContext.statusTracker().getJobInfo(job).stageIds:
+            tasks = store.taskList(stage, 0, 10_000)
+            for i in range(tasks.size()):
+                metrics = tasks.apply(i).taskMetrics()
+                if metrics.isDefined():
+                    most = max(most, metrics.get().shuffleReadMetrics().recordsRead())
+    return out, most
+
+
+def test_a_hub_meets_in_no_task(spark):
+    """A star with most of the edges and some small components: no task gets more than a share of the hub's edges."""
+    rng = np.random.default_rng(7)
+    leaves = np.unique(rng.integers(1, 1 << 60, 60_000)).tolist()
+    edges = [(0, v) for v in leaves] + [(-5, -6), (-6, -7), (-7, -8)] + [(leaves[i], leaves[i + 1]) for i in range(0, 2000, 2)]
+    table = spark.createDataFrame(edges, "a long, b long").repartition(16).persist()
+    table.count()
+    # rows stay dealt as the plan deals them: no partitions are put together, no join becomes a broadcast
+    wanted = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "16", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    held = {k: spark.conf.get(k) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        got, most = busiest(spark, lambda: {r["node"]: r["component"] for r in connected_components(table, hub=1000).collect()})
+        _, whole = busiest(spark, lambda: connected_components(table, hub=10**9).count())
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert got == {**{v: 0 for v in [0, *leaves]}, **{v: -8 for v in (-5, -6, -7, -8)}}
+    assert most < len(leaves) / 4 < len(leaves) < whole
+
+
+def test_trees_are_built_twice_at_most(spark):
+    rows = table(spark, vectors(400, d=8))
+    plan = topk.top_k(rows, every=50, shard_rows=64)._jdf.queryExecution().toString()
+    # what is left to run searches away from home only: the points and the queries are read, and one search runs
+    assert plan.split("== Physical Plan ==")[1].count("MapInArrow") <= 3
+
+
+def test_the_widest_vector_sets_a_shard(spark, monkeypatch):
+    seen = []
+    plain = topk.rows_of_a_shard
+    monkeypatch.setattr(topk, "rows_of_a_shard", lambda n, dim: seen.append((n, dim)) or plain(n, dim))
+    wide = spark.createDataFrame([(i, [1.0] * 2) for i in range(1500)] + [(9000, [1.0] * 50)], "`vec.id` long, `a.b` array<float>").coalesce(1)
+    assert topk.top_k(wide, "vec.id", "a.b", k=2).count() == 30 * 2 and seen == [(1501, 50)]
