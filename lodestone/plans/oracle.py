@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from lodestone.operators import encoder
 from lodestone.operators.metrics import CUTS
 from lodestone.operators.stats import MODES
 
@@ -13,8 +14,22 @@ queries0 AS (SELECT *, uuid AS query_id, CAST(uuid % length(name) AS INT) AS spo
 queries1 AS (SELECT *, CASE WHEN uuid % 20 = 0 THEN substr(name, 1, spot) || substr(name, spot + 2) ELSE name END AS text FROM queries0),
 queries AS (SELECT *, text || ' ' || class AS enriched FROM queries1)"""
 
-VECTORS = """held AS (SELECT vec_id AS uuid, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
-qv AS (SELECT query_id, class, v FROM queries JOIN held USING (uuid)), cv AS (SELECT uuid, class, v FROM corpus JOIN held USING (uuid))"""
+def encoded(name: str, source: str) -> str:
+    """CTE {name} (text, v) of the different texts of source."""
+    sums = ", ".join(f"CAST(sum(w * (2 * (({'b' if j >= 32 else 'a'} >> {j % 32}) & 1) - 1)) AS DOUBLE)" for j in range(encoder.DIMS))
+    digest = f"md5('{encoder.SEED}:' || f)"
+    return f"""{name}_f AS ({features(source)}), {name}_w AS (SELECT text, (CASE WHEN f LIKE 'w:%' THEN {encoder.WORD} ELSE 1 END) * CAST(round({encoder.UNIT} * ln(1 + (n - coalesce(df, 0) + 0.5::DOUBLE) / (coalesce(df, 0) + 0.5::DOUBLE))) AS BIGINT) AS w,
+  CAST('0x' || substr({digest}, 1, 8) AS BIGINT) AS a, CAST('0x' || substr({digest}, 9, 8) AS BIGINT) AS b FROM {name}_f LEFT JOIN vocab USING (f), n_texts),
+{name}_v AS (SELECT text, [{sums}] AS v FROM {name}_w GROUP BY text), {name} AS (SELECT text, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) AS v FROM {name}_v)"""
+
+
+def features(source: str) -> str:
+    return f"""SELECT text, unnest(list_distinct(list_concat(list_transform(regexp_extract_all(lower(text), {WORDS}), lambda w: 'w:' || w), list_transform(range(1, length(text) - 1), lambda i: 'g:' || substr(lower(text), i, 3))))) AS f FROM (SELECT DISTINCT text FROM ({source}))"""
+
+
+DOCS = "docs AS (SELECT uuid, name || ' ' || classification AS text FROM corpus)"
+VECTORS = f"""{DOCS}, vocab AS (SELECT f, count(*) AS df FROM ({features('SELECT text FROM docs')}) GROUP BY f), n_texts AS (SELECT count(DISTINCT text) AS n FROM docs),
+{encoded('dv', 'SELECT text FROM docs')}, {encoded('qv', 'SELECT text FROM queries UNION ALL SELECT enriched FROM queries')}, cv AS (SELECT uuid, v FROM docs JOIN dv USING (text))"""
 
 TRUTH = """groups AS (SELECT name, list(uuid ORDER BY uuid) AS acceptable FROM corpus GROUP BY name),
 truth AS (SELECT query_id, CASE WHEN query_id % 70 = 0 THEN 'skipped' WHEN acceptable IS NOT NULL THEN 'match' ELSE 'no_match' END AS label, class,
@@ -57,9 +72,7 @@ REGEX = "regex AS (SELECT q.query_id, c.uuid FROM queries q, corpus c WHERE rege
 
 
 def semantic(name: str, context: bool) -> str:
-    score = "list_inner_product(q.v, c.v)"
-    score = f"round(round({score}, 6) + CASE WHEN q.class = c.class THEN 0.05::DOUBLE ELSE 0 END, 6)" if context else f"round({score}, 6)"
-    return f"{name} AS (SELECT query_id, c.uuid, {score} AS score FROM qv q, cv c)"
+    return f"{name} AS (SELECT query_id, c.uuid, round(list_inner_product(qv.v, c.v), 6) AS score FROM queries q JOIN qv ON qv.text = q.{'enriched' if context else 'text'}, cv c)"
 
 
 def fuse(name: str, left: str, right: str) -> str:

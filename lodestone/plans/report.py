@@ -31,7 +31,7 @@ def mode_seconds(roles: Roles, settings: Settings) -> DataFrame:
     roles.queries.count()
     took = []
     for mode in stats.MODES:
-        alone = Roles(roles.spark, roles.sf_dir, roles.parameters)
+        alone = Roles(roles.spark, roles.sf_dir, roles.parameters, roles.failing)
         start = time.monotonic()
         alone.mode(mode, settings.context and mode != "regex").write.format("noop").mode("overwrite").save()
         took.append((mode, round(time.monotonic() - start, 3)))

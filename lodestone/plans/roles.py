@@ -8,13 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import trigrams
-from lodestone.operators import enrichment, lexical, metrics, ranking
+from lodestone.operators import encoder, enrichment, lexical, metrics, ranking
 from lodestone.operators.sizes import small
 from lodestone.operators.stats import MODES
 from lodestone.sources.readers import Parameters
 
-#: Stand-in for a dense query vector that has seen the class: a bonus for rows of the same class.
-CONTEXT_BONUS = 0.05
 DENSE = ("semantic", "hybrid", "reranker")
 
 
@@ -30,13 +28,14 @@ def context_fields() -> dict[str, F.Column]:
 
 
 class Roles:
-    """Items are parts: uuid, name, classification, class, brand, size. Every tenth is a query, the rest the corpus; embeddings are the vectors of some of them.
+    """Items are parts: uuid, name, classification, class, brand, size. Every tenth is a query, the rest the corpus. Texts of both are encoded by the corpus's encoder.
 
-    What several modes share is persisted once a run; close() lets it go.
+    What several modes share is persisted once a run; close() lets it go. failing is a condition on query_id that marks queries whose re-ranking service is down; none unless given.
     """
 
-    def __init__(self, spark: SparkSession, sf_dir: str, parameters: Parameters | None = None):
+    def __init__(self, spark: SparkSession, sf_dir: str, parameters: Parameters | None = None, failing: str = "false"):
         self.spark, self.sf_dir, self.parameters, self.kept = spark, sf_dir, parameters or Parameters(), []
+        self.failing = failing
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
@@ -56,10 +55,6 @@ class Roles:
             F.col("p_brand").alias("brand"), F.col("p_size").alias("size"),
         )
 
-    @property
-    def vectors(self) -> DataFrame:
-        return self.table("embeddings").select(F.col("vec_id").alias("uuid"), F.col("embedding").alias("v"))
-
     @property
     def corpus(self) -> DataFrame:
         return self.items.where("uuid % 10 <> 0")
@@ -106,24 +101,40 @@ class Roles:
     def semantic_ranks(self, context: bool = False) -> DataFrame:
         return self.keep(ranking.ranked(self.semantic(context)))
 
+    @property
+    def documents(self) -> DataFrame:
+        """uuid and the text of it that is encoded: name and classification."""
+        return self.corpus.select("uuid", enrichment.semantic_text(F.concat_ws(" ", "name", "classification"), F.col("name")).alias("doc"))
+
+    @cached_property
+    def encoder(self) -> encoder.Encoder:
+        fitted = encoder.fit(self.documents.select(F.col("doc").alias("text")))
+        return encoder.Encoder(self.keep(fitted.known), fitted.n)
+
+    @cached_property
+    def encoded_documents(self) -> DataFrame:
+        return self.keep(self.encoder.encode(self.documents.select(F.col("doc").alias("text"))))
+
+    def dense(self, texts: DataFrame, k: int | None = None) -> DataFrame:
+        """Rows (text, uuid, score) of each different text and every corpus row, with k at least those that can be among a text's k best. Equal
+        texts, of queries or of items, are encoded and compared once."""
+        asked = self.encoder.encode(texts.select("text")).withColumnRenamed("text", "query_id")
+        scored = ranking.score_vectors(asked, self.encoded_documents.withColumnRenamed("text", "uuid"), k)
+        return scored.select(F.col("query_id").alias("text"), F.col("uuid").alias("doc"), "score").join(self.documents, "doc").select("text", "uuid", "score")
+
     def semantic(self, context: bool = False, k: int | None = None) -> DataFrame:
-        """Scores of the queries and corpus rows that have a vector; without context at most those that can be among a query's k best."""
-        asked = self.queries.select("query_id").join(self.vectors.select(F.col("uuid").alias("query_id"), "v"), "query_id")
-        scored = ranking.score_vectors(asked, self.corpus.select("uuid").join(self.vectors, "uuid"), None if context else k)
-        if not context:
-            return scored
-        classes = self.corpus.select("uuid", F.col("class").alias("c"))
-        bonus = F.when(F.col("c") == F.col("qc"), CONTEXT_BONUS).otherwise(0.0)
-        return scored.join(classes, "uuid").join(self.asked, "query_id").select("query_id", "uuid", F.round(F.col("score") + bonus, 6).alias("score"))
+        """Scores of the queries' texts, with context the enriched ones, and all corpus rows; with k at least those that can be among a query's k best."""
+        asked = self.queries.select("query_id", F.col("enriched" if context else "text").alias("text"))
+        return self.dense(asked, k).join(asked, "text").select("query_id", "uuid", "score")
 
     def logits(self, head: DataFrame, text: F.Column | None = None) -> DataFrame:
-        """Stand-in for a cross-encoder: trigram overlap of query (or text, a column of head) and item. The service fails for some queries."""
+        """Stand-in for a cross-encoder: trigram overlap of query (or text, a column of head) and item. The service fails for the queries that `failing` marks."""
         item = self.corpus.select("uuid", enrichment.semantic_text(F.lit(None).cast("string"), F.col("name")).alias("item"))
         keys = [c for c in head.columns if c not in ("score", "rank", "uuid")]
         named = head.select(*keys, "uuid").join(item, "uuid").join(self.asked.select("query_id", "text"), "query_id")
         x, y = trigrams(F.col("text") if text is None else text), trigrams(F.col("item"))
         logit = F.round(4.0 * F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y)) - 2.0, 6)
-        return named.where("query_id % 130 <> 0").select(*keys, "uuid", logit.alias("logit"))
+        return named.where(~F.expr(self.failing)).select(*keys, "uuid", logit.alias("logit"))
 
     def reranked(self, first: DataFrame) -> DataFrame:
         return ranking.rerank(first, self.logits(first.where(F.col("rank") <= ranking.HEAD)))
@@ -182,29 +193,35 @@ class Roles:
         return with_label.join(self.vector_corpus.select("uuid", "cluster"), "uuid")
 
     def ladder_texts(self) -> DataFrame:
-        """query_id, step, label, text: the name, then one more field at each step, in the registry's order."""
+        """query_id, bare (the name as asked), step, label, text: the name, then one more field at each step, in the registry's order."""
         steps = enrichment.ladder(enrichment.FIELDS)
         columns = context_fields()
         each = F.array(*[F.struct(F.lit(i).alias("step"), F.lit(label).alias("label"), enrichment.enriched_query(F.col("text"), fields, columns).alias("text")) for i, (label, fields, _) in enumerate(steps)])
-        return self.queries.select("query_id", F.explode(each).alias("s")).select("query_id", "s.step", "s.label", "s.text")
+        return self.queries.select("query_id", F.col("text").alias("bare"), F.explode(each).alias("s")).select("query_id", "bare", "s.step", "s.label", "s.text")
 
     @cache  # noqa: B019
     def ladder(self) -> DataFrame:
         """mode, step, label, mrr, r1, r5, r10, ndcg of cumulative field sets, over match entries that have acceptable rows; shares and means.
 
-        Each different enriched text is searched once. The dense legs have two states, without and with context, which
-        all steps after the first share; the fused mode takes the bare name's scores over the full corpus, and the re-ranked one puts its head in the order of
-        the step's own text.
+        Each different text of a step is searched, encoded and ranked once, and each different pair of name and text fused once; results are joined back by these strings. The
+        fused mode takes the bare name's scores over the full corpus, and the re-ranked one puts its head in the order of the step's own text.
         """
         asked = self.keep(self.ladder_texts())
         once = asked.select(F.col("text").alias("query_id"), "text").distinct()
         found = lexical.fuzzy_search(once, self.corpus)
         fuzzy = ranking.ranked(lexical.bm25f_scores(once, self.corpus, params=self.parameters.bm25, pairs=found)).select(F.col("query_id").alias("text"), "uuid", "rank")
         out = [asked.join(fuzzy, "text").withColumn("mode", F.lit("fuzzy"))]
-        state = asked.withColumn("context", F.col("step") > 0)
-        dense = lambda mode: reduce(DataFrame.unionByName, [(self.semantic_ranks(c) if mode == "semantic" else self.hybrid(c, symmetric=True)).select("query_id", "uuid", "rank", F.lit(c).alias("context")) for c in (False, True)])
-        for mode in ("semantic", "hybrid"):
-            out.append(state.join(dense(mode), ["query_id", "context"]).withColumn("mode", F.lit(mode)))
+        dense = self.keep(ranking.ranked(self.dense(once).withColumnRenamed("text", "query_id")))
+        out.append(asked.join(dense.withColumnRenamed("query_id", "text"), "text").withColumn("mode", F.lit("semantic")))
+        asked = asked.withColumn("pair", F.concat_ws("\n", "bare", "text"))
+        pairs = asked.select(F.col("pair").alias("query_id"), "bare", "text").distinct()
+        names = pairs.select(F.col("bare").alias("query_id"), F.col("bare").alias("text")).distinct()
+        scored = lexical.bm25f_scores(names, self.corpus, params=self.parameters.bm25).withColumnRenamed("query_id", "bare")
+        left = ranking.ranked(pairs.join(scored, "bare").select("query_id", "uuid", "score"))
+        right = pairs.join(dense.withColumnRenamed("query_id", "text"), "text").select("query_id", "uuid", "score", "rank")
+        fusion = self.parameters.fusion
+        fused = self.keep(ranking.rrf(left, right, fusion.k, fusion.w_bm25, fusion.w_sem)).select(F.col("query_id").alias("pair"), "uuid", "rank")
+        out.append(asked.join(fused, "pair").withColumn("mode", F.lit("hybrid")))
         first = out[-1].where(F.col("rank") <= ranking.HEAD).withColumn("score", F.lit(0.0)).select("query_id", "step", "label", F.col("text").alias("own"), "uuid", "score", "rank")
         again = ranking.rerank(first, self.logits(first, F.col("own")), keys=("query_id", "step"))
         tail = out[-1].where(F.col("rank") > ranking.HEAD)
