@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -257,29 +258,25 @@ def _narrowed(parts: DataFrame, window: int, width: int) -> DataFrame:
     return parts.mapInArrow(run, PART)
 
 
-def repeated_ranges(parts: DataFrame, window: int, most: int = MOST) -> DataFrame:
+def repeated_ranges(parts: DataFrame, window: int, most: int = MOST, widths: tuple[int, ...] = NARROWER) -> DataFrame:
     """Rows (part, lo, hi) from distinct parts (see PART): the ranges of `a` whose windows stand at two places or more.
 
     Groups of up to `most` parts are ordered in one task each. A larger one is cut by narrower ranges of `a`, whose windows share more bytes and so fall into smaller groups; at
-    width 1 a group holds equal windows, which are counted and never gathered.
+    width 1 a group holds equal windows, which are counted and never gathered. Sizes are written before they are joined, so that Spark can split a hot key's partition.
     """
     found = []
-    for width in NARROWER:
-        size = parts.groupBy("key").agg(F.count("*").alias("parts"), F.sum("copies").alias("places")).where("places > 1")
+    for width in widths:
+        size, _ = written(parts.groupBy("key").agg(F.count("*").alias("parts"), F.sum("copies").alias("places")).where("places > 1"), "sizes")
         sized = parts.join(size, "key")
         found.append(_ordered_groups(sized.where(F.col("parts") <= most).drop("parts", "places"), window))
-        large = sized.where(F.col("parts") > most).drop("parts", "places")
-        parts, _ = written(_narrowed(large, window, width), "narrow")
-    many = parts.groupBy("key").agg(F.sum("copies").alias("places")).where("places > 1").select("key")
+        parts, _ = written(_narrowed(sized.where(F.col("parts") > most), window, width), "narrow")
+    many, _ = written(parts.groupBy("key").agg(F.sum("copies").alias("places")).where("places > 1").select("key"), "many")
     found.append(parts.join(many, "key").select("part", "lo", "hi"))
-    out = found[0]
-    for x in found[1:]:
-        out = out.unionByName(x)
-    return out
+    return reduce(DataFrame.unionByName, found)
 
 
 def _open_texts(docs: DataFrame, window: int) -> DataFrame:
-    """Rows (same, text, keys): each different text once, if any of its parts' keys stands at two places; keys are those."""
+    """Rows (same, text, n, keys): each different text once, if any of its parts' keys stands at two places; keys are those, n its copies."""
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", 2 << 20):
@@ -289,14 +286,14 @@ def _open_texts(docs: DataFrame, window: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc)), pa.array(key.view(np.int64))], names=["same", "key"])
 
     keys = docs.where(F.octet_length("text") >= window).mapInArrow(keyed, "same binary, key long")
-    twice = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    twice, _ = written(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "twice")
     held = keys.join(twice, "key").groupBy("same").agg(F.collect_set("key").alias("keys"))
     texts = docs.groupBy("same").agg(F.first("text").alias("text"), F.count("*").alias("n"))
     return texts.join(held, "same")
 
 
-def _contexts(texts: DataFrame, window: int, bodies: bool) -> DataFrame:
-    """The parts of texts (same, text, n, keys) whose keys are among keys: part (a digest of its bytes), same and t, and with bodies PART's other columns."""
+def _spots(texts: DataFrame, window: int) -> DataFrame:
+    """Rows (part, key, lo, hi, same, t, n): the parts of texts (same, text, n, keys) whose keys are among keys; part is a digest of all bytes that its windows reach."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for some in slices(batches, "text", 2 << 20):
@@ -309,32 +306,50 @@ def _contexts(texts: DataFrame, window: int, bodies: bool) -> DataFrame:
             with np.errstate(over="ignore"):  # a part too many does no harm
                 keep = np.isin(key + doc.astype(U64) * MIX, wanted + owner.astype(U64) * MIX)
             doc, t, lo, hi, key = (x[keep] for x in (doc, t, lo, hi, key))
-            heads = [data[a:b] for a, b in zip((t - hi).tolist(), t.tolist())]
-            tails = [data[a:b] for a, b in zip(t.tolist(), (t + window - lo).tolist())]
-            name = [hashlib.blake2b(b"%d %d " % (len(x), len(y)) + x + y, digest_size=16).digest() for x, y in zip(heads, tails)]
-            if bodies:
-                copies = some.column(2).take(pa.array(doc))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(name, pa.binary()), pa.array([x.tobytes() for x in key], pa.binary()), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.array(heads, pa.binary()), pa.array(tails, pa.binary()), copies],
-                    names=["part", "key", "lo", "hi", "head", "tail", "copies"],
-                )
-            else:
-                yield pa.RecordBatch.from_arrays([pa.array(name, pa.binary()), some.column(0).take(pa.array(doc)), pa.array(t - starts[doc])], names=["part", "same", "t"])
+            name = [hashlib.blake2b(data[e - h : e + window - a], digest_size=16, person=b"%d %d" % (h, a)).digest() for e, h, a in zip(t.tolist(), hi.tolist(), lo.tolist())]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(name, pa.binary()), pa.array(key.view(np.int64)), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), some.column(0).take(pa.array(doc)), pa.array(t - starts[doc]), some.column(2).take(pa.array(doc))],
+                names=["part", "key", "lo", "hi", "same", "t", "n"],
+            )
+
+    return texts.select("same", "text", "n", "keys").mapInArrow(run, "part binary, key long, lo int, hi int, same binary, t long, n long")
+
+
+def _bodies(parts: DataFrame, texts: DataFrame, window: int) -> DataFrame:
+    """PART rows of parts (part, key, lo, hi, copies, at: a text and place that has it): the bytes before and after that place."""
+    asked = parts.groupBy("at.same").agg(F.collect_list(F.struct("part", "key", "lo", "hi", "copies", F.col("at.t").alias("t"))).alias("asked"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in slices(batches, "text", 2 << 20):
+            lists, texts = some.column(1), encoded(some.column(0))
+            rows = lists.flatten()
+            part, key, lo, hi, copies, t = (rows.field(i) for i in range(6))
+            owner = np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy()).tolist()
+            spots = list(zip(owner, t.to_pylist(), lo.to_pylist(), hi.to_pylist()))
+            heads, tails = [texts[i][e - h : e] for i, e, _, h in spots], [texts[i][e : e + window - a] for i, e, a, _ in spots]
+            yield pa.RecordBatch.from_arrays([part, pa.array([x.tobytes() for x in key.to_numpy()], pa.binary()), lo, hi, pa.array(heads, pa.binary()), pa.array(tails, pa.binary()), copies], names=["part", "key", "lo", "hi", "head", "tail", "copies"])
 
-    return texts.select("same", "text", "n", "keys").mapInArrow(run, PART if bodies else "part binary, same binary, t long")
+    return texts.select("same", "text").join(asked, "same").select("text", "asked").mapInArrow(run, PART)
 
 
-def repeat_spans(docs: DataFrame, window: int = 400) -> tuple[DataFrame, DataFrame]:
+def repeat_spans(docs: DataFrame, window: int = 400, most: int = MOST) -> tuple[DataFrame, DataFrame]:
     """(spans, texts) of docs (same, text), equal texts having equal `same`: rows (same, start, end) that cover every repeated window of a different text, and rows (same, text) of those texts.
 
     Keys are counted before anything else moves, with partial counts, and only texts with a key that stands twice go on. Equal texts, and equal parts with their surroundings, go on once, with their number.
+    A part that is alone with its key is repeated as a whole or not at all; only parts of crowded keys send their bytes, one of each kind.
     """
     texts, _ = written(_open_texts(docs, window), "texts")
-    bodies = _contexts(texts, window, True).groupBy("part").agg(F.sum("copies").alias("copies"), *[F.first(c).alias(c) for c in ("key", "lo", "hi", "head", "tail")])
-    parts, _ = written(bodies, "parts")
-    ranges, _ = written(repeated_ranges(parts, window), "ranges")
-    spots = _contexts(texts, window, False).join(ranges, "part")
-    return spots.select("same", (F.col("t") - F.col("hi")).alias("start"), (F.col("t") - F.col("lo") + window).alias("end")), texts.select("same", "text")
+    spots, _ = written(_spots(texts, window), "spots")
+    named, _ = written(spots.groupBy("part").agg(F.sum("n").alias("copies"), F.first("key").alias("key"), F.first("lo").alias("lo"), F.first("hi").alias("hi"), F.min(F.struct("same", "t")).alias("at")), "named")
+    sizes, _ = written(named.groupBy("key").agg(F.count("*").alias("parts"), F.sum("copies").alias("places")).where("places > 1"), "sizes")
+    sized = named.join(sizes, "key")
+    found = [sized.where("parts = 1").select("part", "lo", "hi"), _ordered_groups(_bodies(sized.where((F.col("parts") > 1) & (F.col("parts") <= most)), texts, window), window)]
+    if (sizes.agg(F.max("parts")).first()[0] or 0) > most:
+        large, _ = written(_narrowed(_bodies(sized.where(F.col("parts") > most), texts, window), window, NARROWER[0]), "narrow")
+        found.append(repeated_ranges(large, window, most, NARROWER[1:]))
+    ranges, _ = written(reduce(DataFrame.unionByName, found), "ranges")
+    covered = spots.select("part", "same", "t").join(ranges, "part")
+    return covered.select("same", (F.col("t") - F.col("hi")).alias("start"), (F.col("t") - F.col("lo") + window).alias("end")), texts.select("same", "text")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 400) -> DataFrame:
