@@ -8,7 +8,7 @@ import pytest
 from lodestone.plans import registry
 
 DATA = "/root/testdata/sf0.001"
-QUICK = ["semantic_topk", "recall_at_k", "threshold_topk", "empty_group_placeholder", "corpus_stats", "bm25f_topk", "typo_expansion", "trigram_overlap", "regex_search", "fuzzy_search", "rrf_fusion", "rerank_head", "rerank_fallback",
+QUICK = ["text_vectors", "semantic_topk", "recall_at_k", "threshold_topk", "empty_group_placeholder", "corpus_stats", "bm25f_topk", "typo_expansion", "trigram_overlap", "regex_search", "fuzzy_search", "rrf_fusion", "rerank_head", "rerank_fallback",
   "recall_modes", "mcnemar_matrix", "scope_truth_join", "truth_substring_join", "acceptable_union", "host_map", "edge_union", "property_projection", "conditional_properties", "lookup_chain", "nested_properties", "material_scope", "step_verdict",
   "enriched_query", "preview_entry", "search_texts", "merged_items", "cosine_table", "result_grid", "category_list", "asset_lookup", "metric_over_time"]
 
