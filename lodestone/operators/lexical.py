@@ -6,12 +6,14 @@ exploded and joined on equality. The vocabulary, not the corpus, is what misspel
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import tokens, trigrams
+from lodestone.operators.ranking import ranked
 from lodestone.operators.sizes import small
 
 
@@ -27,12 +29,12 @@ class Bm25f:
     max_distance: int = 2
 
 
-def postings(corpus: DataFrame) -> DataFrame:
-    """Rows (uuid, term, tf_name, tf_class, len_name, len_class)."""
-    fields = corpus.select("uuid", tokens(F.col("name")).alias("n"), tokens(F.col("classification")).alias("c")).withColumns({"len_name": F.size("n"), "len_class": F.size("c")})
+def postings(corpus: DataFrame, *carried: str) -> DataFrame:
+    """Rows (uuid, *carried, term, tf_name, tf_class, len_name, len_class)."""
+    fields = corpus.select("uuid", *carried, tokens(F.col("name")).alias("n"), tokens(F.col("classification")).alias("c")).withColumns({"len_name": F.size("n"), "len_class": F.size("c")})
     both = F.concat(F.transform("n", lambda t: F.struct(t.alias("term"), F.lit(1).alias("name"))), F.transform("c", lambda t: F.struct(t.alias("term"), F.lit(0).alias("name"))))
-    flat = fields.select("uuid", "len_name", "len_class", F.explode(both).alias("t")).select("uuid", "len_name", "len_class", "t.term", "t.name")
-    return flat.groupBy("uuid", "term", "len_name", "len_class").agg(F.sum("name").cast("long").alias("tf_name"), F.sum(1 - F.col("name")).cast("long").alias("tf_class"))
+    flat = fields.select("uuid", *carried, "len_name", "len_class", F.explode(both).alias("t")).select("uuid", *carried, "len_name", "len_class", "t.term", "t.name")
+    return flat.groupBy("uuid", *carried, "term", "len_name", "len_class").agg(F.sum("name").cast("long").alias("tf_name"), F.sum(1 - F.col("name")).cast("long").alias("tf_class"))
 
 
 def field_lengths(corpus: DataFrame) -> DataFrame:
@@ -131,8 +133,105 @@ def bm25f_terms(queries: DataFrame, corpus: DataFrame, text_col: str = "text", p
 
 
 def bm25f_scores(queries: DataFrame, corpus: DataFrame, text_col: str = "text", params: Bm25f = Bm25f(), pairs: DataFrame | None = None) -> DataFrame:
-    """Rows (query_id, uuid, score) for every corpus row (or pair) that shares a term; scores are rounded before anything is ranked by them."""
-    return bm25f_terms(queries, corpus, text_col, params, pairs).groupBy("query_id", "uuid").agg(F.round(F.sum("contribution"), 6).alias("score"))
+    """Rows (query_id, uuid, score) for every corpus row (or pair) that shares a term; scores are rounded before anything is ranked by them. Without pairs,
+    queries of one set of terms and corpus rows of the same two texts are scored once."""
+    if pairs is not None:
+        return bm25f_terms(queries, corpus, text_col, params, pairs).groupBy("query_id", "uuid").agg(F.round(F.sum("contribution"), 6).alias("score"))
+    index, asked = Index(corpus, params), _bags(queries, text_col)
+    words = index.words(asked)
+    scored = index.scores(words, index.gains(words)).withColumnRenamed("uuid", "form")
+    return scored.join(index.forms.select(F.col("uuid").alias("form"), "name", "classification"), "form").join(filled(corpus), ["name", "classification"]).join(asked, "bag").select("query_id", "uuid", "score")
+
+
+def _bags(queries: DataFrame, text_col: str) -> DataFrame:
+    """query_id and bag, its text's different terms in order with a space between; texts without a term are left out."""
+    return queries.select("query_id", F.array_join(F.array_sort(F.array_distinct(tokens(F.col(text_col)))), " ").alias("bag")).where("bag <> ''")
+
+
+def filled(corpus: DataFrame) -> DataFrame:
+    """uuid and the two texts, empty where they are null."""
+    return corpus.select("uuid", F.coalesce("name", F.lit("")).alias("name"), F.coalesce("classification", F.lit("")).alias("classification"))
+
+
+#: Forms that a block holds, about.
+BLOCK = 64
+#: How far a block's bound may lie under the threshold and its rows be read all the same: half a unit of the rounded scores, and what sums in another order may differ by.
+SLACK = 1e-6
+
+
+class Index:
+    """Postings of a corpus (uuid, name, classification) in blocks.
+
+    Rows of the same two texts are one form, known by its smallest uuid, with a number of copies. A name of BLOCK forms or more fills blocks of its own, dealt
+    by classification; other names lie with those that share their rarest word. Blocks follow from the rows alone, so a lost part is made again as it was, and
+    no block grows with the corpus. keep is called on what is read more than once, to persist it, say.
+    """
+
+    def __init__(self, corpus: DataFrame, params: Bm25f = Bm25f(), block: int = BLOCK, keep: Callable[[DataFrame], DataFrame] = lambda df: df):
+        self.corpus, self.params, self.keep = corpus, params, keep
+        self.forms = keep(filled(corpus).groupBy("name", "classification").agg(F.min("uuid").alias("uuid"), F.count("*").alias("copies")))
+        mean = lambda c: (F.sum(F.col("copies") * F.size(tokens(F.col(c)))) / F.sum("copies"))
+        lengths = self.forms.agg(F.sum("copies").alias("n_docs"), mean("name").alias("avg_name"), mean("classification").alias("avg_class"))
+        tf_name = params.w_name * F.col("tf_name") / (1 - params.b_name + params.b_name * F.col("len_name") / F.col("avg_name"))
+        tf_class = params.w_class * F.col("tf_class") / (1 - params.b_class + params.b_class * F.col("len_class") / F.col("avg_class"))
+        tf = F.when(F.col("tf_name") > 0, tf_name).otherwise(0.0) + F.when(F.col("tf_class") > 0, tf_class).otherwise(0.0)
+        posted = postings(self._blocked(block), "copies", "block").crossJoin(F.broadcast(lengths))
+        self.held = keep(posted.select("term", "block", "uuid", "copies", "n_docs", tf.alias("tf")))
+        self.frequency = self.held.groupBy("term").agg(F.sum("copies").alias("df"), F.first("n_docs").alias("n_docs"))
+
+    def _blocked(self, size: int) -> DataFrame:
+        names = self.forms.groupBy("name").agg(F.count("*").alias("n"))
+        words = names.where(F.col("n") < size).select("name", "n", F.explode_outer(F.array_distinct(tokens(F.col("name")))).alias("word")).fillna("", ["word"])
+        homes = words.join(words.groupBy("word").agg(F.sum("n").alias("all")), "word").groupBy("name").agg(F.min(F.struct("all", "word")).alias("home"))
+        share = lambda text, n: F.pmod(F.xxhash64(text), F.ceil(n / size))
+        own = F.xxhash64(F.lit("name"), "name", share("classification", F.col("n")))
+        shared = F.xxhash64(F.lit("word"), "home.word", share("name", F.col("home.all")))
+        return self.forms.join(names, "name").join(homes, "name", "left").select("uuid", "name", "classification", "copies", F.when(F.col("n") < size, shared).otherwise(own).alias("block"))
+
+    def words(self, asked: DataFrame) -> DataFrame:
+        """bag and source, one row for each term of each different bag."""
+        return asked.select("bag").distinct().select("bag", F.explode(F.split("bag", " ")).alias("source"))
+
+    def gains(self, words: DataFrame) -> DataFrame:
+        """source, block, uuid, copies, gain: what each asked term, or all that a misspelt one may stand for, adds to the score of a form. Postings are read once for each different term."""
+        idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        once = words.select(F.col("source").alias("query_id"), F.col("source").alias("term")).distinct()
+        expanded = typo_expansion(once, self.frequency, self.params.max_distance).join(self.frequency, "term").select("source", "term", "weight", idf.alias("idf"))
+        gain = F.col("weight") * F.col("idf") * F.col("tf") / (self.params.k1 + F.col("tf"))
+        return expanded.join(self.held, "term").groupBy("source", "block", "uuid", "copies").agg(F.sum(gain).alias("gain"))
+
+    def scores(self, words: DataFrame, gains: DataFrame, chosen: DataFrame | None = None) -> DataFrame:
+        """bag, uuid, copies, score of all forms that share a term with a bag, with chosen (bag, block) of those in its chosen blocks."""
+        hits = words.join(gains, "source") if chosen is None else words.join(chosen.select("bag", "block"), "bag").join(gains, ["source", "block"])
+        return hits.groupBy("bag", "uuid", "copies").agg(F.round(F.sum("gain"), 6).alias("score"))
+
+    def chosen(self, words: DataFrame, gains: DataFrame, k: int) -> DataFrame:
+        """bag, block, reach, least of the blocks that may hold one of a bag's k best rows.
+
+        reach bounds the scores in a block: each term adds what it adds to the form there that it suits best. The k blocks of highest reach hold k rows at least; the kth
+        score among theirs is least, and no block whose reach stays below it holds a better row.
+        """
+        tops = gains.groupBy("source", "block").agg(F.max("gain").alias("top"))
+        reach = self.keep(words.join(tops, "source").groupBy("bag", "block").agg(F.sum("top").alias("reach")))
+        first = reach.withColumn("n", F.row_number().over(Window.partitionBy("bag").orderBy(F.desc("reach"), "block"))).where(F.col("n") <= k)
+        so_far = F.sum(F.least("copies", F.lit(k))).over(Window.partitionBy("bag").orderBy(F.desc("score"), "uuid"))
+        least = self.scores(words, gains, first).withColumn("rows", so_far).groupBy("bag").agg(F.max(F.when(F.col("rows") >= k, F.col("score"))).alias("least"))
+        return reach.join(least, "bag", "left").where(F.col("reach") >= F.coalesce("least", F.lit(0.0)) - SLACK)
+
+    def top(self, queries: DataFrame, k: int, text_col: str = "text") -> DataFrame:
+        """query_id, uuid, score, rank of each query's k best rows: what ranking all of bm25f_scores gives, ties to the smaller uuid.
+
+        Of the forms, the k first by score and smallest uuid suffice, and of each the k smallest uuids, so copies and ties are spread out last and no more than k at a time.
+        """
+        asked = _bags(queries, text_col)
+        words = self.words(asked)
+        gains = self.keep(self.gains(words))
+        forms = ranked(self.scores(words, gains, self.chosen(words, gains, k)).withColumnRenamed("bag", "query_id"), k=k)
+        alike = Window.partitionBy("name", "classification").orderBy("uuid")
+        rows = filled(self.corpus).withColumn("n", F.row_number().over(alike)).where(F.col("n") <= k)
+        named = forms.select(F.col("query_id"), F.col("uuid").alias("form"), "score").join(self.forms.select(F.col("uuid").alias("form"), "name", "classification"), "form")
+        best = ranked(named.join(rows, ["name", "classification"]).select("query_id", "uuid", "score"), k=k).withColumnRenamed("query_id", "bag")
+        return asked.join(best, "bag").select("query_id", "uuid", "score", "rank")
 
 
 def trigram_overlap(pairs: DataFrame, a: str, b: str) -> DataFrame:

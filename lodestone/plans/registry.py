@@ -73,7 +73,7 @@ def corpus_stats(r: Roles) -> DataFrame:
 
 @registered(over(BASE, f"SELECT query_id, uuid, score, CAST(rank AS INT) AS rank FROM {oracle.order('SELECT * FROM lex')} WHERE rank <= 10"))
 def bm25f_topk(r: Roles) -> DataFrame:
-    return ranking.ranked(r.lexical(), k=10)
+    return r.lexical_top(10)
 
 
 @registered(over(BASE, "SELECT query_id, uuid, source, term, distance, round(weight, 6) AS weight, round(idf, 6) AS idf, round(tf, 6) AS tf, round(contribution, 6) AS contribution FROM lex_terms"))
@@ -118,12 +118,12 @@ def token_filter(r: Roles) -> DataFrame:
 
 @registered(over(FULL, "SELECT query_id, uuid, raw, CAST(rank AS INT) AS rank FROM hyb WHERE rank <= 20"))
 def rrf_fusion(r: Roles) -> DataFrame:
-    return r.hybrid().where("rank <= 20").select("query_id", "uuid", "raw", "rank")
+    return r.hybrid(k=20).select("query_id", "uuid", "raw", "rank")
 
 
 @registered(over(FULL + ", " + oracle.fuse("symm", "SELECT * FROM lex", "SELECT * FROM sem"), "SELECT query_id, uuid, raw, CAST(rank AS INT) AS rank FROM symm WHERE rank <= 20"))
 def rrf_symmetric(r: Roles) -> DataFrame:
-    return r.hybrid(symmetric=True).where("rank <= 20").select("query_id", "uuid", "raw", "rank")
+    return r.hybrid(symmetric=True, k=20).select("query_id", "uuid", "raw", "rank")
 
 
 @registered(over(FULL, """SELECT query_id, uuid, coalesce(CAST(left_rank AS VARCHAR), '(absent)') AS lexical_rank, coalesce(CAST(right_rank AS VARCHAR), '(absent)') AS dense_rank,
@@ -131,7 +131,7 @@ def rrf_symmetric(r: Roles) -> DataFrame:
 def rrf_explain(r: Roles) -> DataFrame:
     part = lambda c: F.round(F.coalesce(1.0 / (ranking.RRF_K + F.col(c)), F.lit(0.0)), 9)
     shown = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("(absent)"))
-    return r.hybrid().where("rank <= 10").select("query_id", "uuid", shown("left_rank").alias("lexical_rank"), shown("right_rank").alias("dense_rank"), part("left_rank").alias("lexical_part"), part("right_rank").alias("dense_part"))
+    return r.hybrid(k=10).select("query_id", "uuid", shown("left_rank").alias("lexical_rank"), shown("right_rank").alias("dense_rank"), part("left_rank").alias("lexical_part"), part("right_rank").alias("dense_part"))
 
 
 @registered(over(FULL, "SELECT query_id, max(normalised) AS best, count(*) AS n, min(normalised) AS least FROM hyb GROUP BY query_id"))

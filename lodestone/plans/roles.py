@@ -94,12 +94,30 @@ class Roles:
         return out.where("grade > 0") if only_hits else out
 
     @cache  # noqa: B019  one set of memos for each run, as several modes rank the same scores
+    def lexical_by_text(self, text_col: str = "text") -> DataFrame:
+        """uuid and score of each different text, as query_id."""
+        once = self.queries.select(F.col(text_col).alias("query_id"), F.col(text_col).alias("text")).distinct()
+        return self.keep(lexical.bm25f_scores(once, self.corpus, params=self.parameters.bm25))
+
     def lexical(self, text_col: str = "text") -> DataFrame:
-        return self.keep(lexical.bm25f_scores(self.queries, self.corpus, text_col, self.parameters.bm25))
+        return self.spread(self.lexical_by_text(text_col), text_col).select("query_id", "uuid", "score")
+
+    def spread(self, by_text: DataFrame, text_col: str = "text") -> DataFrame:
+        """Rows of texts (query_id, ...) for every query of that text."""
+        return self.queries.select("query_id", F.col(text_col).alias("asked")).join(by_text.withColumnRenamed("query_id", "asked"), "asked").drop("asked")
+
+    def lexical_top(self, k: int, text_col: str = "text") -> DataFrame:
+        """The k best rows of each query; only blocks of postings that can hold one are read."""
+        return lexical.Index(self.corpus, self.parameters.bm25, keep=self.keep).top(self.queries, k, text_col)
 
     @cache  # noqa: B019
+    def semantic_by_text(self, text_col: str = "text") -> DataFrame:
+        """uuid, score and rank of each different text, as query_id."""
+        once = self.queries.select(F.col(text_col).alias("text")).distinct()
+        return self.keep(ranking.ranked(self.dense(once).withColumnRenamed("text", "query_id")))
+
     def semantic_ranks(self, context: bool = False) -> DataFrame:
-        return self.keep(ranking.ranked(self.semantic(context)))
+        return self.spread(self.semantic_by_text("enriched" if context else "text"), "enriched" if context else "text").select("query_id", "uuid", "score", "rank")
 
     @property
     def documents(self) -> DataFrame:
@@ -148,12 +166,29 @@ class Roles:
         return self.keep(lexical.fuzzy_search(self.queries, self.corpus, "enriched" if context else "text"))
 
     @cache  # noqa: B019
-    def hybrid(self, context: bool = False, symmetric: bool | None = None) -> DataFrame:
-        """Fusion of the lexical order of the bare name (over fuzzy survivors unless symmetric) and the dense order."""
-        fusion, scored = self.parameters.fusion, self.lexical()
-        whole = fusion.pool == "symmetric" if symmetric is None else symmetric
-        pool = scored if whole else scored.join(self.fuzzy(), ["query_id", "uuid"], "left_semi")
-        return self.keep(ranking.rrf(ranking.ranked(pool), self.semantic_ranks(context), fusion.k, fusion.w_bm25, fusion.w_sem))
+    def hybrid_by_text(self, context: bool = False, symmetric: bool | None = None) -> DataFrame:
+        """The fusion of each different pair of bare name and encoded text, as query_id: lexical order of the name (over fuzzy survivors unless symmetric) and dense order."""
+        fusion, scored = self.parameters.fusion, self.lexical_by_text()
+        if not (fusion.pool == "symmetric" if symmetric is None else symmetric):
+            names = scored.select("query_id").distinct()
+            scored = scored.join(lexical.fuzzy_search(names.withColumn("text", F.col("query_id")), self.corpus), ["query_id", "uuid"], "left_semi")
+        left, right = ranking.ranked(scored), self.semantic_by_text("enriched" if context else "text")
+        if context:
+            pairs = self.paired(context).select("pair", "text", "own").distinct()
+            left = pairs.join(left.withColumnRenamed("query_id", "text"), "text").select(F.col("pair").alias("query_id"), "uuid", "rank")
+            right = pairs.join(right.withColumnRenamed("query_id", "own"), "own").select(F.col("pair").alias("query_id"), "uuid", "rank")
+        return self.keep(ranking.rrf(left, right, fusion.k, fusion.w_bm25, fusion.w_sem))
+
+    def paired(self, context: bool) -> DataFrame:
+        """query_id, text, own (the text that is encoded) and pair, one string for both."""
+        asked = self.queries.select("query_id", "text", F.col("enriched" if context else "text").alias("own"))
+        return asked.withColumn("pair", F.concat_ws("\n", "text", "own") if context else F.col("text"))
+
+    def hybrid(self, context: bool = False, symmetric: bool | None = None, k: int | None = None) -> DataFrame:
+        """Fused rows of every query; with k only the k first, cut before they are joined to the queries."""
+        fused = self.hybrid_by_text(context, symmetric)
+        fused = (fused if k is None else fused.where(F.col("rank") <= k)).withColumnRenamed("query_id", "pair")
+        return self.paired(context).select("query_id", "pair").join(fused, "pair").drop("pair")
 
     def mode(self, name: str, context: bool = False) -> DataFrame:
         """query_id, uuid, score, rank of one mode."""
