@@ -143,11 +143,21 @@ def calibrated(score: Column, mode: str, curves: dict[str, tuple | list] = CURVE
 
 
 def stepped(score: Column, points: list[tuple[float, float]]) -> Column:
-    """Piecewise constant calibration: the value of the last breakpoint that score reaches, the first one's below all."""
-    out = F.lit(float(min(points)[1]))
-    for at, value in sorted(points):
-        out = F.when(score >= at, float(value)).otherwise(out)
-    return out
+    """Piecewise constant calibration: the value of the last breakpoint that score reaches, the first one's below all and for null.
+
+    Breakpoints are two constant arrays, searched by halves, so the plan stays small however many there are.
+    """
+    ordered = sorted((float(at), float(value)) for at, value in points)
+    constant = lambda xs: F.split(F.lit(",".join(map(repr, xs))), ",").cast("array<double>")
+    starts, values, n = constant([at for at, _ in ordered]), constant([value for _, value in ordered]), len(ordered)
+
+    def halve(range_: Column, _: Column) -> Column:
+        middle = F.floor((range_["low"] + range_["high"]) / 2).cast("int")
+        reached = (range_["low"] < range_["high"]) & F.coalesce(score >= F.get(starts, middle), F.lit(False))
+        return F.struct(F.when(reached, middle + 1).otherwise(range_["low"]).alias("low"), F.when(reached | (range_["low"] == range_["high"]), range_["high"]).otherwise(middle).alias("high"))
+
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(n.bit_length())), F.struct(F.lit(0).alias("low"), F.lit(n).alias("high")), halve)
+    return F.get(values, F.greatest(found["low"] - 1, F.lit(0)))
 
 
 def rerank(rows: DataFrame, logits: DataFrame, head: int = HEAD, keys: tuple[str, ...] = ("query_id",)) -> DataFrame:

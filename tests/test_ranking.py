@@ -1,3 +1,6 @@
+import bisect
+import random
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -147,3 +150,21 @@ def test_fitted_steps_replace_a_sigmoid(spark):
     curves = ranking.CURVES | {"hybrid": [(0.5, 0.4), (0.0, 0.1)]}
     got = spark.range(1).select(*[ranking.calibrated(F.lit(x), "hybrid", curves) for x in (-1.0, 0.2, 0.5, 9.0)]).first()
     assert tuple(got) == (0.1, 0.1, 0.4, 0.4)
+
+
+def test_steps_of_many_breakpoints_are_searched_by_halves(spark):
+    rng = random.Random(5)
+    points = [(rng.choice((-1, 1)) * rng.random() * 50, rng.random()) for _ in range(10_000)] + [(3.0, 0.2), (3.0, 0.4)]
+    starts = sorted(points)
+    scores = [None, -1e9, 1e9, 3.0, starts[0][0], starts[-1][0]] + [rng.uniform(-55, 55) for _ in range(300)] + [at for at, _ in points[:50]]
+    data = spark.createDataFrame([(s,) for s in scores], "score double").select("score", ranking.stepped(F.col("score"), points).alias("v"))
+    for r in data.collect():
+        at = 0 if r["score"] is None else max(0, bisect.bisect_right([a for a, _ in starts], r["score"]) - 1)
+        assert r["v"] == starts[at][1]
+    assert data._jdf.queryExecution().optimizedPlan().toString().count("CASE WHEN") < 10
+
+
+def test_few_steps_are_what_they_were(spark):
+    data = spark.createDataFrame([(0.1,), (0.5,), (0.9,), (None,)], "score double")
+    assert [r[0] for r in data.select(ranking.stepped(F.col("score"), [(0.8, 0.9), (0.2, 0.3), (0.5, 0.6)])).collect()] == [0.3, 0.6, 0.9, 0.3]
+    assert [r[0] for r in data.select(ranking.stepped(F.col("score"), [(0.4, 0.7)])).collect()] == [0.7] * 4
