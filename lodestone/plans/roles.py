@@ -44,6 +44,10 @@ class Roles:
         self.kept.append(df.persist())
         return self.kept[-1]
 
+    def cut(self, df: DataFrame) -> DataFrame:
+        """df written below spark.checkpoint.dir where the session names one, so that what reads it does not carry its plan; else persisted."""
+        return df.checkpoint() if self.spark.conf.get("spark.checkpoint.dir", None) else self.keep(df)
+
     def close(self) -> None:
         while self.kept:
             self.kept.pop().unpersist()
@@ -108,7 +112,7 @@ class Roles:
 
     def lexical_top(self, k: int, text_col: str = "text") -> DataFrame:
         """The k best rows of each query; only blocks of postings that can hold one are read."""
-        return lexical.Index(self.corpus, self.parameters.bm25, keep=self.keep).top(self.queries, k, text_col)
+        return lexical.Index(self.corpus, self.parameters.bm25, keep=self.cut).top(self.queries, k, text_col)
 
     @cache  # noqa: B019
     def semantic_by_text(self, text_col: str = "text") -> DataFrame:
