@@ -6,9 +6,12 @@ exploded and joined on equality. The vocabulary, not the corpus, is what misspel
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+import warnings
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,51 +58,82 @@ def query_terms(queries: DataFrame, text_col: str = "text") -> DataFrame:
     return queries.select("query_id", F.explode(F.array_distinct(tokens(F.col(text_col)))).alias("term"))
 
 
-def _deleted(term: Column, times: int) -> Column:
-    """term and all texts that are left of it after up to `times` letters are taken out."""
-    out = step = F.array(term)
-    for _ in range(times):
-        step = F.array_distinct(F.flatten(F.transform(step, lambda t: F.when(F.length(t) > 0, F.transform(F.sequence(F.lit(1), F.length(t)), lambda i: F.concat(F.substr(t, F.lit(1), i - 1), F.substr(t, i + 1)))).otherwise(F.expr("cast(array() as array<string>)")))))
-        out = F.concat(out, step)
-    return F.array_distinct(out)
+def _piece(text: str, size: Column, i: int, edits: int, shift: int = 0) -> Column:
+    """Piece i, moved by shift, of the edits + 1 even ones of a text of length size, with the two numbers that tell it apart; null where it would leave the text."""
+    at = lambda n: F.floor(n * size / (edits + 1)).cast("int")
+    start, long = at(i) + shift, at(i + 1) - at(i)
+    inside = (size >= 0) & (start >= 0) & (start + long <= F.length(text))
+    return F.when(inside, F.struct(size.alias("size"), F.lit(i).alias("i"), F.substr(F.col(text), start + 1, long).alias("piece")))
 
 
-#: Letters up to which a term's deletions are listed; there are as many as the square of its length.
-LISTED = 64
+def edit_candidates(terms: DataFrame, vocabulary: DataFrame, max_distance: int) -> DataFrame:
+    """Rows (term, known) that meet on a piece, each pair once; all pairs within max_distance edits are among them.
 
-
-def _pieces(text: str, size: Column, shift: Column, edits: int) -> Column:
-    """What stands, moved by shift, where a text of length size has its edits + 1 equal pieces."""
-    at = lambda i: F.floor(i * size / (edits + 1)).cast("int")
-    return F.transform(F.sequence(F.lit(0), F.lit(edits)), lambda i: F.struct(size.alias("size"), i.alias("i"), F.substr(F.col(text), at(i) + shift + 1, at(i + 1) - at(i)).alias("piece")))
+    A known word is cut into d + 1 even pieces, one of which d edits leave whole, so it stands in the term. Where that is the i-th (from 0), at most i edits need be looked
+    for before it: with more, at most d - i - 1 are left for the d - i pieces after it, and one of those is whole as well. So it is moved by i at most, counted from
+    the front, and by d - i, counted from the end. For d = 2 a word has 3 keys and a term 19, however long they are. Words of up to d letters have an empty first piece and
+    meet all terms whose length suits.
+    """
+    d = max_distance
+    cuts = F.array(*[_piece("known", F.length("known"), i, d) for i in range(d + 1)])
+    moves = [(more, i, shift) for more in range(-d, d + 1) for i in range(d + 1) for shift in range(max(-i, more - d + i), min(i, more + d - i) + 1)]
+    spots = F.array(*[_piece("term", F.length("term") - more, i, d, shift) for more, i, shift in moves])
+    held = vocabulary.select("known", F.explode(cuts).alias("key"))
+    asked = terms.select("term", F.explode(F.array_distinct(F.array_compact(spots))).alias("key"))
+    return asked.join(held, "key").select("term", "known").distinct()
 
 
 def edit_pairs(terms: DataFrame, vocabulary: DataFrame, max_distance: int) -> DataFrame:
-    """Rows (term, known, distance) of all terms and vocabulary words (known) within max_distance edits.
+    """Rows (term, known, distance) of all terms and vocabulary words (known) within max_distance edits; only pairs that share a piece are measured, see edit_candidates."""
+    pairs = edit_candidates(terms.where("term is not null"), vocabulary.where("known is not null"), max_distance)
+    return pairs.withColumn("distance", F.levenshtein("term", "known", max_distance)).where(F.col("distance") >= 0)
 
-    Two texts so near have a text in common that each becomes when up to max_distance letters are taken out. So both sides are
-    joined on equality of those, and only the pairs that meet are measured. A term of over LISTED letters is cut into max_distance + 1 pieces instead, one of which
-    no edit touches, so it stands in the word, moved by max_distance at most.
-    """
-    d = max_distance
-    asked = terms.where(F.length("term") <= LISTED).select("term", F.explode(_deleted(F.col("term"), d)).alias("rest"))
-    held = vocabulary.where(F.length("known") <= LISTED + d).select("known", F.explode(_deleted(F.col("known"), d)).alias("rest"))
-    cut = terms.where(F.length("term") > LISTED).select("term", F.explode(_pieces("term", F.length("term"), F.lit(0), d)).alias("rest"))
-    moved = F.flatten(F.transform(F.sequence(F.length("known") - d, F.length("known") + d), lambda size: F.flatten(F.transform(F.sequence(F.lit(-d), F.lit(d)), lambda shift: _pieces("known", size, shift, d)))))
-    long = vocabulary.where(F.length("known") > LISTED - d).select("known", F.explode(F.array_distinct(moved)).alias("rest"))
-    pairs = asked.join(held, "rest").select("term", "known").unionByName(cut.join(long, "rest").select("term", "known")).distinct()
-    return pairs.withColumn("distance", F.levenshtein("term", "known")).where(F.col("distance") <= d)
+
+#: Letters of a gram, and the pairs that one salt of a gram meets, about.
+GRAM, MEETING = 3, 1_000_000
+
+
+def _grams(text: Column, n: int = GRAM) -> Column:
+    spots = F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substr(text, i, F.lit(n)))
+    return F.when(F.length(text) >= n, F.array_distinct(spots)).otherwise(F.expr("cast(array() as array<string>)"))
 
 
-def substring_pairs(hays: DataFrame, needles: DataFrame, hay: str = "hay", needle: str = "needle") -> DataFrame:
-    """Distinct rows (hay, needle) where the one holds the other; an empty needle is held by none.
+Keep = Callable[[DataFrame], DataFrame]
 
-    Needles meet the hays that have their first three letters (or all, if they are shorter) somewhere, on equality; these pairs are then searched.
+
+def as_is(df: DataFrame) -> DataFrame:
+    return df
+
+
+def gram_candidates(hays: DataFrame, asked: DataFrame, fold: bool = False, sizes: Iterable[int] = range(1, GRAM + 1), meeting: int = MEETING, keep: Keep = as_is) -> DataFrame:
+    """Rows (hay, needle) of different hays for different rows of asked (needle, grams, a set of strings of `sizes` letters that a hay must hold): of each set only the
+    gram that the fewest hays hold is looked for, and sets with a gram that none holds are dropped at once. fold looks in the lower-cased hay.
+
+    How many hays hold a gram is counted first. The hays of a gram are dealt to salts, each of which meets that gram's needles in about `meeting` pairs, so no common gram
+    makes a task of its own size. Hays are read twice; keep is called on the chosen grams, which are no more than the sets.
     """
-    spots = lambda n: F.when(F.length(hay) >= n, F.transform(F.sequence(F.lit(1), F.length(hay) - n + 1), lambda i: F.substr(F.col(hay), i, F.lit(n)))).otherwise(F.expr("cast(array() as array<string>)"))
-    parts = hays.select(hay).distinct().select(hay, F.explode(F.array_distinct(F.concat(*[spots(n) for n in (1, 2, 3)]))).alias("gram"))
-    keyed = needles.select(needle).distinct().where(F.length(needle) > 0).withColumn("gram", F.substring(needle, 1, 3))
-    return parts.join(keyed, "gram").where(F.contains(hay, needle)).select(hay, needle)
+    text = F.lower("hay") if fold else F.col("hay")
+    held = hays.select("hay").distinct().select("hay", F.explode(F.array_distinct(F.concat(*[_grams(text, n) for n in sizes]))).alias("gram"))
+    counts = held.groupBy("gram").agg(F.count("*").alias("hays"))
+    rare = asked.select("needle", "grams", F.explode("grams").alias("gram")).join(counts, "gram", "left")
+    rare = rare.groupBy("needle", "grams").agg(F.min(F.struct(F.coalesce("hays", F.lit(0)).alias("hays"), "gram")).alias("r"))
+    keyed = keep(rare.where("r.hays > 0").select("needle", "r.gram", "r.hays"))
+    salted = small(keep(keyed.groupBy("gram").agg(F.ceil(F.first("hays") * F.count("*") / F.lit(meeting)).cast("int").alias("salts"))))
+    dealt = held.join(salted, "gram").select("hay", "gram", F.pmod(F.xxhash64("hay"), F.col("salts")).cast("int").alias("salt"))
+    spread = keyed.join(salted, "gram").select("needle", "gram", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    return dealt.join(spread, ["gram", "salt"]).select("hay", "needle")
+
+
+def substring_pairs(hays: DataFrame, needles: DataFrame, hay: str = "hay", needle: str = "needle", keep: Keep = as_is) -> DataFrame:
+    """Distinct rows (hay, needle) where the one holds the other; an empty or null needle is held by none.
+
+    Needles meet the hays that hold the rarest of their grams of three letters (of all their letters, if they are fewer), see gram_candidates; these pairs are then searched.
+    """
+    n = F.col("needle")
+    different = needles.select(F.col(needle).alias("needle")).distinct().where(F.length("needle") > 0)
+    asked = different.select("needle", F.when(F.length(n) < GRAM, F.array(n)).otherwise(_grams(n)).alias("grams"))
+    pairs = gram_candidates(hays.select(F.col(hay).alias("hay")).where("hay is not null"), asked, keep=keep)
+    return pairs.where(F.contains("hay", "needle")).select(F.col("hay").alias(hay), F.col("needle").alias(needle))
 
 
 def typo_expansion(terms: DataFrame, vocabulary: DataFrame, max_distance: int = 2) -> DataFrame:
@@ -167,7 +201,7 @@ class Index:
     no block grows with the corpus. keep is called on what is read more than once, to persist it, say.
     """
 
-    def __init__(self, corpus: DataFrame, params: Bm25f = Bm25f(), block: int = BLOCK, keep: Callable[[DataFrame], DataFrame] = lambda df: df):
+    def __init__(self, corpus: DataFrame, params: Bm25f = Bm25f(), block: int = BLOCK, keep: Keep = as_is):
         self.corpus, self.params, self.keep = corpus, params, keep
         self.forms = keep(filled(corpus).groupBy("name", "classification").agg(F.min("uuid").alias("uuid"), F.count("*").alias("copies")))
         mean = lambda c: (F.sum(F.col("copies") * F.size(tokens(F.col(c)))) / F.sum("copies"))
@@ -241,18 +275,70 @@ def trigram_overlap(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return pairs.withColumn("shared", shared).withColumn("jaccard", F.when(union > 0, F.round(shared / union, 6)).otherwise(0.0))
 
 
-def regex_search(queries: DataFrame, corpus: DataFrame, text_col: str = "text") -> DataFrame:
-    """Rows (query_id, uuid) where the query's pattern is found in name and classification, whatever the case.
+def required(pattern: str | None) -> list[list[str]] | None:
+    """What a text must hold to match pattern whatever the case: the lower-case literals of one of the listed sets, all of them; one empty set if nothing is known to be
+    needed, None for a pattern that does not compile. Only literals of GRAM letters or more are listed.
 
-    Patterns are arbitrary, so all texts are looked at; distinct texts are searched once for each distinct pattern, and the patterns are broadcast while they are few.
+    The tree is that of the standard library. Groups and repeats that must occur are gone into; of alternatives, all must need something for them to count. Where classes
+    may be read in two ways (a bracket inside of one), nothing is needed.
+    """
+    try:
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            tree = re._parser.parse(pattern, re.IGNORECASE)
+    except (re.error, TypeError, OverflowError, RecursionError):
+        return None
+    return [[]] if re.search(r"\[\^?\]|\[[^\]]*\[|&&", pattern) else [sorted(x) for x in _needs(tree) or [set()]]
+
+
+def _needs(tree: Iterable) -> list[set[str]] | None:
+    """One set of literals for each alternative of a parsed pattern, or None."""
+    found, others, run = set(), [], ""
+    for name, value in [*((str(op), value) for op, value in tree), ("END", None)]:
+        if name == "LITERAL" and value < 128:
+            run += chr(value).lower()
+            continue
+        found, run = found | ({run} if len(run) >= GRAM else set()), ""
+        inner = []
+        if name == "SUBPATTERN":
+            inner = _needs(value[-1])
+        elif name == "ATOMIC_GROUP":
+            inner = _needs(value)
+        elif name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT") and value[0] > 0:
+            inner = _needs(value[2])
+        elif name == "BRANCH":
+            each = [_needs(x) for x in value[1]]
+            inner = [y for x in each for y in x] if all(each) else None
+        if inner and len(inner) == 1:
+            found |= inner[0]
+        elif inner:
+            others.append(inner)
+    return [found] if found else min(others, key=len, default=None)
+
+
+def regex_search(queries: DataFrame, corpus: DataFrame, text_col: str = "text", keep: Keep = as_is) -> DataFrame:
+    """Rows (query_id, uuid) where the query's pattern is found in name and classification, whatever the case; a pattern that does not compile, or none, finds nothing.
+
+    Distinct texts are searched once for each distinct pattern, and only those that hold the rarest gram of the literals that the pattern needs, see required and
+    gram_candidates. Patterns without such literals are tried on all texts, and are broadcast while they are few.
     """
+
+    @F.pandas_udf("array<array<string>>")
+    def needed(patterns: pd.Series) -> pd.Series:
+        return patterns.map(required)
+
     hay = F.concat_ws(" ", "name", "classification")
-    asked = queries.select("query_id", F.concat(F.lit("(?i)"), F.col(text_col)).alias("pattern"))
-    found = corpus.select(hay.alias("hay")).distinct().join(small(asked.select("pattern").distinct()), F.expr("regexp_like(hay, pattern)"))
+    asked = queries.select("query_id", F.col(text_col).alias("pattern")).where("pattern is not null")
+    parsed = keep(asked.select("pattern").distinct().select("pattern", F.explode(needed("pattern")).alias("literals")))
+    texts, holds = corpus.select(hay.alias("hay")).distinct(), F.expr("regexp_like(hay, concat('(?i)', pattern))")
+    sets = parsed.where(F.size("literals") > 0).select(F.col("pattern").alias("needle"), F.array_distinct(F.flatten(F.transform("literals", lambda x: _grams(x)))).alias("grams"))
+    indexed = gram_candidates(texts, sets, fold=True, sizes=(GRAM,), keep=keep).select("hay", F.col("needle").alias("pattern")).distinct().where(holds)
+    tried = texts.join(small(parsed.where(F.size("literals") == 0).select("pattern")), holds)
+    found = indexed.unionByName(tried.select("hay", "pattern"))
     return corpus.select("uuid", hay.alias("hay")).join(found, "hay").join(asked, "pattern").select("query_id", "uuid")
 
 
-def fuzzy_search(queries: DataFrame, corpus: DataFrame, text_col: str = "text") -> DataFrame:
+def fuzzy_search(queries: DataFrame, corpus: DataFrame, text_col: str = "text", keep: Keep = as_is) -> DataFrame:
     """Rows (query_id, uuid) where every query token is part of a name token or within 1 (4 to 7 letters) or 2 (8 and more) edits of one.
 
     Distinct tokens are matched with the vocabulary of names, by substring_pairs and edit_pairs; what follows are joins on equality and a count. Queries of
@@ -260,9 +346,9 @@ def fuzzy_search(queries: DataFrame, corpus: DataFrame, text_col: str = "text")
     """
     asked = queries.select("query_id", F.array_sort(F.array_distinct(tokens(F.col(text_col)))).alias("ts")).where(F.size("ts") > 0)
     named = corpus.select("uuid", F.explode(F.array_distinct(tokens(F.col("name")))).alias("word"))
-    words, sets = named.select(F.col("word").alias("known")).distinct(), asked.select("ts").distinct()
-    wanted = sets.select(F.explode("ts").alias("term")).distinct()
-    near = substring_pairs(words, wanted, "known", "term").select("term", "known")
+    words, sets = keep(named.select(F.col("word").alias("known")).distinct()), asked.select("ts").distinct()
+    wanted = keep(sets.select(F.explode("ts").alias("term")).distinct())
+    near = substring_pairs(words, wanted, "known", "term", keep).select("term", "known")
     for low, high, edits in ((4, 7, 1), (8, 1 << 30, 2)):
         near = near.unionByName(edit_pairs(wanted.where(F.length("term").between(low, high)), words, edits).select("term", "known"))
     hits = sets.select("ts", F.size("ts").alias("need"), F.explode("ts").alias("term")).join(near.distinct(), "term").join(named, F.col("known") == F.col("word"))

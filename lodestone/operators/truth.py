@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import join_key
-from lodestone.operators.lexical import substring_pairs
+from lodestone.operators.lexical import Keep, as_is, substring_pairs
+from lodestone.operators.sizes import small
 
 
 def first_entries(entries: DataFrame, name_col: str = "name") -> DataFrame:
@@ -15,18 +16,18 @@ def first_entries(entries: DataFrame, name_col: str = "name") -> DataFrame:
     return keyed.withColumn("__n", F.row_number().over(Window.partitionBy("key").orderBy("ordinal"))).where("__n = 1").drop("__n")
 
 
-def scope_truth_join(scope: DataFrame, entries: DataFrame) -> DataFrame:
+def scope_truth_join(scope: DataFrame, entries: DataFrame, keep: Keep = as_is) -> DataFrame:
     """scope (name) with the ordinal and label of its entry and how it was found: exact, substring or none.
 
     Names are matched on their trimmed lower case first. Only names left over are compared by substring, either way round, with
     distinct entry names, see substring_pairs; the entry of lowest ordinal wins.
     """
-    first = first_entries(entries).select("key", "ordinal", "label")
+    first = keep(first_entries(entries).select("key", "ordinal", "label"))
     names = scope.withColumn("key", join_key(F.col("name")))
     exact = names.join(first, "key", "left")
-    left_over = exact.where("ordinal is null and key <> ''").select("key").distinct()
+    left_over = keep(exact.where("ordinal is null and key <> ''").select("key").distinct())
     known = first.where("key <> ''").select(F.col("key").alias("other"))
-    inside = substring_pairs(left_over, known, "key", "other").unionByName(substring_pairs(known, left_over, "other", "key"))
+    inside = substring_pairs(left_over, known, "key", "other", keep).unionByName(substring_pairs(known, left_over, "other", "key", keep))
     empty = first.where("key = ''").select(F.struct(F.col("ordinal").alias("o"), F.col("label").alias("l")).alias("e"))
     near = inside.join(first.withColumnRenamed("key", "other"), "other").select("key", F.struct(F.col("ordinal").alias("o"), F.col("label").alias("l")).alias("e"))
     near = near.unionByName(left_over.join(F.broadcast(empty), F.lit(True))).groupBy("key").agg(F.min("e").alias("n"))
@@ -35,24 +36,23 @@ def scope_truth_join(scope: DataFrame, entries: DataFrame) -> DataFrame:
     return out.select("name", F.coalesce("ordinal", "n.o").alias("ordinal"), F.coalesce("label", "n.l").alias("label"), how.alias("how"))
 
 
-def containment_join(texts: DataFrame, passages: DataFrame, most_broadcast: int = 1000, gram: int = 4) -> DataFrame:
-    """Rows (doc_id, item_id) where a text holds a passage: texts (doc_id, text), passages (item_id, passage).
+def containment_join(texts: DataFrame, passages: DataFrame, gram: int = 4) -> DataFrame:
+    """Rows (doc_id, item_id) where a text holds a passage: texts (doc_id, text), passages (item_id, passage); a null text or passage holds or is held by none.
 
-    Few passages are broadcast and searched for in each text. Beyond that a passage's inner words decide: between its first and last
-    word, which may be parts of longer ones, a run of `gram` words stands in any text that holds it. Texts' runs are joined to the
-    passages' on equality and the pairs verified; only passages with fewer words are still searched for in every text.
+    A passage's inner words decide: between its first and last word, which may be parts of longer ones, a run of `gram` words stands in any text that holds it. Texts' runs
+    are joined to the passages' on equality and the pairs that meet are verified; only passages with fewer words are searched for in every text.
     """
     holds = F.col("text").contains(F.col("passage"))
-    if passages.limit(most_broadcast + 1).count() <= most_broadcast:
-        return texts.join(F.broadcast(passages), holds).select("doc_id", "item_id")
     split = lambda c: F.split(c, r"\s+")
-    inner = passages.withColumn("w", F.slice(split(F.col("passage")), 2, gram)).withColumn("long", F.size(split(F.col("passage"))) >= gram + 2)
-    keyed = inner.where("long").select("item_id", "passage", F.xxhash64(F.concat_ws(" ", "w")).alias("key"))
+    inner = passages.where("passage is not null").select("item_id", "passage", split(F.col("passage")).alias("w"))
+    keyed = inner.where(F.size("w") >= gram + 2).select("item_id", "passage", F.xxhash64(*[F.col("w")[i] for i in range(1, gram + 1)]).alias("key"))
     words = texts.select("doc_id", "text", split(F.col("text")).alias("w")).withColumn("last", F.size("w") - gram)
-    runs = F.when(F.col("last") >= 0, F.transform(F.sequence(F.lit(0), F.col("last")), lambda i: F.xxhash64(F.concat_ws(" ", F.slice(F.col("w"), i + 1, F.lit(gram)))))).otherwise(F.expr("cast(array() as array<bigint>)"))
-    hits = words.select("doc_id", F.explode(F.array_distinct(runs)).alias("key")).join(keyed.select("key", "item_id"), "key").select("doc_id", "item_id").distinct()
-    sure = hits.join(texts, "doc_id").join(passages, "item_id").where(holds).select("doc_id", "item_id").distinct()
-    return sure.unionByName(texts.join(inner.where("not long").select("item_id", "passage"), holds).select("doc_id", "item_id"))
+    spots = F.sequence(F.lit(0), F.col("last"))
+    runs = F.when(F.col("last") >= 0, F.transform(spots, lambda i: F.xxhash64(*[F.get("w", i + j) for j in range(gram)]))).otherwise(F.expr("cast(array() as array<bigint>)"))
+    hits = words.select("doc_id", F.explode(F.array_distinct(runs)).alias("key")).join(small(keyed.select("key", "item_id")), "key").select("doc_id", "item_id").distinct()
+    sure = hits.join(texts, "doc_id").join(small(passages), "item_id").where(holds).select("doc_id", "item_id").distinct()
+    short = small(inner.where(F.size("w") < gram + 2).select("item_id", "passage"))
+    return sure.unionByName(texts.join(short, holds).select("doc_id", "item_id"))
 
 
 def with_acceptable(entries: DataFrame) -> DataFrame:

@@ -99,12 +99,12 @@ def trigram_overlap(r: Roles) -> DataFrame:
 
 @registered(over(BASE, "SELECT query_id, uuid FROM regex"))
 def regex_search(r: Roles) -> DataFrame:
-    return lexical.regex_search(r.queries, r.corpus)
+    return lexical.regex_search(r.queries, r.corpus, keep=r.keep)
 
 
 @registered(over(BASE, "SELECT query_id, uuid FROM fuz0"))
 def fuzzy_search(r: Roles) -> DataFrame:
-    return lexical.fuzzy_search(r.queries, r.corpus)
+    return lexical.fuzzy_search(r.queries, r.corpus, keep=r.keep)
 
 
 @registered("SELECT p_partkey AS uuid, regexp_matches(p_type || ' ' || p_name, 'm.*ring$', 'i') AS by_regex FROM part WHERE contains(lower(p_type || ' ' || p_name), 'rin') AND contains(lower(p_type || ' ' || p_name), 'o')")
@@ -383,7 +383,7 @@ def _scope(r: Roles) -> tuple[DataFrame, DataFrame]:
 
 @registered(over(SCOPE, "SELECT ex.name, coalesce(ex.ordinal, nr.o) AS ordinal, coalesce(ex.label, nr.l) AS label, CASE WHEN ex.ordinal IS NOT NULL THEN 'exact' WHEN nr.o IS NOT NULL THEN 'substring' ELSE 'none' END AS how FROM ex LEFT JOIN nr ON nr.key = ex.key AND ex.ordinal IS NULL"))
 def scope_truth_join(r: Roles) -> DataFrame:
-    return truth.scope_truth_join(*_scope(r))
+    return truth.scope_truth_join(*_scope(r), keep=r.keep)
 
 
 @registered("SELECT d.doc_id, b.item_id FROM documents d, benchmark b WHERE contains(d.text, b.text)")

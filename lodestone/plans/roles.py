@@ -167,7 +167,7 @@ class Roles:
 
     @cache  # noqa: B019
     def fuzzy(self, context: bool = False) -> DataFrame:
-        return self.keep(lexical.fuzzy_search(self.queries, self.corpus, "enriched" if context else "text"))
+        return self.keep(lexical.fuzzy_search(self.queries, self.corpus, "enriched" if context else "text", self.keep))
 
     @cache  # noqa: B019
     def hybrid_by_text(self, context: bool = False, symmetric: bool | None = None) -> DataFrame:
@@ -175,7 +175,7 @@ class Roles:
         fusion, scored = self.parameters.fusion, self.lexical_by_text()
         if not (fusion.pool == "symmetric" if symmetric is None else symmetric):
             names = scored.select("query_id").distinct()
-            scored = scored.join(lexical.fuzzy_search(names.withColumn("text", F.col("query_id")), self.corpus), ["query_id", "uuid"], "left_semi")
+            scored = scored.join(lexical.fuzzy_search(names.withColumn("text", F.col("query_id")), self.corpus, keep=self.keep), ["query_id", "uuid"], "left_semi")
         left, right = ranking.ranked(scored), self.semantic_by_text("enriched" if context else "text")
         if context:
             pairs = self.paired(context).select("pair", "text", "own").distinct()
@@ -197,7 +197,7 @@ class Roles:
     def mode(self, name: str, context: bool = False) -> DataFrame:
         """query_id, uuid, score, rank of one mode."""
         if name == "regex":
-            out = self.filtered(lexical.regex_search(self.queries, self.corpus))
+            out = self.filtered(lexical.regex_search(self.queries, self.corpus, keep=self.keep))
         elif name == "fuzzy":
             out = self.filtered(self.fuzzy(context))
         elif name == "semantic":
@@ -247,7 +247,7 @@ class Roles:
         """
         asked = self.keep(self.ladder_texts())
         once = asked.select(F.col("text").alias("query_id"), "text").distinct()
-        found = lexical.fuzzy_search(once, self.corpus)
+        found = lexical.fuzzy_search(once, self.corpus, keep=self.keep)
         fuzzy = ranking.ranked(lexical.bm25f_scores(once, self.corpus, params=self.parameters.bm25, pairs=found)).select(F.col("query_id").alias("text"), "uuid", "rank")
         out = [asked.join(fuzzy, "text").withColumn("mode", F.lit("fuzzy"))]
         dense = self.keep(ranking.ranked(self.dense(once).withColumnRenamed("text", "query_id")))
