@@ -75,7 +75,7 @@ def test_writers(spark, tmp_path):
     writers.write_records(rows, str(tmp_path / "r"))
     assert sorted(r["value"] for r in spark.read.text(str(tmp_path / "r")).collect()) == ['{"a":1}', '{"a":2}']
     writers.write_back(rows, spark.createDataFrame([(1, True), (2, None)], "revit_id long, read_only boolean"), str(tmp_path / "w"))
-    assert [r["revit_id"] for r in spark.read.parquet(str(tmp_path / "w")).collect()] == [2]
+    assert [r["revit_id"] for r in spark.read.parquet(writers.current(spark, str(tmp_path / "w"))).collect()] == [2]
     assert writers.write_report(str(tmp_path / "x.MD"), "<p>", "# m") == "markdown" and (tmp_path / "x.MD").read_text() == "# m"
 
 
@@ -191,6 +191,33 @@ def test_a_failed_write_leaves_the_old_records(spark, tmp_path):
     assert [r["value"] for r in spark.read.text(path).collect()] == ["{}"] and [p.name for p in tmp_path.iterdir()] == ["r"]
 
 
+def test_a_reader_sees_the_old_or_the_new_version_at_every_step(spark, tmp_path):
+    path, seen = str(tmp_path / "w"), []
+    numbers = lambda: sorted(r["id"] for r in spark.read.parquet(writers.current(spark, path)).collect())
+    write = lambda n: lambda to: spark.range(n).write.parquet(to)
+    with pytest.raises(FileNotFoundError):
+        writers.current(spark, path)
+    first = writers.committed(spark, path, write(1))
+    assert numbers() == [0] and writers.current(spark, path) == first
+
+    def watched(to):
+        seen.append(numbers())
+        write(2)(to)
+        seen.append(numbers())
+
+    held = writers.current(spark, path)
+    second = writers.committed(spark, path, watched)
+    assert seen == [[0], [0]] and numbers() == [0, 1] and spark.read.parquet(held).count() == 1
+    with pytest.raises(RuntimeError):
+        writers.committed(spark, path, lambda to: (write(3)(to), (_ for _ in ()).throw(RuntimeError("ended"))))
+    assert writers.current(spark, path) == second and len(list((tmp_path / "w").iterdir())) == 3
+    write(5)(f"{path}/vleft")  # a driver that ended before it committed
+    assert numbers() == [0, 1]
+    for n in (3, 4, 5):
+        writers.committed(spark, path, write(n))
+    assert numbers() == [0, 1, 2, 3, 4] and [n for n, _ in writers.versions(spark, path)] == [4, 5]
+
+
 def test_ladders_follow_the_registry_order():
     steps = enrichment.ladder(["density", "class", "unknown", "description"])
     assert steps == [("name", [], False), ("class", ["class"], False), ("description", ["class", "description"], False), ("density", ["class", "description", "density"], True)]
