@@ -550,10 +550,12 @@ def merged_items(r: Roles) -> DataFrame:
     return enrichment.merged_items(part.where("uuid % 2 = 0").withColumnRenamed("p_name", "name"), part.where("uuid % 3 = 0").withColumnRenamed("p_brand", "name"))
 
 
-@registered("SELECT x AS cosine, round(least(0.97::DOUBLE, 1 / (1 + exp(-(8.0::DOUBLE * x - 2)))), 6) AS confidence FROM (SELECT unnest([0.4::DOUBLE, 0.5, 0.6, 0.7, 0.8]) AS x)")
+@registered(over(VECTORS, """SELECT cosine, count(*) AS n, round(least(0.97::DOUBLE, 1 / (1 + exp(-(8.0::DOUBLE * cosine - 2)))), 6) AS confidence
+  FROM (SELECT floor(10 * score) / 10::DOUBLE AS cosine FROM vs) GROUP BY cosine"""))
 def cosine_table(r: Roles) -> DataFrame:
-    points = r.spark.range(1).select(F.explode(F.array(*[F.lit(x) for x in (0.4, 0.5, 0.6, 0.7, 0.8)])).alias("cosine"))
-    return points.select("cosine", ranking.calibrated(F.col("cosine"), "semantic", r.parameters.curves).alias("confidence"))
+    """The cosines of all queries and rows, down to tenths: how many reach each, and what confidence it stands for."""
+    scored = ranking.score_vectors(r.vector_queries, r.vector_corpus).select((F.floor(10 * F.col("score")) / F.lit(10.0)).alias("cosine"))
+    return scored.groupBy("cosine").agg(F.count("*").alias("n")).withColumn("confidence", ranking.calibrated(F.col("cosine"), "semantic", r.parameters.curves))
 
 
 @registered(over(FULL, f"SELECT mode, mode || ' finds ' || CAST(round(100.0::DOUBLE * rall / greatest(denom, 1), 1) AS VARCHAR) || ' % anywhere and ' || CAST(round(100.0::DOUBLE * r1 / greatest(denom, 1), 1) AS VARCHAR) || ' % at rank 1' AS sentence FROM (SELECT mode, count(*) FILTER (label = 'match') AS denom, {CELLS}, count(*) FILTER (label = 'match' AND hit_rank IS NOT NULL) AS rall FROM pq GROUP BY mode)"))
