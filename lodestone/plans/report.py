@@ -11,6 +11,7 @@ from lodestone.operators import enrichment, metrics, stats
 from lodestone.plans import registry
 from lodestone.plans.roles import Roles
 from lodestone.sources.readers import Settings
+from lodestone.sources.writers import write_report
 
 MOST_ROWS = 500
 
@@ -89,3 +90,13 @@ def html(tables: dict[str, DataFrame], title: str = "Evaluation") -> str:
         body = "".join("<tr>" + "".join(f"<td>{escape(v)}</td>" for v in r) + "</tr>" for r in rows)
         out.append(f"<h2>{escape(name)}</h2><table><tr>{''.join(f'<th>{escape(c)}</th>' for c in columns)}</tr>{body}</table>" + (f"<p>Only the first {MOST_ROWS} rows are shown.</p>" if more else ""))
     return "\n".join(out)
+
+
+def write(roles: Roles, path: str, settings: Settings | None = None, title: str = "Evaluation") -> str:
+    """Every section of a run in one file, HTML or Markdown as the path's ending says; returns which. What the modes share is let go afterwards."""
+    try:
+        tables = sections(roles, settings)
+        markup = path.lower().endswith((".md", ".markdown"))
+        return write_report(path, "" if markup else html(tables, title), markdown(tables, title) if markup else "")
+    finally:
+        roles.close()

@@ -230,6 +230,16 @@ def test_selection_of_all_that_is_visible(spark):
     assert {r["key"] for r in context.select_visible(catalog, chosen, "(", regex=True).collect()} == {2, 3}
 
 
+def test_a_report_is_written_whole_in_the_form_of_its_path(spark, tmp_path, monkeypatch):
+    """The sections are made small here: what a run computes is tested by itself."""
+    monkeypatch.setattr(report, "sections", lambda roles, settings=None: {"Summary": roles.keep(spark.range(2)), "Method": spark.createDataFrame([("a|b",)], "term string")})
+    for name, kind, heads in (("r.md", "markdown", ["## Summary", "## Method"]), ("r.html", "html", ["<h2>Summary</h2>", "<h2>Method</h2>"])):
+        roles = Roles(spark, "/root/testdata/sf0.001")
+        assert report.write(roles, str(tmp_path / name)) == kind and roles.kept == []
+        text = (tmp_path / name).read_text()
+        assert all(h in text for h in heads)
+
+
 def test_report_shows_seconds_by_mode(spark):
     got = report.mode_seconds(Roles(spark, "/root/testdata/sf0.001"), readers.Settings()).collect()
     assert {r["mode"] for r in got} == set(report.stats.MODES) and all(r["seconds"] > 0 for r in got)
