@@ -7,8 +7,9 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import placing, ranking
+from lodestone.operators import lexical, placing, ranking
 from lodestone.operators.ranking import Fusion
+from lodestone.plans.roles import Roles
 
 
 def test_pairs_of_long_texts_are_one_array():
@@ -59,3 +60,27 @@ def test_fused_rows_are_those_of_the_whole_fusion(tables, spark, fusion):
     assert rows <= true and {r for r in true if r[-1] <= 10 or r[:2] in ((0, 390), (1, 5))} <= rows and len(rows) < len(true)
     least = whole.agg(F.percentile("raw", F.lit(0.8))).first()[0]
     assert {r for r in true if r[4] >= least} == as_set(placing.fused(left, right, fusion, targets.limit(0), lambda df: df.localCheckpoint(), least=least), *columns)
+
+
+def test_the_worst_fused_row_is_found_by_forms(tables):
+    (left, right), (a, b) = tables
+    for fusion in (Fusion(), Fusion(5, 2.0, 0.5)):
+        whole = ranking.rrf(a, b, fusion.k, fusion.w_bm25, fusion.w_sem).groupBy("query_id").agg(F.min("normalised").alias("least"))
+        assert as_set(placing.fused_last(left, right, fusion, lambda df: df.localCheckpoint()), "query_id", "least") == as_set(whole, "query_id", "least")
+
+
+def test_what_a_common_text_finds_is_dealt_to_salts(spark):
+    queries = spark.range(200).select(F.col("id").alias("query_id"), F.when(F.col("id") < 150, "a").otherwise("b").alias("asked"))
+    rows = spark.range(300).select(F.col("id").alias("uuid"), F.when(F.col("id") % 3 > 0, "x").otherwise("y").alias("held"))
+    found = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "y"), ("b", "none")], "asked string, held string")
+    got = [tuple(r) for r in lexical.spread(found, queries, rows, meeting=500).collect()]
+    assert len(got) == len(set(got)) == 150 * 300 + 50 * 100
+    assert set(got) == as_set(found.join(queries, "asked").join(rows, "held"), "query_id", "uuid")
+
+
+def test_no_pair_of_vectors_and_no_posting_is_shuffled(spark):
+    roles = Roles(spark, "/root/testdata/sf0.001")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan(roles.vector_scores())
+    assert "hashpartitioning(uuid" not in plan(lexical.corpus_stats(roles.corpus))
+    assert as_set(lexical.vocabulary(roles.corpus), "term", "df") == as_set(lexical.document_frequency(lexical.postings(roles.corpus)), "term", "df")
