@@ -1,6 +1,8 @@
 """Ranks by forms against row_number() over all rows."""
 
+import gc
 import random
+import weakref
 
 import numpy as np
 import pyarrow as pa
@@ -84,3 +86,18 @@ def test_no_pair_of_vectors_and_no_posting_is_shuffled(spark):
     assert "Exchange hashpartitioning" not in plan(roles.vector_scores())
     assert "hashpartitioning(uuid" not in plan(lexical.corpus_stats(roles.corpus))
     assert as_set(lexical.vocabulary(roles.corpus), "term", "df") == as_set(lexical.document_frequency(lexical.postings(roles.corpus)), "term", "df")
+
+
+def test_a_run_leaves_no_memo_and_no_step_behind(spark):
+    """Memos of a run that is over kept its plans in the driver, and its steps in the shared folder."""
+    roles = Roles(spark, "/root/testdata/sf0.001")
+    asked = roles.cases()
+    assert roles.cases() is asked and roles.forms is roles.forms
+    steps, files = list(roles.steps), spark._jvm.org.apache.hadoop.fs
+    there = lambda path: files.Path(path).getFileSystem(spark._jsc.hadoopConfiguration()).exists(files.Path(path))
+    done = roles.finished(asked.groupBy().count())
+    assert done.first()[0] == 20 and len(steps) == 2 and not any(map(there, steps)) and all(map(there, roles.steps))
+    gone = weakref.ref(roles)
+    del roles
+    gc.collect()
+    assert gone() is None
