@@ -59,3 +59,19 @@ def test_empty_tables(spark):
     corpus, queries = tables(spark, *made(1, 20))
     assert lexical.Index(corpus.limit(0)).top(queries, 3).count() == 0
     assert lexical.Index(corpus).top(queries.limit(0), 3).count() == 0
+
+
+def test_a_hot_text_is_spread_out_in_even_tasks(spark):
+    """One text asked 60 times and 90 rows of two texts are 5,400 pairs of one key; no task makes more than its packs, and all rows are those of the plain join."""
+    corpus = spark.createDataFrame([(i, "steel beam", "metal" if i % 9 else "wood") for i in range(90)] + [(100, None, "metal"), (101, "glass", None)], "uuid long, name string, classification string")
+    queries = spark.createDataFrame([(i, "steal beam") for i in range(60)] + [(60, "metal"), (61, ""), (62, None)], "query_id long, text string")
+    index = lexical.Index(corpus)
+    asked = lexical._bags(queries, "text")
+    made = lexical.to_rows(index.explained(asked), asked, index, pack=8)
+    sizes = [r[0] for r in made.groupBy(F.spark_partition_id()).agg(F.count("*")).select("count(1)").collect()]
+    columns = ["query_id", "uuid", "source", "term", "distance", *[F.round(c, 9).alias(c) for c in ("weight", "idf", "tf", "contribution")]]
+    every = lexical.bm25f_terms(queries, corpus)
+    assert sorted(map(tuple, made.select(*columns).collect())) == sorted(map(tuple, every.select(*columns).collect()))
+    assert len(sizes) > 1 and max(sizes) < sum(sizes) / 2
+    scores = lexical.bm25f_scores(queries, corpus).select("query_id", "uuid", "score")
+    assert sorted(map(tuple, lexical.every_score(queries, corpus).collect())) == sorted(map(tuple, scores.collect()))
