@@ -134,6 +134,11 @@ class Centroids:
         return lang, score, score >= limit
 
 
+def as_rows(rows: list[tuple]) -> np.ndarray:
+    """The weighed grams of rows (length, apart, x, grams) as a matrix."""
+    return np.array([np.frombuffer(row[2], np.float16) for row in rows], np.float32).reshape(-1, BUCKETS)
+
+
 def cluster(x: np.ndarray, k: int, rounds: int = 12, seed: int = 3) -> np.ndarray:
     """At most k unit centroids of unit rows: spherical k-means from rows that lie far apart."""
     rng = np.random.default_rng(seed)
@@ -192,21 +197,27 @@ def fit_languages(docs: DataFrame, sample: int = 4000, id_col: str = "doc_id", t
                     x = pa.array([model.weigh(v[None])[0].astype(np.float16).tobytes() for v in found[has]], pa.binary())
                     yield pa.RecordBatch.from_arrays([*[cut.column(i).take(pa.array(rows)) for i in (1, 2)], x, grams, pa.array(np.full(len(rows), length, np.int32))], names=["lang", "apart", "x", "grams", "length"])
 
-    got = sorted((r["length"], r["lang"], r["apart"], bytes(r["x"]), r["grams"]) for r in some.mapInArrow(counts, "lang string, apart boolean, x binary, grams long, length int").collect())
-    as_rows = lambda rows: np.array([np.frombuffer(row[3], np.float16) for row in rows], np.float32).reshape(-1, BUCKETS)
-    owner, tables, reached, sizes = [], [], [], []
-    for number, lang in enumerate(model.names):
-        mine = [row for row in got if row[1] == lang and not row[0]]
-        apart, whole = np.array([row[2] for row in mine], bool), np.array([row[4] for row in mine]) >= FULL
+    def fit(rows: pa.Table) -> pa.Table:
+        """One language: its centroids, and of each length the cosines reached and the numbers of grams."""
+        got = sorted(zip(*[rows[c].to_pylist() for c in ("length", "apart", "x", "grams")]))
+        mine = [row for row in got if not row[0]]
+        apart, whole = np.array([row[1] for row in mine], bool), np.array([row[3] for row in mine]) >= FULL
         x = as_rows(mine)
-        table = cluster(x if apart.all() else x[~apart], centroids)
-        owner += [number] * len(table)
-        tables.append(table)
+        table = cluster(x if apart.all() else x[~apart], centroids).astype(np.float32)
         held_apart = next((m for m in (apart & whole, whole, apart) if m.any()), np.ones(len(x), bool))
-        best = lambda rows: (rows @ table.T).max(axis=1)
-        short = [[row for row in got if row[1] == lang and row[0] == length] for length in CUTS]
-        reached.append([best(as_rows(rows)) for rows in short] + [best(x[held_apart])])
-        sizes.append([[row[4] for row in rows] for rows in short] + [[FULL]])
+        best = lambda some: (some @ table.T).max(axis=1).tobytes()
+        short = [[row for row in got if row[0] == length] for length in CUTS]
+        reached = [*[best(as_rows(some)) for some in short], best(x[held_apart])]
+        sizes = [*[[row[3] for row in some] for some in short], [FULL]]
+        return pa.table({"lang": rows["lang"][:1], "centroids": pa.array([table.tobytes()], pa.binary()), "reached": pa.array([reached], pa.list_(pa.binary())), "sizes": pa.array([sizes], pa.list_(pa.list_(pa.int64())))})
+
+    # a language's sampled rows meet in a task; the driver gets its centroids and one number for each row
+    rows = some.mapInArrow(counts, "lang string, apart boolean, x binary, grams long, length int")
+    fits = {r["lang"]: r for r in rows.groupBy("lang").applyInArrow(fit, "lang string, centroids binary, reached array<binary>, sizes array<array<long>>").collect()}
+    tables = [np.frombuffer(fits[lang]["centroids"], np.float32).reshape(-1, BUCKETS) for lang in model.names]
+    owner = [number for number, table in enumerate(tables) for _ in table]
+    reached = [[np.frombuffer(cosines, np.float32) for cosines in fits[lang]["reached"]] for lang in model.names]
+    sizes = [fits[lang]["sizes"] for lang in model.names]
     model.grams = np.maximum.accumulate([np.mean(sum((s[k] for s in sizes), []) or [FULL]) for k in range(len(CUTS) + 1)])
     model.least = np.zeros((len(model.names), len(model.grams)))
     for k in range(len(model.grams)):
@@ -215,7 +226,7 @@ def fit_languages(docs: DataFrame, sample: int = 4000, id_col: str = "doc_id", t
             mine = c[k] if len(c[k]) else every
             if len(every):
                 model.least[number, k] = min(MARGIN * np.quantile(mine, LOW), MARGIN * np.quantile(every, LOW), MOST * np.median(mine))
-    model.owner, model.table = np.array(owner), np.concatenate(tables).astype(np.float32)
+    model.owner, model.table = np.array(owner), np.concatenate(tables)
     return model
 
 

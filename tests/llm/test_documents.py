@@ -524,6 +524,19 @@ def test_languages_of_any_size_are_learned(spark):
     assert model.names == ["de", "en"]
 
 
+def test_sampled_rows_of_languages_stay_in_the_tasks(corpus, monkeypatch):
+    got, collect = [], type(corpus).collect
+
+    def counted(self):
+        rows = collect(self)
+        got.append(sum(len(x) for r in rows for x in r if isinstance(x, (bytes, bytearray))))
+        return rows
+
+    monkeypatch.setattr(type(corpus), "collect", counted)
+    model = langid.fit_languages(corpus)
+    assert max(got) == model.table.nbytes
+
+
 def test_grams_weights_and_cosine_by_hand():
     texts = ["Ab, 12 ç!", "", "12", " über ab ", "ab"]
     counts, has = langid.gram_counts([t.encode() for t in texts])
