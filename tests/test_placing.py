@@ -101,3 +101,32 @@ def test_a_run_leaves_no_memo_and_no_step_behind(spark):
     del roles
     gc.collect()
     assert gone() is None
+
+
+def test_levels_are_written_once_and_dealt_by_query_alone(spark):
+    scored = spark.createDataFrame([(q, f, float(f % 3) - 1.0) for q in range(3) for f in range(10)], "query_id long, form long, score double")
+    forms = spark.createDataFrame([(f, 1 + f % 2) for f in range(10)], "form long, copies long")
+    members = spark.createDataFrame([(10 * f + i, f, i + 1) for f in range(10) for i in range(1 + f % 2)], "uuid long, form long, n int")
+    kept = []
+    held = placing.Levels(scored, forms, members, lambda df: kept.append(df) or df).held
+    assert len(kept) == 1 and "hashpartitioning(query_id, score" not in held._jdf.queryExecution().executedPlan().toString()
+    rows = [tuple(r) for r in held.select("query_id", "form", "score", "copies").collect()]
+    true = {(q, f, s, c, sum(d for p, _, t, d in rows if p == q and t > s), sum(p == q and t == s for p, _, t, _ in rows)) for q, f, s, c in rows}
+    assert len(rows) == 30 and as_set(held, "query_id", "form", "score", "copies", "above", "alike") == true
+
+
+def test_a_first_hit_is_found_without_reading_down_to_the_correct_row(spark, monkeypatch):
+    roles, read = Roles(spark, "/root/testdata/sf0.001"), []
+    fused = placing.fused
+
+    def counted(*args):
+        rows = fused(*args).localCheckpoint()
+        read.append(rows.count())
+        return rows
+
+    monkeypatch.setattr(placing, "fused", counted)
+    columns = ("query_id", "label", "hit_rank", "ndcg")
+    near, whole = roles.evaluated(("hybrid",), True, False), roles.evaluated(("hybrid",), True)
+    assert as_set(near, *columns) == as_set(whole, *columns) and "hit_rank_correct" not in near.columns
+    assert read[0] <= read[1]
+    assert as_set(roles.first("semantic", deep="top"), "query_id", "uuid", "rank") <= as_set(roles.first("semantic"), "query_id", "uuid", "rank")
