@@ -1,6 +1,7 @@
 from fractions import Fraction
 from math import comb
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -129,3 +130,17 @@ def test_intervals_of_all_measures(spark):
     assert set(got) == {"mrr", "mrr_correct", "ndcg10"} and (got["ndcg10"]["low"], got["ndcg10"]["high"]) == (0.5, 0.5) and got["mrr"]["point"] == 0.5
     cells = {(r["kind"], r["cell"]): r["hits"] for r in metrics.wilson_recall(rows).collect()}
     assert cells["exact", "rall"] == cells["acceptable", "r3"] == 2 and len(cells) == 12
+
+
+def test_draws_are_made_in_even_tasks_and_met_by_blocks(spark):
+    from hashlib import md5
+
+    n, resamples = 60_000, 40
+    drawn = stats.draws(spark, [n], resamples, block=1000)
+    tasks = [r["count"] for r in drawn.select(F.spark_partition_id().alias("t"), F.explode("places")).groupBy("t").count().collect()]
+    assert sum(tasks) == n * resamples and max(tasks) <= 0.5 * sum(tasks)
+    rows = spark.range(2500).selectExpr("'a' as mode", "id as query_id", "sqrt(id) as x").unionByName(spark.range(7).selectExpr("'b' as mode", "id as query_id", "id * 1.0D as x"))
+    got = {r["mode"]: r for r in stats.bootstrap_means(rows, {"x": F.col("x")}, resamples=30, block=128).collect()}
+    for mode, values in (("a", np.sqrt(np.arange(2500))), ("b", np.arange(7.0))):
+        means = [np.mean([values[int(md5(f"42:{i}:{j}".encode()).hexdigest()[:12], 16) % len(values)] for j in range(1, len(values) + 1)]) for i in range(1, 31)]
+        assert (got[mode]["low"], got[mode]["high"]) == pytest.approx(np.quantile(means, [0.025, 0.975]), abs=2e-6) and got[mode]["point"] == pytest.approx(values.mean(), abs=1e-6)
