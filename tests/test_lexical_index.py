@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.operators import lexical, ranking
+from lodestone.plans import registry
 
 WORDS = ["blue", "old", "red", "ring", "bolt", "plate", "x1", "7", "42", "steel"]
 
@@ -75,3 +76,23 @@ def test_a_hot_text_is_spread_out_in_even_tasks(spark):
     assert len(sizes) > 1 and max(sizes) < sum(sizes) / 2
     scores = lexical.bm25f_scores(queries, corpus).select("query_id", "uuid", "score")
     assert sorted(map(tuple, lexical.every_score(queries, corpus).collect())) == sorted(map(tuple, scores.collect()))
+
+
+def test_a_found_row_explodes_to_few_rows_at_a_time_and_is_calibrated_once(spark):
+    """Spark holds all rows that one row explodes to, so a hot text's ids lie in small packs; confidences are of texts and forms, not of the rows made."""
+    kept = []
+    found = spark.createDataFrame([("a", "x"), ("a", "y")], "asked string, held string")
+    queries, rows = spark.range(900).selectExpr("id as query_id", "'a' as asked"), spark.range(2000).selectExpr("id as uuid", "if(id < 1900, 'x', 'y') as held")
+    assert lexical.spread(found, queries, rows, lambda df: kept.append(df) or df).count() == 900 * 2000
+    packs = [max(len(r[c]) for r in df.collect()) for df in kept for c in ("uuids", "query_ids") if c in df.columns]
+    assert len(packs) == 2 and max(packs) < 256
+    assert "EXP(" not in registry.queries()["calibrated_score"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().upper()
+
+
+def test_packs_that_are_too_many_to_be_broadcast_meet_the_rows_found(spark):
+    found = spark.createDataFrame([("a", "x", 1), ("a", "y", 2), ("b", "y", 3), ("b", "none", 4)], "bag string, form string, z int")
+    asked = spark.range(200).selectExpr("id as query_id", "if(id < 150, 'a', 'b') as bag")
+    rows = spark.range(300).selectExpr("id as uuid", "if(id % 3 > 0, 'x', 'y') as form")
+    made = lexical.by_packs(found, asked, rows, pack=16, made=3000, most_ids=100)
+    want = found.join(asked, "bag").join(rows, "form")
+    assert sorted(map(tuple, made.select("query_id", "uuid", "z").collect())) == sorted(map(tuple, want.select("query_id", "uuid", "z").collect()))
