@@ -1,12 +1,14 @@
 import bisect
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lodestone.operators import lexical, ranking
+from lodestone.plans import registry
 
 
 def rows(spark, data):
@@ -168,3 +170,25 @@ def test_few_steps_are_what_they_were(spark):
     data = spark.createDataFrame([(0.1,), (0.5,), (0.9,), (None,)], "score double")
     assert [r[0] for r in data.select(ranking.stepped(F.col("score"), [(0.8, 0.9), (0.2, 0.3), (0.5, 0.6)])).collect()] == [0.3, 0.6, 0.9, 0.3]
     assert [r[0] for r in data.select(ranking.stepped(F.col("score"), [(0.4, 0.7)])).collect()] == [0.7] * 4
+
+
+@pytest.mark.parametrize("most", [7, 1000])
+def test_first_hits_of_vectors_agree_with_ranking_all_products(spark, most):
+    """Vectors of few values give many equal scores; one label has no row, one vector no label, some hold NaN or infinity, or have another number of components."""
+    rng = np.random.default_rng(3)
+    odd = {4: None, 9: [float("nan"), 1.0, 0.0], 13: [float("inf"), 1.0, -1.0], 17: [0.5, 0.5], 21: [1e30, 1.0, 0.0], 40: [float("nan"), 0.0, 0.0], 50: [0.25, 0.5]}
+    rows = [(i, odd.get(i, [float(x) / 4 for x in v]), None if i == 30 else 9 if i == 60 else i % 4) for i, v in enumerate(rng.integers(-2, 3, (90, 3)))]
+    table = spark.createDataFrame(rows, "id long, v array<double>, cluster int")
+    asked, held = table.where("id % 10 = 0").withColumnRenamed("id", "query_id"), table.where("id % 10 <> 0").withColumnRenamed("id", "uuid")
+    got = {r["query_id"]: r["hit_rank"] for r in ranking.vector_first_hits(asked, held, most, most).collect()}
+    every = ranking.score_vectors(asked, held.select(F.struct("uuid", "cluster").alias("uuid"), "v")).select("query_id", "uuid.uuid", "uuid.cluster", "score")
+    want = ranking.first_hits(every.join(asked.select("query_id", F.col("cluster").alias("ql")), "query_id"), F.col("cluster") == F.col("ql"), 9)
+    assert got == {r["query_id"]: r["hit_rank"] for r in want.collect()} and None in got.values() and len(set(got.values())) > 3
+
+
+def test_all_pairs_of_many_queries_are_neither_made_as_rows_nor_broadcast(spark, monkeypatch):
+    def whole(*args, **kwargs):
+        raise AssertionError("a row for every pair")
+
+    monkeypatch.setattr(ranking, "score_vectors", whole)
+    assert registry.queries()["recall_at_k"](spark, "/root/testdata/sf0.001").first()["n"] == 50
