@@ -9,9 +9,11 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import lexical, placing, ranking
+from lodestone.operators import lexical, placing, ranking, sizes
 from lodestone.operators.ranking import Fusion
+from lodestone.plans import registry
 from lodestone.plans.roles import Roles
+from lodestone.sources import scratch
 
 
 def test_pairs_of_long_texts_are_one_array():
@@ -130,3 +132,16 @@ def test_a_first_hit_is_found_without_reading_down_to_the_correct_row(spark, mon
     assert as_set(near, *columns) == as_set(whole, *columns) and "hit_rank_correct" not in near.columns
     assert read[0] <= read[1]
     assert as_set(roles.first("semantic", deep="top"), "query_id", "uuid", "rank") <= as_set(roles.first("semantic"), "query_id", "uuid", "rank")
+
+
+def test_a_run_lets_spark_broadcast_little_that_was_not_counted(spark):
+    """Tables of under 10 MB of compressed files were broadcast unasked, twenty times as large in the driver."""
+    side, _ = scratch.written(spark.range(400_000).selectExpr("id * 7919 % 1000003 as id", "id % 3 as z"), "test")
+    how = lambda: spark.range(5_000_000).join(side, "id")._jdf.queryExecution().executedPlan().toString()
+    before, said = spark.conf.get(sizes.THRESHOLD), []
+    plan = lambda roles: said.append((spark.conf.get(sizes.THRESHOLD), how())) or roles.corpus
+    registry.registered("SELECT 1")(plan)
+    run, _ = registry.REGISTRY.pop(plan.__name__)
+    assert "BroadcastHashJoin" in how()
+    run(spark, "/root/testdata/sf0.001")
+    assert int(said[0][0]) <= 1 << 20 and "BroadcastHashJoin" not in said[0][1] and spark.conf.get(sizes.THRESHOLD) == before
